@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality as good
 from . import toxicity as tox
 from .labelled import fold
 from .lines import line_bitmaps
@@ -46,8 +47,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_bitmaps(table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    scored = good.quality(docs, good.fit(docs, table(spark, sf_dir, "labels"), held_out))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_toxicity, op6_substring_dedup, op8_line_dedup)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_toxicity, op6_substring_dedup, op8_line_dedup, op10_quality_classifier)}
 
 
 ORACLES = {
