@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Keys, bits_or_none, exchange, finished, in_blocks, seen_before
+from .shared import Keys, bits_or_none, exchange, finished, in_blocks, range_count, seen_before
 from .texts import one_array, raw, real_id, xxh64
 
 MIN_CHARS = 10
@@ -46,11 +46,11 @@ def _keys(docs: pa.Table, lines: pa.Array, offsets: np.ndarray, min_chars: int)
     return at, ids, Keys(xxh64(data, start, length, 42), xxh64(data, start, length, 7), ids)
 
 
-def _decide(docs: pa.Table, replies: dict[int, bytes], blocks: int, min_chars: int):
+def _decide(docs: pa.Table, replies: dict[int, bytes], spans: int, min_chars: int):
     lines, offsets = _lines(docs)
     at, ids, keys = _keys(docs, lines, offsets, min_chars)
     drop = np.zeros(len(lines), bool)
-    drop[at] = keys.flags(replies, blocks)[keys.group] | (ids > keys.least[keys.group])
+    drop[at] = keys.flags(replies, spans)[keys.group] | (ids > keys.least[keys.group])
     return lines, offsets, ~drop
 
 
@@ -60,10 +60,10 @@ def _kept_texts(lines: pa.Array, offsets: np.ndarray, keep: np.ndarray) -> pa.Ar
     return pc.binary_join(lists, "\n")
 
 
-def _answers(blocked: DataFrame, blocks: int, min_chars: int) -> DataFrame:
+def _answers(blocked: DataFrame, spans: int, min_chars: int) -> DataFrame:
     def send(docs: pa.Table):
         lines, offsets = _lines(docs)
-        return _keys(docs, lines, offsets, min_chars)[2].parts(blocks)
+        return _keys(docs, lines, offsets, min_chars)[2].parts(spans)
 
     return exchange(blocked, send, lambda parts: [bits_or_none(x) for x in seen_before(parts)])
 
@@ -77,7 +77,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     blocked, blocks, _ = in_blocks(docs)
 
     def finish(docs: pa.Table, replies: dict[int, bytes]) -> pa.Table:
-        lines, offsets, keep = _decide(docs, replies, blocks, min_chars)
+        lines, offsets, keep = _decide(docs, replies, range_count(blocks), min_chars)
         n = np.diff(offsets)
         kept = np.concatenate([[0], np.cumsum(keep)])[offsets]
         texts = _kept_texts(lines, offsets, keep)
@@ -96,7 +96,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     out = finished(
         blocked,
-        _answers(blocked, blocks, min_chars),
+        _answers(blocked, range_count(blocks), min_chars),
         finish,
         "doc_id long, n_lines long, n_dropped long, keep_bitmap binary, kept_sha256 string",
     )
@@ -113,11 +113,11 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataF
     schema = T.StructType([blocked.schema["text"], blocked.schema["row"]])
 
     def finish(docs: pa.Table, replies: dict[int, bytes]) -> pa.Table:
-        lines, offsets, keep = _decide(docs, replies, blocks, min_chars)
+        lines, offsets, keep = _decide(docs, replies, range_count(blocks), min_chars)
         missing = pa.array(np.asarray(docs.column("text").is_null()))
         texts = pc.if_else(missing, pa.scalar(None, pa.string()), _kept_texts(lines, offsets, keep))
         return pa.table({"text": texts, "row": docs.column("row")})
 
-    out = finished(blocked, _answers(blocked, blocks, min_chars), finish, schema).select("text", "row.*")
+    out = finished(blocked, _answers(blocked, range_count(blocks), min_chars), finish, schema).select("text", "row.*")
     sized = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None
     return out.select(*[sized if x == "n_chars" else F.col(x) for x in docs.columns])

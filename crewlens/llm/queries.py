@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import quality as good
 from . import toxicity as tox
 from .labelled import fold
+from .language_model import lm_scores
 from .lines import line_bitmaps
 from .simhash import near_duplicates
 from .substrings import substring_dedup
@@ -38,6 +39,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -57,7 +62,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_toxicity, op6_substring_dedup, op8_line_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_toxicity, op5_lm_scoring, op6_substring_dedup, op8_line_dedup, op10_quality_classifier)}
 
 
 ORACLES = {

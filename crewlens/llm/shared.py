@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .texts import NO_ID, id_and_text
 
 BLOCK_BYTES = 8 << 20
+SMALL_BLOCK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,12 +45,12 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> tuple[DataFrame, int, int]:
     """(doc_id, text, block): documents dealt by a hash into blocks of about ``block_bytes`` of text.
 
-    Repeated ids are dealt together.  With ``carry`` the other columns travel along as the struct ``row``
+    Small corpora get smaller blocks, of a megabyte at least, up to two for each shuffle partition.  Repeated ids are dealt together.  With ``carry`` the other columns travel along as the struct ``row``
     and texts stay null where they are.  Returns the frame, the number of blocks and the bytes of text.
     """
     _, size = corpus_size(id_and_text(docs))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(2 * parts, -(-size // block_bytes))
+    blocks = max(1, min(2 * parts, -(-size // SMALL_BLOCK_BYTES)), -(-size // block_bytes))
     dealt = id_and_text(docs)
     if carry:
         others = [x for x in docs.columns if x != "text"]
@@ -61,6 +62,11 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = Fal
     return dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")), blocks, size
 
 
+def range_count(blocks: int) -> int:
+    """Ranges of keys for a number of blocks: a range then gets about as much as two blocks send."""
+    return max(1, blocks // 2)
+
+
 def by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Ranges of equal width of 64-bit keys that occur among sorted keys, and the borders between them."""
     owner = range_of(keys, ranges)
@@ -87,12 +93,13 @@ def exchange(
     frame: DataFrame | tuple[DataFrame, DataFrame],
     send: Callable[..., list[tuple[int, bytes]]],
     answer: Callable[[list[bytes]], list[bytes | None]],
+    report: bool = False,
 ) -> DataFrame:
     """Blocks send sorted keys by ranges; each range answers all its blocks at once.
 
     ``send`` gets a block's documents (and, of a pair of frames, its earlier answers) and returns one
     payload for each range; ``answer`` gets a range's payloads from all blocks and returns one answer
-    to each, or None.  A key is sent once by each block however often it occurs there, so a key that
+    to each, or None; with ``report`` also one payload about the whole range, in a row of block -1.  A key is sent once by each block however often it occurs there, so a key that
     holds a third of all rows gives no more than one entry a block.
     """
     if isinstance(frame, tuple):
@@ -115,11 +122,15 @@ def exchange(
 
     def answered(rows: pa.Table) -> pa.Table:
         replies = answer([x.as_buffer().to_pybytes() for x in rows.column("payload")])
+        blocks, span = rows.column("block").to_pylist(), rows.column("range")[0].as_py()
+        if report:
+            replies, about = replies
+            replies, blocks = [*replies, about], [*blocks, -1]
         kept = [i for i, x in enumerate(replies) if x is not None]
         return pa.table(
             {
-                "block": rows.column("block").take(pa.array(kept, pa.int64())),
-                "range": rows.column("range").take(pa.array(kept, pa.int64())),
+                "block": pa.array([blocks[i] for i in kept], pa.int32()),
+                "range": pa.array([span] * len(kept), pa.int32()),
                 "payload": pa.array([replies[i] for i in kept], pa.binary()),
             }
         )

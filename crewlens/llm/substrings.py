@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import Keys, by_key, by_range, exchange, finished, in_blocks, seen_before
+from .shared import Keys, by_key, by_range, exchange, finished, in_blocks, range_count, seen_before
 from .texts import P1, mix64, one_array, real_id, split_words, string_hashes, window_hashes, word_codes
 
 WINDOW = 13
@@ -88,6 +88,7 @@ def _merge(parts: list[bytes], bits: int) -> list[bytes | None]:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_ROWS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): words under windows that an earlier document has are taken out."""
     blocked, blocks, size = in_blocks(docs)
+    spans = range_count(blocks)
     bits = min(64, max(16, int(np.ceil(np.log2(max(size, 2) / 2)))))
 
     def row_cells(w: _Windows, row: int):
@@ -98,9 +99,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
         if len(w.h1):
             for row in range(rows):
                 cells, counts = np.unique(_cells(w.h1, row, bits), return_counts=True)
-                owner, edges = by_range(cells, blocks)
+                owner, edges = by_range(cells, spans)
                 for r, a, b in zip(owner.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    out.append((row * blocks + r, _pack(cells[a:b], counts[a:b] > 1, bits)))
+                    out.append((row * spans + r, _pack(cells[a:b], counts[a:b] > 1, bits)))
         return out
 
     def candidates(docs: pa.Table, replies: pa.Table):
@@ -109,13 +110,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
         for row in range(rows if len(w.h1) else 0):
             cells, inverse, _ = row_cells(w, row)
             flags = np.zeros(len(cells), bool)
-            owner, edges = by_range(cells, blocks)
+            owner, edges = by_range(cells, spans)
             for r, a, b in zip(owner.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if bits_ := got.get(row * blocks + r):
+                if bits_ := got.get(row * spans + r):
                     flags[a:b] = np.unpackbits(np.frombuffer(bits_, np.uint8), count=b - a)
             maybe &= flags[inverse]
         at = np.flatnonzero(maybe)
-        return Keys(w.h1[at], w.h2(at), w.ids[at]).parts(blocks)
+        return Keys(w.h1[at], w.h2(at), w.ids[at]).parts(spans)
 
     def repeated(parts: list[bytes]) -> list[bytes | None]:
         out = []
