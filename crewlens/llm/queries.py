@@ -12,6 +12,7 @@ from . import toxicity as tox
 from .labelled import fold
 from .language_model import lm_scores
 from .lines import line_bitmaps
+from .rules import POLICIES, fails, ledger, verdict
 from .simhash import near_duplicates
 from .substrings import substring_dedup
 
@@ -22,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = verdict(ledger(table(spark, sf_dir, "documents")), "strict", 1)
+    base = fails(POLICIES["base", 1]).alias("base_failed")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return book.select("doc_id", *counts, base, "kept", F.col("failed").alias("failed_rules"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,10 +70,36 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_toxicity, op5_lm_scoring, op6_substring_dedup, op8_line_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_toxicity, op5_lm_scoring, op6_substring_dedup, op8_line_dedup, op10_quality_classifier)}
 
 
 ORACLES = {
+    "op1_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM d),
+g AS (SELECT doc_id, i, w[i:i + 2] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, v) AS c FROM g) WHERE c > 1),
+x AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM r) GROUP BY doc_id),
+m AS (
+  SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(x.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_exclaims
+  FROM s LEFT JOIN x ON x.doc_id = s.doc_id),
+f AS (
+  SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT)
+         + 4 * CAST(10 * n_symbols > n_words AS INT) + 8 * CAST(2 * n_dup_lines > n_lines AS INT)
+         + 16 * CAST(word_chars > 20 * n_words OR word_chars < 2 * n_words AS INT)
+         + 32 * CAST(2 * n_exclaims > n_words AS INT) AS failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed,
+       failed = 0 AS kept, CAST(failed AS BIGINT) AS failed_rules
+FROM f
+""",
     "op6_substring_dedup": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
