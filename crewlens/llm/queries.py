@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +13,11 @@ from . import toxicity as tox
 from .labelled import fold
 from .language_model import lm_scores
 from .lines import line_bitmaps
+from .packing import packed
 from .rules import POLICIES, fails, ledger, verdict
 from .simhash import near_duplicates
 from .substrings import substring_dedup
+from .token_files import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +50,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
 
@@ -60,6 +67,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_bitmaps(table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -70,7 +81,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_toxicity, op5_lm_scoring, op6_substring_dedup, op8_line_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_toxicity, op4_token_counts, op5_lm_scoring, op6_substring_dedup, op8_line_dedup, op9_packing, op10_quality_classifier)}
 
 
 ORACLES = {
