@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import quality as good
 from . import toxicity as tox
+from .decontaminate import contamination
 from .labelled import fold
 from .language_model import lm_scores
 from .lines import line_bitmaps
@@ -63,6 +64,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.array_join("items", ",").alias("items"), "similarity")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_bitmaps(table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
@@ -81,7 +87,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_toxicity, op4_token_counts, op5_lm_scoring, op6_substring_dedup, op8_line_dedup, op9_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_toxicity, op4_token_counts, op5_lm_scoring, op6_substring_dedup, op7_benchmark_decontamination, op8_line_dedup, op9_packing, op10_quality_classifier)}
 
 
 ORACLES = {
