@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import filters
+from . import filters, stages
 
-MODULES = (filters,)
+MODULES = (filters, stages)
 
 
 def queries() -> dict:
