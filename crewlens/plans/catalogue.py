@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import filters, stages
+from . import dashboards, filters, stages
 
-MODULES = (filters, stages)
+MODULES = (filters, stages, dashboards)
 
 
 def queries() -> dict:
