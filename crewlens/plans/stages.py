@@ -56,10 +56,10 @@ def w2_newest_message(spark, d):
     return m.select("candidate_id", "id")
 
 
-@register("""SELECT candidate, id, slot_date FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY slot_date, slot_time NULLS LAST, id) AS rn
+@register("""SELECT candidate, id, CAST(slot_date AS VARCHAR) AS slot_date FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY slot_date, slot_time NULLS LAST, id) AS rn
   FROM slots WHERE slot_date >= DATE '1998-06-01') WHERE rn = 1""")
 def w3_next_slot(spark, d):
-    return w.next_slot(v.slots(spark, d), "candidate", "1998-06-01").select("candidate", "id", "slot_date")
+    return w.next_slot(v.slots(spark, d), "candidate", "1998-06-01").select("candidate", "id", F.col("slot_date").cast("string").alias("slot_date"))
 
 
 @register("""SELECT candidate, id FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY slot_date DESC, slot_time DESC NULLS FIRST, created_at DESC, id) AS rn FROM slots) WHERE rn = 1""")
@@ -85,10 +85,11 @@ def w6_precedence_argmax(spark, d):
 WITH x AS (SELECT candidate_id % 500 AS k, CAST(created_at AS DATE) AS a, CAST(created_at AS DATE) + CAST(5 AS INT) AS b FROM interviews),
 y AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM x),
 z AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM y)
-SELECT k, min(a) AS a, max(b) AS b, count(*) AS pieces FROM z GROUP BY k, g""")
+SELECT k, CAST(min(a) AS VARCHAR) AS a, CAST(max(b) AS VARCHAR) AS b, count(*) AS pieces FROM z GROUP BY k, g""")
 def w8_merge_intervals(spark, d):
     x = v.interviews(spark, d).select((F.col("candidate_id") % 500).alias("k"), F.to_date("created_at").alias("a"))
-    return w.merge_intervals(x.withColumn("b", F.date_add("a", 5)), "k", "a", "b")
+    merged = w.merge_intervals(x.withColumn("b", F.date_add("a", 5)), "k", "a", "b")
+    return merged.select("k", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "pieces")
 
 
 @register("SELECT user_id, id, lead(id) OVER (PARTITION BY user_id ORDER BY ts, id) AS next_id FROM activity")
@@ -156,13 +157,15 @@ def p5_rejected_stage(spark, d):
     return b.select("id", out.alias("resolved"))
 
 
-@register(f"""WITH {SLOT_OF} SELECT candidate_id, slot_date, CASE WHEN slot_date = DATE '2001-08-01' THEN 'INTERVIEWED' ELSE 'INTERVIEW_SCHEDULED' END AS stage FROM
+@register(f"""WITH {SLOT_OF} SELECT candidate_id, CAST(slot_date AS VARCHAR) AS slot_date, CASE WHEN slot_date = DATE '2001-08-01' THEN 'INTERVIEWED' ELSE 'INTERVIEW_SCHEDULED' END AS stage FROM
   (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY slot_date, slot_time NULLS LAST, id) AS rn FROM slot_of
    WHERE slot_date >= DATE '2001-08-01' AND (slot_time IS NULL OR CAST(slot_date || ' ' || slot_time AS TIMESTAMP) > TIMESTAMP '2001-08-01 11:30:00')) WHERE rn = 1""")
 def p7_slot_stage(spark, d):
     booked = p.with_candidate(v.slots(spark, d), v.candidates(spark, d))
     live = booked.filter(p.slot_within_window(F.col("slot_date"), F.col("slot_time"), v.AS_OF))
-    return w.next_slot(live, "candidate_id", "2001-08-01").select("candidate_id", "slot_date", p.slot_stage(F.col("slot_date"), v.AS_OF).alias("stage"))
+    return w.next_slot(live, "candidate_id", "2001-08-01").select(
+        "candidate_id", F.col("slot_date").cast("string").alias("slot_date"), p.slot_stage(F.col("slot_date"), v.AS_OF).alias("stage")
+    )
 
 
 @register("""SELECT candidate, CASE WHEN min(slot_date) = DATE '2001-08-01' THEN 'INTERVIEWED' ELSE 'INTERVIEW_SCHEDULED' END AS stage FROM slots WHERE slot_date >= DATE '2001-08-01' GROUP BY candidate""")
@@ -259,10 +262,10 @@ def a30_display_counts(spark, d):
     return both(spark, d).groupBy(_display().alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT id, CAST(scheduled_at + INTERVAL 330 MINUTE AS DATE) AS day, scheduled_at + INTERVAL 330 MINUTE AS at FROM interviews")
+@register("SELECT id, CAST(CAST(scheduled_at + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS day, scheduled_at + INTERVAL 330 MINUTE AS at FROM interviews")
 def d1_local_time(spark, d):
     at = p.local_time(F.col("scheduled_at"))
-    return v.interviews(spark, d).select("id", F.to_date(at).alias("day"), at.alias("at"))
+    return v.interviews(spark, d).select("id", F.to_date(at).cast("string").alias("day"), at.alias("at"))
 
 
 @register("""SELECT id, CASE WHEN trim(coalesce(async_link, '')) LIKE 'https://sessions.example/%' AND trim(coalesce(meeting_link, '')) = '' AND NOT is_async THEN scheduled_at - INTERVAL 330 MINUTE ELSE scheduled_at END AS at FROM interviews""")
