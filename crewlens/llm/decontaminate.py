@@ -9,7 +9,8 @@ finds them all.  Pairs found are verified by the exact weighted Jaccard similari
 With the default radius of 20 of 64 bits a window of similarity 0.8 (an expected distance near 10 with a
 deviation near 3) is missed in about one of 10,000 cases; its neighbours, shifted by a word, are tried as well.
 
-Items travel to the tasks in parts of at most ``part_bytes``, one pass over the documents for each part.
+Items travel to the tasks in parts of at most about ``part_bytes``, one written pass over the documents for each part, so a
+task holds one part however large the benchmark is.  What is found is keyed by doc_id and a hash of the text.
 Defined cases: null and empty texts or items match nothing; items or texts under five words have one shingle of all
 their words; equal items match alike; an empty benchmark leaves all documents clean; repeated rows are judged alike.
 """
@@ -23,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .simhash import majority_bits
-from .texts import id_and_text, one_array, ranges, real_id, slices, split_words, string_hashes, window_hashes, word_codes
+from .texts import NO_ID, id_and_text, one_array, ranges, real_id, slices, split_words, string_hashes, window_hashes, word_codes
 
 SHINGLE = 5
 LEAST = 0.8
@@ -119,7 +121,7 @@ class Items:
 
 def _parts(benchmark: DataFrame, least: float, radius: int, part_bytes: int):
     """The benchmark in parts of bounded size, one after the other on the driver."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // part_bytes))
     for k in range(n):
@@ -141,42 +143,57 @@ def _judged(items: Items, texts: pa.Array) -> list[dict[int, float]]:
     return out
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS, part_bytes: int = PART_BYTES
-) -> DataFrame:
-    """(doc_id, contaminated, items, similarity) for each row of documents: item ids found, and the best similarity."""
-    parts = [docs.sparkSession.sparkContext.broadcast(p) for p in _parts(benchmark, least, radius, part_bytes)]
+def _found(docs: DataFrame, part) -> DataFrame:
+    """(doc_id, text_hash, items, similarity) of the rows in which an item of a broadcast part is found."""
 
     def run(batches):
         for batch in slices(batches):
-            texts = one_array(batch.column("text"))
-            ids: list[list] = [[] for _ in range(len(texts))]
-            best = np.zeros(len(texts))
-            for part in parts:
-                for d, found in enumerate(_judged(part.value, texts)):
-                    ids[d] += [part.value.ids[i] for i in found]
-                    best[d] = max([best[d], *found.values()])
-            items = [sorted(set(x), key=lambda v: (v is None, v)) for x in ids]
+            judged = _judged(part.value, one_array(batch.column("text")))
+            hit = [d for d, found in enumerate(judged) if found]
+            ids = [sorted({part.value.ids[i] for i in judged[d]}, key=lambda v: (v is None, v)) for d in hit]
+            best = [max(judged[d].values()) for d in hit]
+            some = batch.take(pa.array(hit, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([bool(x) for x in ids]), pa.array(items, pa.list_(pa.int64())), pa.array(best)],
-                ["doc_id", "contaminated", "items", "similarity"],
+                [some.column("doc_id"), some.column("text_hash"), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())],
+                ["doc_id", "text_hash", "items", "similarity"],
             )
 
-    out = id_and_text(docs).mapInArrow(run, "doc_id long, contaminated boolean, items array<long>, similarity double")
-    return out.select(real_id(), "contaminated", "items", "similarity")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, items array<long>, similarity double")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, in which no item of the benchmark is found; no rows move."""
-    limits = {"least": LEAST, "radius": RADIUS, "part_bytes": PART_BYTES} | how
-    parts = [docs.sparkSession.sparkContext.broadcast(p) for p in _parts(benchmark, **limits)]
+def _hits(docs: DataFrame, benchmark: DataFrame, least: float, radius: int, part_bytes: int) -> DataFrame:
+    """One row for each contaminated (doc_id, hash of the text), over all parts of the benchmark."""
+    read = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    every = None
+    for items in _parts(benchmark, least, radius, part_bytes):
+        part = docs.sparkSession.sparkContext.broadcast(items)
+        some = written(_found(read, part), "contaminated")
+        part.destroy()  # tasks hold one part at a time
+        every = some if every is None else every.union(some)
+    if every is None:
+        every = docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, items array<long>, similarity double")
+    lists = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    return every.groupBy("doc_id", "text_hash").agg(lists.alias("items"), F.max("similarity").alias("similarity"))
 
-    def run(batches):
-        for batch in slices(batches):
-            texts = one_array(batch.column("text"))
-            dirty = np.zeros(len(texts), bool)
-            for part in parts:
-                dirty |= np.array([bool(x) for x in _judged(part.value, texts)], bool)
-            yield batch.filter(pa.array(~dirty))
 
-    return docs.mapInArrow(run, docs.schema)
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """(doc_id, contaminated, items, similarity) for each row of documents: item ids found, and the best similarity."""
+    hits = _hits(docs, benchmark, least, radius, part_bytes)
+    keys = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("text_hash"))
+    return keys.join(hits, ["doc_id", "text_hash"], "left").select(
+        real_id(),
+        F.col("items").isNotNull().alias("contaminated"),
+        F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+        F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """The documents, all columns, in which no item of the benchmark is found."""
+    limits = {"least": LEAST, "radius": RADIUS, "part_bytes": PART_BYTES} | how
+    hits = _hits(docs, benchmark, **limits).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_text"))
+    ours = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    same = (ours == hits["_hit_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hits["_hit_text"])
+    return docs.join(hits, same, "left_anti")

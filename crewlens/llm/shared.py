@@ -45,8 +45,9 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> tuple[DataFrame, int, int]:
     """(doc_id, text, block): documents dealt by a hash into blocks of about ``block_bytes`` of text.
 
-    Small corpora get smaller blocks, of a megabyte at least, up to two for each shuffle partition.  Repeated ids are dealt together.  With ``carry`` the other columns travel along as the struct ``row``
-    and texts stay null where they are.  Returns the frame, the number of blocks and the bytes of text.
+    Small corpora get smaller blocks, of a megabyte at least, up to two for each shuffle partition.  The hash takes
+    id and text, so rows that share a null or repeated id spread.  With ``carry`` the other columns travel along as
+    the struct ``row`` and texts stay null where they are.  Returns the frame, the number of blocks and the bytes of text.
     """
     _, size = corpus_size(id_and_text(docs))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -59,7 +60,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = Fal
             docs["text"],
             F.struct(*[docs[x] for x in others]).alias("row"),
         )
-    return dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")), blocks, size
+    return dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")), blocks, size
 
 
 def range_count(blocks: int) -> int:
@@ -99,8 +100,9 @@ def exchange(
 
     ``send`` gets a block's documents (and, of a pair of frames, its earlier answers) and returns one
     payload for each range; ``answer`` gets a range's payloads from all blocks and returns one answer
-    to each, or None; with ``report`` also one payload about the whole range, in a row of block -1.  A key is sent once by each block however often it occurs there, so a key that
-    holds a third of all rows gives no more than one entry a block.
+    to each, or None; with ``report`` also one payload about the whole range, in a row of block -1.  A key is sent
+    once by each block however often it occurs there, so a key that holds a third of all rows gives no more than
+    one entry a block.
     """
     if isinstance(frame, tuple):
 
