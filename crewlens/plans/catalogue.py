@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dashboards, filters, stages
+from . import dashboards, filters, stages, texts
 
-MODULES = (filters, stages, dashboards)
+MODULES = (filters, stages, dashboards, texts)
 
 
 def queries() -> dict:
