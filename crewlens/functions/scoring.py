@@ -37,7 +37,8 @@ BASE_ACTIONS_CAP = 15
 def to_ten(c: Column) -> Column:
     """A score of 0 to 10 with one decimal, whether given out of 10 or of 100; null stays null."""
     x = c.cast("double")
-    return F.round(F.least(F.greatest(F.when(x > 10, x / 10).otherwise(x), F.lit(0.0)), F.lit(10.0)), 1)
+    scaled = F.least(F.greatest(F.when(x > 10, x / 10).otherwise(x), F.lit(0.0)), F.lit(10.0))
+    return F.when(x.isNotNull(), F.round(scaled, 1))  # least and greatest pass over nulls
 
 
 def interview_score(own: Column, technical: Column, communication: Column, culture: Column) -> Column:
@@ -60,7 +61,7 @@ def ranking(features: dict[str, Column]) -> Column:
 def clamp_percent(score: Column, most: Column) -> Column:
     """A score as a share of its maximum in percent, 0 to 100 with two decimals; 0 without a maximum."""
     share = F.try_divide(F.coalesce(score.cast("double"), F.lit(0.0)), most.cast("double")) * 100
-    return F.when(most > 0, F.round(F.greatest(F.lit(0.0), F.least(share, F.lit(100.0))), 2)).otherwise(0.0)
+    return F.when(most > 0, F.round(F.round(F.greatest(F.lit(0.0), F.least(share, F.lit(100.0))), 8), 2)).otherwise(0.0)
 
 
 def contains_count(text: Column, words) -> Column:

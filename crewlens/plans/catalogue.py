@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dashboards, filters, stages, texts
+from . import accounts, dashboards, filters, stages, texts
 
-MODULES = (filters, stages, dashboards, texts)
+MODULES = (filters, stages, dashboards, texts, accounts)
 
 
 def queries() -> dict:

@@ -96,11 +96,12 @@ def with_views(sql: str) -> str:
     """The statement with the views that it names, and those that they name, in front."""
     body = sql.strip()
     wanted = [n for n in VIEWS if re.search(rf"\b{n}\b", body)]
-    own = re.match(r"WITH\s", body)
+    own = re.match(r"WITH\s(RECURSIVE\s)?", body)
     head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
     if not wanted:
         return body
-    return f"WITH {head}{', ' + body[own.end():] if own else chr(10) + body}"
+    word = "WITH RECURSIVE" if own and own[1] else "WITH"
+    return f"{word} {head}{', ' + body[own.end():] if own else chr(10) + body}"
 
 
 class Register:
