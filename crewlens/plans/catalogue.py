@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, dashboards, filters, stages, texts
+from . import accounts, dashboards, filters, listings, stages, texts
 
-MODULES = (filters, stages, dashboards, texts, accounts)
+MODULES = (filters, stages, dashboards, texts, accounts, listings)
 
 
 def queries() -> dict:
