@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, dashboards, filters, listings, stages, texts
+from . import accounts, dashboards, filters, listings, stages, streams, texts
 
-MODULES = (filters, stages, dashboards, texts, accounts, listings)
+MODULES = (filters, stages, dashboards, texts, accounts, listings, streams)
 
 
 def queries() -> dict:
