@@ -16,7 +16,7 @@ FILE = "path string, name string, content binary"
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole text files."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def archives(spark: SparkSession, path: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
