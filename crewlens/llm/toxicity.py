@@ -1,13 +1,15 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
-Training: on a bounded sample of labelled rows (``max_labelled``) tokens are counted by class, once a
-document.  A token's log-odds have an informative Dirichlet prior whose mean is that of the tokens with the
-same beginning, and that beginning's prior is the corpus; the lower end of its interval is its score if it
-is at least ``LEAST``, else, and where it repeats the token before, a constant below zero.  At most ``max_tokens`` tokens with the best scores are kept, and
-the same number of beginnings.  Scoring: a linear scan finds all maximal scoring segments (cumulative sums
+Training: on three quarters of a bounded sample of labelled rows (``max_labelled``) tokens are counted by class,
+once a document.  A token's log-odds have an informative Dirichlet prior whose mean is that of the tokens with the
+same beginning, and that beginning's prior is the corpus; no class has less than ``SMOOTH`` of a count, so tokens
+that one class never has keep a finite interval.  The lower end of the interval is a token's score if it is at
+least ``LEAST``, else, and where it repeats the token before, a constant below zero.  At most ``max_tokens`` tokens
+with the best scores are kept, and the same number of beginnings.  The last quarter, whose tokens were not counted,
+calibrates; where it has fewer than ``FEWEST`` rows of a class, the whole sample does both.  Scoring: a linear scan finds all maximal scoring segments (cumulative sums
 that never fall below their start or rise above their end).  A segment's expected number by chance in a
 text of n tokens is K n exp(-lambda S), with lambda the positive root of sum p(s) exp(lambda s) = 1
-over scores of clean training tokens; passages expected at most ``MAX_EXPECTED`` times are significant.  A
+over scores of clean calibration tokens; passages expected at most ``MAX_EXPECTED`` times are significant.  A
 logistic curve over the best segment's surprise and that of the best few together gives the probability.
 
 Tokens are the runs of letters, digits and other characters above ASCII inside words, lower-cased A-Z.
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .labelled import MAX_LABELLED, labelled_sample, logistic
 from .texts import id_and_text, one_array, real_id, slices, split_words, string_hashes, word_codes
@@ -32,6 +35,8 @@ from .texts import id_and_text, one_array, real_id, slices, split_words, string_
 MAX_TOKENS = 20_000
 STEM = 5
 PRIOR = 2.0
+SMOOTH = 0.25
+FEWEST = 20
 BELOW = 1.0
 K = 0.3
 MAX_EXPECTED = 0.05
@@ -91,12 +96,13 @@ class Model:
                 found[doc].append((i - a, j - a, s))
         return found
 
-    def expected(self, score: float, length: int) -> float:
-        return K * max(length, 1) * float(np.exp(-self.scale * score))
+    def surprise(self, score: float, length: int) -> float:
+        """Minus the logarithm of the number of such segments expected by chance."""
+        return self.scale * score - float(np.log(K * max(length, 1)))
 
     def features(self, segments: list[tuple[int, int, float]], length: int) -> tuple[float, float]:
         """Surprise of the best segment, and of the best r segments together for the most telling r."""
-        each = sorted((-np.log(self.expected(s, length)) for _, _, s in segments), reverse=True)
+        each = sorted((self.surprise(s, length) for _, _, s in segments), reverse=True)
         together, total = 0.0, 0.0
         for r, x in enumerate(each[:MAX_TOGETHER], 1):
             total += x
@@ -127,8 +133,8 @@ def maximal_segments(positive: np.ndarray, sums: np.ndarray) -> list[tuple[int,
 
 def _scores(counts: np.ndarray, mean: np.ndarray, total: np.ndarray) -> np.ndarray:
     """The lower end of a 95 % interval of log-odds; counts and prior means by class."""
-    c = counts + PRIOR * mean
-    rest = total - counts + PRIOR * (1 - mean)
+    c = counts + PRIOR * mean + SMOOTH
+    rest = total - counts + PRIOR * (1 - mean) + SMOOTH
     odds = np.log(c / rest)
     return odds[:, 1] - odds[:, 0] - 1.64 * np.sqrt(1 / c[:, 0] + 1 / c[:, 1])
 
@@ -142,40 +148,49 @@ def _best(words: list[str], scores: np.ndarray, most: int) -> tuple[np.ndarray,
 
 
 def _counted(sample: DataFrame) -> DataFrame:
+    """(stem, w, n0, n1): labelled texts of each class that hold a token, and that hold a beginning (``stem``)."""
+
     def run(batches):
         for batch in slices(batches):
             codes, words, offsets = tokens(one_array(batch.column("text")))
-            y = np.asarray(batch.column("y"), dtype=np.int64)
+            y = np.asarray(batch.column("y"), dtype=np.int64) > 0
             doc = np.repeat(np.arange(len(y)), np.diff(offsets))
-            pairs = np.unique(doc * max(len(words), 1) + codes)
-            got = np.bincount(pairs % max(len(words), 1) * 2 + (y[pairs // max(len(words), 1)] > 0), minlength=2 * len(words))
-            yield pa.RecordBatch.from_arrays(
-                [words, pa.array(got[0::2].astype(np.int64)), pa.array(got[1::2].astype(np.int64))], ["w", "n0", "n1"]
-            )
+            of_stem, stems = word_codes(_stems(words)) if len(words) else (codes, words)
+            for kind, names, own in ((False, words, codes), (True, stems, of_stem[codes] if len(words) else codes)):
+                n = max(len(names), 1)
+                pairs = np.unique(doc * n + own)
+                got = np.bincount(pairs % n * 2 + y[pairs // n], minlength=2 * len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(names), pa.bool_()), names, pa.array(got[0::2]), pa.array(got[1::2])], ["stem", "w", "n0", "n1"]
+                )
 
-    return sample.mapInArrow(run, "w string, n0 long, n1 long").groupBy("w").sum("n0", "n1").toDF("w", "n0", "n1")
+    counts = sample.mapInArrow(run, "stem boolean, w string, n0 long, n1 long")
+    return counts.groupBy("stem", "w").sum("n0", "n1").toDF("stem", "w", "n0", "n1")
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Model | None:
     """A model from the labelled rows outside the held-out fold, or None without both classes."""
     sample = labelled_sample(docs, labels, "toxic", held_out, max_labelled)
-    sizes = {int(r["y"] > 0): r["n"] for r in sample.groupBy("y").count().toDF("y", "n").collect()}
-    if len(sizes) < 2:
+    kept_back = F.pmod(F.crc32(F.concat(F.lit("back"), F.col("doc_id")).cast("binary")), F.lit(4)) == 0
+    sample = sample.withColumn("back", kept_back)
+    total, back = np.zeros(2), np.zeros(2)
+    for r in sample.groupBy("y", "back").agg(F.count(F.lit(1)).alias("n")).collect():
+        (back if r["back"] else total)[int(r["y"] > 0)] += r["n"]
+    if not (total + back).all():
         return None
-    total = np.array([sizes[0], sizes[1]], float)
-    table = _counted(sample).filter("n1 >= 2 and w <> ''").orderBy("w").toPandas()  # bounded by the sample
-    counts = table[["n0", "n1"]].to_numpy(float)
-    words = table["w"].tolist()
-    stems, stem_of = np.unique([w[:STEM] for w in words] or np.zeros(0, "U1"), return_inverse=True)
-    by_stem = np.zeros((len(stems), 2))
-    np.add.at(by_stem, stem_of, counts)
-    by_stem = np.minimum(by_stem, total)
+    counted, calibrating = sample.filter("not back"), sample.filter("back")
+    if min(back) < FEWEST or min(total) < FEWEST:
+        counted, calibrating, total = sample, sample, total + back
+    table = _counted(counted.select("text", "y")).filter("n1 >= 2 and w <> ''").orderBy("w").toPandas()  # bounded by the sample
+    words, stems = (table[table["stem"] == kind] for kind in (False, True))
+    by_stem = stems[["n0", "n1"]].to_numpy(float)
     base = np.tile(np.clip(by_stem.sum(1) / total.sum(), 1e-4, 0.5)[:, None], (1, 2))
-    stem_scores = _scores(by_stem, base, total)
-    prior = np.clip((by_stem + PRIOR * base) / (total + PRIOR), 1e-4, 0.9)[stem_of] if len(words) else np.zeros((0, 2))
-    token, token_score = _best(words, _scores(counts, prior, total), max_tokens)
-    whole = np.array([len(s) == STEM for s in stems], bool)
-    stem, stem_score = _best(list(stems), np.where(whole, stem_scores, -1), max_tokens)
+    prior = np.clip((by_stem + PRIOR * base) / (total + PRIOR), 1e-4, 0.9)
+    place = {w: k for k, w in enumerate(stems["w"])}
+    own = np.array([place[w[:STEM]] for w in words["w"]], np.int64)
+    token, token_score = _best(words["w"].tolist(), _scores(words[["n0", "n1"]].to_numpy(float), prior[own], total), max_tokens)
+    whole = np.array([len(w) == STEM for w in stems["w"]], bool)
+    stem, stem_score = _best(stems["w"].tolist(), np.where(whole, _scores(by_stem, base, total), -1), max_tokens)
     model = Model(token, token_score, stem, stem_score, 1.0, np.zeros(3))
 
     def histogram(batches):
@@ -186,9 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_labelled: int
             v, n = np.unique(s, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()), pa.array(n.astype(np.int64))], ["s", "n"])
 
-    seen = sample.mapInArrow(histogram, "s double, n long").groupBy("s").sum("n").toDF("s", "n").toPandas()
+    seen = calibrating.select("text", "y").mapInArrow(histogram, "s double, n long").groupBy("s").sum("n").toDF("s", "n").toPandas()
     model.scale = root(seen["s"].to_numpy(float), seen["n"].to_numpy(float))
-    rows = sample.select("text", "y").mapInArrow(_features(model), "best double, summed double, y int").toPandas()
+    rows = calibrating.select("text", "y").mapInArrow(_features(model), "best double, summed double, y int").toPandas()
     model.curve = logistic(rows[["best", "summed"]].to_numpy(float), (rows["y"] > 0).to_numpy(float))
     return model
 
@@ -231,7 +246,7 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
                 found = model.segments(texts)
                 score = model.probability(np.array([model.features(s, int(n)) for s, n in zip(found, length, strict=True)]).reshape(-1, 2))
             named = [
-                [{"start": a, "end": b, "score": s} for a, b, s in x if model.expected(s, int(n)) <= MAX_EXPECTED]
+                [{"start": a, "end": b, "score": s} for a, b, s in x if model.surprise(s, int(n)) >= -np.log(MAX_EXPECTED)]
                 for x, n in zip(found, length, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
