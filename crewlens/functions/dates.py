@@ -70,7 +70,7 @@ def cycle_start(anchor: Column, now: Column, days: int) -> Column:
 
 
 def experience_level(years: Column) -> Column:
-    return F.when(years <= 2, "Junior").when(years <= 5, "Mid").when(years <= 10, "Senior").when(years > 10, "Lead")
+    return F.when(years <= 2, "Junior").when(years <= 5, "Mid-level").when(years <= 10, "Senior").when(years > 10, "Lead/Expert").otherwise("")
 
 
 def preset(name: str, today: str) -> tuple[str, str]:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import EMAIL
-
 # Ranking features and their weights.
 WEIGHTS = {"skill_score": 0.4, "experience_score": 0.2, "tfidf_score": 0.2, "bm25_score": 0.1, "education_score": 0.1}
 # Words of tasks done, of leading, of working together and of measured effect.
@@ -151,14 +149,17 @@ def skills_score(text: Column, required: Column, projects: Column) -> Column:
 
 
 def fit_label(total: Column) -> Column:
-    return F.when(total >= 75, "Strong Fit").when(total >= 55, "Good Fit").when(total >= 45, "Moderate Fit").otherwise("Weak Fit")
+    return F.when(total >= 75, "Strong Fit").when(total >= 55, "Potential Fit").when(total >= 45, "Borderline Fit").otherwise("Weak Fit")
 
 
-def location_score(own: Column, wanted: Column) -> Column:
-    """5 where the places agree, 2.5 where a part does or none is wanted, else 0."""
-    a, b = F.lower(F.trim(F.coalesce(own, F.lit("")))), F.lower(F.trim(F.coalesce(wanted, F.lit(""))))
-    part = F.exists(F.split(b, r"[,/ ]+"), lambda p: (F.length(p) > 2) & a.contains(p))
-    return F.when((b == "") | (b == "remote"), 2.5).when(a == "", 0.0).when(a == b, 5.0).when(part, 2.5).otherwise(0.0)
+def location_score(own: Column, wanted: Column, text: Column | None = None) -> Column:
+    """5 where a part of the wanted place is in the own place or the text, 2.5 where none is wanted, else 0."""
+    clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    job = clean(wanted)
+    space = F.trim(F.concat_ws(" ", F.nullif(clean(own), F.lit("")), F.nullif(clean(text), F.lit("")) if text is not None else F.lit(None)))
+    parts = F.filter(F.transform(F.split(job, r"[,/|-]"), lambda p: F.trim(p)), lambda p: p != "")
+    near = F.exists(parts, lambda p: space.contains(p)) | space.contains(job) | job.contains(space)
+    return F.when(job == "", 2.5).when(space == "", 0.0).when(near, 5.0).otherwise(0.0)
 
 
 def score_floor(score: Column, text: Column) -> Column:
@@ -166,16 +167,47 @@ def score_floor(score: Column, text: Column) -> Column:
     return F.when(score.isNull(), 40.0).when((score == 0) & (F.length(F.coalesce(text, F.lit(""))) > 100), 45.0).otherwise(score)
 
 
-def entry_confidence(role: Column, company: Column, start: Column, end: Column, description: Column) -> Column:
-    has = lambda c, w: F.when(c.isNotNull() & (c.cast("string") != ""), w).otherwise(0.0)
-    return F.round(has(role, 0.2) + has(company, 0.25) + has(start, 0.25) + has(end, 0.2) + has(description, 0.1), 2)
-
-
-def field_confidence(name: Column, email: Column, skills: Column) -> Column:
-    """Fixed scores of the fields that are there: a full name, an address of the right form, three skills or more."""
-    n = F.size(F.coalesce(skills, F.array().cast("array<string>")))
-    return F.struct(
-        F.when(F.trim(name).rlike(r"^\S+\s+\S+"), 90).when(F.trim(name) != "", 70).otherwise(0).alias("name"),
-        F.when(F.coalesce(email, F.lit("")).rlike(f"^{EMAIL}$"), 95).otherwise(0).alias("email"),
-        F.when(n >= 3, 85).when(n > 0, 60).otherwise(0).alias("skills"),
-    )
+def entry_confidence(role: Column, company: Column, start: Column, end: Column, months: Column) -> Column:
+    """A fifth for any entry, more for company, role, both dates and a duration."""
+    full = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
+    part = lambda cond, w: F.when(cond, w).otherwise(0.0)
+    return F.round(0.2 + part(full(company), 0.25) + part(full(role), 0.25) + part(full(start) & full(end), 0.2) + part(months > 0, 0.1), 2)
+
+
+# Words of a role.
+ROLE_WORDS = (
+    "engineer", "developer", "manager", "analyst", "architect", "qa", "automation", "backend",
+    "frontend", "tester", "specialist", "consultant", "lead",
+)
+
+
+def field_confidence(name: Column, role: Column, location: Column, years: Column, skills: Column, email: Column) -> Column:
+    """Fixed scores of the fields, the fields to show (80 or more) and those to hide (under 60)."""
+    full = lambda c: F.coalesce(c, F.lit("")) != ""
+    two = lambda good, some, high, low: F.when(good, high).when(some, low).otherwise(0)
+    whole_name = F.trim(name).rlike(r"\S\s+\S") & ~F.lower(name).startswith("unknown")
+    scores = {
+        "name": two(whole_name, full(name), 85, 40),
+        "role": two(F.lower(role).rlike("|".join(ROLE_WORDS)), full(role), 85, 50),
+        "location": two(location.contains(","), full(location), 85, 60),
+        "experience": two(years > 0, years == 0, 85, 50),
+        "skills": F.when(F.size(F.coalesce(skills, F.array().cast("array<string>"))) > 0, 90).otherwise(0),
+        "email": F.when(full(email), 100).otherwise(0),
+    }
+    names = lambda test: F.array_compact(F.array(*[F.when(test(c), k) for k, c in scores.items()]))
+    return F.struct(*[c.alias(k) for k, c in scores.items()], names(lambda c: c >= 80).alias("display_fields"), names(lambda c: c < 60).alias("hidden_fields"))
+
+
+def skill_confidence(skills: Column, entities: Column, from_section: Column) -> Column:
+    """0.35 for any skill; more for a section of their own, for skills found as entities, and for three or more."""
+    own = F.coalesce(skills, F.array().cast("array<string>"))
+    low = F.transform(F.coalesce(entities, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    hits = F.size(F.filter(own, lambda s: F.array_contains(low, F.lower(F.trim(s)))))
+    total = 0.35 + F.when(from_section, 0.35).otherwise(0.0) + F.least(hits * 0.05, F.lit(0.2)) + F.when(F.size(own) >= 3, 0.1).otherwise(0.0)
+    return F.when(F.size(own) == 0, 0.0).otherwise(F.round(F.least(total, F.lit(1.0)), 2))
+
+
+def use_second_layer(first_n: Column, second_n: Column, first_months: Column, second_months: Column, first_current: Column, second_current: Column, first_sure: Column, second_sure: Column) -> Column:
+    """Whether the second extraction of work history is taken: by presence, months, a current entry, or more entries as sure."""
+    more = (second_n > first_n) & (second_sure >= F.greatest(first_sure - 0.05, F.lit(0.0)))
+    return F.when(second_n == 0, False).otherwise((first_n == 0) | (second_months > first_months) | (second_current & ~first_current) | more)

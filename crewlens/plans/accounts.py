@@ -188,11 +188,11 @@ def m3_skills_score(spark, d):
     return v.jobs(spark, d).select("id", s.skills_score(text, wanted, F.lit(0)).alias("score"))
 
 
-@register("SELECT id, CASE id % 4 WHEN 0 THEN 5.0 WHEN 1 THEN 2.5 WHEN 2 THEN 2.5 ELSE 0.0 END AS score FROM jobs")
+@register("SELECT id, CASE id % 5 WHEN 0 THEN 5.0 WHEN 1 THEN 5.0 WHEN 2 THEN 2.5 WHEN 3 THEN 5.0 ELSE 0.0 END AS score FROM jobs")
 def m14_location_score(spark, d):
-    own = F.element_at(F.array(*[F.lit(x) for x in ("Pune ", "Pune East", "x", "")]), (F.col("id") % 4 + 1).cast("int"))
-    wanted = F.element_at(F.array(*[F.lit(x) for x in ("pune", "Pune, India", "Remote", "Delhi")]), (F.col("id") % 4 + 1).cast("int"))
-    return v.jobs(spark, d).select("id", s.location_score(own, wanted).alias("score"))
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("id") % 5 + 1).cast("int"))
+    own, wanted = pick("Pune ", "Pune East", "x", "", "Delhi"), pick("pune", "Pune, India", " ", "Mumbai/Thane", "Pune")
+    return v.jobs(spark, d).select("id", s.location_score(own, wanted, pick("", "", "", "moved to Thane", None)).alias("score"))
 
 
 @register("SELECT id, CASE WHEN resume_score IS NULL THEN 40.0 WHEN id % 4 = 0 THEN 45.0 ELSE resume_score END AS score FROM candidates")
@@ -201,17 +201,34 @@ def m16_score_floor(spark, d):
     return v.candidates(spark, d).select("id", s.score_floor(score, F.repeat(F.lit("x"), F.lit(101))).alias("score"))
 
 
-@register("SELECT id, CASE WHEN name IS NULL THEN 0 ELSE 90 END AS name, 95 AS email, CASE WHEN skills IS NULL THEN 0 ELSE 85 END AS skills FROM candidates")
+@register("""SELECT id, 85 AS name, CASE id % 3 WHEN 0 THEN 85 WHEN 1 THEN 50 ELSE 0 END AS role, CASE id % 2 WHEN 0 THEN 85 ELSE 60 END AS location, CASE WHEN id % 9 = 0 THEN 50 ELSE 85 END AS experience, CASE WHEN skills IS NULL THEN 0 ELSE 90 END AS skills, 100 AS email,
+  concat_ws(',', CASE WHEN id % 3 > 0 THEN 'role' END, CASE WHEN id % 9 = 0 THEN 'experience' END, CASE WHEN skills IS NULL THEN 'skills' END) AS hidden FROM candidates""")
 def m17_field_confidence(spark, d):
-    return v.candidates(spark, d).select("id", s.field_confidence(F.col("name"), F.col("email"), F.col("skills")).alias("c")).select("id", "c.name", "c.email", "c.skills")
+    role = F.when(F.col("id") % 3 == 0, "QA Lead").when(F.col("id") % 3 == 1, "Chef")
+    place = F.when(F.col("id") % 2 == 0, "Pune, India").otherwise("Pune")
+    c = v.candidates(spark, d).select("id", s.field_confidence(F.col("name"), role, place, F.col("id") % 9, F.col("skills"), F.col("email")).alias("c"))
+    return c.select("id", "c.name", "c.role", "c.location", "c.experience", "c.skills", "c.email", F.array_join("c.hidden_fields", ",").alias("hidden"))
 
 
-@register("SELECT id, round(0.2 + CASE WHEN job_id IS NULL THEN 0 ELSE 0.25 END + 0.25 + CASE WHEN updated_at IS NULL THEN 0 ELSE 0.2 END + CASE WHEN source IS NULL THEN 0 ELSE 0.1 END, 2) AS confidence FROM candidates")
+@register("SELECT id, round(0.2 + 0.25 + CASE WHEN job_id IS NULL THEN 0 ELSE 0.25 END + CASE WHEN updated_at IS NULL THEN 0 ELSE 0.2 END + CASE WHEN id % 4 > 0 THEN 0.1 ELSE 0 END, 2) AS confidence FROM candidates")
 def m21_entry_confidence(spark, d):
     c = F.col
-    return v.candidates(spark, d).select("id", s.entry_confidence(c("name"), c("job_id"), c("created_at"), c("updated_at"), c("source")).alias("confidence"))
+    return v.candidates(spark, d).select("id", s.entry_confidence(c("name"), c("job_id"), c("created_at"), c("updated_at"), c("id") % 4).alias("confidence"))
 
 
-@register("SELECT id, CASE WHEN resume_score >= 75 THEN 'Strong Fit' WHEN resume_score >= 55 THEN 'Good Fit' WHEN resume_score >= 45 THEN 'Moderate Fit' ELSE 'Weak Fit' END AS label FROM candidates")
+@register("SELECT id, CASE WHEN skills IS NULL THEN 0.0 ELSE round(0.35 + CASE WHEN id % 2 = 0 THEN 0.35 ELSE 0 END + 0.05 * len(list_filter(skills, lambda s: lower(s) IN ('python', 'go'))) + 0.1, 2) END AS confidence FROM candidates")
+def m18_skill_confidence(spark, d):
+    found = F.array(F.lit("Python"), F.lit(" GO"))
+    return v.candidates(spark, d).select("id", s.skill_confidence(F.col("skills"), found, F.col("id") % 2 == 0).alias("confidence"))
+
+
+@register("SELECT id, CASE WHEN id % 5 = 0 THEN false ELSE id % 4 = 0 OR id % 7 > 3 OR (id % 2 = 0 AND id % 3 <> 0) OR (id % 5 > id % 4 AND id % 11 / 10.0 >= greatest(id % 13 / 10.0 - 0.05, 0)) END AS second FROM candidates")
+def e7_second_layer(spark, d):
+    n = lambda k: F.col("id") % k
+    out = s.use_second_layer(n(4), n(5), F.lit(3), n(7), n(3) == 0, n(2) == 0, n(13) / 10, n(11) / 10)
+    return v.candidates(spark, d).select("id", out.alias("second"))
+
+
+@register("SELECT id, CASE WHEN resume_score >= 75 THEN 'Strong Fit' WHEN resume_score >= 55 THEN 'Potential Fit' WHEN resume_score >= 45 THEN 'Borderline Fit' ELSE 'Weak Fit' END AS label FROM candidates")
 def m9_fit_label(spark, d):
     return v.candidates(spark, d).select("id", s.fit_label(F.col("resume_score")).alias("label"))
