@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often and however deep the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_ignoring_case(c: Column) -> Column:
     """Trimmed items without blank ones; of those that differ only in case the first."""
     items = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
-    low = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    first = lambda own, low: F.filter(own, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return let(items, lambda own: let(F.transform(own, lambda x: F.lower(x)), lambda low: first(own, low)))
 
 
 def distinct_by(c: Column, fields: Sequence[str]) -> Column:
     """Structs without those whose identity fields are all blank; of equal identities the first."""
     key = lambda s: F.concat_ws("\x1f", *[F.lower(F.trim(F.coalesce(s[f].cast("string"), F.lit("")))) for f in fields])
     full = F.filter(c, lambda s: F.replace(key(s), F.lit("\x1f"), F.lit("")) != "")
-    keys = F.transform(full, key)
-    return F.filter(full, lambda s, i: F.array_position(keys, key(s)) == i + 1)
+    first = lambda own, keys: F.filter(own, lambda s, i: F.array_position(keys, key(s)) == i + 1)
+    return let(full, lambda own: let(F.transform(own, key), lambda keys: first(own, keys)))
 
 
 def skill_list(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # Ranking features and their weights.
 WEIGHTS = {"skill_score": 0.4, "experience_score": 0.2, "tfidf_score": 0.2, "bm25_score": 0.1, "education_score": 0.1}
 # Words of tasks done, of leading, of working together and of measured effect.
@@ -139,11 +141,11 @@ def skills_score(text: Column, required: Column, projects: Column) -> Column:
     from ..operators.matching import skill_name
 
     t = F.lower(F.coalesce(text, F.lit("")))
-    declared = F.transform(declared_skills(text), lambda x: F.lower(x))
     wanted = F.coalesce(required, F.array().cast("array<string>"))
-    known = lambda s: F.exists(declared, lambda d: (skill_name(d) == skill_name(s)) | d.contains(F.lower(s)) | F.lower(s).contains(d))
+    known = lambda declared, s: F.exists(declared, lambda d: (skill_name(d) == skill_name(s)) | d.contains(F.lower(s)) | F.lower(s).contains(d))
+    told = let(F.transform(declared_skills(text), lambda x: F.lower(x)), lambda own: F.size(F.filter(wanted, lambda s: known(own, s))))
     proven = lambda s: in_action(t, F.lower(s)) | in_action(t, skill_name(s))
-    total = F.size(F.filter(wanted, known)) * 1.0 + F.size(F.filter(wanted, proven)) * 2.5 + F.when(projects > 12, 5).otherwise(0)
+    total = told * 1.0 + F.size(F.filter(wanted, proven)) * 2.5 + F.when(projects > 12, 5).otherwise(0)
     fresh = t.rlike(r"\b(?:fresher|fresh graduate|recent graduate|entry level|no experience|0\s*\+?\s*years?)\b")
     return F.when(fresh | (t == "") | (F.size(wanted) == 0), 0.0).otherwise(F.round(F.least(total, F.lit(30.0)), 2))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.arrays import let
 
 #: Function words left out of TF-IDF terms; pass another list where a larger one is wanted.
 STOP_WORDS = (
@@ -116,8 +117,8 @@ def skills_match(own: Column, required: Column) -> Column:
     mine = F.transform(F.coalesce(own, F.array().cast("array<string>")), skill_name)
     wanted = F.coalesce(required, F.array().cast("array<string>"))
     names = F.transform(wanted, skill_name)
-    hit = F.filter(names, lambda x: F.array_contains(mine, x))
-    miss = F.filter(names, lambda x: ~F.array_contains(mine, x))
+    hit = let(mine, lambda own: F.filter(names, lambda x: F.array_contains(own, x)))
+    miss = let(mine, lambda own: F.filter(names, lambda x: ~F.array_contains(own, x)))
     empty = (F.size(mine) == 0) | (F.size(wanted) == 0)
     return F.struct(
         F.when(empty, F.array().cast("array<string>")).otherwise(hit).alias("matched"),
