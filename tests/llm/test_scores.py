@@ -219,3 +219,10 @@ def test_word_encoder_forgets_and_goes_on(monkeypatch):
     ids, offsets = one.texts(text)
     again, _ = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).texts(text)
     assert ids.tolist() == again.tolist() and len(offsets) == 4
+
+
+def test_language_model_without_rows_or_training(frame):
+    assert language_model.lm_scores(frame([(1, "a")]).limit(0), F.lit(False)).isEmpty()
+    (only,) = language_model.lm_scores(frame([(1, "a b")]), F.lit(True)).collect()
+    assert (only.n_tokens, only.n_known, only.train_tokens, only.held_out) == (3, 0, 0, True)
+    assert only.base_score == only.score == pytest.approx(0.0)
