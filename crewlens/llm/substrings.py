@@ -4,7 +4,7 @@ First pass: every block counts its windows in ``rows`` hashed rows of cells and
 gaps between sorted numbers, to the ranges that merge them; a range answers one bit a cell, set where the
 merged count is two or more.  Counts are only ever overestimated, so a window that repeats has its bit in
 every row.  Second pass: windows with all bits set are grouped exactly, by 128 bits, with the smallest
-doc_id of each.  The number of cells follows the corpus, so the sketch is as selective at any size, and it
+doc_id of each; a range answers one bit a window.  The number of cells follows the corpus, so the sketch is as selective at any size, and it
 is held in parts by the ranges, never whole in one place.
 
 Defined cases: null or empty texts have no words; texts shorter than a window stay whole; a window that
@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import Keys, by_key, by_range, exchange, finished, in_blocks, range_count, seen_before
+from .shared import Keys, bits_or_none, by_key, by_range, exchange, finished, in_blocks, range_count, seen_before, written
 from .texts import P1, mix64, one_array, real_id, split_words, string_hashes, window_hashes, word_codes
 
 WINDOW = 13
@@ -91,9 +91,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
     spans = range_count(blocks)
     bits = min(64, max(16, int(np.ceil(np.log2(max(size, 2) / 2)))))
 
-    def row_cells(w: _Windows, row: int):
-        return np.unique(_cells(w.h1, row, bits), return_inverse=True, return_counts=True)
-
     def sketch(docs: pa.Table):
         w, out = _Windows(docs, window), []
         if len(w.h1):
@@ -104,45 +101,30 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
                     out.append((row * spans + r, _pack(cells[a:b], counts[a:b] > 1, bits)))
         return out
 
-    def candidates(docs: pa.Table, replies: pa.Table):
-        w, got = _Windows(docs, window), by_key(replies)
+    def perhaps(w: _Windows, got: dict[int, bytes]) -> np.ndarray:
+        """Windows whose cells are set in every row of the merged sketch."""
         maybe = np.ones(len(w.h1), bool)
         for row in range(rows if len(w.h1) else 0):
-            cells, inverse, _ = row_cells(w, row)
+            cells, inverse = np.unique(_cells(w.h1, row, bits), return_inverse=True)
             flags = np.zeros(len(cells), bool)
             owner, edges = by_range(cells, spans)
             for r, a, b in zip(owner.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if bits_ := got.get(row * spans + r):
                     flags[a:b] = np.unpackbits(np.frombuffer(bits_, np.uint8), count=b - a)
             maybe &= flags[inverse]
-        at = np.flatnonzero(maybe)
-        return Keys(w.h1[at], w.h2(at), w.ids[at]).parts(spans)
-
-    def repeated(parts: list[bytes]) -> list[bytes | None]:
-        out = []
-        for p, late in zip(parts, seen_before(parts), strict=True):
-            n = len(p) // 24
-            h1, h2 = np.frombuffer(p, np.uint64, n), np.frombuffer(p, np.uint64, n, 8 * n)
-            out.append(h1[late].tobytes() + h2[late].tobytes() if late.any() else None)
-        return out
+        return np.flatnonzero(maybe)
+
+    def candidates(docs: pa.Table, replies: pa.Table):
+        w = _Windows(docs, window)
+        at = perhaps(w, by_key(replies))
+        return [(rows * spans + r, x) for r, x in Keys(w.h1[at], w.h2(at), w.ids[at]).parts(spans)]
 
     def finish(docs: pa.Table, replies: dict[int, bytes]) -> pa.Table:
         w = _Windows(docs, window)
-        pairs = [np.frombuffer(x, np.uint64).reshape(2, -1) for _, x in sorted(replies.items())]
-        known = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.uint64)
-        order = np.argsort(w.h1, kind="stable")
-        same = w.h1[order][1:] == w.h1[order][:-1]
-        maybe = np.zeros(len(w.h1), bool)
-        maybe[order[1:][same]] = maybe[order[:-1][same]] = True
-        # both sides sorted by the hash: `known` is, as ranges follow one another
-        place = np.minimum(np.searchsorted(known[0], w.h1), max(known.shape[1] - 1, 0))
-        found = known[0][place] == w.h1 if known.shape[1] else np.zeros(len(w.h1), bool)
-        at = np.flatnonzero(maybe | found)
-        h2 = w.h2(at)
-        keys = Keys(w.h1[at], h2, w.ids[at])
-        late = w.ids[at] > keys.least[keys.group]
-        if known.shape[1]:
-            late |= found[at] & (known[1][place[at]] == h2)
+        at = perhaps(w, replies)  # the same windows, in the same order, as were sent
+        keys = Keys(w.h1[at], w.h2(at), w.ids[at])
+        exact = {r - rows * spans: x for r, x in replies.items() if r >= rows * spans}
+        late = keys.flags(exact, spans)[keys.group] | (w.ids[at] > keys.least[keys.group])
         starts = w.first[at[late]]
         edge = np.zeros(len(w.flat) + 1, np.int64)
         np.add.at(edge, starts, 1)
@@ -160,9 +142,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
             }
         )
 
-    seen = exchange(blocked, sketch, lambda parts: _merge(parts, bits))
-    exact = exchange((blocked, seen), candidates, repeated)
-    out = finished(blocked, exact, finish, "doc_id long, n_words long, n_removed long, kept_text string")
+    seen = written(exchange(blocked, sketch, lambda parts: _merge(parts, bits)), "sketch")
+    exact = exchange((blocked, seen), candidates, lambda parts: [bits_or_none(x) for x in seen_before(parts)])
+    out = finished(blocked, seen.union(exact), finish, "doc_id long, n_words long, n_removed long, kept_text string")
     return out.select(real_id(), "n_words", "n_removed", "kept_text")
-
-
