@@ -1,0 +1,64 @@
+"""The near-dedup stage against all pairs of exact similarity."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+
+from . import plain
+
+
+def groups(rows, least=0.8):
+    """The ids of which one row stays: the smallest of each component."""
+    sets, root = [set(plain.shingles(t)) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and both >= (len(sets[a] | sets[b])) * least - 1e-9:
+                root[find(a)] = find(b)
+    out = {}
+    for k, (i, _) in enumerate(rows):
+        out[find(k)] = min(out.get(find(k), plain.LARGEST), plain.key_of(i))
+    return sorted(out.values())
+
+
+def edited(rng, size, changes):
+    base = [f"v{rng.randint(0, 5000)}" for _ in range(size)]
+    copy = base[:]
+    for p in rng.sample(range(size), changes):
+        copy[p] = "edited"
+    return " ".join(base), " ".join(copy)
+
+
+def test_edited_copies(frame, spark):
+    """Pairs of similarity 0.5 to 0.98, a chain, a group of many near copies, copies with null and repeated ids."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(120):
+        rows += zip((1000 + 2 * k, 1001 + 2 * k), edited(rng, 300, 1 + k % 16), strict=True)
+    chain = [f"c{j}" for j in range(260)]
+    rows += [(2000 + k, " ".join(chain[10 * k : 10 * k + 200])) for k in range(6)]
+    many = [f"m{j}" for j in range(200)]
+    rows += [(3000 + k, " ".join(many[:k] + ["x"] + many[k + 1 :])) for k in range(60)]
+    rows += [(None, "some null id text of its own here"), (None, "some null id text of its own here"), (4000, "one two three"), (4000, "ONE two three"), (4001, ""), (None, None)]
+    rng.shuffle(rows)
+    docs = frame(rows)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(plain.key_of(r.doc_id) for r in got.collect()) == groups(rows)
+
+
+def test_repeated_ids_keep_other_texts(frame, spark, awkward):
+    """A late copy does not take another text of the same id with it."""
+    rows = [(1, "a text that is here twice in all"), (2, "a text that is here twice in all"), (2, "quite another text with the same id")]
+    got = corpus_pipeline.near_dedup(spark, frame(rows), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([rows[0], rows[2]])
+    some = [r for r in awkward]
+    assert sorted(plain.key_of(r.doc_id) for r in corpus_pipeline.near_dedup(spark, frame(some), "").collect()) == groups(some)
