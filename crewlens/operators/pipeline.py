@@ -138,6 +138,12 @@ def slot_stage(slot_date: Column, as_of: str) -> Column:
     return F.when(slot_date == today, "INTERVIEWED").when(slot_date > today, "INTERVIEW_SCHEDULED")
 
 
+def listing_stage(stage: Column, slot_date: Column, bucket: Column, as_of: str) -> Column:
+    """The stage that the listing shows: a coming slot decides, else the timing of the interview; a rescheduled one stays."""
+    timed = F.when(bucket == "today", "INTERVIEWED").when(bucket == "future", "INTERVIEW_SCHEDULED")
+    return F.when(stage == "INTERVIEW_RESCHEDULED", stage).otherwise(F.coalesce(slot_stage(slot_date, as_of), timed, stage))
+
+
 def stage_from_score(stage: Column, score: Column, stored: Column, threshold: Column, has_job: Column) -> Column:
     """Bands of the résumé score around the threshold; a no-show stays one."""
     t = F.coalesce(F.nullif(threshold, F.lit(0.0)), F.lit(float(DEFAULT_THRESHOLD)))

@@ -12,7 +12,7 @@ from ..operators import windows as w
 from ..sources import feeds
 from ..sources import views as v
 from .sql_views import Register
-from .stages import CANON, LATEST, LOCAL_NOW, TIMING, both
+from .stages import CANON, LATEST, LOCAL_NOW, SLOT_OF, TIMING, both
 
 register = Register()
 ACTIVE = "is_active AND (status IS NULL OR lower(status) IN ('active', 'published', 'open')) AND (valid_through IS NULL OR valid_through >= TIMESTAMP '2001-08-01 06:30:00')"
@@ -329,4 +329,27 @@ def a37_audit(spark, d):
 
 @register(f"WITH {LATEST} SELECT c.id, c.stage, l.status FROM candidates c LEFT JOIN latest l ON l.candidate_id = c.id WHERE c.id % 3 = 0")
 def p18_listing(spark, d):
+    """A third of the candidates with the stored stage, as its SQL has it; the whole job is p18_display_override."""
     return both(spark, d).filter("id % 3 = 0").select("id", "stage", "status")
+
+
+@register(f"""WITH {SLOT_OF}, a AS (SELECT candidate_id, min(slot_date) AS slot_date FROM slot_of WHERE slot_date >= CAST({LOCAL_NOW} AS DATE) GROUP BY candidate_id),
+prec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY coalesce(scheduled_at, created_at) DESC, created_at DESC,
+  CASE s WHEN 'rescheduled' THEN 0 WHEN 'scheduled' THEN 1 WHEN 'ongoing' THEN 2 WHEN 'completed' THEN 3 WHEN 'no_show' THEN 3 WHEN 'selected' THEN 4 WHEN 'rejected' THEN 4 ELSE 1 END DESC, id) AS rn
+  FROM (SELECT *, {CANON} AS s FROM interviews)) WHERE rn = 1), i AS (SELECT candidate_id, {TIMING.format(s='s', at='scheduled_at', now=LOCAL_NOW)} AS bucket FROM prec)
+SELECT c.id, CASE WHEN c.stage = 'INTERVIEW_RESCHEDULED' THEN c.stage WHEN a.slot_date = CAST({LOCAL_NOW} AS DATE) THEN 'INTERVIEWED' WHEN a.slot_date IS NOT NULL THEN 'INTERVIEW_SCHEDULED'
+  WHEN bucket = 'today' THEN 'INTERVIEWED' WHEN bucket = 'future' THEN 'INTERVIEW_SCHEDULED' ELSE c.stage END AS stage
+FROM candidates c LEFT JOIN a ON a.candidate_id = c.id LEFT JOIN i ON i.candidate_id = c.id""")
+def p18_display_override(spark, d):
+    """All candidates; sessions are rows of ``slots`` in these views, so a coming session is already a coming slot."""
+    return displayed(v.candidates(spark, d), v.slots(spark, d), v.interviews(spark, d), v.AS_OF)
+
+
+def displayed(candidates, slots, interviews, as_of):
+    """(id, stage) of all candidates, with the stage that the listing shows."""
+    coming = p.with_candidate(slots, candidates).filter(F.col("slot_date") >= F.to_date(p.local_now(as_of)))
+    first = coming.groupBy("candidate_id").agg(F.min("slot_date").alias("slot_date"))
+    best = w.by_precedence(interviews, p.canonical_status(F.col("status")))
+    timed = best.select("candidate_id", p.timing_bucket(F.col("status"), F.col("scheduled_at"), as_of).alias("bucket"))
+    rows = candidates.select(F.col("id").alias("candidate_id"), "stage").join(first, "candidate_id", "left").join(timed, "candidate_id", "left")
+    return rows.select(F.col("candidate_id").alias("id"), p.listing_stage(F.col("stage"), F.col("slot_date"), F.col("bucket"), as_of).alias("stage"))
