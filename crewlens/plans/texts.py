@@ -249,7 +249,7 @@ def t58_template(spark, d):
 
 @register("""SELECT conv_id, turn, role || ': ' || coalesce(left(text, 40), '') AS said FROM conversations""")
 def t59_transcript(spark, d):
-    """Turns joined into one transcript and taken apart again."""
+    """Turns joined into one transcript and taken apart again, each cut to 40 characters as in its SQL; t59_whole_turns has no cut."""
     turns = v.table(spark, d, "conversations").select("conv_id", "turn", "role", F.regexp_replace(F.coalesce(F.left("text", F.lit(40)), F.lit("")), r"\n", "\\\\n").alias("text"))
     whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.concat(F.lit("["), s["turn"].cast("string"), F.lit("] "), s["role"], F.lit(": "), s["text"])), "\n\n").alias("t"))
     parts = whole.select("conv_id", F.explode(F.split("t", "\n\n")).alias("p"))
@@ -257,6 +257,15 @@ def t59_transcript(spark, d):
     return parts.select("conv_id", F.regexp_extract("p", pattern, 1).cast("long").alias("turn"), F.concat(F.regexp_extract("p", pattern, 2), F.lit(": "), F.regexp_replace(F.regexp_extract("p", pattern, 3), r"\\n", "\n")).alias("said"))
 
 
+@register(r"""SELECT conv_id, turn, CASE WHEN x = '' THEN 'Transcript: [' || turn || '] ' || role || ':' ELSE role || ': ' || x END AS said
+FROM (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g') AS x FROM conversations)""")
+def t59_whole_turns(spark, d):
+    """Each turn as a transcript of its own, parsed without a cut, so no conversation is gathered in a row."""
+    head = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "))
+    turns = v.table(spark, d, "conversations").select("conv_id", "turn", F.explode(t.transcript_segments(F.concat(head, t.escaped_turn(F.col("text"))))).alias("s"))
+    return turns.select("conv_id", "turn", F.concat("s.speaker", F.lit(": "), t.plain_turn(F.col("s.message"))).alias("said"))
+
+
 @register("SELECT doc_id, sha256(coalesce(text, '')) AS fingerprint FROM documents")
 def t68_fingerprint(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"))
