@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .texts import id_and_text, one_array, ranges, real_id, shingle_hashes, slices, split_words
+from .texts import NO_ID, id_and_text, one_array, ranges, real_id, shingle_hashes, slices, split_words
 
 SHINGLE = 4
 RADIUS = 4
@@ -64,16 +64,19 @@ def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for each row of documents; ids as inside the operators."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_hash: bool = False) -> DataFrame:
+    """(doc_id, fp) for each row of documents, and a hash of the text where it is asked for; ids as inside the operators."""
+    names = ["doc_id", "text_hash"] if text_hash else ["doc_id"]
 
     def run(batches):
         for batch in slices(batches):
             hashes, offsets = shingle_hashes(*split_words(one_array(batch.column("text")), lower=True), shingle)
             fp = majority_bits(hashes, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    read = id_and_text(docs)
+    read = read.withColumn("text_hash", F.xxhash64("text")) if text_hash else read
+    return read.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def _stars(fp: np.ndarray, length: np.ndarray, first: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +178,9 @@ def _print(graph: DataFrame) -> tuple:
     return tuple(graph.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)"))).first())
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, list_limit: int = LIST_LIMIT
-) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of documents."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+def _grouped(docs: DataFrame, shingle: int, radius: int, list_limit: int, text_hash: bool = False) -> DataFrame:
+    """The rows of fingerprints() with the component_id, ids as inside the operators."""
+    fps = written(fingerprints(docs, shingle, text_hash), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(edges(distinct.select("fp"), radius, list_limit))
     rooted = distinct.join(roots, distinct["fp"] == roots["u"], "left").select(
@@ -187,13 +188,22 @@ def near_duplicates(
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(
+    return fps.join(of_fp, "fp")
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, list_limit: int = LIST_LIMIT
+) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of documents."""
+    return _grouped(docs, shingle, radius, list_limit).select(
         real_id(), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component_id")
     )
 
 
 def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
     """The documents, all columns, whose id is the smallest of their near-duplicate group; rows that repeat it and null ids stay."""
-    found = near_duplicates(docs, **how)
-    late = found.filter(F.col("component_id") < F.coalesce("doc_id", F.lit((1 << 63) - 1))).select("doc_id").filter("doc_id is not null")
-    return docs.join(late.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    limits = {"shingle": SHINGLE, "radius": RADIUS, "list_limit": LIST_LIMIT} | how
+    late = _grouped(docs, **limits, text_hash=True).filter((F.col("component_id") < F.col("doc_id")) & (F.col("doc_id") < NO_ID))
+    late = late.select(F.col("doc_id").alias("_late_id"), F.col("text_hash").alias("_late_text")).distinct()
+    same = (docs["doc_id"].cast("long") == late["_late_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == late["_late_text"])
+    return docs.join(late, same, "left_anti")

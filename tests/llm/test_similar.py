@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from crewlens.llm import simhash
 
 from . import plain
 
@@ -62,3 +63,9 @@ def test_repeated_ids_keep_other_texts(frame, spark, awkward):
     assert sorted((r.doc_id, r.text) for r in got) == sorted([rows[0], rows[2]])
     some = [r for r in awkward]
     assert sorted(plain.key_of(r.doc_id) for r in corpus_pipeline.near_dedup(spark, frame(some), "").collect()) == groups(some)
+
+
+def test_one_of_each_group_drops_rows_not_ids(frame):
+    rows = [(1, "a text that is here twice in all"), (2, "a text that is here twice in all"), (2, "quite another text with the same id")]
+    got = simhash.one_of_each_group(frame(rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([rows[0], rows[2]])
