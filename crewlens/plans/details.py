@@ -36,6 +36,7 @@ def t8_merged_lines(spark, d):
 
 @register()
 def t10_cleaned(spark, d):
+    """The chain of T10 without its steps T7 and T9 (line-state repair of headers), which are not here."""
     return _docs(spark, d).select("doc_id", F.md5(r.cleaned(F.col("text"))).alias("digest"))
 
 
