@@ -1,20 +1,16 @@
-"""Tables written to the cluster's shared folder, and the exchange of keys between blocks of documents."""
+"""Tables in the cluster's shared folder, numbers of tasks that follow the corpus, and joins on keys that may be hot."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .texts import NO_ID, id_and_text
-
-BLOCK_BYTES = 8 << 20
-SMALL_BLOCK_BYTES = 1 << 20
+TASK_BYTES = 32 << 20
+HOT_ROWS = 1_000
+MOST_HOT = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,177 +27,41 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(frame: DataFrame, tag: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts the lineage and survives lost executors."""
+    return written_at(frame, tag)[0]
+
+
+def written_at(frame: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """The frame as a table in the shared folder, and where, for ``discard``."""
     path = f"{shared_folder(frame.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
 
 
-def corpus_size(docs: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of text, over all rows."""
-    row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that a later one has replaced."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> tuple[DataFrame, int, int]:
-    """(doc_id, text, block): documents dealt by a hash into blocks of about ``block_bytes`` of text.
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of text, over all rows."""
+    return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
-    Small corpora get smaller blocks, of a megabyte at least, up to two for each shuffle partition.  The hash takes
-    id and text, so rows that share a null or repeated id spread.  With ``carry`` the other columns travel along as
-    the struct ``row`` and texts stay null where they are.  Returns the frame, the number of blocks and the bytes of text.
-    """
-    _, size = corpus_size(id_and_text(docs))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, min(2 * parts, -(-size // SMALL_BLOCK_BYTES)), -(-size // block_bytes))
-    dealt = id_and_text(docs)
-    if carry:
-        others = [x for x in docs.columns if x != "text"]
-        dealt = docs.select(
-            F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"),
-            docs["text"],
-            F.struct(*[docs[x] for x in others]).alias("row"),
-        )
-    return dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")), blocks, size
-
-
-def range_count(blocks: int) -> int:
-    """Ranges of keys for a number of blocks: a range then gets about as much as two blocks send."""
-    return max(1, blocks // 2)
-
-
-def by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranges of equal width of 64-bit keys that occur among sorted keys, and the borders between them."""
-    owner = range_of(keys, ranges)
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    edges = np.concatenate([[0], cuts, [len(keys)]]).astype(np.int64)
-    return owner[edges[:-1]] if len(keys) else owner, edges
-
-
-def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-
-def payloads(block: int, parts: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table(
-        {
-            "range": pa.array([p for p, _ in parts], pa.int32()),
-            "block": pa.array([block] * len(parts), pa.int32()),
-            "payload": pa.array([x for _, x in parts], pa.binary()),
-        }
-    )
-
-
-def exchange(
-    frame: DataFrame | tuple[DataFrame, DataFrame],
-    send: Callable[..., list[tuple[int, bytes]]],
-    answer: Callable[[list[bytes]], list[bytes | None]],
-    report: bool = False,
-) -> DataFrame:
-    """Blocks send sorted keys by ranges; each range answers all its blocks at once.
-
-    ``send`` gets a block's documents (and, of a pair of frames, its earlier answers) and returns one
-    payload for each range; ``answer`` gets a range's payloads from all blocks and returns one answer
-    to each, or None; with ``report`` also one payload about the whole range, in a row of block -1.  A key is sent
-    once by each block however often it occurs there, so a key that holds a third of all rows gives no more than
-    one entry a block.
+
+def task_count(spark: SparkSession, size: int, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks for so many bytes: about ``task_bytes`` each, and no fewer than the cluster has cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // task_bytes))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` and ``table`` joined on ``key``, of which a third of all rows may have one value.
+
+    ``table`` has one row a key, and in ``n`` how many of the ``total`` rows have it; ``n`` is left out.  Keys that
+    more than ``total`` / ``MOST_HOT`` rows have (and more than ``HOT_ROWS``) are fewer than ``MOST_HOT``: these few are broadcast,
+    and their rows stay where they are.  ``rows`` is read twice and is best a written table.
     """
-    if isinstance(frame, tuple):
-
-        def joined(docs: pa.Table, earlier: pa.Table) -> pa.Table:
-            return payloads(block_of(docs), send(docs, earlier)) if docs.num_rows else payloads(0, [])
-
-        sent = (
-            frame[0]
-            .groupBy("block")
-            .cogroup(frame[1].groupBy("block"))
-            .applyInArrow(joined, "range int, block int, payload binary")
-        )
-    else:
-
-        def alone(docs: pa.Table) -> pa.Table:
-            return payloads(block_of(docs), send(docs))
-
-        sent = frame.groupBy("block").applyInArrow(alone, "range int, block int, payload binary")
-
-    def answered(rows: pa.Table) -> pa.Table:
-        replies = answer([x.as_buffer().to_pybytes() for x in rows.column("payload")])
-        blocks, span = rows.column("block").to_pylist(), rows.column("range")[0].as_py()
-        if report:
-            replies, about = replies
-            replies, blocks = [*replies, about], [*blocks, -1]
-        kept = [i for i, x in enumerate(replies) if x is not None]
-        return pa.table(
-            {
-                "block": pa.array([blocks[i] for i in kept], pa.int32()),
-                "range": pa.array([span] * len(kept), pa.int32()),
-                "payload": pa.array([replies[i] for i in kept], pa.binary()),
-            }
-        )
-
-    return sent.groupBy("range").applyInArrow(answered, "block int, range int, payload binary")
-
-
-def block_of(docs: pa.Table) -> int:
-    return docs.column("block")[0].as_py()
-
-
-def finished(
-    blocked: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema
-) -> DataFrame:
-    """Documents of a block with the answers to that block."""
-
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        return finish(docs, by_key(replies))
-
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
-
-
-def by_key(replies: pa.Table) -> dict[int, bytes]:
-    return dict(zip(replies.column("range").to_pylist(), replies.column("payload").to_pylist(), strict=True))
-
-
-class Keys:
-    """Rows' 128-bit keys grouped, with the smallest id of each key, in the order in which they are sent."""
-
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, h2, h1))
-        a, b = h1[order], h2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.h1, self.h2, self.least = a[new], b[new], ids[order][new]
-        self.group = np.empty(len(order), np.int64)
-        self.group[order] = np.cumsum(new) - 1
-
-    def parts(self, n: int) -> list[tuple[int, bytes]]:
-        owner, edges = by_range(self.h1, n)
-        spans = zip(owner.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True) if len(self.h1) else ()
-        return [(r, self.h1[a:b].tobytes() + self.h2[a:b].tobytes() + self.least[a:b].tobytes()) for r, a, b in spans]
-
-    def flags(self, replies: dict[int, bytes], n: int) -> np.ndarray:
-        """One bit a key, from the answers of all ranges."""
-        out = np.zeros(len(self.h1), bool)
-        owner, edges = by_range(self.h1, n)
-        if len(self.h1):
-            for r, a, b in zip(owner.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if r in replies:
-                    out[a:b] = np.unpackbits(np.frombuffer(replies[r], np.uint8), count=b - a)
-        return out
-
-
-def seen_before(parts: list[bytes]) -> list[np.ndarray]:
-    """For each block's keys of one range: whether another block has the key with a smaller id."""
-    sizes = [len(p) // 24 for p in parts]
-    cols = [[np.frombuffer(p, np.uint64, n, 8 * n * k) for p, n in zip(parts, sizes, strict=True)] for k in range(3)]
-    h1, h2, least = (np.concatenate(c) for c in cols)
-    least = least.view(np.int64)
-    order = np.lexsort((least, h2, h1))
-    a, b, ids = h1[order], h2[order], least[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    first = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-    late = np.empty(len(order), bool)
-    late[order] = ids > first
-    return np.split(late, np.cumsum(sizes)[:-1])
-
-
-def bits_or_none(flags: np.ndarray) -> bytes | None:
-    return np.packbits(flags).tobytes() if flags.any() else None
+    limit = max(HOT_ROWS, -(-total // MOST_HOT))
+    hot = F.broadcast(table.filter(F.col(n) > limit).drop(n))
+    cold = rows.join(hot.select(*key), key, "left_anti").join(table.filter(F.col(n) <= limit).drop(n), key)
+    return cold.unionByName(rows.join(hot, key))

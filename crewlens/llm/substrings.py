@@ -9,7 +9,7 @@ is held in parts by the ranges, never whole in one place.
 
 Defined cases: null or empty texts have no words; texts shorter than a window stay whole; a window that
 repeats only inside one document stays; equal ids in repeated rows count as one document; a null doc_id counts
-as the largest id; an empty table gives an empty result.
+as the largest id; an empty table gives an empty result; a very long text is a block of its own, taken whole.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import Keys, bits_or_none, by_key, by_range, exchange, finished, in_blocks, range_count, seen_before, written
-from .texts import P1, mix64, one_array, real_id, split_words, string_hashes, window_hashes, word_codes
+from .exchange import Blocks, Keys, Replies, bits_or_none, by_key, by_range, seen_before
+from .shared import written
+from .texts import P1, mix64, one_array, split_words, string_hashes, window_hashes, word_codes
 
 WINDOW = 13
 SKETCH_ROWS = 2
@@ -36,7 +37,7 @@ class _Windows:
         self.n = n
         self.h1, self.first = window_hashes(string_hashes(self.words)[self.codes], self.offsets, n)
         counts = np.maximum(np.diff(self.offsets) - (n - 1), 0)
-        self.ids = np.repeat(np.asarray(docs.column("doc_id")), counts)
+        self.ids = Keys.rank(docs.column("doc_id")).repeat(counts)
 
     def h2(self, at: np.ndarray) -> np.ndarray:
         """A second hash of some windows."""
@@ -87,9 +88,9 @@ def _merge(parts: list[bytes], bits: int) -> list[bytes | None]:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_ROWS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): words under windows that an earlier document has are taken out."""
-    blocked, blocks, size = in_blocks(docs)
-    spans = range_count(blocks)
-    bits = min(64, max(16, int(np.ceil(np.log2(max(size, 2) / 2)))))
+    blocks = Blocks(docs)
+    spans = blocks.ranges
+    bits = min(64, max(16, int(np.ceil(np.log2(max(blocks.bytes, 2) / 2)))))
 
     def sketch(docs: pa.Table):
         w, out = _Windows(docs, window), []
@@ -101,7 +102,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
                     out.append((row * spans + r, _pack(cells[a:b], counts[a:b] > 1, bits)))
         return out
 
-    def perhaps(w: _Windows, got: dict[int, bytes]) -> np.ndarray:
+    def perhaps(w: _Windows, got: Replies) -> np.ndarray:
         """Windows whose cells are set in every row of the merged sketch."""
         maybe = np.ones(len(w.h1), bool)
         for row in range(rows if len(w.h1) else 0):
@@ -119,12 +120,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
         at = perhaps(w, by_key(replies))
         return [(rows * spans + r, x) for r, x in Keys(w.h1[at], w.h2(at), w.ids[at]).parts(spans)]
 
-    def finish(docs: pa.Table, replies: dict[int, bytes]) -> pa.Table:
+    def finish(docs: pa.Table, replies: Replies) -> pa.Table:
         w = _Windows(docs, window)
         at = perhaps(w, replies)  # the same windows, in the same order, as were sent
         keys = Keys(w.h1[at], w.h2(at), w.ids[at])
         exact = {r - rows * spans: x for r, x in replies.items() if r >= rows * spans}
-        late = keys.flags(exact, spans)[keys.group] | (w.ids[at] > keys.least[keys.group])
+        late = keys.flags(exact, spans)[keys.group] | keys.late
         starts = w.first[at[late]]
         edge = np.zeros(len(w.flat) + 1, np.int64)
         np.add.at(edge, starts, 1)
@@ -142,7 +143,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
             }
         )
 
-    seen = written(exchange(blocked, sketch, lambda parts: _merge(parts, bits)), "sketch")
-    exact = exchange((blocked, seen), candidates, lambda parts: [bits_or_none(x) for x in seen_before(parts)])
-    out = finished(blocked, seen.union(exact), finish, "doc_id long, n_words long, n_removed long, kept_text string")
-    return out.select(real_id(), "n_words", "n_removed", "kept_text")
+    seen = written(blocks.exchange(sketch, lambda parts: _merge(parts, bits)), "sketch")
+    exact = blocks.exchange(candidates, lambda parts: [bits_or_none(x) for x in seen_before(parts)], seen)
+    return blocks.finished(seen.union(exact), finish, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -1,7 +1,8 @@
 """Vectorised text helpers that run inside tasks, and the frame conventions shared by the operators.
 
-Conventions: a null text counts as empty; a null ``doc_id`` is kept and treated as the largest id
-(``NO_ID`` while the rows are inside an operator); rows that repeat an id stay separate rows.
+Conventions: a null text counts as empty; a null ``doc_id`` stays null and counts as the largest id; rows that
+repeat an id stay separate rows; only ``doc_id`` and ``text`` are read, so names of other columns cannot clash; long texts
+are taken whole, one at a time if need be.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NO_ID = (1 << 63) - 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # The five primes of the public XXH64 specification.
 P1, P2, P3, P4, P5 = (
@@ -30,17 +30,16 @@ P1, P2, P3, P4, P5 = (
 )
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """Only the two columns that the operators read, without nulls."""
-    return docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.coalesce(docs["text"], F.lit("")).alias("text"),
-    )
+def id_and_text(docs: DataFrame, text_hash: bool = False) -> DataFrame:
+    """Only the two columns that the operators read, the text without nulls, and its hash where it is asked for."""
+    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    return read.withColumn("text_hash", F.xxhash64("text")) if text_hash else read
 
 
-def real_id(name: str = "doc_id"):
-    """The id as the caller knows it."""
-    return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
+def same_row(left: DataFrame, right: DataFrame, doc_id: str, text_hash: str):
+    """Whether rows of documents have the id and the hash of the text of rows of another frame; null ids are alike."""
+    mine = F.xxhash64(F.coalesce(left["text"], F.lit("")))
+    return left["doc_id"].cast("long").eqNullSafe(right[doc_id]) & (mine == right[text_hash])
 
 
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
