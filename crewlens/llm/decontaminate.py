@@ -1,23 +1,26 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Words are lower-cased A-Z; shingles have five words.  A window as long as an item can only reach similarity
-``least`` if that share of the item's shingles occurs in it, so windows are looked for only where shingles of any
-item occur and are counted by prefix sums.  Such windows and all items have SimHash fingerprints; those of
-one size within ``radius`` bits share at least one of ``radius`` + 1 blocks of bits, so looking up every block
-finds them all.  Pairs found are verified by the exact weighted Jaccard similarity of their shingles.
-
-With the default radius of 20 of 64 bits a window of similarity 0.8 (an expected distance near 10 with a
-deviation near 3) is missed in about one of 10,000 cases; its neighbours, shifted by a word, are tried as well.
-
-Items travel to the tasks in parts of at most about ``part_bytes``, one written pass over the documents for each part, so a
-task holds one part however large the benchmark is.  What is found is keyed by doc_id and a hash of the text.
-Defined cases: null and empty texts or items match nothing; items or texts under five words have one shingle of all
-their words; equal items match alike; an empty benchmark leaves all documents clean; repeated rows are judged alike.
+Words are lower-cased A-Z; shingles have five words.  A window as long as an item can only reach similarity ``least`` if that
+share of the item's shingles occurs in it, so windows are looked for only where shingles of any item occur and are counted by
+prefix sums.  Such windows and all items have SimHash fingerprints of ``PRINT_WORDS`` words.  Their bits lie in 16 blocks of 16;
+fingerprints within ``radius`` = 47 bits differ in at most ``FLIPS`` = 2 bits of some block, so looking up every block with up to
+two bits flipped finds them all.  Of the items of a window's size about three in a hundred are met by chance.  Items that are met are
+verified by the exact weighted Jaccard similarity of their shingles, also those that prove to be farther than the radius.
+
+At a similarity of 0.8 a bit differs with a probability of about 0.15, so 39 are expected, and a window is met by no block in
+about two of a million cases; its neighbours, shifted by a word, are tried as well.
+
+Items travel to the tasks in parts of at most about ``part_bytes`` as they are held there, one written pass over the
+documents for each part, so a task holds one part however large the benchmark is.  What is found is keyed by doc_id and a hash of
+the text.  Defined cases: null and empty texts or items match nothing; items or texts under five words have one shingle of all
+their words; equal items match alike; an empty benchmark leaves all documents clean; repeated rows are judged alike; very long
+texts are judged whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .simhash import majority_bits
-from .texts import NO_ID, id_and_text, one_array, ranges, real_id, slices, split_words, string_hashes, window_hashes, word_codes
+from .simhash import wide_bits
+from .texts import id_and_text, one_array, ranges, same_row, slices, split_words, string_hashes, window_hashes, word_codes
 
 SHINGLE = 5
 LEAST = 0.8
-RADIUS = 20
-PART_BYTES = 16 << 20
+PRINT_WORDS = 4
+BLOCKS = 4 * PRINT_WORDS
+FLIPS = 2
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+PART_BYTES = 32 << 20
+ITEM_BYTES = 512  # fingerprint, index entries and objects of an item, beside 16 bytes a shingle
 FILTER_BITS = 22
+#: What is done to a block of 16 bits before it is looked up.
+PROBES = np.array([sum(1 << b for b in flip) for k in range(FLIPS + 1) for flip in combinations(range(16), k)], np.int64)
 
 
 def _shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +73,9 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 class Items:
     """A part of the benchmark, indexed by shingle and by blocks of the fingerprints' bits."""
 
-    ids: list[int]
+    ids: list[int | None]
     shingles: list[np.ndarray]
     least: float
-    radius: int
 
     def __post_init__(self):
         sizes = np.array([len(s) for s in self.shingles], np.int64)
@@ -75,14 +83,29 @@ class Items:
         self.known = np.unique(every)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - FILTER_BITS)] = True
-        self.prints = majority_bits(every, np.concatenate([[0], np.cumsum(sizes)]))
-        edges = np.linspace(0, 64, self.radius + 2).astype(int)
-        self.blocks = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         self.sizes = np.unique(sizes[sizes > 0]).tolist()
-        self.lists: dict[tuple[int, int, int], list[int]] = {}
-        for i, (fp, size) in enumerate(zip(self.prints.tolist(), sizes.tolist(), strict=True)):
-            for k, (a, b) in enumerate(self.blocks if size else ()):
-                self.lists.setdefault((size, k, fp >> a & ((1 << (b - a)) - 1)), []).append(i)
+        prints = wide_bits(every, np.concatenate([[0], np.cumsum(sizes)]), PRINT_WORDS)
+        full = np.flatnonzero(sizes)
+        #: Of each block the items, sorted by their size and the block's bits, and these keys.
+        self.lists = []
+        for value in _block_values(prints[full]).T:
+            key = sizes[full] << 16 | value
+            order = np.argsort(key, kind="stable")
+            self.lists.append((key[order], full[order]))
+
+    def met(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items of this size that agree in some block but for ``FLIPS`` bits."""
+        pairs = []
+        for (keys, items), value in zip(self.lists, _block_values(prints).T, strict=True):
+            wanted = (size << 16) + (value[:, None] ^ PROBES)
+            low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, side="right")
+            n = (high - low).ravel()
+            at = np.flatnonzero(n)
+            if len(at):
+                window = np.repeat(at // len(PROBES), n[at])
+                pairs.append(window * len(self.ids) + items[ranges(low.ravel()[at], n[at])])
+        every = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        return every // max(len(self.ids), 1), every % max(len(self.ids), 1)
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         """Where shingles of any item are."""
@@ -109,26 +132,30 @@ class Items:
                 continue
             rows = ranges(spans[:, 0], spans[:, 1] - spans[:, 0])
             edges = np.concatenate([[0], np.cumsum(spans[:, 1] - spans[:, 0])])
-            for (x, y), fp in zip(spans.tolist(), majority_bits(shingles[rows], edges).tolist(), strict=True):
-                near = {i for k, (p, q) in enumerate(self.blocks) for i in self.lists.get((size, k, fp >> p & ((1 << (q - p)) - 1)), ())}
-                for i in near:
-                    if (fp ^ int(self.prints[i])).bit_count() <= self.radius and found.get(i, 0.0) < 1.0:
-                        s = weighted_jaccard(shingles[x:y], self.shingles[i])
-                        if s >= self.least and s > found.get(i, 0.0):
-                            found[i] = s
+            for w, i in zip(*(x.tolist() for x in self.met(size, wide_bits(shingles[rows], edges, PRINT_WORDS))), strict=True):
+                if found.get(i, 0.0) < 1.0:
+                    s = weighted_jaccard(shingles[spans[w, 0] : spans[w, 1]], self.shingles[i])
+                    if s >= self.least and s > found.get(i, 0.0):
+                        found[i] = s
         return found
 
 
-def _parts(benchmark: DataFrame, least: float, radius: int, part_bytes: int):
+def _block_values(prints: np.ndarray) -> np.ndarray:
+    """The blocks of 16 bits of fingerprints, shape (rows, BLOCKS)."""
+    return np.ascontiguousarray(prints).view("<u2").reshape(len(prints), -1).astype(np.int64)
+
+
+def _parts(benchmark: DataFrame, least: float, part_bytes: int):
     """The benchmark in parts of bounded size, one after the other on the driver."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    held = F.lit(ITEM_BYTES) + F.octet_length("text") + 16 * F.size(F.split("text", r"[\x20\x09-\x0D]+"))
+    size = items.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // part_bytes))
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         shingles, edges = _shingles(pa.array([r["text"] for r in rows], pa.string()), SHINGLE)
         if len(shingles):
-            yield Items([r["item_id"] for r in rows], np.split(shingles, edges[1:-1]), least, radius)
+            yield Items([r["item_id"] for r in rows], np.split(shingles, edges[1:-1]), least)
 
 
 def _judged(items: Items, texts: pa.Array) -> list[dict[int, float]]:
@@ -161,11 +188,11 @@ def _found(docs: DataFrame, part) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_hash long, items array<long>, similarity double")
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, least: float, radius: int, part_bytes: int) -> DataFrame:
-    """One row for each contaminated (doc_id, hash of the text), over all parts of the benchmark."""
-    read = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+def _hits(docs: DataFrame, benchmark: DataFrame, least: float, part_bytes: int) -> DataFrame:
+    """(_id, _hash, items, similarity) of contaminated rows, over all parts of the benchmark."""
+    read = id_and_text(docs, text_hash=True)
     every = None
-    for items in _parts(benchmark, least, radius, part_bytes):
+    for items in _parts(benchmark, least, part_bytes):
         part = docs.sparkSession.sparkContext.broadcast(items)
         some = written(_found(read, part), "contaminated")
         part.destroy()  # tasks hold one part at a time
@@ -173,27 +200,22 @@ def _hits(docs: DataFrame, benchmark: DataFrame, least: float, radius: int, part
     if every is None:
         every = docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, items array<long>, similarity double")
     lists = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
-    return every.groupBy("doc_id", "text_hash").agg(lists.alias("items"), F.max("similarity").alias("similarity"))
+    key = (F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return every.groupBy(*key).agg(lists.alias("items"), F.max("similarity").alias("similarity"))
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS, part_bytes: int = PART_BYTES
-) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, contaminated, items, similarity) for each row of documents: item ids found, and the best similarity."""
-    hits = _hits(docs, benchmark, least, radius, part_bytes)
-    keys = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("text_hash"))
-    return keys.join(hits, ["doc_id", "text_hash"], "left").select(
-        real_id(),
+    read, hits = id_and_text(docs), _hits(docs, benchmark, least, part_bytes)
+    return read.join(hits, same_row(read, hits, "_id", "_hash"), "left").select(
+        "doc_id",
         F.col("items").isNotNull().alias("contaminated"),
         F.coalesce("items", F.array().cast("array<long>")).alias("items"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents, all columns, in which no item of the benchmark is found."""
-    limits = {"least": LEAST, "radius": RADIUS, "part_bytes": PART_BYTES} | how
-    hits = _hits(docs, benchmark, **limits).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_text"))
-    ours = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    same = (ours == hits["_hit_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hits["_hit_text"])
-    return docs.join(hits, same, "left_anti")
+    hits = _hits(docs, benchmark, least, part_bytes)
+    return docs.join(hits, same_row(docs, hits, "_id", "_hash"), "left_anti")
