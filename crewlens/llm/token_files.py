@@ -1,13 +1,16 @@
 """Token counts by a separator scan over flat token files that have no index.
 
-``write_token_files`` tokenises documents and writes, for each partition, one flat file of little-endian 16-bit
-ids in which an end-of-document id follows each document, and beside it a flat file of the doc_ids in the same
-order.  ``scan_token_files`` knows nothing but the end id: files are searched block by block with
-vectorised comparisons; the blocks' boundaries are stitched by prefix scans, the sum of the separators and the last
-separator's place in earlier blocks, so a document may span any number of blocks.
-
-Defined cases: a null or empty text has no tokens but its separator; tokens after a file's last separator count
-as one more document; an empty table gives no rows; repeated rows stay; null doc_ids come back as null.
+``write_token_files`` tokenises documents and writes, for each task, flat files of little-endian 16-bit ids in which an
+end-of-document id follows each document, and flat files of the doc_ids in the same order, a byte before each saying whether
+it is null.  Files hold at most ``FILE_DOCS`` documents, so one fits a task.  A task's files, in the order of their numbers, are one
+stream: documents are numbered along it, so the two kinds need not break at the same document.  ``scan_token_files`` knows nothing
+but the end id: files are searched block by block with vectorised comparisons; the blocks' boundaries are stitched by
+prefix scans, the sum of the separators and the last separator's place in earlier blocks of the stream, so a document
+may span any number of blocks.
+
+Defined cases: a null or empty text has no tokens but its separator; tokens after a stream's last separator count
+as one more document; an empty table gives no rows; repeated rows stay; null doc_ids come back as null; very long texts
+are tokenised whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import shared_folder
-from .texts import id_and_text, one_array, real_id, slices
+from .texts import id_and_text, one_array, slices
 
 END = 50256  # free in the vocabulary
 BLOCK = 1 << 20
+FILE_DOCS = 20_000
 #: Fixed value: the splitting pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -51,7 +55,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str) -> None:
         for batch in slices(batches):
             encode = encoding(ranks).encode_ordinary
             tokens = [np.array(encode(t), "<u2").tobytes() for t in one_array(batch.column("text")).to_pylist()]
-            ids = [int(x).to_bytes(8, "little", signed=True) for x in batch.column("doc_id").to_pylist()]
+            ids = [bytes([x is None]) + (x or 0).to_bytes(8, "little", signed=True) for x in batch.column("doc_id").to_pylist()]
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -71,59 +75,71 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str) -> None:
         .write.partitionBy("kind")
         .option("encoding", "ISO-8859-1")
         .option("lineSep", end)
+        .option("maxRecordsPerFile", FILE_DOCS)
         .text(folder)
     )
 
 
 def _files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """(stream, part, content): a task's files of a kind, and their number in it."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
-    part = F.regexp_extract("path", r"part-([^/]*?)(?:\.c\d+)?(?:\.txt)?$", 1)
-    return found.filter(F.col("path").contains(f"/kind={kind}/")).select(part.alias("file"), "content")
+    task = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
+    part = F.coalesce(F.expr(r"try_cast(regexp_extract(path, '\\.c(\\d+)(\\.[a-z]+)?$', 1) as long)"), F.lit(0).cast("long"))
+    return found.filter(F.col("path").contains(f"/kind={kind}/")).select(task.alias("stream"), part.alias("part"), "content")
 
 
 def scan_token_files(files: DataFrame, end: int = END, block: int = BLOCK) -> DataFrame:
-    """(file, ordinal, n_tokens) of each document of flat files given as (file, content)."""
+    """(stream, ordinal, n_tokens) of each document of streams of flat files given as (stream, part, content)."""
+    schema = "stream long, part long, block long, ids long, ends array<long>"
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+            for stream, part, content in zip(*(batch.column(x) for x in ("stream", "part", "content")), strict=True):
                 ids = np.frombuffer(content.as_buffer(), "<u2")
                 for k in range(0, len(ids), block):
                     some = ids[k : k + block]
-                    at = np.flatnonzero(some == end) + k
-                    if k + len(some) == len(ids) and some[-1] != end:
-                        at = np.append(at, len(ids))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([k // block], pa.int64()), pa.array([at], pa.list_(pa.int64()))],
-                        ["file", "block", "ends"],
-                    )
-
-    blocks = files.mapInArrow(run, "file string, block long, ends array<long>")
-    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    stitched = blocks.select(
-        "file",
+                    row = [[stream.as_py()], [part.as_py()], [k // block], [len(some)]]
+                    ends = pa.array([np.flatnonzero(some == end)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in row), ends], ["stream", "part", "block", "ids", "ends"])
+
+    blocks = files.mapInArrow(run, schema)
+    order = W.partitionBy("stream").orderBy("part", "block")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("ids").over(earlier), F.lit(0))
+    placed = blocks.select("*", begin.alias("begin"), F.lead("block").over(order).isNull().alias("final"))
+    placed = placed.withColumn("stop", F.col("begin") + F.col("ids")).withColumn("ends", F.expr("transform(ends, e -> e + begin)"))
+    # what follows the last separator of a stream is a document too
+    open_end = F.expr("final and coalesce(get(ends, size(ends) - 1), -1) < stop - 1")
+    placed = placed.withColumn("ends", F.when(open_end, F.concat("ends", F.array("stop"))).otherwise(F.col("ends")))
+    placed = placed.select("stream", "part", "block", "ends")
+    stitched = placed.select(
+        "stream",
         "ends",
         F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("before"),
         F.coalesce(F.max(F.expr("get(ends, size(ends) - 1)")).over(earlier), F.lit(-1)).alias("last"),
     )
     lengths = F.expr("transform(ends, (e, i) -> e - coalesce(get(ends, i - 1), last) - 1)")
-    each = stitched.select("file", "before", F.posexplode(lengths).alias("i", "n_tokens"))
-    return each.select("file", (F.col("before") + F.col("i")).alias("ordinal"), "n_tokens")
+    each = stitched.select("stream", "before", F.posexplode(lengths).alias("i", "n_tokens"))
+    return each.select("stream", (F.col("before") + F.col("i")).alias("ordinal"), "n_tokens")
 
 
 def _doc_ids(files: DataFrame) -> DataFrame:
-    record = np.dtype([("id", "<i8"), ("end", "V2")])
+    """(stream, ordinal, doc_id): the ids of a stream, numbered along its files."""
+    record = np.dtype([("none", "u1"), ("id", "<i8"), ("end", "V2")])
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                ids = np.frombuffer(content.as_buffer(), record)["id"].copy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(ids), pa.string()), pa.array(np.arange(len(ids))), pa.array(ids)],
-                    ["file", "ordinal", "doc_id"],
-                )
+            for stream, part, content in zip(*(batch.column(x) for x in ("stream", "part", "content")), strict=True):
+                some = np.frombuffer(content.as_buffer(), record)
+                ids = pa.array([pa.array(some["id"].copy(), pa.int64(), mask=some["none"] == 1)], pa.list_(pa.int64()))
+                row = (pa.array([x], pa.int64()) for x in (stream.as_py(), part.as_py(), len(some)))
+                yield pa.RecordBatch.from_arrays([*row, ids], ["stream", "part", "n", "ids"])
 
-    return files.mapInArrow(run, "file string, ordinal long, doc_id long")
+    each = files.mapInArrow(run, "stream long, part long, n long, ids array<long>")
+    earlier = W.partitionBy("stream").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    placed = each.select("stream", "ids", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rows = placed.select("stream", "before", F.posexplode("ids").alias("i", "doc_id"))
+    return rows.select("stream", (F.col("before") + F.col("i")).alias("ordinal"), "doc_id")
 
 
 def token_counts(docs: DataFrame, ranks: str, block: int = BLOCK) -> DataFrame:
@@ -132,4 +148,4 @@ def token_counts(docs: DataFrame, ranks: str, block: int = BLOCK) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, folder, ranks)
     counts = scan_token_files(_files(spark, folder, "tokens"), block=block)
-    return counts.join(_doc_ids(_files(spark, folder, "ids")), ["file", "ordinal"]).select(real_id(), "n_tokens")
+    return counts.join(_doc_ids(_files(spark, folder, "ids")), ["stream", "ordinal"]).select("doc_id", "n_tokens")
