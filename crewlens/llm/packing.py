@@ -1,8 +1,9 @@
 """Packing along a space-filling curve.
 
 A document's vector counts its pairs of neighbouring bytes, hashed to ``DIMS`` dimensions with signs and averaged; the
-vector's place on a Hilbert curve is its key.  Documents are range-partitioned and sorted by (key, doc_id), so
-that neighbours in a sequence are alike and a third of all rows with one key still spreads over partitions.
+vector's place on a Hilbert curve is its key.  Keys are stored once beside the texts; documents are then range-partitioned and
+sorted by (key, doc_id, hash of the text), in partitions of about ``TASK_BYTES`` of text, so that neighbours in a sequence are alike
+and a third of all rows with one key still spreads over partitions.
 Each partition tokenises its documents and cuts the running line of ids into sequences of ``SIZE``; the rest
 at its end goes into sequences of powers of two, which need no padding.
 
@@ -11,7 +12,8 @@ white space, so the ids of a text are those of its words.  Words of letters foll
 encoded as the two parts, which its pattern separates too.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed as often as they occur; null
-doc_ids come last among equal keys; an empty table gives no pieces; other columns are not read.
+doc_ids come last among equal keys; an empty table gives no pieces; other columns are not read; a very long text is
+cut over as many sequences as it takes.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .texts import id_and_text, one_array, ranges, raw, real_id, slices, split_words, word_codes
+from .shared import task_count, text_bytes, written
+from .texts import id_and_text, one_array, ranges, raw, slices, split_words, word_codes
 
 SIZE = 4096
 END = 2
@@ -197,8 +201,8 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
 
     def keyed(batches):
         for batch in slices(batches):
-            keys = curve_keys(one_array(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc_id"), batch.column("text")], ["key", "doc_id", "text"])
+            keys = pa.array(curve_keys(one_array(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([keys, *batch.columns], ["key", "doc_id", "text", "text_hash"])
 
     def pack(batches):
         line = _Line(TaskContext.get().partitionId(), size)
@@ -209,7 +213,7 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
             yield line.cut([size] * (line.waiting // size))
         yield line.cut(sequence_sizes(line.waiting, size))
 
-    near = id_and_text(docs).mapInArrow(keyed, "key long, doc_id long, text string")
-    dealt = near.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    rest = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    return dealt.mapInArrow(pack, PIECE).select(real_id(), *rest)
+    near = written(id_and_text(docs, text_hash=True).mapInArrow(keyed, "key long, doc_id long, text string, text_hash long"), "curve")
+    order = (F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("text_hash"))
+    dealt = near.repartitionByRange(task_count(docs.sparkSession, text_bytes(near)), *order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(pack, PIECE)
