@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .texts import id_and_text
 
 MAX_LABELLED = 20_000
@@ -20,7 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     """(doc_id, text, y) of at most ``max_rows`` labelled ids outside the held-out fold, the same on every run.
 
     The ids are those with the smallest hashes.  A null label or id is no label; of differing labels of
-    one id the largest counts.
+    one id the largest counts.  The sample is written, so that several steps read it and not the documents.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     some = (
@@ -31,7 +32,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return id_and_text(docs).join(F.broadcast(some), "doc_id")  # bounded by max_rows
+    return written(id_and_text(docs).join(F.broadcast(some), "doc_id"), "sample")  # bounded by max_rows
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:

@@ -4,24 +4,26 @@ Training: on three quarters of a bounded sample of labelled rows (``max_labelled
 once a document.  A token's log-odds have an informative Dirichlet prior whose mean is that of the tokens with the
 same beginning, and that beginning's prior is the corpus; no class has less than ``SMOOTH`` of a count, so tokens
 that one class never has keep a finite interval.  The lower end of the interval is a token's score if it is at
-least ``LEAST``, else, and where it repeats the token before, a constant below zero.  At most ``max_tokens`` tokens
-with the best scores are kept, and the same number of beginnings.  The last quarter, whose tokens were not counted,
-calibrates; where it has fewer than ``FEWEST`` rows of a class, the whole sample does both.  Scoring: a linear scan finds all maximal scoring segments (cumulative sums
-that never fall below their start or rise above their end).  A segment's expected number by chance in a
-text of n tokens is K n exp(-lambda S), with lambda the positive root of sum p(s) exp(lambda s) = 1
-over scores of clean calibration tokens; passages expected at most ``MAX_EXPECTED`` times are significant.  A
-logistic curve over the best segment's surprise and that of the best few together gives the probability.
+least ``LEAST``, else, and where it repeats the token before, a constant below zero.  All tokens and beginnings with a
+positive score are kept; their number is bounded by the sample.  The last quarter, whose tokens were not counted,
+calibrates; where it lacks one of the classes, the whole sample does both.  Scoring: a linear scan finds all maximal scoring
+segments (cumulative sums that never fall below their start or rise above their end).  A segment's expected number by chance in a
+text of n tokens is K n exp(-lambda S), with lambda the positive root of sum p(s) exp(lambda s) = 1 over scores of clean
+calibration tokens, and K such that the clean calibration texts have as many segments of at least their median score as
+expected; passages expected at most ``MAX_EXPECTED`` times are significant.  A logistic curve over the best segment's surprise
+and that of the best r together, for the most telling r, gives the probability.
 
 Tokens are the runs of letters, digits and other characters above ASCII inside words, lower-cased A-Z.
 
 Defined cases: null and empty texts have no tokens and get the score of a text without a segment; without
-labels of both classes every score is 0.  Repeated rows score alike; labels, lang, source and doc_id are no input.
+labels of both classes every score is 0; an empty table gives an empty result.  Repeated rows score alike; very long texts are
+scanned whole; labels, lang, source and doc_id are no input.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import lgamma
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import MAX_LABELLED, labelled_sample, logistic
-from .texts import id_and_text, one_array, real_id, slices, split_words, string_hashes, word_codes
+from .texts import id_and_text, one_array, slices, split_words, string_hashes, word_codes
 
-MAX_TOKENS = 20_000
 STEM = 5
 PRIOR = 2.0
 SMOOTH = 0.25
-FEWEST = 20
 BELOW = 1.0
-K = 0.3
 MAX_EXPECTED = 0.05
-MAX_TOGETHER = 10
 LEAST = 1.0
 EDGES = "[!-/:-@\\[-`{-~]+"
 
@@ -65,6 +63,7 @@ class Model:
     stem: np.ndarray
     stem_score: np.ndarray
     scale: float
+    k: float
     curve: np.ndarray
 
     def token_scores(self, words: pa.Array) -> np.ndarray:
@@ -98,16 +97,16 @@ class Model:
 
     def surprise(self, score: float, length: int) -> float:
         """Minus the logarithm of the number of such segments expected by chance."""
-        return self.scale * score - float(np.log(K * max(length, 1)))
+        return self.scale * score - float(np.log(self.k * max(length, 1)))
 
     def features(self, segments: list[tuple[int, int, float]], length: int) -> tuple[float, float]:
         """Surprise of the best segment, and of the best r segments together for the most telling r."""
         each = sorted((self.surprise(s, length) for _, _, s in segments), reverse=True)
         together, total = 0.0, 0.0
-        for r, x in enumerate(each[:MAX_TOGETHER], 1):
+        for r, x in enumerate(each, 1):
             total += x
             if total > 0:  # sum statistics of the r best: exp(-t) t^(r-1) / (r! (r-1)!)
-                together = max(together, total - (r - 1) * np.log(total) + lgamma(r + 1) + lgamma(r))
+                together = max(together, total - (r - 1) * log(total) + lgamma(r + 1) + lgamma(r))
         return float(np.clip(each[0] if each else 0.0, 0, 20)), float(min(together, 40.0))
 
     def probability(self, features: np.ndarray) -> np.ndarray:
@@ -139,9 +138,8 @@ def _scores(counts: np.ndarray, mean: np.ndarray, total: np.ndarray) -> np.ndarr
     return odds[:, 1] - odds[:, 0] - 1.64 * np.sqrt(1 / c[:, 0] + 1 / c[:, 1])
 
 
-def _best(words: list[str], scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(words: list[str], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     good = np.flatnonzero(scores > LEAST)
-    good = good[np.argsort(-scores[good], kind="stable")][:most]
     hashes = string_hashes(pa.array([words[i] for i in good], pa.string()))
     order = np.argsort(hashes)
     return hashes[order], scores[good][order]
@@ -168,7 +166,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     return counts.groupBy("stem", "w").sum("n0", "n1").toDF("stem", "w", "n0", "n1")
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_labelled: int = MAX_LABELLED) -> Model | None:
     """A model from the labelled rows outside the held-out fold, or None without both classes."""
     sample = labelled_sample(docs, labels, "toxic", held_out, max_labelled)
     kept_back = F.pmod(F.crc32(F.concat(F.lit("back"), F.col("doc_id")).cast("binary")), F.lit(4)) == 0
@@ -179,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_labelled: int
     if not (total + back).all():
         return None
     counted, calibrating = sample.filter("not back"), sample.filter("back")
-    if min(back) < FEWEST or min(total) < FEWEST:
+    if not (back.all() and total.all()):
         counted, calibrating, total = sample, sample, total + back
     table = _counted(counted.select("text", "y")).filter("n1 >= 2 and w <> ''").orderBy("w").toPandas()  # bounded by the sample
     words, stems = (table[table["stem"] == kind] for kind in (False, True))
@@ -188,10 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_labelled: int
     prior = np.clip((by_stem + PRIOR * base) / (total + PRIOR), 1e-4, 0.9)
     place = {w: k for k, w in enumerate(stems["w"])}
     own = np.array([place[w[:STEM]] for w in words["w"]], np.int64)
-    token, token_score = _best(words["w"].tolist(), _scores(words[["n0", "n1"]].to_numpy(float), prior[own], total), max_tokens)
+    token, token_score = _best(words["w"].tolist(), _scores(words[["n0", "n1"]].to_numpy(float), prior[own], total))
     whole = np.array([len(w) == STEM for w in stems["w"]], bool)
-    stem, stem_score = _best(stems["w"].tolist(), np.where(whole, _scores(by_stem, base, total), -1), max_tokens)
-    model = Model(token, token_score, stem, stem_score, 1.0, np.zeros(3))
+    stem, stem_score = _best(stems["w"].tolist(), np.where(whole, _scores(by_stem, base, total), -1))
+    model = Model(token, token_score, stem, stem_score, 1.0, 1.0, np.zeros(3))
 
     def histogram(batches):
         for batch in slices(batches):
@@ -203,6 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_labelled: int
 
     seen = calibrating.select("text", "y").mapInArrow(histogram, "s double, n long").groupBy("s").sum("n").toDF("s", "n").toPandas()
     model.scale = root(seen["s"].to_numpy(float), seen["n"].to_numpy(float))
+    clean = calibrating.filter("y = 0").select("text").mapInArrow(_segment_scores(model), "s double, n long").toPandas()
+    model.k = chance_factor(clean["s"].dropna().to_numpy(float), float(clean["n"].sum()), model.scale)
     rows = calibrating.select("text", "y").mapInArrow(_features(model), "best double, summed double, y int").toPandas()
     model.curve = logistic(rows[["best", "summed"]].to_numpy(float), (rows["y"] > 0).to_numpy(float))
     return model
@@ -218,7 +218,28 @@ def root(scores: np.ndarray, counts: np.ndarray) -> float:
         for _ in range(60):
             mid = (low + high) / 2
             low, high = (mid, high) if (p * np.exp(mid * scores)).sum() < 1 else (low, mid)
-    return max(low, 0.2)
+    return low
+
+
+def chance_factor(scores: np.ndarray, length: float, scale: float) -> float:
+    """K, by the segments of at least the median score in clean texts of so many tokens; 1 if there are none."""
+    if not len(scores):
+        return 1.0
+    least = float(np.median(scores))
+    return float((scores >= least).sum() * np.exp(min(scale * least, 50.0)) / max(length, 1.0))
+
+
+def _segment_scores(model: Model):
+    """Scores of the maximal segments of texts, and in rows without a score the texts' tokens."""
+
+    def run(batches):
+        for batch in slices(batches):
+            texts = one_array(batch.column("text"))
+            s = [x for found in model.segments(texts) for _, _, x in found]
+            n = int(split_words(texts)[1][-1])
+            yield pa.RecordBatch.from_arrays([pa.array([*s, None], pa.float64()), pa.array([0] * len(s) + [n], pa.int64())], ["s", "n"])
+
+    return run
 
 
 def _features(model: Model):
@@ -253,4 +274,4 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
                 [batch.column("doc_id"), pa.array(score), pa.array(named, kind)], ["doc_id", "score", "passages"]
             )
 
-    return id_and_text(docs).mapInArrow(run, schema).select(real_id(), "score", "passages")
+    return id_and_text(docs).mapInArrow(run, schema)
