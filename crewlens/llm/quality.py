@@ -9,8 +9,8 @@ a network with one hidden layer, trained in numpy, gives the logit, and a temper
 sample that was kept back makes it a probability.
 
 The sample is bounded by ``max_labelled`` rows, chosen by hash.  Defined cases: null and empty texts have the
-zero vector; without labels of both classes every score is 0.5; repeated rows score alike; labels, lang, source
-and doc_id are no input.
+zero vector; without labels of both classes every score is 0.5; an empty table gives an empty result; repeated rows score
+alike; very long texts are pooled whole, a piece at a time; labels, lang, source and doc_id are no input.
 """
 
 from __future__ import annotations
@@ -24,13 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import MAX_LABELLED, labelled_sample
-from .texts import id_and_text, mix64, one_array, real_id, slices, split_words, string_hashes, word_codes
+from .texts import id_and_text, mix64, one_array, slices, split_words, string_hashes, word_codes
 
 ROWS = 4096
 DIM = 32
 REACH = 2
 HIDDEN = 24
 EPOCHS = 60
+PIECE_WORDS = 1 << 16
 REPEAT = np.uint64(0x5BD1E995)
 
 
@@ -82,12 +83,13 @@ class Model:
     def pooled(self, texts: pa.Array) -> np.ndarray:
         rows, offsets = token_rows(texts)
         out = np.zeros((len(offsets) - 1, 2 * DIM), np.float32)
-        full = np.flatnonzero(np.diff(offsets) > 0)
-        if len(full):
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        for a in range(0, len(rows), PIECE_WORDS):
+            own, at = doc[a : a + PIECE_WORDS], np.flatnonzero(np.diff(doc[a : a + PIECE_WORDS], prepend=-1))
             for stream in range(2):
-                summed = np.add.reduceat(self.vectors[rows[:, stream] + stream * ROWS], offsets[:-1][full], axis=0)
-                out[full, stream * DIM : (stream + 1) * DIM] = summed / np.diff(offsets)[full][:, None]
-        return out
+                some = self.vectors[rows[a : a + PIECE_WORDS, stream] + stream * ROWS]
+                out[own[at], stream * DIM : (stream + 1) * DIM] += np.add.reduceat(some, at, axis=0)
+        return out / np.maximum(np.diff(offsets), 1)[:, None].astype(np.float32)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         mean, spread, w1, b1, w2, b2 = self.layers
@@ -179,7 +181,7 @@ def quality(docs: DataFrame, model: Model | None) -> DataFrame:
                 [batch.column("doc_id"), pa.array(_score(model, one_array(batch.column("text"))))], ["doc_id", "score"]
             )
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, score double").select(real_id(), "score")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
