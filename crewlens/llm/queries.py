@@ -15,7 +15,8 @@ from .labelled import fold
 from .language_model import lm_scores
 from .lines import line_bitmaps
 from .packing import packed
-from .rules import POLICIES, fails, ledger, verdict
+from .rules import POLICIES, ablation, fails, ledger, sole_rule, verdict
+from .shared import written
 from .simhash import near_duplicates
 from .substrings import substring_dedup
 from .token_files import token_counts
@@ -28,10 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = verdict(ledger(table(spark, sf_dir, "documents")), "strict", 1)
-    base = fails(POLICIES["base", 1]).alias("base_failed")
+    """The stored ledger under the policy ("strict", 2); rejects of one rule alone carry what the policy keeps without it."""
+    policy = ("strict", 2)
+    stored = written(ledger(table(spark, sf_dir, "documents")), "ledger")
+    book = verdict(stored, *policy).withColumn("sole_rule", sole_rule(*policy))
+    without = ablation(stored, *policy).select(F.col("rule").alias("sole_rule"), "kept_without")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return book.select("doc_id", *counts, base, "kept", F.col("failed").alias("failed_rules"))
+    base = fails(POLICIES["base", 1]).alias("base_failed")
+    joined = book.join(F.broadcast(without), "sole_rule", "left")  # one row a rule
+    return joined.select("doc_id", *counts, base, "kept", F.col("failed").alias("failed_rules"), "sole_rule", "kept_without")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +76,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_bitmaps(table(spark, sf_dir, "documents")).drop("keep_bitmap")
+    """The run lengths of ``keep_bitmap`` are joined by commas."""
+    return line_bitmaps(table(spark, sf_dir, "documents")).withColumn("keep_bitmap", F.array_join("keep_bitmap", ","))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,17 +112,25 @@ m AS (
          CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
          CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(x.n, 0) AS BIGINT) AS n_repeat_words,
-         CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_exclaims
+         CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_exclaims,
+         CAST(len(list_filter(w, lambda v: regexp_matches(v, '^[^\p{L}]+\z'))) AS BIGINT) AS n_letterless,
+         CAST(len(list_filter(l, lambda v: regexp_matches(v, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS BIGINT) AS n_ellipses,
+         CAST(len(list_filter(l, lambda v: regexp_matches(v, '^[\x20\x09-\x0D]*[-*•]'))) AS BIGINT) AS n_bullets
   FROM s LEFT JOIN x ON x.doc_id = s.doc_id),
 f AS (
   SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT)
          + 4 * CAST(10 * n_symbols > n_words AS INT) + 8 * CAST(2 * n_dup_lines > n_lines AS INT)
          + 16 * CAST(word_chars > 20 * n_words OR word_chars < 2 * n_words AS INT)
-         + 32 * CAST(2 * n_exclaims > n_words AS INT) AS failed
-  FROM m)
+         + 32 * CAST(2 * n_exclaims > n_words AS INT) + 64 * CAST(2 * n_letterless > n_words AS INT)
+         + 128 * CAST(10 * n_ellipses > 3 * n_lines AS INT) + 256 * CAST(10 * n_bullets > 9 * n_lines AS INT) AS failed
+  FROM m),
+o(bit, sole_rule) AS (
+  VALUES (1, 'few_words'), (2, 'repeated_words'), (4, 'symbols'), (8, 'repeated_lines'), (16, 'word_length'), (32, 'shouting'),
+         (64, 'letterless_words'), (128, 'ellipses'), (256, 'bullets')),
+k AS (SELECT bit, sole_rule, CAST((SELECT count(*) FROM f WHERE failed = 0 OR failed = bit) AS BIGINT) AS kept_without FROM o)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed,
-       failed = 0 AS kept, CAST(failed AS BIGINT) AS failed_rules
-FROM f
+       failed = 0 AS kept, CAST(failed AS BIGINT) AS failed_rules, sole_rule, kept_without
+FROM f LEFT JOIN k ON f.failed = k.bit
 """,
     "op6_substring_dedup": r"""
 WITH w AS (
@@ -140,9 +155,16 @@ k AS (
   SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l),
-m AS (SELECT *, CASE WHEN length(key) >= 10 THEN min(doc_id) OVER (PARTITION BY key) ELSE doc_id END AS f FROM k)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id > f) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE doc_id = f), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+m AS (SELECT *, CASE WHEN length(key) >= 10 THEN min(doc_id) OVER (PARTITION BY key) ELSE doc_id END AS f FROM k),
+i AS (SELECT doc_id, p, doc_id = f AS kept, p - row_number() OVER (PARTITION BY doc_id, doc_id = f ORDER BY p) AS island FROM m),
+r AS (SELECT doc_id, kept, min(p) AS a, count(*) AS n FROM i GROUP BY doc_id, kept, island),
+b AS (
+  SELECT doc_id, CASE WHEN arg_min(kept, a) THEN '' ELSE '0,' END || string_agg(CAST(n AS VARCHAR), ',' ORDER BY a) AS keep_bitmap
+  FROM r GROUP BY doc_id),
+s AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id > f) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE doc_id = f), '')) AS kept_sha256
+  FROM m GROUP BY doc_id)
+SELECT s.*, keep_bitmap FROM s JOIN b ON b.doc_id = s.doc_id
 """,
 }

@@ -6,12 +6,12 @@ policy never reads a text again.  ``ablation`` counts, from the masks alone, how
 policy rejects, rejects alone, and how many would be kept without it.  Only DataFrame functions are used, no row moves
 to another partition except the counted masks, of which there are at most 2^rules.
 
-Windows of three words are hashed by XXH64 and sorted with their places inside the document; windows that share
-a hash with a neighbour count as repeated.  Hash and place share one long (43 and 21 bits) in texts of up to 2^21
-words, where words of windows with equal bits are compared themselves; longer texts use pairs of hash and place.
+Windows of three words are hashed by XXH64 and sorted with their places inside the document; of windows that share a hash
+with a neighbour the words themselves are compared, in texts of any length.
 
 Defined cases: a null or empty text has no words and measures zero; repeated rows are judged alike; an empty table
-gives an empty ledger; further columns of the input are left out, so their names cannot clash.
+gives an empty ledger; further columns of the input are left out, so their names cannot clash; very long texts are measured
+whole, by arrays inside one row.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-PLACE_BITS = 21
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclaims")
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclaims", "n_letterless", "n_ellipses", "n_bullets",
+)
 
 #: Rule name to the condition under which a document fails; the order gives the bits and only grows.
 RULES: dict[str, str] = {
@@ -34,11 +35,15 @@ RULES: dict[str, str] = {
     "repeated_lines": "2 * n_dup_lines > n_lines",
     "word_length": "word_chars > 20 * n_words or word_chars < 2 * n_words",
     "shouting": "2 * n_exclaims > n_words",
+    "letterless_words": "2 * n_letterless > n_words",
+    "ellipses": "10 * n_ellipses > 3 * n_lines",
+    "bullets": "10 * n_bullets > 9 * n_lines",
 }
 #: Policy name and version to its rules.
 POLICIES: dict[tuple[str, int], tuple[str, ...]] = {
     ("base", 1): ("few_words", "repeated_words"),
-    ("strict", 1): tuple(RULES),
+    ("strict", 1): tuple(RULES)[:6],
+    ("strict", 2): tuple(RULES),
 }
 
 
@@ -56,16 +61,8 @@ def _measured(docs: DataFrame) -> DataFrame:
         F.array_remove(F.split("t", SPACES), "").alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"),
     )
-    hashed = "transform(sequence(0, size(w) - 3), i -> {})"
-    place = (1 << PLACE_BITS) - 1
-    short = F.expr(
-        f"case when size(w) between 3 and {place} then "
-        f"sort_array({hashed.format(f'(xxhash64(w[i], w[i + 1], w[i + 2]) & {~place}L) | i')}) end"
-    )
-    long = F.expr(
-        f"case when size(w) > {place} then "
-        f"sort_array({hashed.format('struct(xxhash64(w[i], w[i + 1], w[i + 2]) as h, i as i)')}) end"
-    )
+    windows = "sort_array(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) as h, i as i)))"
+    count = lambda column, pattern: F.size(F.filter(column, lambda x: x.rlike(pattern))).cast("long")
     sorted_ = split.select(
         "doc_id",
         "w",
@@ -75,24 +72,16 @@ def _measured(docs: DataFrame) -> DataFrame:
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.regexp_count("t", F.lit("!")).cast("long").alias("n_exclaims"),
-        short.alias("s"),
-        long.alias("p"),
-    )
-    near = (
-        "filter(s, (x, k) -> shiftright(x, {b}) = shiftright(get(s, k - 1), {b}) or shiftright(x, {b}) = shiftright(get(s, k + 1), {b}))"
-    ).format(b=PLACE_BITS)
-    close = sorted_.select(
-        *[c for c in sorted_.columns if c not in ("s", "p")],
-        F.expr(near).alias("s"),
-        F.expr("transform(filter(p, (x, k) -> x.h = get(p, k - 1).h or x.h = get(p, k + 1).h), x -> x.i)").alias("p"),
+        count("w", r"^[^\p{L}]+\z").alias("n_letterless"),
+        count("l", r"(\.\.\.|…)[\x20\x09-\x0D]*\z").alias("n_ellipses"),
+        count("l", r"^[\x20\x09-\x0D]*[-*•]").alias("n_bullets"),
+        F.expr(f"case when size(w) > 2 then {windows} end").alias("s"),
     )
-    # windows that agree in the kept bits of the hash: compare the words themselves
-    spelled = close.withColumn(
-        "s", F.expr(f"transform(s, x -> struct(array_join(slice(w, int(x & {place}) + 1, 3), ' ') as v, int(x & {place}) as i))")
-    ).drop("w")
+    near = F.expr("filter(s, (x, k) -> x.h = get(s, k - 1).h or x.h = get(s, k + 1).h)")
+    spelled = sorted_.withColumn("s", near).withColumn("s", F.expr("transform(s, x -> struct(array_join(slice(w, x.i + 1, 3), ' ') as v, x.i as i))"))
     proved = spelled.withColumn("s", F.sort_array("s"))
     same = "transform(filter(s, (x, k) -> x.v = get(s, k - 1).v or x.v = get(s, k + 1).v), x -> x.i)"
-    places = proved.withColumn("at", F.sort_array(F.coalesce(F.expr(same), F.col("p"), F.expr("cast(array() as array<int>)"))))
+    places = proved.withColumn("at", F.sort_array(F.coalesce(F.expr(same), F.expr("cast(array() as array<int>)"))))
     covered = F.expr("aggregate(transform(at, (x, k) -> least(3, coalesce(get(at, k + 1), x + 3) - x)), 0L, (a, x) -> a + x)")
     return places.withColumn("n_repeat_words", covered).select("doc_id", *MEASURES)
 
@@ -116,6 +105,13 @@ def verdict(book: DataFrame, name: str, version: int) -> DataFrame:
     return book.withColumn("kept", ~fails(POLICIES[name, version]))
 
 
+def sole_rule(name: str, version: int, failed: str = "failed") -> Column:
+    """The rule of a policy that alone rejects a document; null where none or several do."""
+    rules = POLICIES[name, version]
+    used = F.col(failed).bitwiseAND(F.lit(mask_of(rules)).cast("long"))
+    return F.coalesce(*[F.when(used == mask_of([r]), F.lit(r)) for r in rules])
+
+
 def ablation(book: DataFrame, name: str, version: int) -> DataFrame:
     """(rule, rejected, rejected_alone, kept_without) for each rule of a policy."""
     rules = POLICIES[name, version]
