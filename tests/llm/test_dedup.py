@@ -27,7 +27,7 @@ def test_xxh64_of_many_lengths():
 def test_line_dedup(frame, awkward):
     got = lines.line_bitmaps(frame(awkward)).collect()
     assert by((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == by((i, n, d, plain.sha(t)) for i, n, d, t, _ in plain.lines(awkward))
-    assert by((r.doc_id, lines.unpack_bitmap(r.keep_bitmap, r.n_lines)) for r in got) == by((i, k) for i, *_, k in plain.lines(awkward))
+    assert by((r.doc_id, lines.unpack_bitmap(r.keep_bitmap)) for r in got) == by((i, k) for i, *_, k in plain.lines(awkward))
 
 
 def test_line_dedup_keeps_columns(frame, awkward):
@@ -61,7 +61,7 @@ def test_long_lists_lose_no_link(frame, spark):
             flips = rng.choice(64, rng.integers(1, 6), replace=False)
             prints.add(int(b) ^ sum(1 << int(x) for x in flips))
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    links = simhash.components(simhash.edges(spark.createDataFrame(signed, "fp long"), list_limit=8)).collect()
+    links = simhash.components(simhash.edges(spark.createDataFrame(signed, "f0 long"), list_limit=8)).collect()
     root = {r.u: r.root for r in links}
     got = {}
     for (p,) in signed:
@@ -87,10 +87,88 @@ def test_a_chain_is_one_component(spark):
 
 def test_one_of_each_group(frame, awkward):
     docs = frame(awkward)
-    kept = simhash.one_of_each_group(docs)
-    wanted = [i for (i, _), (_, _, c) in zip(awkward, plain.near(awkward), strict=True) if i is None or i == c]
+    kept = simhash.one_of_each_group(docs, simhash.NEAR)
+    wanted = sorted({plain.key_of(c) for _, _, c in plain.near(awkward)})
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i in wanted)
+    assert sorted(plain.key_of(r.doc_id) for r in kept.collect()) == wanted
+
+
+def test_one_of_each_group_drops_rows_not_ids(frame):
+    rows = [(1, "a text that is here twice in all"), (2, "a text that is here twice in all"), (2, "quite another text with the same id")]
+    got = simhash.one_of_each_group(frame(rows), simhash.NEAR).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([rows[0], rows[2]])
+
+
+def test_the_largest_id_is_an_id(frame):
+    rows = [(plain.LARGEST, "a text that is here three times in all\nwith a second line"), (None, "a text that is here three times in all\nwith a second line")]
+    assert {r.component_id for r in simhash.near_duplicates(frame(rows)).collect()} == {plain.LARGEST}
+    assert {r.doc_id: r.n_dropped for r in lines.line_bitmaps(frame(rows)).collect()} == {plain.LARGEST: 0, None: 2}
+    got = {r.doc_id: r.n_removed for r in substrings.substring_dedup(frame(rows), 3).collect()}
+    assert got == {plain.LARGEST: 0, None: 13}
+
+
+def wide_groups(rows):
+    """The ids of which one row stays, by all pairs of wide fingerprints."""
+    prints, root = [], list(range(len(rows)))
+    for _, t in rows:
+        h, offsets = texts.shingle_hashes(*texts.split_words(pa.array([t or ""]), lower=True), 5)
+        prints.append(simhash.wide_bits(h, offsets, simhash.WIDE)[0])
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.WIDE_RADIUS:
+                root[find(a)] = find(b)
+    out = {}
+    for k, (i, _) in enumerate(rows):
+        out[find(k)] = min(out.get(find(k), plain.LARGEST), plain.key_of(i))
+    return sorted(out.values())
+
+
+def edited(rng, size, changes):
+    base = [f"v{rng.randint(0, 5000)}" for _ in range(size)]
+    copy = base[:]
+    for p in rng.sample(range(size), changes):
+        copy[p] = "edited"
+    return " ".join(base), " ".join(copy)
+
+
+def test_similar_groups(frame, awkward):
+    """Close pairs, a group of many near copies, null and repeated ids; few groups differ from those of all pairs."""
+    rng = random.Random(6)
+    rows = list(awkward)
+    for k in range(60):
+        rows += zip((1000 + 2 * k, 1001 + 2 * k), edited(rng, 300, 1 + k % 3), strict=True)
+    many = [f"m{j}" for j in range(200)]
+    rows += [(3000 + k, " ".join(many[:k] + ["x"] + many[k + 1 :])) for k in range(100)]
+    rows += [(4000, "one two three"), (4000, "ONE two three"), (4001, "")]
+    rng.shuffle(rows)
+    docs = frame(rows)
+    got = simhash.one_of_each_similar(docs)
+    assert got.columns == docs.columns
+    kept, want = sorted(plain.key_of(r.doc_id) for r in got.collect()), wide_groups(rows)
+    assert set(want) <= set(kept) and len(kept) - len(want) <= 3
+    assert sum(3000 <= i < 4000 for i in kept) == 1
+
+
+def test_similar_recall(frame):
+    """The share of pairs that are found, by their similarity; unlike texts are left alone."""
+    rng = random.Random(7)
+    rows, alike = [], {}
+    for k in range(400):
+        pair = edited(rng, 300, 1 + k % 24)
+        rows += zip((2 * k, 2 * k + 1), pair, strict=True)
+        a, b = (set(plain.shingles(t)) for t in pair)
+        alike[2 * k + 1] = len(a & b) / len(a | b)
+    left = {r.doc_id for r in simhash.one_of_each_similar(frame(rows)).collect()}
+    assert all(i in left for i, s in alike.items() if s < 0.6)
+    share = lambda low, high: np.mean([i not in left for i, s in alike.items() if low <= s < high])
+    print({x: round(float(share(x, x + 0.05)), 2) for x in (0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)})
+    assert share(0.9, 1.01) > 0.9 and share(0.85, 0.9) > 0.7
 
 
 @pytest.fixture(scope="module")
@@ -110,7 +188,7 @@ def leaks():
     return rows, items
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 24, 300])
+@pytest.mark.parametrize("part_bytes", [1 << 24, 3000])
 def test_contamination(frame, spark, leaks, part_bytes):
     rows, items = leaks
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -120,6 +198,30 @@ def test_contamination(frame, spark, leaks, part_bytes):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i or 0 for i, t in rows if not plain.contaminated(t, items))
 
 
+def test_blocks_find_all_within_the_radius():
+    """Fingerprints within the radius always meet; items that meet by chance are few."""
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 1 << 63, (500, decontaminate.PRINT_WORDS), dtype=np.uint64)
+    items = decontaminate.Items(list(range(500)), [np.arange(k * 9, k * 9 + 9, dtype=np.uint64) for k in range(500)], 0.8)
+    values = decontaminate._block_values(prints)
+    items.lists = []
+    for v in values.T:
+        key = 9 << 16 | v
+        order = np.argsort(key, kind="stable")
+        items.lists.append((key[order], order))
+    near = prints.copy()
+    for row in near:
+        for bit in rng.choice(256, decontaminate.RADIUS, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    window, item = items.met(9, near)
+    assert set(zip(range(500), range(500))) <= set(zip(window.tolist(), item.tolist(), strict=True))
+    assert len(items.met(8, near)[0]) == 0
+    strange = rng.integers(0, 1 << 63, (500, decontaminate.PRINT_WORDS), dtype=np.uint64)
+    share = len(items.met(9, strange)[0]) / 500**2
+    print("met by chance", share)
+    assert share < 0.05
+
+
 def test_nothing_in_nothing_out(frame, spark):
     none = frame([(1, "a")]).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
