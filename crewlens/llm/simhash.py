@@ -1,24 +1,35 @@
 """SimHash near-dedup: positional-byte inverted index, count filtering, verification, components.
 
-A fingerprint has eight positional bytes.  Two fingerprints that differ in at most ``radius`` = 4 bits differ
-in at most four bytes, so they share at least four positional bytes: the guaranteed minimum.  Posting lists
-are kept for triples of positional bytes instead of single ones, so that lists stay short: 20 triples such
-that any four of the eight positions hold one of them (two groups of three positions and one of two; all
-triples inside a group, and those with two positions in a group and one in the next).  Pairs that meet in a
-posting list have their shared bytes tallied; pairs with at least four are verified by their bits.
-
-Fingerprints are made distinct first, so exact copies cost one posting.  Inside a list pairs are compared
-in memory and only a spanning star of each connected piece leaves the task, so a list of m fingerprints
-gives fewer than m rows.  A list longer than ``list_limit`` is split by a hash into pieces, and each pair of
-pieces becomes a list of its own: every pair still meets, in tasks of bounded size.  Components come from
-alternating large-star and small-star steps over the written edges.
-
-Defined cases: null and empty texts have fingerprint zero and link like any other; repeated ids stay separate
-rows and share the component; null doc_ids count as the largest id; an empty table gives an empty result.
+A fingerprint is one or more 64-bit words of eight positional bytes.  Documents are posted under groups of three
+positional bytes, not single ones, whose lists would hold a 256th of the corpus each.  In a posting list the bytes that
+two fingerprints share are tallied over all positions; pairs that reach the least number of shared bytes are verified by
+their differing bits.
+
+* ``near_duplicates`` (64 bits): two fingerprints that differ in at most ``radius`` = 4 bits differ in at most four bytes,
+  so they share at least four of eight, the guaranteed minimum.  20 triples are such that any four of the eight positions
+  hold one of them (two groups of three positions and one of two; all triples inside a group, and those with two
+  positions in a group and one in the next), so no link is missed.
+* ``one_of_each_similar`` (``WIDE`` words): for a similarity of 0.8 a bit differs with a probability of arccos(8/9) / pi,
+  0.15, so in 64 bits near ten differ and no byte is sure to be shared.  Here four words have 32 bytes, those of each word in
+  two groups of four and again in two others; a document is posted under the four triples of each group.  Two fingerprints
+  that share 17 bytes always meet, others with the probabilities in the README.  Pairs with ``WIDE_SHARED`` bytes in common are
+  verified: at most ``WIDE_RADIUS`` differing bits, those expected of similarity 0.8.
+
+Fingerprints are made distinct first, so exact copies cost one posting.  Inside a list pairs are compared in memory, and a
+member that is already linked is not compared with others of its piece; only a spanning star of each connected
+piece leaves the task, so a list of m fingerprints gives fewer than m rows.  A list longer than ``list_limit`` is split by a
+hash into pieces, and each pair of pieces becomes a list of its own: every pair still meets, in tasks of bounded
+size.  Components come from alternating large-star and small-star steps over the written edges.  Joins on fingerprints, stars'
+centres and components may be hot and use ``spread_join``.
+
+Defined cases: null and empty texts have fingerprint zero and link like any other; repeated ids stay separate rows and
+share the component; a null doc_id counts as the largest id, and a component of such rows alone has a null id; very long
+texts are fingerprinted whole, a million shingles at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -26,17 +37,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .texts import NO_ID, id_and_text, one_array, ranges, real_id, shingle_hashes, slices, split_words
+from .shared import discard, spread_join, task_count, written, written_at
+from .texts import P1, id_and_text, mix64, one_array, ranges, same_row, shingle_hashes, slices, split_words
 
-SHINGLE = 4
-RADIUS = 4
 LIST_LIMIT = 4096
-GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
-TRIPLES = [t for g in GROUPS for t in combinations(g, 3)] + [
-    (*pair, one) for i, g in enumerate(GROUPS) for pair in combinations(g, 2) for one in GROUPS[(i + 1) % 3]
-]
 BIT_ROWS = 1 << 20
+SHORT_LIST = 48
+
+
+@dataclass(frozen=True)
+class Rule:
+    """How documents are fingerprinted and when two fingerprints link."""
+
+    shingle: int
+    words: int
+    radius: int
+    shared: int
+    triples: tuple[tuple[int, ...], ...]
+
+    def masks(self) -> list[tuple[int, int]]:
+        """Of each triple the word and the signed mask of its bytes."""
+        out = []
+        for t in self.triples:
+            mask = sum(0xFF << (8 * (b % 8)) for b in t)
+            out.append((t[0] // 8, mask - (1 << 64) if mask >> 63 else mask))
+        return out
+
+
+GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+NEAR = Rule(
+    shingle=4,
+    words=1,
+    radius=4,
+    shared=4,
+    triples=tuple(t for g in GROUPS for t in combinations(g, 3))
+    + tuple((*pair, one) for i, g in enumerate(GROUPS) for pair in combinations(g, 2) for one in GROUPS[(i + 1) % 3]),
+)
+WIDE, WIDE_RADIUS, WIDE_SHARED = 4, 39, 5
+FOURS = ((0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 4, 5), (2, 3, 6, 7))
+SIMILAR = Rule(
+    shingle=5,
+    words=WIDE,
+    radius=WIDE_RADIUS,
+    shared=WIDE_SHARED,
+    triples=tuple(t for w in range(WIDE) for four in FOURS for t in combinations([8 * w + b for b in four], 3)),
+)
 
 
 def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -64,110 +109,166 @@ def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_hash: bool = False) -> DataFrame:
-    """(doc_id, fp) for each row of documents, and a hash of the text where it is asked for; ids as inside the operators."""
-    names = ["doc_id", "text_hash"] if text_hash else ["doc_id"]
+def wide_bits(hashes: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of ``words`` words, shape (runs, words); the first is that of the hashes, the others of scrambles of them."""
+    cols = [majority_bits(hashes, offsets)]
+    with np.errstate(over="ignore"):
+        for k in range(1, words):
+            cols.append(majority_bits(mix64(hashes + np.uint64(k) * P1), offsets))
+    return np.stack(cols, axis=1)
+
+
+def nodes_of(prints: np.ndarray) -> np.ndarray:
+    """One number for each fingerprint: itself, or a 64-bit hash of several words."""
+    out = prints[:, 0].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, prints.shape[1]):
+            out = mix64(out * P1 + prints[:, k])
+    return out
+
+
+def _print_names(rule: Rule) -> list[str]:
+    return [f"f{k}" for k in range(rule.words)]
+
+
+def fingerprints(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
+    """(doc_id, text_hash, node, f0, ...) for each row of documents."""
+    names = ["doc_id", "text_hash", "node", *_print_names(rule)]
 
     def run(batches):
         for batch in slices(batches):
-            hashes, offsets = shingle_hashes(*split_words(one_array(batch.column("text")), lower=True), shingle)
-            fp = majority_bits(hashes, offsets)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fp.view(np.int64))], [*names, "fp"])
+            hashes, offsets = shingle_hashes(*split_words(one_array(batch.column("text")), lower=True), rule.shingle)
+            prints = wide_bits(hashes, offsets, rule.words)
+            found = [pa.array(x.view(np.int64)) for x in (nodes_of(prints), *np.ascontiguousarray(prints.T))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *found], names)
 
-    read = id_and_text(docs)
-    read = read.withColumn("text_hash", F.xxhash64("text")) if text_hash else read
-    return read.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
+    return id_and_text(docs, text_hash=True).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _stars(fp: np.ndarray, length: np.ndarray, first: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of lists laid end to end: members and the smallest member of their connected piece, where it is another."""
+def _linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
+    """Places at which two arrays of fingerprints (rows, words) share enough bytes and differ in few bits."""
+    apart = a ^ b
+    shared = (apart.view(np.uint8).reshape(len(apart), 8 * apart.shape[1]) == 0).sum(1)  # the tally
+    at = np.flatnonzero(shared >= rule.shared)
+    return at[np.bitwise_count(apart[at]).sum(1, dtype=np.int64) <= rule.radius]
+
+
+def _stars_of_short(fp: np.ndarray, length: np.ndarray, first: np.ndarray, rule: Rule) -> np.ndarray:
+    """Of short lists laid end to end: each member's smallest connected place."""
     label = np.arange(len(fp))
     left = np.repeat(first + length, length) - label - 1
     links = []
     for lag in range(1, int(length.max(initial=1))):
         i = np.flatnonzero(left >= lag)
-        apart = fp[i] ^ fp[i + lag]
-        shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        i, apart = i[shared >= 8 - radius], apart[shared >= 8 - radius]
-        i = i[np.bitwise_count(apart) <= radius]
+        i = i[_linked(fp[i], fp[i + lag], rule)]
         if len(i):
             links.append(np.stack([i, i + lag]))
-    if not links:
-        return fp[:0], fp[:0]
-    a, b = np.concatenate(links, axis=1)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
+    if links:
+        a, b = np.concatenate(links, axis=1)
+        while True:
+            low = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            label = label[label]
+            if (label == before).all():
+                break
+    return label
+
+
+def _stars_of_long(fp: np.ndarray, rule: Rule) -> np.ndarray:
+    """The same for one long list: what is linked leaves those that are still compared."""
+    label = np.arange(len(fp))
+    rest = np.arange(1, len(fp))
+    front, root = [0], 0
+    while front or len(rest):
+        if not front:
+            root, rest = int(rest[0]), rest[1:]
+            front = [root]
+        at = front.pop()
+        if not len(rest):
             break
-    i = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[i], fp[label[i]]
-
-
-def _linked(radius: int):
-    """Streams over (key, fp), sorted, and yields the stars of each list; the last list of a batch is held back."""
+        hit = _linked(fp[rest], fp[at][None, :], rule)
+        if len(hit):
+            found = rest[hit]
+            label[found] = root
+            front.extend(found.tolist())
+            rest = np.delete(rest, hit)
+    return label
+
+
+def _stars(key: np.ndarray, fp: np.ndarray, rule: Rule) -> pa.RecordBatch:
+    """(u, v): of whole lists, sorted by key, members and the first member of their connected piece, where it is another."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    length = np.diff(np.concatenate([first, [len(key)]]))
+    short = (length > 1) & (length <= SHORT_LIST)
+    rows, size = ranges(first[short], length[short]), length[short]
+    found = rows[_stars_of_short(fp[rows], size, np.cumsum(size) - size, rule)]
+    member, root = [rows], [found]
+    for a, n in zip(first[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
+        member.append(np.arange(a, a + n))
+        root.append(a + _stars_of_long(fp[a : a + n], rule))
+    member, root = np.concatenate(member), np.concatenate(root)
+    other = member != root
+    u, v = (nodes_of(fp[x[other]]).view(np.int64) for x in (member, root))
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _met(rule: Rule):
+    """Streams over (key, f0, ...), sorted, and yields the stars of each list; the last list of a batch is held back."""
+    names = _print_names(rule)
 
     def run(batches):
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def stars(key: np.ndarray, fp: np.ndarray):
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            length = np.diff(np.concatenate([first, [len(key)]]))
-            many = length > 1
-            rows = ranges(first[many], length[many])
-            size = length[many]
-            member, root = _stars(fp[rows].view(np.uint64), size, np.cumsum(size) - size, radius)
-            return pa.RecordBatch.from_arrays([pa.array(member.view(np.int64)), pa.array(root.view(np.int64))], ["u", "v"])
-
+        key, fp = np.zeros(0, np.int64), np.zeros((0, rule.words), np.uint64)
         for batch in batches:
+            new = np.stack([np.asarray(batch.column(x)).view(np.uint64) for x in names], axis=1)
             key = np.concatenate([key, np.asarray(batch.column("key"))])
-            fp = np.concatenate([fp, np.asarray(batch.column("fp"))])
-            if len(key):
-                cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-                if cut:
-                    yield stars(key[:cut], fp[:cut])
-                    key, fp = key[cut:], fp[cut:]
+            fp = np.concatenate([fp, new])
+            if len(key) and key[0] != key[-1]:
+                cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+                yield _stars(key[:cut], fp[:cut], rule)
+                key, fp = key[cut:], fp[cut:]
         if len(key):
-            yield stars(key, fp)
+            yield _stars(key, fp, rule)
 
     return run
 
 
-def edges(distinct: DataFrame, radius: int = RADIUS, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """(u, v): links between distinct fingerprints whose components are those of all links."""
-    masks = [sum(0xFF << (8 * b) for b in t) for t in TRIPLES]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    index = distinct.select("fp", F.explode(keys).alias("key"))
-    long = index.groupBy("key").count().filter(F.col("count") > list_limit)
+def edges(distinct: DataFrame, rule: Rule = NEAR, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """(u, v): links between nodes of distinct fingerprints (f0, ...) whose components are those of all links."""
+    names = _print_names(rule)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col(f"f{w}").bitwiseAND(F.lit(m))) for i, (w, m) in enumerate(rule.masks())])
+    index = distinct.select(*names, F.explode(keys).alias("key"))
+    long = index.groupBy("key").count().filter(F.col("count") > list_limit)  # few; their rows are spread by the pieces
     pieces = F.coalesce(F.ceil(2 * F.col("count") / list_limit), F.lit(1)).cast("int")
     placed = index.join(long, "key", "left").withColumn("pieces", pieces)
-    own = F.pmod(F.xxhash64("fp"), F.col("pieces"))
+    own = F.pmod(F.xxhash64(*names), F.col("pieces"))
     lists = F.when(F.col("pieces") == 1, F.array("key")).otherwise(
         F.transform(
             F.sequence(F.lit(0).cast("long"), F.col("pieces").cast("long") - 1),
             lambda o: F.xxhash64(F.col("key"), F.least(own, o), F.greatest(own, o)),
         )
     )
-    dealt = placed.select("fp", F.explode(lists).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_linked(radius), "u long, v long")
+    dealt = placed.select(*names, F.explode(lists).alias("key")).repartition("key").sortWithinPartitions("key", *names)
+    return dealt.mapInArrow(_met(rule), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(u, root): the smallest node of each node's component, for nodes that are not it."""
+    spark = links.sparkSession
     both = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    graph = written(both, "links")
+    graph, path = written_at(both, "links")
     while True:
         before = _print(graph)
         around = graph.union(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = spread_join(around, least, ["u"], "degree", 2 * before[0])  # a centre may have a third of all edges
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        graph = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "links")
+        step = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
+        old, (graph, path) = path, written_at(step, "links")
+        discard(spark, old)
         if _print(graph) == before:
             return graph.select("u", F.col("v").alias("root"))
 
@@ -178,32 +279,48 @@ def _print(graph: DataFrame) -> tuple:
     return tuple(graph.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)"))).first())
 
 
-def _grouped(docs: DataFrame, shingle: int, radius: int, list_limit: int, text_hash: bool = False) -> DataFrame:
-    """The rows of fingerprints() with the component_id, ids as inside the operators."""
-    fps = written(fingerprints(docs, shingle, text_hash), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(edges(distinct.select("fp"), radius, list_limit))
-    rooted = distinct.join(roots, distinct["fp"] == roots["u"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+def _grouped(docs: DataFrame, rule: Rule, list_limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of fingerprints(), and of each fingerprint (node, root, copies), root being the node of its component."""
+    fps = written(fingerprints(docs, rule), "fingerprints")
+    names = _print_names(rule)
+    distinct = written(
+        fps.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct"
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp")
+    roots = components(edges(distinct.select(*names), rule, list_limit)).select(F.col("u").alias("node"), "root")
+    rooted = distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "copies")
+    return fps, written(rooted, "rooted")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, list_limit: int = LIST_LIMIT
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = NEAR, list_limit: int = LIST_LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of documents."""
-    return _grouped(docs, shingle, radius, list_limit).select(
-        real_id(), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component_id")
+    fps, rooted = _grouped(docs, rule, list_limit)
+    groups = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    of_node = spread_join(rooted, groups, ["root"], "members", rooted.count()).select("node", "component_id", "copies")
+    named = spread_join(fps, of_node, ["node"], "copies", fps.count())
+    word = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
+    return named.select("doc_id", F.concat(*[word(x) for x in _print_names(rule)]).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, rule: Rule, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """The documents, all columns: one row of each near-duplicate group.
+
+    It is the row with the smallest id, then hash of the text, then the other columns, also where ids are null or repeated.
+    """
+    fps, rooted = _grouped(docs, rule, list_limit)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    of_node = fps.groupBy("node").agg(F.min(rank).alias("k"))
+    first = rooted.join(of_node, "node").groupBy("root").agg(F.min("k").alias("k"))
+    chosen = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    counted = fps.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = written(
+        counted.join(chosen, counted["_id"].eqNullSafe(chosen["_id"]) & (counted["_hash"] == chosen["_hash"]), "left_semi"), "kept"
     )
+    once, often = kept.filter("_n = 1"), kept.filter("_n > 1")
+    single = docs.join(once, same_row(docs, once, "_id", "_hash"), "left_semi")
+    many = docs.join(often, same_row(docs, often, "_id", "_hash"), "left_semi").select(F.struct(*[docs[x] for x in docs.columns]).alias("w"))
+    return single.union(many.groupBy("w.doc_id", F.xxhash64(F.coalesce("w.text", F.lit("")))).agg(F.min("w").alias("w")).select("w.*"))
 
 
-def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, whose id is the smallest of their near-duplicate group; rows that repeat it and null ids stay."""
-    limits = {"shingle": SHINGLE, "radius": RADIUS, "list_limit": LIST_LIMIT} | how
-    late = _grouped(docs, **limits, text_hash=True).filter((F.col("component_id") < F.col("doc_id")) & (F.col("doc_id") < NO_ID))
-    late = late.select(F.col("doc_id").alias("_late_id"), F.col("text_hash").alias("_late_text")).distinct()
-    same = (docs["doc_id"].cast("long") == late["_late_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == late["_late_text"])
-    return docs.join(late, same, "left_anti")
+def one_of_each_similar(docs: DataFrame) -> DataFrame:
+    """One document of each group of five-word-shingle similarity 0.8 or more, as wide fingerprints estimate it."""
+    return one_of_each_group(docs, SIMILAR)
