@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, dashboards, details, filters, listings, stages, streams, texts
+from . import accounts, dashboards, details, filters, listings, resumes, stages, streams, texts
 
-MODULES = (filters, stages, dashboards, texts, accounts, listings, streams, details)
+MODULES = (filters, stages, dashboards, texts, accounts, listings, streams, details, resumes)
 
 
 def queries() -> dict:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import resumes as made
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 VIEWS = {
@@ -92,6 +94,21 @@ VIEWS = {
 }
 
 
+def _resumes() -> str:
+    """The same résumés as ``sources.resumes``."""
+    lists = lambda xs: "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in xs) + "]"
+    year = lambda more: f"CAST((doc_id + i - 1) % {made.YEARS} + {made.FIRST_YEAR + more} AS VARCHAR)"
+    insert = f"{lists(made.INSERTS)}[(doc_id + i - 1) % {len(made.INSERTS)} + 1]"
+    for mark, value in (("{y}", year(0)), ("{z}", year(2)), ("{c}", f"{lists(made.COMPANIES)}[doc_id % {len(made.COMPANIES)} + 1]")):
+        insert = f"replace({insert}, '{mark}', {value})"
+    head = "'Asha Verma Pune, India asha' || doc_id || '@mail.example' || chr(10) || 'email: asha' || doc_id || '@mail.example' || chr(10)"
+    lines = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {insert} || chr(10) || x)"
+    return f"SELECT doc_id AS id, {head} || array_to_string({lines}, chr(10)) AS text FROM documents"
+
+
+VIEWS["resumes"] = _resumes()
+
+
 def with_views(sql: str) -> str:
     """The statement with the views that it names, and those that they name, in front."""
     body = sql.strip()
