@@ -13,6 +13,7 @@ from ..operators import pipeline as p
 from ..operators import scope
 from ..operators import windows as w
 from ..sources import views as v
+from ..sources.resumes import resumes
 from .sql_views import Register
 
 register = Register()
@@ -34,10 +35,20 @@ def t8_merged_lines(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(r.merged_lines(F.col("text"))).alias("digest"))
 
 
+@register()
+def t7_header_breaks(spark, d):
+    return resumes(spark, d).select("id", F.md5(r.header_breaks(F.col("text"))).alias("digest"))
+
+
+@register()
+def t9_split_headers(spark, d):
+    return resumes(spark, d).select("id", F.md5(r.split_headers(F.col("text"))).alias("digest"))
+
+
 @register()
 def t10_cleaned(spark, d):
-    """The chain of T10 without its steps T7 and T9 (line-state repair of headers), which are not here."""
-    return _docs(spark, d).select("doc_id", F.md5(r.cleaned(F.col("text"))).alias("digest"))
+    """The whole cleaning chain over the résumés."""
+    return resumes(spark, d).select("id", F.md5(r.cleaned(F.col("text"))).alias("digest"))
 
 
 @register()

@@ -34,12 +34,25 @@ def t1_line_breaks(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(t.line_breaks(F.col("text"))).alias("digest"))
 
 
+TORN = D
+for torn_, to_ in ((t.TORN_DASHES, "-"), (t.TORN_BULLETS, " ")):
+    for x_ in torn_:
+        TORN = f"replace({TORN}, '{x_}', '{to_}')" if x_ != t.TORN_DASHES[0] else f"replace(_x, '{x_}', '{to_}')"
+WHOLE_WORDS = "x"
+for torn_, to_ in t.TORN_WORDS.items():
+    spaced_ = torn_.replace(" ", "\\s+")
+    WHOLE_WORDS = f"regexp_replace({WHOLE_WORDS}, '(?i)\\b{spaced_}\\b', '{to_}', 'g')"
+MAIL = t.FRAGMENTED
+
+
 @register(rf"""
-WITH a AS (SELECT doc_id, translate(regexp_replace(replace(replace({D}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\(cid:\d+\)', ' ', 'g'), '–—―•▪◦⁃∙·' || chr(160), '---       ') AS x FROM documents),
-b AS (SELECT doc_id, regexp_replace(x, '(?i)\b([A-Z0-9._%+-]+)[ \t]*@[ \t]*([A-Z0-9.-]+)[ \t]*\.[ \t]*([A-Z]{{2,}})\b', '\1@\2.\3', 'g') AS x FROM a),
-c AS (SELECT doc_id, regexp_replace(x, '(?i)\b([jfmasond])[ \t]+(anuary|ebruary|arch|pril|ay|une|uly|eptember|ctober|ovember|ecember)\b', '\1\2', 'g') AS x FROM b),
+WITH a0 AS (SELECT doc_id, translate(regexp_replace(replace(replace({D}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\(cid:\d+\)', ' ', 'g'), '–—―•▪◦⁃∙·' || chr(160), '---       ') AS _x FROM documents),
+a AS (SELECT doc_id, {TORN} AS x FROM a0),
+b0 AS (SELECT doc_id, regexp_split_to_array(x, '{MAIL}') AS p, regexp_extract_all(x, '{MAIL}', 1) AS l, regexp_extract_all(x, '{MAIL}', 2) AS m, regexp_extract_all(x, '{MAIL}', 3) AS r FROM a),
+b AS (SELECT doc_id, array_to_string(list_transform(p, lambda y, i: y || coalesce(l[i] || '@' || regexp_replace(m[i], '\s+', '', 'g') || '.' || r[i], '')), '') AS x FROM b0),
+c AS (SELECT doc_id, regexp_replace(x, '(?i)\b([jfmasond])[ \t]+(anuary|ebruary|arch|pril|ay|une|uly|ugust|eptember|ctober|ovember|ecember)\b', '\1\2', 'g') AS x FROM b),
 e AS (SELECT doc_id, regexp_replace(regexp_replace(x, '\b([A-Z]{{3,}})[ \t]+([A-Z]{{1,2}})[ \t]+([A-Z]{{3,}})\b', '\1\2\3', 'g'), '\b([A-Z]{{4,}})[ \t]+([A-Z]{{2,3}})\b', '\1\2', 'g') AS x FROM c)
-SELECT doc_id, md5(regexp_replace(x, '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g')) AS digest FROM e""")
+SELECT doc_id, md5(regexp_replace({WHOLE_WORDS}, '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g')) AS digest FROM e""")
 def t2_artifacts(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(t.artifacts(F.col("text"))).alias("digest"))
 
