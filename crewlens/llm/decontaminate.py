@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Words are lower-cased A-Z; shingles have five words.  A window as long as an item can only reach similarity ``least`` if that
-share of the item's shingles occurs in it, so windows are looked for only where shingles of any item occur and are counted by
+Words are lower-cased A-Z; shingles have five words.  A window of m shingles can only reach similarity ``least`` = t to an item of n
+if they share t (n + m) / (1 + t), so windows are looked for only where shingles of items of that size occur, counted by
 prefix sums.  Such windows and all items have SimHash fingerprints of ``PRINT_WORDS`` words.  Their bits lie in 16 blocks of 16;
 fingerprints within ``radius`` = 47 bits differ in at most ``FLIPS`` = 2 bits of some block, so looking up every block with up to
 two bits flipped finds them all.  Of the items of a window's size about three in a hundred are met by chance.  Items that are met are
@@ -40,6 +40,7 @@ RADIUS = BLOCKS * (FLIPS + 1) - 1
 PART_BYTES = 32 << 20
 ITEM_BYTES = 512  # fingerprint, index entries and objects of an item, beside 16 bytes a shingle
 FILTER_BITS = 22
+WINDOWS = 256
 #: What is done to a block of 16 bits before it is looked up.
 PROBES = np.array([sum(1 << b for b in flip) for k in range(FLIPS + 1) for flip in combinations(range(16), k)], np.int64)
 
@@ -80,10 +81,12 @@ class Items:
     def __post_init__(self):
         sizes = np.array([len(s) for s in self.shingles], np.int64)
         every = np.concatenate(self.shingles) if len(sizes) else np.zeros(0, np.uint64)
-        self.known = np.unique(every)
+        # distinct shingles, and of each the sizes of the items that have it
+        own = np.unique(np.stack([every, np.repeat(sizes, sizes).astype(np.uint64)]), axis=1) if len(every) else np.zeros((2, 0), np.uint64)
+        self.known, self.first, self.count = np.unique(own[0], return_index=True, return_counts=True)
+        self.own_sizes = own[1].astype(np.int64)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - FILTER_BITS)] = True
-        self.sizes = np.unique(sizes[sizes > 0]).tolist()
         prints = wide_bits(every, np.concatenate([[0], np.cumsum(sizes)]), PRINT_WORDS)
         full = np.flatnonzero(sizes)
         #: Of each block the items, sorted by their size and the block's bits, and these keys.
@@ -93,11 +96,11 @@ class Items:
             order = np.argsort(key, kind="stable")
             self.lists.append((key[order], full[order]))
 
-    def met(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and items of this size that agree in some block but for ``FLIPS`` bits."""
+    def met(self, sizes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items of their sizes that agree in some block but for ``FLIPS`` bits."""
         pairs = []
         for (keys, items), value in zip(self.lists, _block_values(prints).T, strict=True):
-            wanted = (size << 16) + (value[:, None] ^ PROBES)
+            wanted = (sizes[:, None] << 16) + (value[:, None] ^ PROBES)
             low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, side="right")
             n = (high - low).ravel()
             at = np.flatnonzero(n)
@@ -107,32 +110,39 @@ class Items:
         every = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         return every // max(len(self.ids), 1), every % max(len(self.ids), 1)
 
-    def hits(self, shingles: np.ndarray) -> np.ndarray:
-        """Where shingles of any item are."""
+    def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where shingles of any item are, and which."""
         at = np.flatnonzero(self.filter[shingles >> np.uint64(64 - FILTER_BITS)])
         place = np.minimum(np.searchsorted(self.known, shingles[at]), max(len(self.known) - 1, 0))
-        return at[self.known[place] == shingles[at]] if len(at) else at
-
-    def matches(self, shingles: np.ndarray, hits: np.ndarray) -> dict[int, float]:
-        """Items found in one document's shingles, with the best similarity of each."""
-        found: dict[int, float] = {}
-        seen = np.zeros(len(shingles) + 1, np.int64)
-        seen[hits + 1] = 1
-        seen = np.cumsum(seen)
-        for size in self.sizes:
-            need = int(np.ceil(self.least * size - 1e-9))
-            if len(hits) < need:
+        good = self.known[place] == shingles[at] if len(at) else np.zeros(0, bool)
+        return at[good], place[good]
+
+    def windows(self, length: int, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(start, stop, size) of a document's windows that share enough shingles with items of that size."""
+        of_hit = self.own_sizes[ranges(self.first[place], self.count[place])]
+        where = np.repeat(at, self.count[place])
+        found = []
+        for size in np.unique(of_hit).tolist():
+            own = where[of_hit == size]
+            if len(own) < self.least * size / (1 + self.least):
                 continue
             # starts before the text stand for windows that it cuts short
-            start = np.unique(ranges(hits - size + 1, np.full(len(hits), size)))
-            a, b = np.maximum(start, 0), np.minimum(start + size, len(shingles))
-            good = seen[b] - seen[a] >= need
+            start = np.unique(ranges(own - size + 1, np.full(len(own), size)))
+            a, b = np.maximum(start, 0), np.minimum(start + size, length)
+            shared = np.searchsorted(own, b) - np.searchsorted(own, a)
+            good = shared >= np.ceil(self.least * (size + b - a) / (1 + self.least) - 1e-9)
             spans = np.unique(np.stack([a[good], b[good]], axis=1), axis=0)
-            if not len(spans):
-                continue
-            rows = ranges(spans[:, 0], spans[:, 1] - spans[:, 0])
-            edges = np.concatenate([[0], np.cumsum(spans[:, 1] - spans[:, 0])])
-            for w, i in zip(*(x.tolist() for x in self.met(size, wide_bits(shingles[rows], edges, PRINT_WORDS))), strict=True):
+            found.append(np.column_stack([spans, np.full(len(spans), size)]))
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+
+    def matches(self, shingles: np.ndarray, at: np.ndarray, place: np.ndarray) -> dict[int, float]:
+        """Items found in one document's shingles, with the best similarity of each."""
+        found: dict[int, float] = {}
+        every = self.windows(len(shingles), at, place)
+        for spans in np.array_split(every, -(-len(every) // WINDOWS)) if len(every) else ():  # bounded pieces
+            length = spans[:, 1] - spans[:, 0]
+            prints = wide_bits(shingles[ranges(spans[:, 0], length)], np.concatenate([[0], np.cumsum(length)]), PRINT_WORDS)
+            for w, i in zip(*(x.tolist() for x in self.met(spans[:, 2], prints)), strict=True):
                 if found.get(i, 0.0) < 1.0:
                     s = weighted_jaccard(shingles[spans[w, 0] : spans[w, 1]], self.shingles[i])
                     if s >= self.least and s > found.get(i, 0.0):
@@ -142,7 +152,7 @@ class Items:
 
 def _block_values(prints: np.ndarray) -> np.ndarray:
     """The blocks of 16 bits of fingerprints, shape (rows, BLOCKS)."""
-    return np.ascontiguousarray(prints).view("<u2").reshape(len(prints), -1).astype(np.int64)
+    return np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS).astype(np.int64)
 
 
 def _parts(benchmark: DataFrame, least: float, part_bytes: int):
@@ -160,13 +170,13 @@ def _parts(benchmark: DataFrame, least: float, part_bytes: int):
 
 def _judged(items: Items, texts: pa.Array) -> list[dict[int, float]]:
     shingles, edges = _shingles(texts, SHINGLE)
-    hits = items.hits(shingles)
+    hits, place = items.hits(shingles)
     out: list[dict[int, float]] = [{} for _ in range(len(texts))]
     owner = np.searchsorted(edges, hits, side="right") - 1
     for some in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(owner)) + 1) if len(hits) else ():
         d = int(owner[some[0]])
         a, b = int(edges[d]), int(edges[d + 1])
-        out[d] = items.matches(shingles[a:b], hits[some] - a)
+        out[d] = items.matches(shingles[a:b], hits[some] - a, place[some])
     return out
 
 

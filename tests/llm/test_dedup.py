@@ -213,11 +213,11 @@ def test_blocks_find_all_within_the_radius():
     for row in near:
         for bit in rng.choice(256, decontaminate.RADIUS, replace=False):
             row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    window, item = items.met(9, near)
+    window, item = items.met(np.full(500, 9), near)
     assert set(zip(range(500), range(500))) <= set(zip(window.tolist(), item.tolist(), strict=True))
-    assert len(items.met(8, near)[0]) == 0
+    assert len(items.met(np.full(500, 8), near)[0]) == 0
     strange = rng.integers(0, 1 << 63, (500, decontaminate.PRINT_WORDS), dtype=np.uint64)
-    share = len(items.met(9, strange)[0]) / 500**2
+    share = len(items.met(np.full(500, 9), strange)[0]) / 500**2
     print("met by chance", share)
     assert share < 0.05
 
