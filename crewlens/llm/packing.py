@@ -1,9 +1,10 @@
 """Packing along a space-filling curve.
 
 A document's vector counts its pairs of neighbouring bytes, hashed to ``DIMS`` dimensions with signs and averaged; the
-vector's place on a Hilbert curve is its key.  Keys are stored once beside the texts; documents are then range-partitioned and
-sorted by (key, doc_id, hash of the text), in partitions of about ``TASK_BYTES`` of text, so that neighbours in a sequence are alike
-and a third of all rows with one key still spreads over partitions.
+vector's place on a Hilbert curve is its key.  Keys are stored once beside the texts.  The curve is cut into ``PARTS`` equal parts,
+whose bytes of text are summed; neighbouring parts make ranges of about ``TASK_BYTES``, and a part that is larger is dealt to several by
+a hash.  Ranges are sorted by (key, doc_id, hash of the text), so that neighbours in a sequence are alike, long documents do not
+meet in one task, and a third of all rows with one key still spreads.
 Each partition tokenises its documents and cuts the running line of ids into sequences of ``SIZE``; the rest
 at its end goes into sequences of powers of two, which need no padding.
 
@@ -35,6 +36,7 @@ SIZE = 4096
 END = 2
 DIMS = 3
 BITS = 16
+PARTS = 1 << 16
 CACHE_WORDS = 300_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PLAIN = r"^(?P<core>\p{L}+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
@@ -214,6 +216,22 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
         yield line.cut(sequence_sizes(line.waiting, size))
 
     near = written(id_and_text(docs, text_hash=True).mapInArrow(keyed, "key long, doc_id long, text string, text_hash long"), "curve")
+    ranges_ = near.join(F.broadcast(curve_ranges(near)), F.shiftright("key", DIMS * BITS - 16) == F.col("part"))  # at most PARTS rows
+    owner = F.col("first") + F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("tasks")).cast("int")
     order = (F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("text_hash"))
-    dealt = near.repartitionByRange(task_count(docs.sparkSession, text_bytes(near)), *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(pack, PIECE)
+    dealt = ranges_.select("key", "doc_id", "text", "text_hash", owner.alias("owner"))
+    n = task_count(docs.sparkSession, text_bytes(near)) + 1
+    return dealt.repartitionById(n, F.least("owner", F.lit(n - 1))).drop("owner").sortWithinPartitions(*order).mapInArrow(pack, PIECE)
+
+
+def curve_ranges(near: DataFrame) -> DataFrame:
+    """(part, first, tasks): of each part of the curve that is in use the first task that gets it, and how many do."""
+    spark = near.sparkSession
+    size = F.sum(F.octet_length("text") + F.lit(64)).alias("size")
+    found = near.groupBy(F.shiftright("key", DIMS * BITS - 16).alias("part")).agg(size).orderBy("part").toPandas()  # at most PARTS rows
+    ends = found["size"].to_numpy(np.int64).cumsum()
+    n = task_count(spark, int(ends[-1]) if len(ends) else 0)
+    per = max(1.0, (int(ends[-1]) if len(ends) else 0) / n)
+    found["first"] = ((ends - found["size"].to_numpy(np.int64)) // per).astype(np.int32)
+    found["tasks"] = np.maximum(1, np.ceil(found["size"].to_numpy(np.int64) / per)).astype(np.int32)
+    return spark.createDataFrame(found[["part", "first", "tasks"]], "part long, first int, tasks int")
