@@ -160,3 +160,20 @@ def template_choice(wanted: DataFrame, templates: DataFrame) -> DataFrame:
     order = [F.col("rank"), F.col("is_selected").desc(), F.col("is_default").desc(), F.col("updated_at").desc_nulls_last(), F.col("created_at").desc(), F.col("id")]
     one = F.row_number().over(W.partitionBy("agency_id", "status").orderBy(*order))
     return both.withColumn("_rn", one).filter("_rn = 1").select("agency_id", "status", F.col("id").alias("template_id"))
+
+
+def usage_log(uses: DataFrame, per: str = "day") -> DataFrame:
+    """(id, agency_id, feature, before, after): each use with its counter before and after it.
+
+    Uses are summed by day first; the days' running sums and those within a day make the counter, so no task holds
+    all uses of a busy agency.
+    """
+    dated = uses.withColumn("_day", F.date_trunc(per, "ts"))
+    key = ["agency_id", "feature"]
+    days = dated.groupBy(*key, "_day").agg(F.sum("amount").alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy(*key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
+    placed = days.select(*key, "_day", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    within = F.sum("amount").over(W.partitionBy(*key, "_day").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0))
+    rows = dated.withColumn("_within", within).join(placed, [*key, "_day"])
+    after = F.col("_before") + F.col("_within")
+    return rows.select("id", *key, (after - F.col("amount")).cast("long").alias("before"), after.cast("long").alias("after"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.arrays import let
+from ..functions.resume import cleaned
 
 #: Function words left out of TF-IDF terms; pass another list where a larger one is wanted.
 STOP_WORDS = (
@@ -31,45 +32,73 @@ def _terms(c: Column, stop: Sequence[str]) -> Column:
     return F.concat(kept, pairs)
 
 
-def _counted(pairs: DataFrame, key: str, source: Column, target: Column) -> DataFrame:
-    """(key, term, a, b): how often each side of a pair has a term.  Pairs are dealt by key once; no other exchange follows."""
-    dealt = pairs.select(F.col(key), F.concat(
-        F.transform(source, lambda x: F.struct(x.alias("term"), F.lit(0).alias("side"))),
-        F.transform(target, lambda x: F.struct(x.alias("term"), F.lit(1).alias("side"))),
-    ).alias("all")).repartition(key)
-    rows = dealt.select(key, F.explode("all").alias("r")).select(key, "r.term", "r.side")
-    return rows.groupBy(key, "term").agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
+def _runs(source: Column, target: Column) -> Column:
+    """(term, a, b): how often each side has a term, from one sort of both lists; nothing leaves the row."""
+    sided = lambda c, side: F.transform(c, lambda x: F.struct(x.alias("term"), F.lit(side).alias("side")))
 
+    def starts(own: Column) -> Column:
+        new = F.transform(own, lambda x, i: F.when((i == 0) | (F.get(own, i - 1)["term"] != x["term"]), i))
+        return let(F.filter(new, lambda i: i.isNotNull()), lambda at: F.transform(at, lambda i, k: one(own, i, F.coalesce(F.get(at, k + 1), F.size(own)))))
 
-def tfidf_similarity(pairs: DataFrame, key: str, source: str, target: str, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    def one(own: Column, start: Column, stop: Column) -> Column:
+        some = F.slice(own, start + 1, stop - start)
+        b = F.aggregate(some, F.lit(0), lambda n, x: n + x["side"])
+        return F.struct(F.get(own, start)["term"].alias("term"), (stop - start - b).cast("double").alias("a"), b.cast("double").alias("b"))
+
+    return let(F.sort_array(F.concat(sided(source, 0), sided(target, 1))), starts)
+
+
+def _total(runs: Column, value) -> Column:
+    return F.aggregate(runs, F.lit(0.0), lambda n, r: n + value(r))
+
+
+def _percent(ratio: Column) -> Column:
+    return F.round(F.round(F.coalesce(ratio, F.lit(0.0)) * 100, 8), 2)
+
+
+def _tfidf(source: Column, target: Column, stop: Sequence[str]) -> Column:
+    def score(runs: Column) -> Column:
+        weight = lambda r: F.when((r["a"] > 0) & (r["b"] > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
+        norm = lambda side: F.sqrt(_total(runs, lambda r: r[side] * r[side] * weight(r) * weight(r)))
+        return _percent(F.try_divide(_total(runs, lambda r: r["a"] * r["b"]), norm("a") * norm("b")))
+
+    return let(_runs(_terms(source, stop), _terms(target, stop)), score)
+
+
+def _bm25(query: Column, document: Column) -> Column:
+    def score(runs: Column) -> Column:
+        gain = lambda side: _total(runs, lambda r: r["a"] * r[side] * 2.5 / (r[side] + 1.5))
+        return _percent(F.least(F.coalesce(F.try_divide(gain("b"), gain("a")), F.lit(0.0)), F.lit(1.0)))
+
+    return let(_runs(t.tokens(query), t.tokens(document)), score)
+
+
+def _text(c: str, clean: bool) -> Column:
+    """The first ``LONGEST`` characters, as the matching rule has it, cleaned where that is asked for."""
+    cut = F.coalesce(F.left(F.col(c), F.lit(LONGEST)), F.lit(""))
+    return cleaned(cut) if clean else cut
+
+
+def tfidf_similarity(pairs: DataFrame, key: str, source: str, target: str, stop: Sequence[str] = STOP_WORDS, clean: bool = False) -> DataFrame:
     """(key, tfidf): cosine, in percent, of one- and two-word terms, weighted over just the pair's two texts.
 
-    Only the first 2,000 characters count.  A term of both texts has weight 1, of one text 1 + ln 1.5.
-    Pairs without a term on either side are missing from the result, which stands for 0.
+    Only the first 2,000 characters count.  A term of both texts has weight 1, of one text 1 + ln 1.5.  A pair without a
+    term on either side has 0.  Pairs are scored in their rows; no row moves.
     """
-    cut = lambda c: F.coalesce(F.left(F.col(c), F.lit(LONGEST)), F.lit(""))
-    n = _counted(pairs, key, _terms(cut(source), stop), _terms(cut(target), stop))
-    weight = F.when((F.col("a") > 0) & (F.col("b") > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
-    w = n.select(key, (F.col("a") * weight).alias("x"), (F.col("b") * weight).alias("y"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))
-    return w.groupBy(key).agg(F.round(F.round(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), norm), F.lit(0.0)) * 100, 8), 2).alias("tfidf"))
+    return pairs.select(key, _tfidf(_text(source, clean), _text(target, clean), stop).alias("tfidf"))
 
 
-def bm25_similarity(pairs: DataFrame, key: str, query: str, document: str) -> DataFrame:
+def bm25_similarity(pairs: DataFrame, key: str, query: str, document: str, clean: bool = False) -> DataFrame:
     """(key, bm25): BM25 of the document for the query over that of the query for itself, at most 100."""
-    cut = lambda c: t.tokens(F.left(F.col(c), F.lit(LONGEST)))
-    n = _counted(pairs, key, cut(query), cut(document))
-    gain = lambda tf: F.col("a") * F.col(tf) * 2.5 / (F.col(tf) + 1.5)
-    ratio = F.try_divide(F.sum(gain("b")), F.sum(gain("a")))
-    return n.groupBy(key).agg(F.round(F.round(F.least(F.coalesce(ratio, F.lit(0.0)), F.lit(1.0)) * 100, 8), 2).alias("bm25"))
+    return pairs.select(key, _bm25(_text(query, clean), _text(document, clean)).alias("bm25"))
 
 
-def match(pairs: DataFrame, key: str, resume: str, job: str) -> DataFrame:
+def match(pairs: DataFrame, key: str, resume: str, job: str, stop: Sequence[str] = STOP_WORDS, clean: bool = False) -> DataFrame:
     """(key, tfidf, bm25, combined) for every pair."""
-    a = tfidf_similarity(pairs, key, resume, job)
-    b = bm25_similarity(pairs, key, job, resume)
-    both = pairs.select(key).join(a, key, "left").join(b, key, "left").fillna(0.0, ["tfidf", "bm25"])
-    return both.withColumn("combined", F.round(F.col("tfidf") * 0.6 + F.col("bm25") * 0.4, 2))
+    both = F.struct(_text(resume, clean).alias("a"), _text(job, clean).alias("b"))
+    scores = let(both, lambda x: F.struct(_tfidf(x["a"], x["b"], stop).alias("tfidf"), _bm25(x["b"], x["a"]).alias("bm25")))
+    out = pairs.select(key, scores.alias("s")).select(key, "s.tfidf", "s.bm25")
+    return out.withColumn("combined", F.round(F.col("tfidf") * 0.6 + F.col("bm25") * 0.4, 2))
 
 
 # Spellings of skills and the name that scoring uses.
@@ -130,15 +159,14 @@ def skills_match(own: Column, required: Column) -> Column:
 def phrases(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, longest: int = 4) -> DataFrame:
     """(key, position, words, label): vocabulary phrases in the texts, the longest at each place, none inside another.
 
-    ``vocabulary`` is (phrase, label) of lower-case words; it is joined by equality, so it may be of any size and Spark
-    broadcasts it only while it is small.  A phrase that begins inside a longer one that starts before it is dropped.
+    ``vocabulary`` is (phrase, label) of lower-case words; it is joined by equality of the first word, so words that begin no
+    phrase leave first, it may be of any size, and Spark broadcasts it only while it is small.  A phrase that begins inside a longer one that starts before it is dropped.
     """
-    words = docs.select(key, t.tokens(F.col(text)).alias("w"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i + n - 1 <= F.size("w")),
-        lambda i: F.struct(i.alias("position"), n.alias("words"), F.array_join(F.slice("w", i, n), " ").alias("phrase")),
-    )))
-    hits = words.select(key, F.explode(spans).alias("s")).select(key, "s.*").join(vocabulary, "phrase")
+    begun = let(t.tokens(F.col(text)), lambda w: F.transform(w, lambda x, i: F.struct((i + 1).alias("position"), x.alias("first"), F.slice(w, i + 1, F.lit(longest)).alias("span"))))
+    sized = vocabulary.select("phrase", "label", F.split_part("phrase", F.lit(" "), F.lit(1)).alias("first"), F.size(F.split("phrase", " ")).alias("n"))
+    rows = docs.select(key, F.explode(begun).alias("s")).select(key, "s.*").join(sized.filter(F.col("n") <= longest), "first")
+    spelled = F.array_join(F.slice("span", F.lit(1), F.col("n")), " ")
+    hits = rows.filter((F.size("span") >= F.col("n")) & (spelled == F.col("phrase"))).select(key, "position", F.col("n").alias("words"), "label")
     best = hits.groupBy(key, "position").agg(F.max_by(F.struct("words", "label"), F.struct("words", "label")).alias("b"))
     flat = best.select(key, "position", "b.words", "b.label")
     from pyspark.sql import Window as W

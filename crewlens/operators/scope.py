@@ -183,3 +183,9 @@ def duplicates_of(new: DataFrame, known: DataFrame) -> DataFrame:
     k = key(known).filter("_n <> '' and _e <> ''").distinct()
     cond = (new["job_id"] == k["_j"]) & (norm(new["name"]) == k["_n"]) & (norm(new["email"]) == k["_e"])
     return new.join(k, cond, "left_semi")
+
+
+def settings(owners: DataFrame, own: DataFrame, defaults: dict[str, int]) -> DataFrame:
+    """(agency, key, value) of every owner and key: its own setting, else the default."""
+    every = owners.select("agency", F.explode(F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])).alias("key", "standard"))
+    return every.join(own, ["agency", "key"], "left").select("agency", "key", F.coalesce("value", "standard").alias("value"))

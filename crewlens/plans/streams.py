@@ -15,15 +15,19 @@ from .sql_views import Register
 register = Register()
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir; a temporary one only in local mode without it."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode without it."""
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not shared:
         if not (context.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="crewlens-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _run(spark: SparkSession, stream: DataFrame, aggregate: bool) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
@@ -97,8 +98,6 @@ s AS (SELECT *, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_i
 SELECT doc_id, section, count(*) AS lines FROM s WHERE opens IS NULL GROUP BY doc_id, section""")
 def t12_sections(spark, d):
     """Every fifth line names a section here, as the invented prose has no headers."""
-    from pyspark.sql import Window
-
     lines = _docs(spark, d).select("doc_id", F.explode(t.sections(F.col("text"), t.HEADERS)).alias("s")).select("doc_id", "s.*")
     w = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     named = lines.withColumn("section", F.coalesce(F.last("opens", ignorenulls=True).over(w), F.lit("header")))
@@ -113,12 +112,13 @@ def t15_tokens(spark, d):
 
 def _pairs(spark, d):
     """Each document beside one benchmark passage, as a résumé beside a job text."""
-    b = v.table(spark, d, "benchmark").select("item_id", F.col("text").alias("job"))
-    keyed = _docs(spark, d).select("doc_id", F.left("text", F.lit(match.LONGEST)).alias("text"), (F.col("doc_id") % 40).alias("item_id"))
-    return keyed.join(b, "item_id")
+    items = v.table(spark, d, "benchmark").select(F.row_number().over(Window.orderBy("item_id")).alias("place"), F.col("text").alias("job"))  # a fixed list of passages
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    keyed = _docs(spark, d).select("doc_id", "text").crossJoin(F.broadcast(n)).withColumn("place", (F.col("doc_id") % F.col("n") + 1).cast("int"))  # one row
+    return keyed.join(items, "place")
 
 
-PAIRS = f"pairs_ AS (SELECT d.doc_id, coalesce(left(d.text, 2000), '') AS text, coalesce(left(b.text, 2000), '') AS job FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+PAIRS = "pairs_ AS (SELECT d.doc_id, coalesce(left(d.text, 2000), '') AS text, coalesce(left(b.text, 2000), '') AS job FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) AS place, count(*) OVER () AS n FROM benchmark) b ON b.place = d.doc_id % b.n + 1)"
 STOP = ", ".join(f"'{w}'" for w in match.STOP_WORDS)
 BM25 = rf"""k AS (SELECT doc_id, 'a' AS s, unnest(regexp_extract_all(lower(job), '[a-z0-9][a-z0-9.+#/-]*')) AS w FROM pairs_ UNION ALL SELECT doc_id, 'b', unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.+#/-]*')) FROM pairs_),
 c AS (SELECT doc_id, w, CAST(count(*) FILTER (s = 'a') AS DOUBLE) AS a, CAST(count(*) FILTER (s = 'b') AS DOUBLE) AS b FROM k GROUP BY doc_id, w),
@@ -129,12 +129,12 @@ n AS (SELECT doc_id, w, CAST(count(*) FILTER (s = 'a') AS DOUBLE) AS a, CAST(cou
 ti AS (SELECT doc_id, round(round(100 * coalesce(sum(a * b) / nullif(sqrt(sum(a * a * f * f)) * sqrt(sum(b * b * f * f)), 0), 0), 8), 2) AS tfidf FROM (SELECT *, CASE WHEN a > 0 AND b > 0 THEN 1 ELSE 1 + ln(1.5) END AS f FROM n) GROUP BY doc_id)"""
 
 
-@register(f"WITH {PAIRS}, {TFIDF} SELECT * FROM ti")
+@register(f"WITH {PAIRS}, {TFIDF} SELECT p.doc_id, coalesce(tfidf, 0) AS tfidf FROM pairs_ p LEFT JOIN ti ON ti.doc_id = p.doc_id")
 def t16_tfidf(spark, d):
     return match.tfidf_similarity(_pairs(spark, d), "doc_id", "text", "job")
 
 
-@register(f"WITH {PAIRS}, {BM25} SELECT * FROM bm")
+@register(f"WITH {PAIRS}, {BM25} SELECT p.doc_id, coalesce(bm25, 0) AS bm25 FROM pairs_ p LEFT JOIN bm ON bm.doc_id = p.doc_id")
 def t17_bm25(spark, d):
     return match.bm25_similarity(_pairs(spark, d), "doc_id", "job", "text")
 
@@ -145,6 +145,12 @@ def t18_match(spark, d):
     return match.match(_pairs(spark, d), "doc_id", "text", "job")
 
 
+@register()
+def t18_cleaned_match(spark, d):
+    """The same with both texts cleaned first, as the matching rule has it."""
+    return match.match(_pairs(spark, d), "doc_id", "text", "job", clean=True)
+
+
 VOCABULARY = "SELECT lower(r_name) AS phrase, 'region' AS label FROM region UNION ALL SELECT lower(p_brand), 'brand' FROM part GROUP BY 1 UNION ALL SELECT unnest(['the', 'in the', 'of the', 'und die', 'de la', 'que', 'of']), 'words'"
 
 

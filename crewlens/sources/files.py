@@ -91,6 +91,18 @@ def hierarchy(table: DataFrame, terms: list[str]) -> DataFrame:
     return table.select(F.explode(pairs).alias("p")).select("p.parent", "p.child").distinct()
 
 
+def json_map(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, label) of one JSON object of text by text, in lower case."""
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("alias", "label"))
+    return entries.select(F.lower(F.trim("alias")).alias("alias"), F.lower(F.trim("label")).alias("label"))
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(key, term) of one JSON object of lists by key, in lower case."""
+    lists = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "terms"))
+    return lists.select(F.lower(F.trim("key")).alias("key"), F.explode("terms").alias("term")).select("key", F.lower(F.trim("term")).alias("term"))
+
+
 def cases(spark: SparkSession, path: str) -> DataFrame:
     """Labelled cases of a JSON document {"cases": [...]}, one a row."""
     return spark.read.option("multiLine", True).json(path).select(F.explode("cases").alias("c")).select("c.*")
