@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -69,10 +70,13 @@ def no_shows(df: DataFrame, grace_minutes: int = 30, late: str = "1 minute") ->
             state.remove()
             yield pd.DataFrame({"candidate_id": [key[0]], "stage": ["NO_SHOW"]})
             return
-        due = state.get[0] if state.exists else None
-        for part in rows:
-            for row in part.sort_values("ts").itertuples():
-                due = int(row.scheduled_at.timestamp() * 1000) + grace_minutes * 60_000 if row.status in ("scheduled", "rescheduled") else None
+        due, at = state.get if state.exists else (None, 0)
+        for part in rows:  # parts come in any order; the latest row decides
+            last = part.loc[part["ts"].idxmax()]
+            if int(last["ts"].timestamp() * 1000) >= at:
+                at = int(last["ts"].timestamp() * 1000)
+                waits = last["status"] in ("scheduled", "rescheduled")
+                due = int(last["scheduled_at"].timestamp() * 1000) + grace_minutes * 60_000 if waits else None
         if due is None:
             if state.exists:
                 state.remove()
@@ -81,11 +85,11 @@ def no_shows(df: DataFrame, grace_minutes: int = 30, late: str = "1 minute") ->
                 state.remove()
             yield pd.DataFrame({"candidate_id": [key[0]], "stage": ["NO_SHOW"]})
         else:
-            state.update((due,))
+            state.update((due, at))
             state.setTimeoutTimestamp(due)
 
     timed = with_event_time(df, late).withColumn("scheduled_at", F.col("scheduled_at").cast("timestamp"))
-    return timed.groupBy("candidate_id").applyInPandasWithState(step, "candidate_id long, stage string", "due long", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("candidate_id").applyInPandasWithState(step, "candidate_id long, stage string", "due long, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # E-mails that move a candidate.
@@ -104,10 +108,20 @@ def into_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
     return df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_into(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the whole result of an aggregate in one table, replaced with every batch."""
+def upserts_into(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows that each batch has changed, in a partition of their own that a repeated batch replaces; read by ``latest``.
+
+    State holds only what the watermark still admits, and no batch rewrites what is there.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    return df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest(spark: SparkSession, schema: StructType, path: str, keys: list[str]) -> DataFrame:
+    """The last row of each key that ``upserts_into`` has written."""
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")

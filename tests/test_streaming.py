@@ -25,9 +25,11 @@ def run(spark, tmp_path):
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
             stream = spark.readStream.schema(schema).parquet(str(folder))
             frame = make(stream)
-            write = flows.into_table if mode == "append" else flows.latest_into
+            write = flows.into_table if mode == "append" else flows.upserts_into
             write(frame, str(out), str(tmp_path / "check")).awaitTermination()
             result = frame.schema
+        if mode != "append":
+            return [tuple(r) for r in flows.latest(spark, result, str(out), mode.split(",")).collect()]
         return [tuple(r) for r in spark.read.schema(result).parquet(str(out)).collect()]
 
     return go
@@ -41,8 +43,14 @@ def test_repeats_are_dropped_across_runs(run):
 
 
 def test_sessions(run):
-    got = run([[("u", at(0)), ("u", at(10)), ("u", at(50))]], "user string, ts timestamp", lambda s: flows.sessions(s, "user"), "complete")
-    assert sorted(n for *_, n in got) == [1, 2]
+    got = run([[("u", at(0)), ("u", at(10)), ("u", at(50)), ("w", at(500))]], "user string, ts timestamp", lambda s: flows.sessions(s, "user"))
+    assert sorted(n for *_, n in got) == [1, 2]  # the last is still open
+
+
+def test_changed_windows_replace_earlier_ones(run):
+    batches = [[("u", 1.0, at(0))], [("u", 2.0, at(5)), ("w", 1.0, at(6))]]
+    got = run(batches, "user string, value double, ts timestamp", lambda s: flows.usage_windows(s, ["user"], "value", "1 day", "1 hour"), "user,start")
+    assert sorted((u, used, n) for u, _, used, n in got) == [("u", 3.0, 2), ("w", 1.0, 1)]
 
 
 def test_late_rows_are_left_out(run):
