@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,16 @@ def json_without_empty(**fields: Column) -> Column:
 
 def text_or_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
+
+
+def of_payload(c: Column, name: str) -> Column:
+    """A field of a JSON object by its name in either style, ``job_id`` or ``jobId``; empty without it."""
+    head, *rest = name.split("_")
+    camel = head + "".join(x.capitalize() for x in rest)
+    found = [F.nullif(F.get_json_object(c, f"$.{k}"), F.lit("")) for k in (name, camel)]
+    return F.coalesce(*found, F.lit(""))
+
+
+def distinct_lists(df: DataFrame, *names: str) -> DataFrame:
+    """The frame with these list fields without items that differ only in case or are blank."""
+    return df.withColumns({x: distinct_ignoring_case(F.filter(x, lambda y: y.isNotNull())) for x in names})

@@ -99,15 +99,16 @@ def soft_skills_score(text: Column) -> Column:
     return total.cast("double")
 
 
-def experience_score(text: Column, years: Column, least: Column, most: Column, skills: Column) -> Column:
-    """Up to 35 points: years against the wanted span, actions and wanted skills in the text, seniority."""
+def experience_score(text: Column, years: Column, least: Column, most: Column, skills: Column, bonus: Column | None = None) -> Column:
+    """Up to 35 points: years against the wanted span, actions and wanted skills in the text, seniority, a title's bonus."""
     t, y = F.lower(F.coalesce(text, F.lit(""))), F.coalesce(years.cast("double"), F.lit(0.0))
     base = F.when(y >= most, 12.0).when(y >= least, 10 + F.try_divide((y - least) * 2, most - least)).otherwise(F.coalesce(F.try_divide(y, least) * 10, F.lit(0.0)))
     named = F.size(F.filter(F.coalesce(skills, F.array().cast("array<string>")), lambda s: t.contains(F.lower(s))))
     actions = F.least(word_count(t, ACTIONS) * 0.5 + named * 1.5, F.lit(float(BASE_ACTIONS_CAP)))
     leading = word_count(t, LEADING)
     senior = F.when((y >= 5) & (leading >= 2), 8).when((y >= 3) & (leading >= 1), 5).when(y >= 2, 3).otherwise(0)
-    return F.round(F.least(base + F.when(t == "", 0.0).otherwise(actions + senior), F.lit(35.0)), 2)
+    more = F.coalesce(bonus, F.lit(0.0)) if bonus is not None else F.lit(0.0)
+    return F.round(F.least(base + F.when(t == "", 0.0).otherwise(actions + senior + more), F.lit(35.0)), 2)
 
 
 def projects_score(text: Column, years: Column, title: Column) -> Column:
@@ -150,6 +151,71 @@ def skills_score(text: Column, required: Column, projects: Column) -> Column:
     return F.when(fresh | (t == "") | (F.size(wanted) == 0), 0.0).otherwise(F.round(F.least(total, F.lit(30.0)), 2))
 
 
+def balanced_total(text: Column, years: Column, least: Column, most: Column, skills: Column, title: Column, bonus: Column | None = None) -> Column:
+    """(experience, skills, projects, education, soft_skills, total, label, status): the parts and what they say together."""
+    projects = projects_score(text, years, title)
+    parts = {
+        "experience": experience_score(text, years, least, most, skills, bonus),
+        "skills": skills_score(text, skills, projects),
+        "projects": projects,
+        "education": education_score(text),
+        "soft_skills": soft_skills_score(text),
+    }
+
+    def judged(p: Column) -> Column:
+        total = F.round(p["experience"] + p["skills"] + p["projects"] + p["education"] + p["soft_skills"], 2)
+        status = F.when(total >= 55, "shortlisted").when(total >= 45, "review").otherwise("rejected")
+        return F.struct(*[p[k].alias(k) for k in parts], total.alias("total"), fit_label(total).alias("label"), status.alias("status"))
+
+    return let(F.struct(*[c.alias(k) for k, c in parts.items()]), judged)
+
+
+def summary(required: Column, own: Column, years: Column, least: Column, most: Column) -> Column:
+    """(experience, skills, strengths, gaps, fit): sentences that compare a candidate's fields with a job's."""
+    low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    shown = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
+    one = lambda c: F.format_string("%.1f", c)
+
+    def told(f: Column) -> Column:
+        y, hit, miss, wanted = f["years"], f["hit"], f["miss"], f["wanted"]
+        enough = least.isNull() | (y >= least)
+        span = F.concat(one(least), F.lit("-"), one(most), F.lit(" years."))
+        says = lambda *x: F.concat(F.lit("Candidate experience of "), one(y), *x)
+        experience = (
+            F.when(least.isNull() & most.isNull(), F.concat(F.lit("Candidate shows approximately "), one(y), F.lit(" years of experience; the job requirement is not clearly specified.")))
+            .when(most.isNull() & (y >= least), says(F.lit(" years meets or exceeds the minimum requirement of "), one(least), F.lit("+ years.")))
+            .when(most.isNull(), says(F.lit(" years is below the expected minimum of "), one(least), F.lit("+ years.")))
+            .when(y.between(least, most), says(F.lit(" years is aligned with the required range of "), span))
+            .when(y < least, says(F.lit(" years falls below the required range of "), span))
+            .otherwise(says(F.lit(" years exceeds the stated range of "), span))
+        )
+        skills = F.when(F.size(hit) > 0, F.concat(F.lit("Matched core skills include "), shown(hit, 5), F.lit("."))).otherwise("No strong overlap was found across the listed required skills.")
+        good = F.array_compact(F.array(
+            F.when(F.size(hit) > 0, F.concat(F.lit("core skill alignment in "), shown(hit, 3))),
+            F.when(least.isNotNull() & (y >= least), "experience depth appropriate for the role").when(y > 0, "relevant practical experience"),
+        ))
+        bad = F.array_compact(F.array(
+            F.when(F.size(miss) > 0, F.concat(F.lit("missing important skills such as "), shown(miss, 4))),
+            F.when(least.isNotNull() & (y < least), "experience below the stated requirement"),
+        ))
+        share = F.coalesce(F.try_divide(F.size(hit).cast("double"), F.size(wanted)), F.lit(0.0))
+        return F.struct(
+            experience.alias("experience"),
+            skills.alias("skills"),
+            F.when(F.size(good) > 0, F.concat(F.lit("Key strengths are "), F.array_join(good, ", "), F.lit("."))).otherwise("Key strengths are not strongly evidenced in the current structured comparison.").alias("strengths"),
+            F.when(F.size(bad) > 0, F.concat(F.lit("Primary gaps include "), F.array_join(bad, ", "), F.lit("."))).otherwise("No major gaps are evident from the structured JD comparison.").alias("gaps"),
+            F.when((share >= 0.7) & enough, "strong").when(share >= 0.4, "moderate").otherwise("limited").alias("fit"),
+        )
+
+    fields = let(low(own), lambda mine: let(low(required), lambda wanted: F.struct(
+        F.coalesce(years.cast("double"), F.lit(0.0)).alias("years"),
+        wanted.alias("wanted"),
+        F.filter(wanted, lambda x: F.array_contains(mine, x)).alias("hit"),
+        F.filter(wanted, lambda x: ~F.array_contains(mine, x)).alias("miss"),
+    )))
+    return let(fields, told)
+
+
 def fit_label(total: Column) -> Column:
     return F.when(total >= 75, "Strong Fit").when(total >= 55, "Potential Fit").when(total >= 45, "Borderline Fit").otherwise("Weak Fit")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -83,8 +84,23 @@ def charges(interviews: DataFrame, candidates: DataFrame, jobs: DataFrame, users
     priced = due.join(admins.select("agency_id", F.col("a.id").alias("user_id"), F.coalesce("a.wallet_balance", F.lit(0)).alias("_balance")), "agency_id")
     keyed = priced.withColumn("description", F.concat(F.lit(BILLED), F.col("interview_id").cast("string")))
     fresh = keyed.join(ledger.select("user_id", "description"), ["user_id", "description"], "left_anti").dropDuplicates(["user_id", "description"])
-    nth = F.row_number().over(W.partitionBy("user_id").orderBy("interview_id"))
-    return fresh.select("user_id", "agency_id", "interview_id", F.greatest(F.col("_balance") - nth, F.lit(0)).alias("balance_after"))
+    part = F.left(F.col("interview_id").cast("string"), F.lit(4))  # ids sort as text, so parts are in order
+    nth = running(fresh.withColumn("_part", part).withColumn("_one", F.lit(1)), ["user_id"], "_part", ["interview_id"], "_one", "_nth")
+    return nth.select("user_id", "agency_id", "interview_id", F.greatest(F.col("_balance") - F.col("_nth"), F.lit(0)).cast("int").alias("balance_after"))
+
+
+def running(df: DataFrame, keys: Sequence[str], part: str, order: Sequence[str], amount: str, name: str) -> DataFrame:
+    """The frame with a running sum of ``amount`` in order within each key, in two steps.
+
+    ``part`` goes up with the order: sums of parts run over few rows, and rows only within their part, so a key that has a third
+    of all rows is spread.
+    """
+    parts = df.groupBy(*keys, part).agg(F.sum(amount).alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    placed = parts.select(*keys, part, F.coalesce(earlier, F.lit(0)).alias("_before"))
+    within = F.sum(amount).over(W.partitionBy(*keys, part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    rows = df.withColumn("_within", within).join(placed, [*keys, part])
+    return rows.withColumn(name, F.col("_before") + F.col("_within")).drop("_before", "_within")
 
 
 def discounted(price: Column, kind: Column, value: Column) -> Column:
@@ -130,13 +146,51 @@ def consumed(usage: DataFrame, limits: dict[str, int | None], anchor: str, days:
     at = F.lit(anchor).cast("timestamp")
     cycle = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(at)) / (days * 86400)).cast("int")
 
-    def step(used: int, row: dict) -> tuple[int, tuple[bool, int]]:
-        limit = limits.get(row["feature"])
-        ok = limit is None or used + row["amount"] <= limit
-        used += row["amount"] if ok else 0
-        return used, (ok, used)
+    rows, keys = usage.withColumn("cycle", cycle), ["agency_id", "feature", "cycle"]
+    limit = F.create_map(*[F.lit(x) for k, n in limits.items() if n is not None for x in (k, n)]) if any(n is not None for n in limits.values()) else None
+    limited = rows.withColumn("_limit", F.try_element_at(limit, F.col("feature"))) if limit is not None else rows.withColumn("_limit", F.lit(None).cast("int"))
+    free = limited.filter("_limit is null").drop("_limit").withColumn("_day", F.date_trunc("day", "ts"))
+    open_ = running(free, keys, "_day", ["ts", "id"], "amount", "used_after").drop("_day").withColumn("accepted", F.lit(True))
+    dealt = limited.filter("_limit is not null").repartition(*keys).sortWithinPartitions(*keys, "ts", "id")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in limited.schema.fields], "accepted boolean, used_after long"])
+    held = dealt.mapInArrow(_within_limits(keys), schema).drop("_limit")
+    return held.unionByName(open_.withColumn("used_after", F.col("used_after").cast("long")))
+
+
+def _within_limits(keys: Sequence[str]):
+    """Streams over sorted uses: runs of a key are taken whole by prefix sums, and searched on only behind a refusal."""
+
+    def taken(amount: np.ndarray, used: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        ok, at = np.zeros(len(amount), bool), 0
+        left = limit - used
+        while at < len(amount):
+            sums = np.cumsum(amount[at:])
+            n = int(np.searchsorted(sums, left, side="right")) if (amount[at:] >= 0).all() else int(amount[at] <= left)
+            ok[at : at + n] = True
+            left -= int(sums[n - 1]) if n else 0
+            more = np.flatnonzero(amount[at + n :] <= left)
+            if not len(more):
+                break
+            at += n + int(more[0])
+        return ok, used + np.cumsum(np.where(ok, amount, 0))
 
-    return in_order(usage.withColumn("cycle", cycle), ["agency_id", "feature", "cycle"], ["ts", "id"], int, step, "accepted boolean, used_after long")
+    def run(batches):
+        key, used = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            amount, limit = (np.asarray(batch.column(x), dtype=np.int64) for x in ("amount", "_limit"))
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            edges = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            ok, after = np.zeros(len(own), bool), np.zeros(len(own), np.int64)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if own[a] != key:
+                    key, used = own[a], 0
+                ok[a:b], after[a:b] = taken(amount[a:b], used, int(limit[a]))
+                used = int(after[b - 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok), pa.array(after)], [*batch.schema.names, "accepted", "used_after"])
+
+    return run
 
 
 def first_within(events: DataFrame, keys: Sequence[str], seconds: int, at: str = "ts", order: str = "id") -> DataFrame:
@@ -168,12 +222,5 @@ def usage_log(uses: DataFrame, per: str = "day") -> DataFrame:
     Uses are summed by day first; the days' running sums and those within a day make the counter, so no task holds
     all uses of a busy agency.
     """
-    dated = uses.withColumn("_day", F.date_trunc(per, "ts"))
-    key = ["agency_id", "feature"]
-    days = dated.groupBy(*key, "_day").agg(F.sum("amount").alias("_n"))
-    earlier = F.sum("_n").over(W.partitionBy(*key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
-    placed = days.select(*key, "_day", F.coalesce(earlier, F.lit(0)).alias("_before"))
-    within = F.sum("amount").over(W.partitionBy(*key, "_day").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0))
-    rows = dated.withColumn("_within", within).join(placed, [*key, "_day"])
-    after = F.col("_before") + F.col("_within")
-    return rows.select("id", *key, (after - F.col("amount")).cast("long").alias("before"), after.cast("long").alias("after"))
+    rows = running(uses.withColumn("_day", F.date_trunc(per, "ts")), ["agency_id", "feature"], "_day", ["ts", "id"], "amount", "after")
+    return rows.select("id", "agency_id", "feature", (F.col("after") - F.col("amount")).cast("long").alias("before"), F.col("after").cast("long").alias("after"))

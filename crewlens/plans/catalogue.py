@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, dashboards, details, filters, library, listings, resumes, stages, streams, texts
+from . import accounts, dashboards, details, filters, library, listings, reports, resumes, stages, streams, texts
 
-MODULES = (filters, stages, dashboards, texts, accounts, listings, streams, details, resumes, library)
+MODULES = (filters, stages, dashboards, texts, accounts, listings, streams, details, resumes, library, reports)
 
 
 def queries() -> dict:

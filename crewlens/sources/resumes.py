@@ -19,6 +19,8 @@ INSERTS = (
     "Worked from {y} to {z} with 5 years of experience",
     "Contact: Pune",
     "",
+    "Projects",
+    "Responsibilities: plan and build\nReports to {c}",
 )
 COMPANIES = ("Acme Pvt Ltd", "Globex Solutions", "Initech")
 FIRST_YEAR, YEARS = 1998, 20
