@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import task_count, text_bytes
+from .shared import text_bytes
 from .texts import id_and_text
 
 BLOCK_BYTES = 8 << 20
 SMALL_BLOCK_BYTES = 1 << 20
+MOST_TASKS = 50_000
 
 Replies = dict[int, bytes]
 Send = Callable[..., list[tuple[int, bytes]]]
@@ -38,7 +39,8 @@ class Blocks:
         self.count = max(1, small, -(-self.bytes // block_bytes))
         #: A range then gets about as much as two blocks send.
         self.ranges = max(1, self.count // 2)
-        self.tasks = task_count(spark, self.bytes)
+        #: As many as blocks, so that few blocks meet in a task; many more blocks than ``MOST_TASKS`` share tasks one after the other.
+        self.tasks = max(spark.sparkContext.defaultParallelism, min(self.count, MOST_TASKS))
         block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.count)).cast("int")
         self.frame = read.withColumn("block", block).repartition(self.tasks, "block")
 
