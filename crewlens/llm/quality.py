@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import MAX_LABELLED, labelled_sample
-from .texts import id_and_text, mix64, one_array, slices, split_words, string_hashes, word_codes
+from .texts import id_and_text, mix64, one_array, repeats, slices, split_words, string_hashes, word_codes
 
 ROWS = 4096
 DIM = 32
@@ -45,7 +45,7 @@ def token_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for pattern, to in ((r"[\p{Lu}]+", "A"), (r"[\p{L}\p{M}]+", "a"), (r"[0-9]+", "0"), (r"!+", "!"), (r"#+", "#"), (r"\*+", "*"), (r"\$+", "$"), (r"%+", "%"), (r"&+", "&")):
         shape = pc.replace_substring_regex(shape, pattern, to)
     shapes = string_hashes(shape)[codes]
-    shapes[1:][codes[1:] == codes[:-1]] ^= REPEAT
+    shapes[repeats(codes, offsets)] ^= REPEAT
     lower = string_hashes(pc.ascii_lower(words))[codes]
     return np.stack([mix64(shapes) % np.uint64(ROWS), lower % np.uint64(ROWS)], axis=1).astype(np.int64), offsets
 

@@ -151,6 +151,15 @@ def word_codes(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(coded.indices, dtype=np.int64), coded.dictionary
 
 
+def repeats(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of words that repeat the word before them in their text."""
+    same = np.zeros(len(codes), bool)
+    same[1:] = codes[1:] == codes[:-1]
+    begin = offsets[:-1]
+    same[begin[begin < len(codes)]] = False
+    return np.flatnonzero(same)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     with np.errstate(over="ignore"):

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import MAX_LABELLED, labelled_sample, logistic
-from .texts import id_and_text, one_array, slices, split_words, string_hashes, word_codes
+from .texts import id_and_text, one_array, repeats, slices, split_words, string_hashes, word_codes
 
 STEM = 5
 PRIOR = 2.0
@@ -82,7 +82,7 @@ class Model:
         """Of each text all maximal segments: first token, token after the last, score."""
         codes, words, offsets = tokens(texts)
         score = self.token_scores(words)[codes] if len(words) else np.zeros(0)
-        score[1:][codes[1:] == codes[:-1]] = -BELOW
+        score[repeats(codes, offsets)] = -BELOW
         positive = np.flatnonzero(score > 0)
         found: list[list[tuple[int, int, float]]] = [[] for _ in range(len(offsets) - 1)]
         sums = np.concatenate([[0.0], np.cumsum(score)])
