@@ -231,3 +231,24 @@ def test_nothing_in_nothing_out(frame, spark):
     assert simhash.near_duplicates(none).isEmpty()
     assert decontaminate.contamination(none, bench).isEmpty()
     assert decontaminate.clean(frame([(1, "a"), (None, None)]), bench).count() == 2
+
+
+def test_passages_in_long_and_repeated_texts(frame, spark):
+    item = " ".join(f"b{k}" for k in range(40))
+    long = " ".join([f"x{k}" for k in range(60_000)] + [item] + [f"y{k}" for k in range(20_000)])
+    rows = [(1, long), (1, long), (2, item), (2, item), (3, long.replace("b2", "c2")), (None, item)]
+    bench = spark.createDataFrame([(7, item), (7, item), (8, item), (None, None)], "item_id long, text string")
+    got = decontaminate.contamination(frame(rows), bench).collect()
+    assert sorted((r.doc_id or 0, r.contaminated, tuple(r["items"])) for r in got) == [(0, True, (7, 8)), (1, True, (7, 8)), (1, True, (7, 8)), (2, True, (7, 8)), (2, True, (7, 8)), (3, False, ())]
+
+
+def test_lines_that_cross_batches(spark):
+    """A key whose rows come in many batches has one first document."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(k, "the same long line in all\nown line number %d here" % k) for k in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        got = {r.doc_id: r.n_dropped for r in lines.line_bitmaps(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: int(k > 0) for k in range(40)}

@@ -298,3 +298,51 @@ def test_language_model_without_rows_or_training(frame):
     (only,) = language_model.lm_scores(frame([(1, "a b")]), F.lit(True)).collect()
     assert (only.n_tokens, only.n_known, only.train_tokens, only.held_out) == (3, 0, 0, True)
     assert only.base_score == only.score == pytest.approx(0.0)
+
+
+@pytest.fixture(scope="module")
+def long_and_repeated(marked):
+    """One very long text, rows that occur twice, nulls and empties among the marked texts."""
+    rows, _ = marked
+    long = " ".join(f"u{k % 301} vile" if k % 97 == 0 else f"u{k % 301}" for k in range(120_000))
+    return [*rows[:20], *rows[:20], (5000, long), (5000, long), (5001, None), (5001, ""), (None, "a b"), (None, None)]
+
+
+def test_rules_of_long_repeated_and_no_texts(frame, long_and_repeated):
+    rows = [(i, t if i != 5000 else t[:400_000]) for i, t in long_and_repeated]
+    got = rules.ledger(frame(rows)).collect()
+    want = [(i, *plain.quality(t)) for i, t in rows]
+    assert sorted([(r.doc_id, *[r[m] for m in MEASURES]) for r in got], key=repr) == sorted(want, key=repr)
+    none = frame([(1, "a")]).limit(0)
+    assert rules.ledger(none).isEmpty() and rules.verdict(rules.ledger(none), "strict", 2).isEmpty()
+    assert {r.rejected for r in rules.ablation(rules.ledger(none), "strict", 2).collect()} <= {0}
+
+
+def test_sole_rule(frame):
+    book = rules.ledger(frame([(1, "too short"), (2, "# $ % " * 30), (3, " ".join(f"fine{k}" for k in range(60)))]))
+    got = {r.doc_id: r.sole for r in book.select("doc_id", rules.sole_rule("strict", 2).alias("sole")).collect()}
+    assert got == {1: "few_words", 2: None, 3: None}
+
+
+@pytest.mark.parametrize("which", ["toxicity", "quality"])
+def test_classifiers_of_long_repeated_and_no_texts(frame, spark, marked, long_and_repeated, which):
+    module = {"toxicity": toxicity, "quality": quality}[which]
+    rows, marks = marked
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = module.fit(frame(rows), labels, F.lit(False))
+    score = getattr(module, which)
+    got = score(frame(long_and_repeated), model).collect()
+    assert len(got) == len(long_and_repeated)
+    by = defaultdict(set)
+    for r in got:
+        by[r.doc_id].add(round(r.score, 6))
+    assert all(len(x) == 1 for i, x in by.items() if i is not None) and all(0 <= x <= 1 for s in by.values() for x in s)
+    assert score(frame(rows).limit(0), model).isEmpty()
+    assert module.fit(frame(rows).limit(0), labels, F.lit(False)) is None
+
+
+def test_language_model_and_tokens_of_long_and_repeated_texts(frame, long_and_repeated):
+    got = language_model.lm_scores(frame(long_and_repeated), F.col("doc_id") == 3).collect()
+    assert len(got) == len(long_and_repeated)
+    both = [r for r in got if r.doc_id == 5000]
+    assert both[0].score == pytest.approx(both[1].score) and both[0].n_tokens == len(plain.words(long_and_repeated[40][1])) + 1
