@@ -50,3 +50,9 @@ def distinct_entries(entries: DataFrame, key: str, place: str) -> DataFrame:
     words = F.size(F.split(F.coalesce("role", F.lit("")), " "))
     second = W.partitionBy(key, h.company_key(F.col("company")), "start", end).orderBy(words.desc(), place)
     return kept.withColumn("_r", F.row_number().over(second)).filter("_r = 1").drop("_r")
+
+
+def new_uploads(batch: DataFrame, stored: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of a batch whose keys are not stored; of equal keys the first."""
+    fresh = batch.join(stored, keys, "left_anti")
+    return fresh.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(order))).filter("_r = 1").drop("_r")

@@ -9,6 +9,7 @@ from ..functions import checks as k
 from ..functions import history as h
 from ..functions import sections as s
 from ..operators import experience as x
+from ..sources import resumes as made
 from ..sources import views as v
 from ..sources.resumes import resumes
 from .sql_views import Register
@@ -198,3 +199,57 @@ def e9_current_company(spark, d):
     e = _experience(spark, d).select("id", "content", F.posexplode(h.labelled_entries(F.col("content"), THIS_YEAR)).alias("k", "e")).select("id", "k", "e.*", k.valid_company(F.col("e.company"), F.col("content")).alias("valid"))
     by = W.partitionBy("id").orderBy(F.col("is_current").desc(), F.coalesce("end", "start").desc(), F.col("start").desc(), "k")
     return e.filter("valid is not null").withColumn("r", F.row_number().over(by)).filter("r = 1").select("id", F.col("valid").alias("company"))
+
+
+def _planted(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + f"][id % {len(xs)} + 1]"
+
+
+@register(f"SELECT id, {_planted(made.PEOPLE)} AS name FROM resumes")
+def t42_names(spark, d):
+    """The name that each résumé begins with; the SQL knows which was put there."""
+    return resumes(spark, d).select("id", k.name_of_resume(F.col("text")).alias("name"))
+
+
+@register(f"SELECT id, {_planted(made.PLACES)} AS place FROM resumes")
+def t43_places(spark, d):
+    """The place beside the name; the SQL knows which was put there."""
+    return resumes(spark, d).select("id", k.place_of_resume(F.col("text")).alias("place"))
+
+
+@register(rf"""WITH {EXPERIENCE}, x AS (SELECT id, n, regexp_extract(line, 'I worked as (Lead Designer) and joined Initech from', 1) AS role, regexp_extract(line, 'joined Initech from (\d{{4}}) to', 1) AS a, regexp_extract(line, ' to (\d{{4}}) there', 1) AS b FROM e_ WHERE regexp_matches(line, 'joined Initech from \d{{4}} to \d{{4}} there'))
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS k, 'Initech' AS company, role, a || '-01' AS a, b || '-01' AS b FROM x""")
+def e5_prose_entries(spark, d):
+    e = _entries(spark, d, h.prose_entries)
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    return e.select("id", F.col("k").cast("long").alias("k"), "e.company", "e.role", month("e.start").alias("a"), month("e.end").alias("b"))
+
+
+@register(r"""WITH x AS (SELECT id, unnest(regexp_extract_all(text, '\b(?i:FY|AY)\s*(\d{4}[-/](?:\d{4}|\d{2}))\b', 1)) AS y FROM resumes), z AS (SELECT id, CAST(y[1:4] AS INT) AS a, CASE WHEN length(y) = 9 THEN CAST(y[6:9] AS INT) ELSE CAST(y[1:2] || y[6:7] AS INT) END AS b FROM x)
+SELECT id, count(*) AS spans, min(a) || '-01-01' AS first, max(b) || '-12-31' AS last FROM z WHERE b >= a GROUP BY id""")
+def d11_fiscal_years(spark, d):
+    e = resumes(spark, d).select("id", F.explode(h.fiscal_years(F.col("text"))).alias("s"))
+    return e.groupBy("id").agg(F.count(F.lit(1)).alias("spans"), F.min("s.start").cast("string").alias("first"), F.max("s.end").cast("string").alias("last"))
+
+
+@register(f"""WITH {LABELLED}, y_ AS (SELECT id, year(start) AS a, CASE WHEN is_current THEN {THIS_YEAR} ELSE year("end") END AS b FROM labelled_),
+m1 AS (SELECT *, max(b) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM y_ WHERE b >= a),
+m2 AS (SELECT *, count(*) FILTER (reach IS NULL OR a > reach + 1) OVER (PARTITION BY id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m1),
+m3 AS (SELECT id, sum(y) AS years FROM (SELECT id, g, max(b) - min(a) AS y FROM m2 GROUP BY id, g) GROUP BY id),
+t1 AS (SELECT id, list_max(list_transform(regexp_extract_all(text, '(?i)\\b(?:over|around|more\\s+than)?\\s*(\\d+(?:\\.\\d+)?)\\s*\\+?\\s*(?:years|yrs)\\b', 1), lambda v: CAST(v AS DOUBLE))) AS told FROM resumes)
+SELECT t1.id, coalesce(CAST(nullif(m3.years, 0) AS DOUBLE), round(told, 1), 0.0) AS years FROM t1 LEFT JOIN m3 ON m3.id = t1.id""")
+def o4_years_cascade(spark, d):
+    """Years by dated entries, else as the text claims, else 0."""
+    text = F.col("text")
+    dated = h.years_of_entries(h.labelled_entries(s.content_of(text, "experience"), THIS_YEAR), THIS_YEAR)
+    return resumes(spark, d).select("id", F.coalesce(F.nullif(dated, F.lit(0.0)), h.told_years(text), F.lit(0.0)).alias("years"))
+
+
+@register("""WITH u AS (SELECT doc_id AS id, doc_id % 50 AS job, sha256(coalesce(text, '')) AS print FROM documents), old AS (SELECT job, print FROM u WHERE id % 7 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY job, print ORDER BY id) AS r FROM u WHERE id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM old WHERE old.job = u.job AND old.print = u.print))
+SELECT id, job FROM f WHERE r = 1""")
+def o5_bulk_upload(spark, d):
+    """Uploads that are new for their job: not stored before, and the first of their batch."""
+    every = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("job"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("print"))
+    stored = every.filter("id % 7 = 0").select("job", "print")  # what earlier uploads have left
+    return x.new_uploads(every.filter("id % 7 <> 0"), stored, ["job", "print"], "id").select("id", "job")

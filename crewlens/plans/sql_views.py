@@ -101,7 +101,8 @@ def _resumes() -> str:
     insert = f"{lists(made.INSERTS)}[(doc_id + i - 1) % {len(made.INSERTS)} + 1]"
     for mark, value in (("{y}", year(0)), ("{z}", year(2)), ("{c}", f"{lists(made.COMPANIES)}[doc_id % {len(made.COMPANIES)} + 1]")):
         insert = f"replace({insert}, '{mark}', {value})"
-    head = "'Asha Verma Pune, India asha' || doc_id || '@mail.example' || chr(10) || 'email: asha' || doc_id || '@mail.example' || chr(10)"
+    pick = lambda xs: f"{lists(xs)}[doc_id % {len(xs)} + 1]"
+    head = f"{pick(made.PEOPLE)} || ' ' || {pick(made.PLACES)} || ' asha' || doc_id || '@mail.example' || chr(10) || 'email: asha' || doc_id || '@mail.example' || chr(10)"
     lines = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {insert} || chr(10) || x)"
     return f"SELECT doc_id AS id, {head} || array_to_string({lines}, chr(10)) AS text FROM documents"
 

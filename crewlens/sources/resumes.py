@@ -12,6 +12,7 @@ INSERTS = (
     "WORK EXPERIENCE",
     "Organization: {c}\nDesignation: Senior Engineer\nPeriod: Jan {y} - Mar {z}",
     "Data Analyst | 06/{y} to Present {c} Led a team",
+    "I worked as Lead Designer and joined Initech from {y} to {z} there",
     "Education:",
     "Awards & Recognition",
     "References",
@@ -20,10 +21,13 @@ INSERTS = (
     "Contact: Pune",
     "",
     "Projects",
+    "Trained FY {y}-{z} and after",
     "Responsibilities: plan and build\nReports to {c}",
 )
 COMPANIES = ("Acme Pvt Ltd", "Globex Solutions", "Initech")
 FIRST_YEAR, YEARS = 1998, 20
+PEOPLE = ("Asha Verma", "Ravi Kumar", "Meera Nair", "Jon Snow")
+PLACES = ("Pune, India", "Navi Mumbai, India", "Oslo, Norway")
 
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +45,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return text
 
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(before(i), F.lit("\n"), x))
-    head = F.concat(F.lit("Asha Verma Pune, India asha"), F.col("doc_id").cast("string"), F.lit("@mail.example\nemail: asha"), F.col("doc_id").cast("string"), F.lit("@mail.example\n"))
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    mail = F.concat(F.lit("asha"), F.col("doc_id").cast("string"), F.lit("@mail.example"))
+    head = F.concat(pick(PEOPLE), F.lit(" "), pick(PLACES), F.lit(" "), mail, F.lit("\nemail: "), mail, F.lit("\n"))
     return docs.select(F.col("doc_id").alias("id"), F.concat(head, F.array_join(lines, "\n")).alias("text"))
