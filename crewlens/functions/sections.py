@@ -93,7 +93,9 @@ def _opening(line: Column, place: Column) -> Column:
         )
 
     head = F.regexp_extract(line, pattern, 1)
-    known = let(header_words(line), lambda w: F.struct(w.alias("words"), section_of(w).alias("whole"), section_of(header_words(plain_line(head))).alias("inline")))
+    short = lambda w: F.size(F.split(w, r"\s+")) <= 6  # noqa: E731  longer lines are no headers
+    inline = F.when(line.contains(":"), let(header_words(plain_line(head)), section_of))
+    known = let(header_words(line), lambda w: F.struct(w.alias("words"), F.when(short(w), section_of(w)).alias("whole"), inline.alias("inline")))
     return let(known, judged)
 
 
