@@ -57,7 +57,7 @@ def t19_title_bonus(spark, d):
     from .texts import _pairs
 
     title = F.trim(F.split_part("job", F.lit("\n"), F.lit(1)))
-    return _pairs(spark, d).select("doc_id", r.title_bonus("text", title).alias("bonus"))
+    return _pairs(spark, d).select("doc_id", r.title_bonus(F.col("text"), title).alias("bonus"))
 
 
 @register("SELECT id, CASE id % 2 WHEN 0 THEN 'Python,SQL,k8s' ELSE '' END AS declared, id % 2 = 0 AS proven FROM jobs")

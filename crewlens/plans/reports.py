@@ -36,7 +36,7 @@ def m9_balanced_total(spark, d):
     wanted = F.array(F.lit("Python"), F.lit("SQL"), F.lit("docker"))
     text = F.col("text")
     years = h.years_from_section(text, s.content_of(text, "experience"), THIS_YEAR)
-    rows = made.resumes(spark, d).select("id", "text", years.alias("years"), r.title_bonus("text", F.lit("Senior Engineer")).alias("bonus"))
+    rows = made.resumes(spark, d).select("id", "text", years.alias("years"), r.title_bonus(F.col("text"), F.lit("Senior Engineer")).alias("bonus"))
     total = sc.balanced_total(F.col("text"), F.col("years"), F.lit(2), F.lit(6), wanted, F.lit("Backend Engineer"), F.col("bonus"))
     return rows.select("id", total.alias("t")).select("id", "t.*")
 

@@ -50,4 +50,6 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.queries()) - set(catalogue.oracles()) == {"t10_cleaned", "t19_title_bonus"}  # see test_resume
+    assert set(catalogue.queries()) - set(catalogue.oracles()) == {
+        "t7_header_breaks", "t9_split_headers", "t10_cleaned", "t18_cleaned_match", "t19_title_bonus", "m9_balanced_total",
+    }  # fmt: skip  # see test_resume
