@@ -33,7 +33,8 @@ def rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{D}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{D}/{table}.parquet')")
     ours, found = queries.queries()[name](spark, D), con.execute(queries.ORACLES[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == sorted(ours.columns)
