@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import task_count, text_bytes, written
-from .texts import id_and_text, one_array, ranges, raw, slices, split_words, word_codes
+from .texts import id_and_text, one_array, ranges, raw, slices, split_words, string_hashes, word_codes
 
 SIZE = 4096
 END = 2
 DIMS = 3
 BITS = 16
 PARTS = 1 << 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1 << 20
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PLAIN = r"^(?P<core>\p{L}+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
@@ -97,21 +98,44 @@ def curve_keys(texts: pa.Array) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts by a public tokenizer, remembering up to ``CACHE_WORDS`` words."""
+    """Ids of texts by a public tokenizer, remembering up to ``CACHE_WORDS`` words in sorted arrays, by 64 bits of hash."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, words
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.known[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words where their ids begin in ``self.ids``, and how many there are."""
+        h = string_hashes(words)
+        at = np.searchsorted(self.known, h)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != h) if len(self.known) else np.arange(len(h))
+        if len(self.known) + len(new) > CACHE_WORDS and len(self.known):
+            self.forget()
+            return self.words(words)
+        if len(new):
+            self.learn(h[new], words.take(pa.array(new)).to_pylist())
+            at = np.searchsorted(self.known, h)
+        return self.first[at], self.size[at]
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), "<u4")])
+        self.ids[self.used : self.used + len(ids)] = ids
+        first = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.known, hashes[order])
+        self.known, self.first, self.size = (np.insert(old, place, more[order]) for old, more in ((self.known, hashes), (self.first, first), (self.size, size)))
 
     def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of distinct words the ids laid end to end, and their numbers."""
@@ -119,17 +143,12 @@ class WordEncoder:
         odd = np.asarray(split.is_null())
         core = pc.if_else(pa.array(odd), words, pc.ascii_lower(pc.struct_field(split, "core")))
         tail = pc.if_else(pa.array(odd), "", pc.struct_field(split, "tail"))
-        parts = []
-        for column in (core, tail):
-            codes, distinct = word_codes(column)
-            got = self.words(distinct.to_pylist())
-            ids = np.frombuffer(b"".join(got), "<u4")
-            size = np.array([len(x) // 4 for x in got], np.int64)
-            parts.append((ids, (np.cumsum(size) - size)[codes], size[codes]))
-        (ids, a, m), (tails, b, n) = parts
-        both = np.concatenate([ids, tails])
-        at = np.stack([a, b + len(ids)], axis=1).ravel()
-        return both[ranges(at, np.stack([m, n], axis=1).ravel())], m + n
+        n = len(words)
+        codes, distinct = word_codes(pa.concat_arrays([core, tail]))
+        first, size = self.words(distinct)
+        at = np.stack([first[codes[:n]], first[codes[n:]]], axis=1).ravel()
+        m = np.stack([size[codes[:n]], size[codes[n:]]], axis=1)
+        return self.ids[ranges(at, m.ravel())], m.sum(axis=1)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the texts' offsets."""
