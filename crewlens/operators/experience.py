@@ -12,12 +12,23 @@ from ..functions.resume import date_ranges
 from ..functions.sections import plain_line
 
 
-def blocks(sections: DataFrame, key: str, content: str, last_year: int) -> DataFrame:
-    """(key, block, lines) of the parts of a section that hold a date.
+def block_numbers(rows: DataFrame, key: str) -> DataFrame:
+    """``block`` of rows (key, n, line, dated, org, heading) of a section's lines.
 
-    A part begins after an empty line, at a heading (a role in a line of twelve words) before a dated line, and at a dated
-    line or an ``Organization:`` line where the part before has a date.  Windows run over one section's lines.
+    A block begins after an empty line, at a heading before a dated line, and at a dated line or an ``Organization:`` line where the
+    block before has a date.  Windows run over one section's lines.
     """
+    order = W.partitionBy(key).orderBy("n")
+    following = F.first(F.when(F.col("line") != "", F.col("dated")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
+    seen = rows.withColumn("opens", F.col("heading") & F.coalesce(following, F.lit(False)))
+    event = F.when(F.col("dated"), "dated").when((F.col("line") == "") | F.col("org") | F.col("opens"), "reset")
+    before = F.coalesce(F.last(event, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(""))
+    starts = (F.col("line") == "") | (~F.col("dated") & F.col("opens")) | ((F.col("dated") | F.col("org")) & (before == "dated"))
+    return seen.withColumn("starts", starts).withColumn("block", F.sum(F.col("starts").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def blocks(sections: DataFrame, key: str, content: str, last_year: int) -> DataFrame:
+    """(key, block, lines) of the parts of a section that hold a date; a heading is a role in a line of twelve words."""
     lines = F.transform(F.split(t.line_breaks(F.col(content)), "\n"), lambda x: F.regexp_replace(plain_line(x), r"^[ |\-]+|[ |\-]+\z", ""))
     rows = sections.select(key, F.posexplode(lines).alias("n", "line"))
     role = (F.size(F.split("line", " ")) <= 12) & ~F.col("line").endswith(".") & F.col("line").rlike(rf"(?i)\b(?:{h.ROLES})\b")
@@ -27,14 +38,7 @@ def blocks(sections: DataFrame, key: str, content: str, last_year: int) -> DataF
         F.col("line").rlike(r"(?i)^organization\s*:\s*.+\z").alias("org"),
         ((F.col("line") != "") & role).alias("heading"),
     )
-    order = W.partitionBy(key).orderBy("n")
-    following = F.first(F.when(F.col("line") != "", F.col("dated")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    seen = seen.withColumn("opens", F.col("heading") & F.coalesce(following, F.lit(False)))
-    event = F.when(F.col("dated"), "dated").when((F.col("line") == "") | F.col("org") | F.col("opens"), "reset")
-    before = F.coalesce(F.last(event, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(""))
-    starts = (F.col("line") == "") | (~F.col("dated") & F.col("opens")) | ((F.col("dated") | F.col("org")) & (before == "dated"))
-    numbered = seen.withColumn("starts", starts).withColumn("block", F.sum(F.col("starts").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    parts = numbered.filter("line <> ''").groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"), F.bool_or("dated").alias("dated"))
+    parts = block_numbers(seen, key).filter("line <> ''").groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"), F.bool_or("dated").alias("dated"))
     return parts.filter("dated").select(key, "block", F.transform("l", lambda s: s["line"]).alias("lines"))
 
 

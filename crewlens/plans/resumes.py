@@ -9,6 +9,7 @@ from ..functions import checks as k
 from ..functions import history as h
 from ..functions import sections as s
 from ..operators import experience as x
+from ..operators import work_history as wh
 from ..sources import resumes as made
 from ..sources import views as v
 from ..sources.resumes import resumes
@@ -111,6 +112,10 @@ def _entries(spark, d, which):
     return _experience(spark, d).select("id", F.posexplode(which(F.col("content"), THIS_YEAR)).alias("k", "e"))
 
 
+def _listed(spark, d, which):
+    return _experience(spark, d).select("id", F.posexplode(which(F.col("content"), F.lit(f"{THIS_YEAR}-01-01").cast("date"))).alias("k", "e"))
+
+
 @register(f"""WITH {LABELLED} SELECT id, row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS k, company, role, strftime(start, '%Y-%m') AS a, strftime("end", '%Y-%m') AS b, is_current FROM labelled_""")
 def e1_labelled_entries(spark, d):
     month = lambda c: F.date_format(c, "yyyy-MM")
@@ -126,7 +131,7 @@ inlined_ AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS k F
 
 @register(f"WITH {INLINED} SELECT id, k, company, role, strftime(a, '%Y-%m') AS a, runs AS is_current FROM inlined_")
 def e4_inline_entries(spark, d):
-    e = _entries(spark, d, h.inline_entries)
+    e = _listed(spark, d, h.inline_entries)
     return e.select("id", F.col("k").cast("long").alias("k"), "e.company", "e.role", F.date_format("e.start", "yyyy-MM").alias("a"), "e.is_current")
 
 
@@ -220,7 +225,7 @@ def t43_places(spark, d):
 @register(rf"""WITH {EXPERIENCE}, x AS (SELECT id, n, regexp_extract(line, 'I worked as (Lead Designer) and joined Initech from', 1) AS role, regexp_extract(line, 'joined Initech from (\d{{4}}) to', 1) AS a, regexp_extract(line, ' to (\d{{4}}) there', 1) AS b FROM e_ WHERE regexp_matches(line, 'joined Initech from \d{{4}} to \d{{4}} there'))
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS k, 'Initech' AS company, role, a || '-01' AS a, b || '-01' AS b FROM x""")
 def e5_prose_entries(spark, d):
-    e = _entries(spark, d, h.prose_entries)
+    e = _listed(spark, d, h.prose_entries)
     month = lambda c: F.date_format(c, "yyyy-MM")
     return e.select("id", F.col("k").cast("long").alias("k"), "e.company", "e.role", month("e.start").alias("a"), month("e.end").alias("b"))
 
@@ -253,3 +258,26 @@ def o5_bulk_upload(spark, d):
     every = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("job"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("print"))
     stored = every.filter("id % 7 = 0").select("job", "print")  # what earlier uploads have left
     return x.new_uploads(every.filter("id % 7 <> 0"), stored, ["job", "print"], "id").select("id", "job")
+
+
+AS_OF = "2024-06-15"
+
+
+@register()
+def e3_block_entries(spark, d):
+    """Entries of the blocks of all work histories."""
+    e = wh.block_entries(made.work_histories(spark, d), "id", "content", AS_OF)
+    return e.select("id", F.col("part").cast("long").alias("part"), "company", "role", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "is_current", "months", "confidence")
+
+
+@register()
+def e6_line_entries(spark, d):
+    """Entries of the second layer, without those that are told twice."""
+    e = wh.line_entries(made.work_histories(spark, d), "id", "content", AS_OF)
+    return e.select("id", F.col("part.part").cast("long").alias("part"), F.col("part.k").cast("long").alias("k"), "company", "role", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "is_current", "months", "confidence")
+
+
+@register()
+def o3_total_experience(spark, d):
+    """Total experience of all work histories, by the layer that says more."""
+    return wh.total_experience(made.work_histories(spark, d), "id", "content", AS_OF)

@@ -49,3 +49,54 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = F.concat(F.lit("asha"), F.col("doc_id").cast("string"), F.lit("@mail.example"))
     head = F.concat(pick(PEOPLE), F.lit(" "), pick(PLACES), F.lit(" "), mail, F.lit("\nemail: "), mail, F.lit("\n"))
     return docs.select(F.col("doc_id").alias("id"), F.concat(head, F.array_join(lines, "\n")).alias("text"))
+
+
+#: Work histories as people write them: block, line and prose forms, and lines that only look like one; {y}, {z} and {m} are years and a month.
+HISTORIES = (
+    "Senior Data Engineer at Globex Solutions\n{m} {y} - {m} {z}\nBuilt pipelines for reporting",
+    "Acme Pvt Ltd | QA Lead | 06/{y} - Present\nTested releases",
+    "Initech Systems - Pune, India\nProduct Manager\n{y} - {z}\nOwned the roadmap",
+    "{m} {y} to {m} {z}\nSoftware Engineer\nHooli Technologies",
+    "* Led three projects\n* {y} - {z} migration",
+    "Backend Developer, Umbrella Labs, {m}'{y2} - till date",
+    "Certified Associate\nCisco Systems\n{y} - {z}",
+    "Business Analyst in Stark Works ({y} - {z})",
+    "I worked as a Lead Designer and joined Wayne Corp from {y} to {z} there",
+    "Data Analyst | 0{d}/{y} to {z} Vandelay Inc Led a team of four QA Engineer | {z} - Present Soylent Corp Built tests",
+    "Consultant\nWonka Solutions, since {y}",
+    "Joined {m} {y} and worked until {m} {z}\nTyrell Corporation",
+    "Trainer, FY {y}-{z2}\nPied Piper Academy",
+    "Python Developer\nAperture\n{z} - {y}",
+    "Chaired a reading group, no dates",
+    "Associate Consultant\nMassive Dynamic Services\n{y}.0{d} - {z}.0{d}",
+    "Organization: Cyberdyne Systems\nDesignation: Principal Engineer\nPeriod\n{m} {y} - {m} {z}",
+    "Director of Sales @ Oscorp\n{y} ~ {z}",
+    "{y} - {z}",
+    "1. Team Lead - Nakatomi Trading\n{m} {y} - Current",
+)
+MONTH_NAMES = ("Jan", "Feb", "March", "Apr", "May", "June", "Jul", "August", "Sept", "Oct", "Nov", "Dec")
+
+
+def work_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content): one section of work history for each document; entries stand between lines of its whole text.
+
+    Which entries, their dates, and whether empty lines part them, follow from a hash of the id and the line's place.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+    def entry(i):
+        number = F.pmod(F.xxhash64(F.col("doc_id"), i), F.lit(1 << 30)).cast("int")
+        year = FIRST_YEAR + number % YEARS
+        values = {
+            "{y}": year, "{z}": year + 1 + (number / 64).cast("int") % 4, "{y2}": F.lpad((year % 100).cast("string"), 2, "0"),
+            "{z2}": F.lpad(((year + 1) % 100).cast("string"), 2, "0"), "{d}": 1 + number % 9,
+            "{m}": F.element_at(F.array(*[F.lit(x) for x in MONTH_NAMES]), 1 + (number / 7).cast("int") % 12),
+        }
+        text = F.element_at(F.array(*[F.lit(x) for x in HISTORIES]), 1 + (number / 512).cast("int") % len(HISTORIES))
+        for mark, value in values.items():
+            text = F.replace(text, F.lit(mark), value.cast("string"))
+        gap = F.when(number % 3 > 0, "\n").otherwise("")
+        return F.concat(gap, text, gap, F.lit("\n"))
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(entry(i), x))
+    return docs.select(F.col("doc_id").alias("id"), F.array_join(lines, "\n").alias("content"))
