@@ -114,20 +114,29 @@ class Model:
 
 
 def maximal_segments(positive: np.ndarray, sums: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments, in linear time, from the places of positive scores and all partial sums."""
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    """All maximal scoring segments, in linear time, from the places of positive scores and all partial sums.
+
+    Each stacked segment knows the nearest one below it that begins at a smaller sum, so the ones between are never looked at again.
+    """
+    first: list[int] = []
+    last: list[int] = []
+    low: list[float] = []  # the sum before a segment
+    high: list[float] = []  # and after it
+    below: list[int] = []
     for p in positive.tolist():
-        start, end, low, high = p, p + 1, float(sums[p]), float(sums[p + 1])
-        while stack:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= low:
-                k -= 1
-            if k < 0 or stack[k][3] >= high:
+        a, b, lo, hi, k = p, p + 1, float(sums[p]), float(sums[p + 1]), len(low) - 1
+        while True:
+            while k >= 0 and low[k] >= lo:
+                k = below[k]
+            if k < 0 or high[k] >= hi:
                 break
-            start, low = stack[k][0], stack[k][2]
-            del stack[k:]
-        stack.append((start, end, low, high))
-    return [(i, j, high - low) for i, j, low, high in stack]
+            a, lo, under = first[k], low[k], below[k]
+            for column in (first, last, low, high, below):
+                del column[k:]
+            k = under
+        for column, value in ((first, a), (last, b), (low, lo), (high, hi), (below, k)):
+            column.append(value)
+    return [(i, j, y - x) for i, j, x, y in zip(first, last, low, high, strict=True)]
 
 
 def _scores(counts: np.ndarray, mean: np.ndarray, total: np.ndarray) -> np.ndarray:

@@ -346,3 +346,33 @@ def test_language_model_and_tokens_of_long_and_repeated_texts(frame, long_and_re
     assert len(got) == len(long_and_repeated)
     both = [r for r in got if r.doc_id == 5000]
     assert both[0].score == pytest.approx(both[1].score) and both[0].n_tokens == len(plain.words(long_and_repeated[40][1])) + 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_segments_like_recursion(seed):
+    """The stack gives the segments that taking out the best run again and again gives."""
+    rng = np.random.default_rng(seed)
+    score = rng.integers(-3, 4, 400).astype(float)
+    sums = np.concatenate([[0.0], np.cumsum(score)])
+
+    def search(a, b):
+        best = max(((sums[j] - sums[i], -(j - i), -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        i, j = -best[2], -best[2] - best[1]
+        return [*search(a, i), best[0], *search(j, b)]
+
+    got = toxicity.maximal_segments(np.flatnonzero(score > 0), sums)
+    assert sorted(x for *_, x in got) == sorted(search(0, 400))
+
+
+def test_segments_take_linear_time():
+    """A quarter of a million positive tokens apart from each other, while sums fall and while they rise."""
+    import time
+
+    n = 500_000
+    for step in (-1.5, -1.0, -0.5):
+        score = np.tile([1.0, step], n // 2)
+        began = time.process_time()
+        toxicity.maximal_segments(np.flatnonzero(score > 0), np.concatenate([[0.0], np.cumsum(score)]))
+        assert time.process_time() - began < 20
