@@ -117,8 +117,12 @@ class Items:
         good = self.known[place] == shingles[at] if len(at) else np.zeros(0, bool)
         return at[good], place[good]
 
-    def windows(self, length: int, at: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """(start, stop, size) of a document's windows that share enough shingles with items of that size."""
+    def windows(self, shingles: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(start, stop, size) of a document's windows that share enough shingles with items of that size; of equal windows one.
+
+        The memory it takes follows the document's length, however often an item's shingles occur in it.
+        """
+        length = len(shingles)
         of_hit = self.own_sizes[ranges(self.first[place], self.count[place])]
         where = np.repeat(at, self.count[place])
         found = []
@@ -126,19 +130,20 @@ class Items:
             own = where[of_hit == size]
             if len(own) < self.least * size / (1 + self.least):
                 continue
-            # starts before the text stand for windows that it cuts short
-            start = np.unique(ranges(own - size + 1, np.full(len(own), size)))
+            # starts before the text stand for windows that it cuts short; each start once, whatever hits its window has
+            begin = np.maximum(own - size + 1, np.concatenate([own[:1] - size, own[:-1]]) + 1)
+            start = ranges(begin, own - begin + 1)
             a, b = np.maximum(start, 0), np.minimum(start + size, length)
             shared = np.searchsorted(own, b) - np.searchsorted(own, a)
             good = shared >= np.ceil(self.least * (size + b - a) / (1 + self.least) - 1e-9)
-            spans = np.unique(np.stack([a[good], b[good]], axis=1), axis=0)
+            spans = _distinct_windows(shingles, np.unique(np.stack([a[good], b[good]], axis=1), axis=0), size)
             found.append(np.column_stack([spans, np.full(len(spans), size)]))
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
     def matches(self, shingles: np.ndarray, at: np.ndarray, place: np.ndarray) -> dict[int, float]:
         """Items found in one document's shingles, with the best similarity of each."""
         found: dict[int, float] = {}
-        every = self.windows(len(shingles), at, place)
+        every = self.windows(shingles, at, place)
         for spans in np.array_split(every, -(-len(every) // WINDOWS)) if len(every) else ():  # bounded pieces
             length = spans[:, 1] - spans[:, 0]
             prints = wide_bits(shingles[ranges(spans[:, 0], length)], np.concatenate([[0], np.cumsum(length)]), PRINT_WORDS)
@@ -150,6 +155,19 @@ class Items:
         return found
 
 
+def _distinct_windows(shingles: np.ndarray, spans: np.ndarray, size: int) -> np.ndarray:
+    """Spans without those whose whole window has the same 64-bit hash as an earlier one."""
+    whole = spans[:, 1] - spans[:, 0] == size
+    if whole.sum() < 2:
+        return spans
+    runs = np.flatnonzero(np.diff(spans[whole, 0], prepend=-2) > 1)  # windows that begin side by side
+    starts = spans[whole, 0]
+    edges = np.append(runs, len(starts))
+    hashes = [window_hashes(shingles[starts[i] : starts[j - 1] + size], np.array([0, starts[j - 1] + size - starts[i]]), size)[0] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    _, once = np.unique(np.concatenate(hashes), return_index=True)
+    return np.concatenate([spans[~whole], spans[whole][np.sort(once)]])
+
+
 def _block_values(prints: np.ndarray) -> np.ndarray:
     """The blocks of 16 bits of fingerprints, shape (rows, BLOCKS)."""
     return np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS).astype(np.int64)

@@ -252,3 +252,22 @@ def test_lines_that_cross_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {k: int(k > 0) for k in range(40)}
+
+
+def test_passages_in_long_texts_of_one_word(frame, spark):
+    """Memory follows the text's length: every window of the text holds the item's shingles."""
+    import tracemalloc
+
+    item = " ".join(["again"] * 400)
+    rows = [(1, " ".join(["again"] * 60_000)), (2, " ".join(["again"] * 399 + ["more"])), (3, "again " * 30 + "x y z")]
+    bench = spark.createDataFrame([(7, item), (8, "again again again again again")], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.contamination(frame(rows), bench).collect()}
+    assert got == {i: sorted(plain.contaminated(t, [(7, item), (8, "again again again again again")])) for i, t in rows[1:]} | {1: [7, 8]}
+    shingles, edges = decontaminate._shingles(pa.array([item, rows[0][1]]), decontaminate.SHINGLE)
+    items = decontaminate.Items([7], [shingles[: edges[1]]], 0.8)
+    own = shingles[edges[1] :]
+    tracemalloc.start()
+    hits, place = items.hits(own)
+    assert len(items.windows(own, hits, place)) < 500
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
