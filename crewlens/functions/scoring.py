@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -170,50 +172,188 @@ def balanced_total(text: Column, years: Column, least: Column, most: Column, ski
     return let(F.struct(*[c.alias(k) for k, c in parts.items()]), judged)
 
 
-def summary(required: Column, own: Column, years: Column, least: Column, most: Column) -> Column:
-    """(experience, skills, strengths, gaps, fit): sentences that compare a candidate's fields with a job's."""
-    low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
-    shown = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
-    one = lambda c: F.format_string("%.1f", c)
+# The sentences of a summary; {0}, {1}, ... are what is put in.
+NO_SUMMARY = (
+    "Candidate Summary:\n• Experience Match: Insufficient data for evaluation.\n• Skill Match: Insufficient data for evaluation.\n"
+    "• Domain Match: Insufficient data for evaluation.\n• Strengths: Limited structured evidence available.\n"
+    "• Gaps (if any): Unable to determine from current data.\n• Overall Fit: Not enough structured information to assess fit."
+)
+SENTENCES = {
+    "no_range": "Candidate shows approximately {0} years of experience; the job requirement is not clearly specified.",
+    "at_least": "Candidate experience of {0} years meets or exceeds the minimum requirement of {1}+ years.",
+    "too_few": "Candidate experience of {0} years is below the expected minimum of {1}+ years.",
+    "in_range": "Candidate experience of {0} years is aligned with the required range of {1}-{2} years.",
+    "below": "Candidate experience of {0} years falls below the required range of {1}-{2} years.",
+    "above": "Candidate experience of {0} years exceeds the stated range of {1}-{2} years.",
+    "skills": "Matched core skills include {0}.",
+    "preferred": " Preferred overlap includes {0}.",
+    "no_skills": "No strong overlap was found across the listed required skills.",
+    "domain": "Relevant domain exposure is visible through experience in {0}.",
+    "no_domain": "No clear direct domain match was identified for {0}, based on the structured candidate data.",
+    "roles": "Role alignment is supported by prior titles such as {0}.",
+    "no_roles": "Domain alignment is not strongly established from the available structured role history.",
+    "unclear": "Domain alignment is not clearly established from the available structured data.",
+    "strengths": "Key strengths are {0}.",
+    "no_strengths": "Key strengths are not strongly evidenced in the current structured comparison.",
+    "core": "core skill alignment in {0}",
+    "extra": "additional value in {0}",
+    "deep": "experience depth appropriate for the role",
+    "practical": "relevant practical experience",
+    "continuity": "role continuity across {0}",
+    "gaps": "Primary gaps include {0}.",
+    "no_gaps": "No major gaps are evident from the structured JD comparison.",
+    "missing": "missing important skills such as {0}",
+    "short": "experience below the stated requirement",
+    "no_background": "domain background not clearly available in structured candidate data",
+    "strong": "Overall fit appears strong based on required skill coverage and experience alignment.",
+    "moderate": "Overall fit appears moderate, with relevant overlap but some notable gaps to assess further.",
+    "limited": "Overall fit appears limited due to low alignment on key structured requirements.",
+}
+BULLETS_OF_SUMMARY = ("Experience Match", "Skill Match", "Domain Match", "Strengths", "Gaps (if any)", "Overall Fit")
+
+
+def required_years(c: Column) -> Column:
+    """(least, most) that a wording asks for: ``a - b`` or ``a to b`` in either order, ``a+``, a single number for both; else nulls."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    span, open_, one = r"(\d+(?:\.\d+)?)\s*(?:-|to)\s*(\d+(?:\.\d+)?)", r"(\d+(?:\.\d+)?)\s*\+", r"(\d+(?:\.\d+)?)"
+    number = lambda p, k: F.regexp_extract(low, p, k).try_cast("double")
+    pair = lambda a, b: F.struct(a.alias("least"), b.alias("most"))
+    a, b, none = number(span, 1), number(span, 2), F.lit(None).cast("double")
+    return (
+        F.when(low.rlike(span), pair(F.least(a, b), F.greatest(a, b)))
+        .when(low.rlike(open_), pair(number(open_, 1), none))
+        .otherwise(pair(number(one, 1), number(one, 1)))
+    )
+
+
+def title_case(c: Column) -> Column:
+    """Every run of letters begins with a capital: ``node.js`` becomes ``Node.Js``."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substr(x, F.lit(2))))), "")
+
+
+def plain_items(c: Column) -> Column:
+    """Lower-case items with single blanks, without blank ones and repeats."""
+    items = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))))
+    return F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))
+
+
+def summary(
+    required: Column, own: Column, years: Column, asked: Column, preferred: Column | None = None, roles: Column | None = None,
+    industries: Column | None = None, title: Column | None = None, industry: Column | None = None,
+) -> Column:
+    """(experience, skills, domain, strengths, gaps, fit, text): sentences that compare a candidate's fields with a job's.
+
+    ``asked`` has (least, most) years, either may be null.  Of matched skills four are named, of preferred ones three, of others two or three.
+    ``text`` is all of them with their headings, or that there is not enough to compare.
+    """
+    nothing = F.array().cast("array<string>")
+    text_of = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c if c is not None else F.lit(""), F.lit("")), r"\s+", " ")))
+    items = lambda c: plain_items(c if c is not None else nothing)
+
+    def say(name: str, *what: Column) -> Column:
+        parts = re.split(r"\{(\d)\}", SENTENCES[name])
+        return F.concat(*[what[int(x)] if k % 2 else F.lit(x) for k, x in enumerate(parts) if x])
+
+    def names(c: Column, n: int) -> Column:
+        return F.array_join(F.transform(F.slice(c, 1, n), title_case), ", ")
 
     def told(f: Column) -> Column:
-        y, hit, miss, wanted = f["years"], f["hit"], f["miss"], f["wanted"]
-        enough = least.isNull() | (y >= least)
-        span = F.concat(one(least), F.lit("-"), one(most), F.lit(" years."))
-        says = lambda *x: F.concat(F.lit("Candidate experience of "), one(y), *x)
+        y, least, most, hit, miss, extra = f["years"], f["least"], f["most"], f["hit"], f["miss"], f["extra"]
+        ys, az, bz = (F.format_string("%.1f", c) for c in (y, least, most))
+        some = lambda c: F.size(c) > 0
         experience = (
-            F.when(least.isNull() & most.isNull(), F.concat(F.lit("Candidate shows approximately "), one(y), F.lit(" years of experience; the job requirement is not clearly specified.")))
-            .when(most.isNull() & (y >= least), says(F.lit(" years meets or exceeds the minimum requirement of "), one(least), F.lit("+ years.")))
-            .when(most.isNull(), says(F.lit(" years is below the expected minimum of "), one(least), F.lit("+ years.")))
-            .when(y.between(least, most), says(F.lit(" years is aligned with the required range of "), span))
-            .when(y < least, says(F.lit(" years falls below the required range of "), span))
-            .otherwise(says(F.lit(" years exceeds the stated range of "), span))
+            F.when(least.isNull() & most.isNull(), say("no_range", ys))
+            .when(most.isNull(), F.when(y >= least, say("at_least", ys, az)).otherwise(say("too_few", ys, az)))
+            .when(y < least, say("below", ys, az, bz))
+            .when(y > most, say("above", ys, az, bz))
+            .otherwise(say("in_range", ys, az, bz))
+        )
+        skills = F.when(some(hit), F.concat(say("skills", names(hit, 4)), F.when(some(extra), say("preferred", names(extra, 3))).otherwise(""))).otherwise(SENTENCES["no_skills"])
+        near = lambda own_, asked_: F.filter(own_, lambda x: x.contains(asked_) | asked_.contains(x))
+        fields, titles = near(f["industries"], f["industry"]), near(f["roles"], f["title"])
+        domain = (
+            F.when(f["industry"] != "", F.when(some(fields), say("domain", names(fields, 2))).otherwise(say("no_domain", f["named_industry"])))
+            .when((f["title"] != "") & some(f["roles"]), F.when(some(titles), say("roles", names(titles, 2))).otherwise(SENTENCES["no_roles"]))
+            .otherwise(SENTENCES["unclear"])
         )
-        skills = F.when(F.size(hit) > 0, F.concat(F.lit("Matched core skills include "), shown(hit, 5), F.lit("."))).otherwise("No strong overlap was found across the listed required skills.")
+        enough = least.isNotNull() & (y >= least)
         good = F.array_compact(F.array(
-            F.when(F.size(hit) > 0, F.concat(F.lit("core skill alignment in "), shown(hit, 3))),
-            F.when(least.isNotNull() & (y >= least), "experience depth appropriate for the role").when(y > 0, "relevant practical experience"),
-        ))
+            F.when(some(hit), say("core", names(hit, 3))), F.when(some(extra), say("extra", names(extra, 2))),
+            F.when(enough, SENTENCES["deep"]).when(y > 0, SENTENCES["practical"]), F.when(some(f["roles"]), say("continuity", names(f["roles"], 2))),
+        ))
         bad = F.array_compact(F.array(
-            F.when(F.size(miss) > 0, F.concat(F.lit("missing important skills such as "), shown(miss, 4))),
-            F.when(least.isNotNull() & (y < least), "experience below the stated requirement"),
-        ))
-        share = F.coalesce(F.try_divide(F.size(hit).cast("double"), F.size(wanted)), F.lit(0.0))
+            F.when(some(miss), say("missing", names(miss, 4))), F.when(least.isNotNull() & (y < least), SENTENCES["short"]),
+            F.when((f["industry"] != "") & ~some(f["industries"]), SENTENCES["no_background"]),
+        ))
+        share = F.coalesce(F.try_divide(F.size(hit).cast("double"), F.size(f["wanted"])), F.lit(0.0))
+        fit = F.when((share >= 0.7) & (least.isNull() | enough), SENTENCES["strong"]).when(share >= 0.4, SENTENCES["moderate"]).otherwise(SENTENCES["limited"])
+        listed = lambda c, name: F.when(some(c), say(name, F.array_join(c, ", "))).otherwise(SENTENCES[f"no_{name}"])
+        every = F.struct(experience.alias("experience"), skills.alias("skills"), domain.alias("domain"), listed(good, "strengths").alias("strengths"), listed(bad, "gaps").alias("gaps"), fit.alias("fit"))
+        blank = ~some(f["wanted"]) & ~some(f["mine"]) & (y == 0) & ~some(f["roles"])
+        return let(every, lambda e: F.struct(*[e[k].alias(k) for k in ("experience", "skills", "domain", "strengths", "gaps", "fit")], F.when(blank, NO_SUMMARY).otherwise(_bulleted(e)).alias("text")))
+
+    def fields(i: Column) -> Column:
         return F.struct(
-            experience.alias("experience"),
-            skills.alias("skills"),
-            F.when(F.size(good) > 0, F.concat(F.lit("Key strengths are "), F.array_join(good, ", "), F.lit("."))).otherwise("Key strengths are not strongly evidenced in the current structured comparison.").alias("strengths"),
-            F.when(F.size(bad) > 0, F.concat(F.lit("Primary gaps include "), F.array_join(bad, ", "), F.lit("."))).otherwise("No major gaps are evident from the structured JD comparison.").alias("gaps"),
-            F.when((share >= 0.7) & enough, "strong").when(share >= 0.4, "moderate").otherwise("limited").alias("fit"),
-        )
-
-    fields = let(low(own), lambda mine: let(low(required), lambda wanted: F.struct(
-        F.coalesce(years.cast("double"), F.lit(0.0)).alias("years"),
-        wanted.alias("wanted"),
-        F.filter(wanted, lambda x: F.array_contains(mine, x)).alias("hit"),
-        F.filter(wanted, lambda x: ~F.array_contains(mine, x)).alias("miss"),
-    )))
-    return let(fields, told)
+            F.coalesce(years.cast("double"), F.lit(0.0)).alias("years"), asked["least"].alias("least"), asked["most"].alias("most"), *[i[k].alias(k) for k in ("wanted", "mine", "roles", "industries")],
+            F.filter(i["wanted"], lambda x: F.array_contains(i["mine"], x)).alias("hit"), F.filter(i["wanted"], lambda x: ~F.array_contains(i["mine"], x)).alias("miss"),
+            F.filter(i["liked"], lambda x: F.array_contains(i["mine"], x)).alias("extra"), text_of(title).alias("title"), text_of(industry).alias("industry"),
+            (industry if industry is not None else F.lit("")).alias("named_industry"),
+        )
+
+    lists = F.struct(items(required).alias("wanted"), items(own).alias("mine"), items(preferred).alias("liked"), items(roles).alias("roles"), items(industries).alias("industries"))
+    return let(lists, lambda i: let(fields(i), told))
+
+
+def _bulleted(e: Column) -> Column:
+    keys = ("experience", "skills", "domain", "strengths", "gaps", "fit")
+    return F.concat(F.lit("Candidate Summary:"), *[x for head, k in zip(BULLETS_OF_SUMMARY, keys, strict=True) for x in (F.lit(f"\n• {head}: "), e[k])])
+
+
+# The parts of the final score, each with its weight.
+FINAL_WEIGHTS = {"skills": 35.0, "experience": 20.0, "tfidf": 20.0, "bm25": 15.0, "education": 5.0}
+#: At most so much with no matched skill and two words of other professions, or one and three.
+CAPS = ((0, 2, 35.0), (1, 3, 45.0))
+FINAL_LABELS = ((80, "Strong Fit", "shortlisted"), (65, "Potential Fit", "shortlisted"), (50, "Borderline Fit", "review"))
+
+
+def final_fit(percent: Column, features: Column, matched: Column, wanted: Column, ignored: Column, years: Column, place: Column, has_place: Column, relevance: Column) -> Column:
+    """(score, label, status, strengths, gaps) from a ranking in percent and its features.
+
+    ``features`` has skill_percent, experience, tfidf, bm25, education (shares of 100) and combined; ``matched`` of ``wanted`` skills are found, and
+    ``ignored`` words of other professions stand in the text; ``place`` is the location's score of 0 to 5.
+    """
+
+    def judged(f: Column) -> Column:
+        score = f["percent"]
+        for most, least, cap in reversed(CAPS):
+            score = F.when((wanted > 0) & (matched <= most) & (ignored >= least), F.least(f["percent"], F.lit(cap))).otherwise(score)
+        weighted = {k: F.round(f[k] / 100 * weight, 2) for k, weight in FINAL_WEIGHTS.items()}
+
+        def told(x: Column) -> Column:
+            skill = f["skills"]
+            good = F.array_compact(F.array(
+                F.when(skill >= 80, F.concat(F.lit("Excellent skills match: "), matched.cast("string"), F.lit(" of "), wanted.cast("string"), F.lit(" required skills"))).when(skill >= 50, F.concat(F.lit("Good skills match: "), skill.cast("string"), F.lit("%"))),
+                F.when(x["experience"] >= 12, F.concat(years.cast("string"), F.lit(" years of relevant experience"))),
+                F.when(x["education"] >= 4, F.concat(F.lit("Education: "), relevance)),
+                F.when(f["combined"] >= 60, F.concat(F.lit("Strong resume-to-JD similarity: "), f["combined"].cast("string"), F.lit("%"))),
+                F.when(place >= 5, "Location aligns with job requirement"),
+            ))
+            bad = F.array_compact(F.array(
+                F.when(skill < 50, F.concat(F.lit("Missing "), (wanted - matched).cast("string"), F.lit(" key skills from requirements"))),
+                F.when(x["experience"] < 8, "Experience level appears below the role expectation"),
+                F.when(x["education"] < 2.5, "Education background not clearly relevant"),
+                F.when(has_place & (place == 0), "Location does not align with job requirement"),
+            ))
+            label, status = F.lit("Weak Fit"), F.lit("rejected")
+            for least, name, state in reversed(FINAL_LABELS):
+                label, status = F.when(x["score"] >= least, name).otherwise(label), F.when(x["score"] >= least, state).otherwise(status)
+            first = lambda c, none: F.when(F.size(c) > 0, F.slice(c, 1, 5)).otherwise(F.array(F.lit(none)))
+            return F.struct(F.round(x["score"], 1).alias("score"), label.alias("label"), status.alias("status"), first(good, "Basic qualifications present").alias("strengths"), first(bad, "No significant gaps identified").alias("gaps"))
+
+        return let(F.struct(score.alias("score"), weighted["experience"].alias("experience"), weighted["education"].alias("education")), told)
+
+    return let(F.struct(percent.alias("percent"), *[features[k].alias(k) for k in (*FINAL_WEIGHTS, "combined")]), judged)
 
 
 def fit_label(total: Column) -> Column:

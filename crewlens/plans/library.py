@@ -15,9 +15,9 @@ from ..operators import billing as b
 from ..operators import scope
 from ..sources import feeds, files
 from ..sources import views as v
+from ..sources.shared import shared_folder
 from ..sources.resumes import resumes
 from .sql_views import Register
-from .streams import shared_folder
 
 register = Register()
 

@@ -17,9 +17,9 @@ from ..operators import matching as match
 from ..sources import feeds
 from ..sources import resumes as made
 from ..sources import views as v
+from ..sources.shared import shared_folder
 from .resumes import LABELLED, SECTIONS, THIS_YEAR
 from .sql_views import Register
-from .streams import shared_folder
 
 register = Register()
 B = r"\s\x0B\p{Z}"
@@ -41,23 +41,6 @@ def m9_balanced_total(spark, d):
     return rows.select("id", total.alias("t")).select("id", "t.*")
 
 
-@register("""WITH x AS (SELECT c.id, list_transform(coalesce(c.skills, []), lambda y: lower(trim(y))) AS mine, list_transform(from_json(j.skills_json, '["VARCHAR"]'), lambda y: lower(trim(y))) AS wanted,
-  CAST(c.id % 9 AS DOUBLE) AS y, CASE WHEN j.id % 4 > 0 THEN 3.0 END AS a, CASE WHEN j.id % 4 > 1 THEN 6.0 END AS b FROM candidates c JOIN jobs j ON j.id = c.job_id),
-f AS (SELECT *, list_filter(wanted, lambda w: list_contains(mine, w)) AS hit, list_filter(wanted, lambda w: NOT list_contains(mine, w)) AS miss, printf('%.1f', y) AS ys, printf('%.1f', a) AS az, printf('%.1f', b) AS bz FROM x)
-SELECT id, CASE WHEN a IS NULL THEN 'Candidate shows approximately ' || ys || ' years of experience; the job requirement is not clearly specified.'
-    WHEN b IS NULL THEN 'Candidate experience of ' || ys || CASE WHEN y >= a THEN ' years meets or exceeds the minimum requirement of ' ELSE ' years is below the expected minimum of ' END || az || '+ years.'
-    ELSE 'Candidate experience of ' || ys || CASE WHEN y < a THEN ' years falls below the required range of ' WHEN y > b THEN ' years exceeds the stated range of ' ELSE ' years is aligned with the required range of ' END || az || '-' || bz || ' years.' END AS experience,
-  CASE WHEN len(hit) > 0 THEN 'Matched core skills include ' || array_to_string(hit, ', ') || '.' ELSE 'No strong overlap was found across the listed required skills.' END AS skills,
-  CASE WHEN len(hit) > 0 OR y > 0 THEN 'Key strengths are ' || concat_ws(', ', CASE WHEN len(hit) > 0 THEN 'core skill alignment in ' || array_to_string(hit, ', ') END, CASE WHEN y >= a THEN 'experience depth appropriate for the role' WHEN y > 0 THEN 'relevant practical experience' END) || '.' ELSE 'Key strengths are not strongly evidenced in the current structured comparison.' END AS strengths,
-  CASE WHEN len(miss) > 0 OR coalesce(y < a, false) THEN 'Primary gaps include ' || concat_ws(', ', CASE WHEN len(miss) > 0 THEN 'missing important skills such as ' || array_to_string(miss, ', ') END, CASE WHEN y < a THEN 'experience below the stated requirement' END) || '.' ELSE 'No major gaps are evident from the structured JD comparison.' END AS gaps,
-  CASE WHEN len(hit) >= 0.7 * len(wanted) AND coalesce(y >= a, true) THEN 'strong' WHEN len(hit) >= 0.4 * len(wanted) THEN 'moderate' ELSE 'limited' END AS fit FROM f""")
-def t60_summary(spark, d):
-    jobs = v.jobs(spark, d).select(F.col("id").alias("job_id"), F.from_json("skills_json", "array<string>").alias("wanted"))
-    both = v.candidates(spark, d).join(jobs, "job_id")
-    least, most = F.when(F.col("job_id") % 4 > 0, 3.0), F.when(F.col("job_id") % 4 > 1, 6.0)
-    return both.select("id", sc.summary(F.col("wanted"), F.col("skills"), F.col("id") % 9, least, most).alias("s")).select("id", "s.*")
-
-
 KEYS, STOPS = "responsibilities|duties|tasks|you will|what you'll do", "requirements|qualifications|skills|benefits|experience"
 
 

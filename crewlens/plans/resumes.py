@@ -223,7 +223,7 @@ def t43_places(spark, d):
 
 
 @register(rf"""WITH {EXPERIENCE}, x AS (SELECT id, n, regexp_extract(line, 'I worked as (Lead Designer) and joined Initech from', 1) AS role, regexp_extract(line, 'joined Initech from (\d{{4}}) to', 1) AS a, regexp_extract(line, ' to (\d{{4}}) there', 1) AS b FROM e_ WHERE regexp_matches(line, 'joined Initech from \d{{4}} to \d{{4}} there'))
-SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS k, 'Initech' AS company, role, a || '-01' AS a, b || '-01' AS b FROM x""")
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS k, 'Initech' AS company, role, a || '-01' AS a, b || '-12' AS b FROM x""")
 def e5_prose_entries(spark, d):
     e = _listed(spark, d, h.prose_entries)
     month = lambda c: F.date_format(c, "yyyy-MM")
