@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, cascades, dashboards, details, filters, library, listings, reports, resumes, stages, streams, texts
+from . import accounts, cascades, dashboards, details, filters, library, listings, people, reports, resumes, stages, streams, texts
 
-MODULES = (filters, stages, dashboards, texts, accounts, listings, streams, details, resumes, library, reports, cascades)
+MODULES = (filters, stages, dashboards, texts, accounts, listings, streams, details, resumes, library, reports, cascades, people)
 
 
 def queries() -> dict:

@@ -100,3 +100,45 @@ def work_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(entry(i), x))
     return docs.select(F.col("doc_id").alias("id"), F.array_join(lines, "\n").alias("content"))
+
+
+#: Heads of résumés as people write them; {n}, {u}, {c}, {t}, {m} and {p} are a name, the name in capitals, a town, its country, an address, a number.
+HEADS = (
+    "{n}\n{c}, {t}\n{m}", "Name: {n}\nLocation: {c}\n{m}", "RESUME\n{u}\n{c} | {m}", "CURRICULUM VITAE\n{n} | Senior Engineer | {p}\nAddress: 12 Main Street, {c}, {t}", "{n}, {p}\n{c}",
+    "{n} - Data Analyst\nBased in {c}, {t}", "Senior Data Engineer\n{n}\n{c} | {m}", "Acme Technologies Pvt Ltd\n{n}\n{m}\nCity: {c}", "{m}\n{p}\n{n}\nCurrent location: {c}", "Profile Summary\n{n}\n{p}\nLiving in {c}",
+    "{u}\n{p} | {m}\nLocated in {c}", "Full Name - {n}\nEmail: {m}\nPlace: {c}", "{n} {m}\n{c}, {t}", "{n} {p}\nLanguages: English, Hindi\n{c}", "Contact\n{m}\n{n}\nResiding in {c}, {t}", "{n} | {c}, {t} | {m}",
+    "QA Lead\nPython, SQL\n{n}\n{c}", "{n} · {m}\nWilling to relocate to {c}", "1. {m}\n{n}\nAddress - {c}", "Global Services Limited\nProject Manager\n{n}\n{c}, {t}", "{u}, {p}\nlocation: {c}",
+    "Email {m}\nPhone {p}\n{n}\n{c}", "  {n}  \n\n\n  {c} ,  {t} ", "Objective\nTo grow as an analyst\n{n}\n{m}\n{c}", "Nationality: {t}\n{n}\nLocation - {c}", "Technology project at {t}\n{n}\n{c}", "{n}\nSoftware Tester at Initech Labs\n{p}\n{m}\n{c}",
+    "Name - {u}\nCity - {c}", "DevOps Consultant | AWS\n{n} | {p}\nbased in {c}", "{n} Email: {m} Phone: {p}\nLocation: {c}, {t}", "Updated CV 2024\nMachine Learning Engineer\n{u} | {m}\n{c}", "{m} | {p}\n{n} • Designer\nPlace - {c}",
+)
+SKILLS = ("Python", "SQL", "Docker", "Kubernetes", "React", "Java", "Excel", "Spark")
+FIRST_NAMES = ("Asha", "Ravi", "Meera", "Jon", "Lena", "Omar", "Priya", "Tomas", "Ines", "Kofi", "Yuki", "Sara", "Mateo", "Nadia", "Viktor")
+LAST_NAMES = ("Verma", "Kumar", "Nair", "Snow", "Berg", "Haddad", "Das", "Novak", "Costa", "Mensah", "Tanaka", "Lind", "Rojas", "Petrov", "O'Brien", "van Dyk")
+#: Spellings of towns, and the town with its country as it is given back.
+TOWNS = (
+    ("pune", "Pune, India"), ("bengaluru", "Bengaluru, India"), ("bangalore", "Bengaluru, India"), ("new delhi", "New Delhi, India"), ("navi mumbai", "Navi Mumbai, India"), ("mumbai", "Mumbai, India"), ("bombay", "Mumbai, India"),
+    ("oslo", "Oslo, Norway"), ("rio de janeiro", "Rio de Janeiro, Brazil"), ("lima", "Lima, Peru"), ("são paulo", "São Paulo, Brazil"), ("st. gallen", "St. Gallen, Switzerland"),
+)
+
+
+def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, shape, name, town, skills): a résumé for each document, with a head in one of the shapes before its whole text, and what was put there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int")
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), 1 + n % len(xs))
+    name = F.concat(pick(FIRST_NAMES, number), F.lit(" "), pick(LAST_NAMES, (number / 32).cast("int")))
+    town = F.initcap(pick([a for a, _ in TOWNS], (number / 1024).cast("int")))
+    country = pick([b.split(", ")[1] for _, b in TOWNS], (number / 1024).cast("int"))
+    shape = F.pmod(F.col("doc_id"), F.lit(len(HEADS))).cast("int")
+    mail = F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("@mail.example"))
+    head = pick(HEADS, shape)
+    for mark, value in (("{n}", name), ("{u}", F.upper(name)), ("{c}", town), ("{t}", country), ("{m}", mail), ("{p}", F.lit("+91 98450 12345"))):
+        head = F.replace(head, F.lit(mark), value)
+    own = F.filter(F.array(*[F.lit(x) for x in SKILLS]), lambda _, i: F.shiftright(number, 12).bitwiseAND(F.lit(1 << 8) - 1) % F.element_at(F.array(*[F.lit(n) for n in (2, 3, 5, 7, 2, 3, 5, 7)]), i + 1) == 0)
+    lists = (F.array_join(own, ", "), F.concat(F.lit("- "), F.array_join(own, "\n- ")), F.concat(F.lit("Have used "), F.array_join(own, " and then "), F.lit(" with care")))
+    way = (number / 2048).cast("int") % len(lists)
+    skills = F.when(way == 0, lists[0]).when(way == 1, lists[1]).otherwise(lists[2])
+    # the text begins below the head, as the rest of a résumé does
+    text = F.concat(head, F.lit("\n\nSKILLS\n"), skills, F.lit("\n\nEXPERIENCE\n"), F.coalesce("text", F.lit("")))
+    town_of = pick([b for _, b in TOWNS], (number / 1024).cast("int"))
+    return docs.select(F.col("doc_id").alias("id"), text.alias("text"), shape.alias("shape"), name.alias("name"), town_of.alias("town"), F.array_sort(own).alias("skills"))
