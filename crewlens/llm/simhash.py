@@ -1,6 +1,6 @@
 """SimHash near-dedup: positional-byte inverted index, count filtering, verification, components.
 
-A fingerprint is one or more 64-bit words of eight positional bytes.  Documents are posted under groups of three
+A fingerprint is one 64-bit word of eight positional bytes (``similar.py`` uses several).  Documents are posted under groups of three
 positional bytes, not single ones, whose lists would hold a 256th of the corpus each.  In a posting list the bytes that
 two fingerprints share are tallied over all positions; pairs that reach the least number of shared bytes are verified by
 their differing bits.
@@ -9,12 +9,6 @@ their differing bits.
   so they share at least four of eight, the guaranteed minimum.  20 triples are such that any four of the eight positions
   hold one of them (two groups of three positions and one of two; all triples inside a group, and those with two
   positions in a group and one in the next), so no link is missed.
-* ``one_of_each_similar`` (``WIDE`` words): for a similarity of 0.8 a bit differs with a probability of arccos(8/9) / pi,
-  0.15, so in 64 bits near ten differ and no byte is sure to be shared.  Here four words have 32 bytes, those of each word in
-  two groups of four and again in two others; a document is posted under the four triples of each group.  Two fingerprints
-  that share 17 bytes always meet, others with the frequencies in the README.  Pairs with ``WIDE_SHARED`` bytes in common are
-  verified: at most ``WIDE_RADIUS`` differing bits, somewhat fewer than the 39 expected of similarity 0.8, so that few
-  pairs below it come along.
 
 Fingerprints are made distinct first, so exact copies cost one posting.  Inside a list pairs are compared in memory, and a
 member that is already linked is not compared with others of its piece; only a spanning star of each connected
@@ -42,6 +36,7 @@ from .shared import discard, spread_join, task_count, written, written_at
 from .texts import P1, id_and_text, mix64, one_array, ranges, same_row, shingle_hashes, slices, split_words
 
 LIST_LIMIT = 4096
+MOST_LONG = 1 << 20
 BIT_ROWS = 1 << 20
 SHORT_LIST = 48
 
@@ -74,15 +69,6 @@ NEAR = Rule(
     triples=tuple(t for g in GROUPS for t in combinations(g, 3))
     + tuple((*pair, one) for i, g in enumerate(GROUPS) for pair in combinations(g, 2) for one in GROUPS[(i + 1) % 3]),
 )
-WIDE, WIDE_RADIUS, WIDE_SHARED = 4, 35, 5
-FOURS = ((0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 4, 5), (2, 3, 6, 7))
-SIMILAR = Rule(
-    shingle=5,
-    words=WIDE,
-    radius=WIDE_RADIUS,
-    shared=WIDE_SHARED,
-    triples=tuple(t for w in range(WIDE) for four in FOURS for t in combinations([8 * w + b for b in four], 3)),
-)
 
 
 def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -235,12 +221,13 @@ def _met(rule: Rule):
     return run
 
 
-def edges(distinct: DataFrame, rule: Rule = NEAR, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """(u, v): links between nodes of distinct fingerprints (f0, ...) whose components are those of all links."""
-    names = _print_names(rule)
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col(f"f{w}").bitwiseAND(F.lit(m))) for i, (w, m) in enumerate(rule.masks())])
-    index = distinct.select(*names, F.explode(keys).alias("key"))
-    long = index.groupBy("key").count().filter(F.col("count") > list_limit)  # few; their rows are spread by the pieces
+def dealt_lists(index: DataFrame, names: list[str], list_limit: int) -> DataFrame:
+    """Postings (key, names) with whole lists in a task, sorted by key; lists beyond ``list_limit`` are split into pieces that meet in pairs.
+
+    The table of long lists is broadcast where it has at most ``MOST_LONG`` rows, so that rows of a hot list stay spread until they are split.
+    """
+    long = written(index.groupBy("key").count().filter(F.col("count") > list_limit), "long-lists")
+    long = F.broadcast(long) if long.count() <= MOST_LONG else long
     pieces = F.coalesce(F.ceil(2 * F.col("count") / list_limit), F.lit(1)).cast("int")
     placed = index.join(long, "key", "left").withColumn("pieces", pieces)
     own = F.pmod(F.xxhash64(*names), F.col("pieces"))
@@ -250,7 +237,15 @@ def edges(distinct: DataFrame, rule: Rule = NEAR, list_limit: int = LIST_LIMIT)
             lambda o: F.xxhash64(F.col("key"), F.least(own, o), F.greatest(own, o)),
         )
     )
-    dealt = placed.select(*names, F.explode(lists).alias("key")).repartition("key").sortWithinPartitions("key", *names)
+    return placed.select(*names, F.explode(lists).alias("key")).repartition("key").sortWithinPartitions("key", *names)
+
+
+def edges(distinct: DataFrame, rule: Rule = NEAR, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """(u, v): links between nodes of distinct fingerprints (f0, ...) whose components are those of all links."""
+    names = _print_names(rule)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col(f"f{w}").bitwiseAND(F.lit(m))) for i, (w, m) in enumerate(rule.masks())])
+    index = distinct.select(*names, F.explode(keys).alias("key"))
+    dealt = dealt_lists(index, names, list_limit)
     return dealt.mapInArrow(_met(rule), "u long, v long")
 
 
@@ -308,10 +303,18 @@ def one_of_each_group(docs: DataFrame, rule: Rule, list_limit: int = LIST_LIMIT)
     It is the row with the smallest id, then hash of the text, then the other columns, also where ids are null or repeated.
     """
     fps, rooted = _grouped(docs, rule, list_limit)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    of_node = fps.groupBy("node").agg(F.min(rank).alias("k"))
+    of_node = first_rows(fps)
     first = rooted.join(of_node, "node").groupBy("root").agg(F.min("k").alias("k"))
-    chosen = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    return chosen_rows(docs, fps, first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))
+
+
+def first_rows(fps: DataFrame) -> DataFrame:
+    """(node, k): of each fingerprint the row with the smallest id, then hash of the text; null ids come last."""
+    return fps.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+
+
+def chosen_rows(docs: DataFrame, fps: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of documents whose id and hash of the text are among ``chosen`` (_id, _hash), each of them once."""
     counted = fps.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
     kept = written(
         counted.join(chosen, counted["_id"].eqNullSafe(chosen["_id"]) & (counted["_hash"] == chosen["_hash"]), "left_semi"), "kept"
@@ -320,8 +323,3 @@ def one_of_each_group(docs: DataFrame, rule: Rule, list_limit: int = LIST_LIMIT)
     single = docs.join(once, same_row(docs, once, "_id", "_hash"), "left_semi")
     many = docs.join(often, same_row(docs, often, "_id", "_hash"), "left_semi").select(F.struct(*[docs[x] for x in docs.columns]).alias("w"))
     return single.union(many.groupBy("w.doc_id", F.xxhash64(F.coalesce("w.text", F.lit("")))).agg(F.min("w").alias("w")).select("w.*"))
-
-
-def one_of_each_similar(docs: DataFrame) -> DataFrame:
-    """One document of each group of five-word-shingle similarity 0.8 or more, as wide fingerprints estimate it."""
-    return one_of_each_group(docs, SIMILAR)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from crewlens.llm import decontaminate, lines, simhash, substrings, texts
+from crewlens.llm import decontaminate, lines, similar, simhash, substrings, texts
 
 from . import plain
 
@@ -107,26 +107,28 @@ def test_the_largest_id_is_an_id(frame):
     assert got == {plain.LARGEST: 0, None: 13}
 
 
-def wide_groups(rows):
-    """The ids of which one row stays, by all pairs of wide fingerprints."""
-    prints, root = [], list(range(len(rows)))
-    for _, t in rows:
-        h, offsets = texts.shingle_hashes(*texts.split_words(pa.array([t or ""]), lower=True), 5)
-        prints.append(simhash.wide_bits(h, offsets, simhash.WIDE)[0])
+def sets_of(text):
+    return frozenset(plain.shingles(text)) or frozenset([""])
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a in range(len(rows)):
-        for b in range(a):
-            if np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.WIDE_RADIUS:
-                root[find(a)] = find(b)
-    out = {}
-    for k, (i, _) in enumerate(rows):
-        out[find(k)] = min(out.get(find(k), plain.LARGEST), plain.key_of(i))
-    return sorted(out.values())
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def check_survivors(before, kept):
+    """What goes is 0.8 similar to something that stays; next to nothing that stays is 0.8 similar to something else that stays."""
+    stay = [(i, sets_of(t)) for i, t in kept]
+    key = {(i, t or "") for i, t in kept}
+    index: dict = {}
+    for k, (_, own) in enumerate(stay):
+        for g in own:
+            index.setdefault(g, set()).add(k)
+    near = lambda own: {k for g in own for k in index.get(g, ())}
+    for i, t in before:
+        if (i, t or "") not in key:
+            own = sets_of(t)
+            assert any(similarity(own, stay[k][1]) >= 0.8 for k in near(own)), i
+    return [(stay[a][0], stay[b][0]) for a in range(len(stay)) for b in near(stay[a][1]) if b < a and similarity(stay[a][1], stay[b][1]) >= 0.8]
 
 
 def edited(rng, size, changes):
@@ -138,37 +140,49 @@ def edited(rng, size, changes):
 
 
 def test_similar_groups(frame, awkward):
-    """Close pairs, a group of many near copies, null and repeated ids; few groups differ from those of all pairs."""
+    """Close pairs, a group of many near copies, a chain, null and repeated ids."""
     rng = random.Random(6)
     rows = list(awkward)
     for k in range(60):
         rows += zip((1000 + 2 * k, 1001 + 2 * k), edited(rng, 300, 1 + k % 3), strict=True)
     many = [f"m{j}" for j in range(200)]
     rows += [(3000 + k, " ".join(many[:k] + ["x"] + many[k + 1 :])) for k in range(100)]
+    chain = [f"c{j}" for j in range(420)]
+    rows += [(5000 + k, " ".join(chain[10 * k : 10 * k + 200])) for k in range(20)]  # each like the next, not like the one after many
     rows += [(4000, "one two three"), (4000, "ONE two three"), (4001, "")]
     rng.shuffle(rows)
     docs = frame(rows)
-    got = simhash.one_of_each_similar(docs)
+    got = similar.one_of_each_similar(docs)
     assert got.columns == docs.columns
-    kept, want = sorted(plain.key_of(r.doc_id) for r in got.collect()), wide_groups(rows)
-    assert set(want) <= set(kept) and len(kept) - len(want) <= 3
-    assert sum(3000 <= i < 4000 for i in kept) == 1
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(check_survivors(rows, kept)) <= 2
+    assert sum(3000 <= (i or 0) < 4000 for i, _ in kept) == 1
+    assert sum(i == 4000 for i, _ in kept) == 1
+    assert 4 <= sum(5000 <= (i or 0) for i, _ in kept) < 15
+    assert similar.one_of_each_similar(docs.limit(0)).collect() == []
+
+
+def test_long_lists_of_similar_texts(frame):
+    """Lists beyond the limit are split, and nothing is lost."""
+    many = [f"m{j}" for j in range(150)]
+    rows = [(k, " ".join(many[:k] + ["x"] + many[k + 1 :])) for k in range(120)]
+    kept = [(r.doc_id, r.text) for r in similar.one_of_each_similar(frame(rows), list_limit=16).collect()]
+    assert kept == [rows[0]]
 
 
 def test_similar_recall(frame):
-    """The share of pairs that are found, by their similarity; unlike texts are left alone."""
+    """The share of pairs that are found, by their similarity: 0.9 and more in each band from 0.8 on, and nothing below."""
     rng = random.Random(7)
     rows, alike = [], {}
-    for k in range(400):
-        pair = edited(rng, 300, 1 + k % 24)
+    for k in range(1000):
+        pair = edited(rng, 300 if k % 2 else 700, 1 + k % (14 if k % 2 else 33))
         rows += zip((2 * k, 2 * k + 1), pair, strict=True)
-        a, b = (set(plain.shingles(t)) for t in pair)
-        alike[2 * k + 1] = len(a & b) / len(a | b)
-    left = {r.doc_id for r in simhash.one_of_each_similar(frame(rows)).collect()}
-    assert all(i in left for i, s in alike.items() if s < 0.6)
-    share = lambda low, high: np.mean([i not in left for i, s in alike.items() if low <= s < high])
-    print({x: round(float(share(x, x + 0.05)), 2) for x in (0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)})
-    assert share(0.9, 1.01) > 0.9 and share(0.85, 0.9) > 0.7
+        alike[2 * k + 1] = similarity(*map(sets_of, pair))
+    left = {r.doc_id for r in similar.one_of_each_similar(frame(rows)).collect()}
+    assert all(i in left for i, s in alike.items() if s < 0.8)
+    band = {low: [i not in left for i, s in alike.items() if low <= s < low + 0.05] for low in (0.8, 0.85, 0.9, 0.95)}
+    print({low: (len(x), round(float(np.mean(x)), 3)) for low, x in band.items()})
+    assert all(len(x) >= 50 and np.mean(x) >= 0.9 for x in band.values())
 
 
 @pytest.fixture(scope="module")
