@@ -38,15 +38,12 @@ NAMES = {
 BOUNDARIES = "certifications?|awards?|achievements?|key product launches|publications?|interests?|references?|internships?"
 CONTACT = "email|phone|mobile|location|address"
 HEAD_LINES, HEAD_KEPT = 12, 10
-# Punctuation in the forms that wrong decoding gives it.
-TORN_DASHES = ("â€“", "â€”", "Ã¢â‚¬â€œ", "Ã¢â‚¬â€")
-TORN_BULLETS = ("â€¢", "â–ª", "â—¦", "â—", "Ã‚Â·", "Ã¢â‚¬Â¢", "Ã¢â€“Âª")
 
 
 def plain_line(c: Column) -> Column:
     """Dashes and bullets in plain form, single blanks, none at the ends."""
     c = F.translate(c, "–—―•▪◦· \r", "---     ")
-    for torn, to in ((TORN_DASHES, "-"), (TORN_BULLETS, " ")):
+    for torn, to in ((t.TORN_DASHES, "-"), (t.TORN_BULLETS, " ")):
         for x in torn:
             c = F.replace(c, F.lit(x), F.lit(to))
     return t.stripped(F.regexp_replace(c, "[ \t]+", " "))

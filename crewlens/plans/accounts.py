@@ -16,9 +16,15 @@ CATALOGUE = "plans AS (SELECT * FROM (VALUES " + ", ".join(
 ) + ") AS p(plan, billing, price, interview, resume_score, job_post, user_add))"
 
 
-@register(f"WITH {CATALOGUE} SELECT *, CASE billing WHEN 'yearly' THEN 365 ELSE 30 END AS days FROM plans")
+@register(f"""WITH {CATALOGUE}, n AS (SELECT agency_id, count(*) AS users FROM users GROUP BY agency_id)
+SELECT a.id AS agency_id, plan, billing, price, interview, resume_score, job_post, user_add, CASE billing WHEN 'yearly' THEN 365 ELSE 30 END AS days, price * coalesce(users, 0) AS total FROM agencies a JOIN plans ON true LEFT JOIN n ON n.agency_id = a.id""")
 def b3_plans(spark, d):
-    return b.plans(spark)
+    """What each plan would be for every agency: its limits, and its price for all the agency's users."""
+    users = v.users(spark, d).groupBy("agency_id").agg(F.count(F.lit(1)).alias("users"))
+    offered = F.array(*[F.struct(F.lit(x[0]).alias("plan"), F.lit(x[1]).alias("billing")) for x in b.PLANS])
+    each = v.agencies(spark, d).select(F.col("id").alias("agency_id"), F.explode(offered).alias("o")).select("agency_id", "o.*")
+    priced = each.join(b.plans(spark), ["plan", "billing"]).join(users, "agency_id", "left")
+    return priced.withColumn("total", F.col("price") * F.coalesce("users", F.lit(0))).drop("users")
 
 
 @register(f"""WITH {CATALOGUE}, w AS (SELECT id AS agency_id, CASE id % 2 WHEN 0 THEN 'starter' ELSE 'growth' END AS plan, CASE id % 3 WHEN 0 THEN 'yearly' ELSE 'monthly' END AS billing, CAST(id + 2 AS INT) AS users FROM agencies)

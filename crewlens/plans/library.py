@@ -315,11 +315,11 @@ def t21_skill_spelling(spark, d):
     return rows.select("id", F.col("place").cast("long").alias("place"), k.skill_spelling(F.col("s")).alias("skill"))
 
 
-@register(rf"""WITH {LINE}, w AS (SELECT id, n, lower(x) AS s, list_filter(regexp_split_to_array(lower(x), '[\s/+\-]+'), lambda w: w <> '') AS w FROM lines_ WHERE NOT contains(x, '/')),
+@register(rf"""WITH {LINE}, w AS (SELECT id, n, trim(regexp_replace(replace(lower(x), '/', ' / '), '\s+', ' ', 'g')) AS s, list_filter(regexp_split_to_array(lower(x), '[\s/+\-]+'), lambda w: w <> '') AS w FROM lines_),
 f AS (SELECT *, len(list_filter(w, lambda v: v IN {_isin(k.GENERAL)})) AS g FROM w)
 SELECT id, count(*) FILTER (s IN {_isin(k.NOISE + k.TONGUES)} OR len(w) = 0 OR len(w) >= 5 OR (regexp_matches(s, '[()\[\]{{}}]') AND len(w) >= 3) OR (len(w) >= 2 AND w[1] IN {_isin(k.LEADING_VERBS)}) OR g >= 2 OR (len(w) >= 4 AND g >= 1 AND len(list_filter(w, lambda v: regexp_matches(v, '^\d+$') OR v IN ('c', 'c++', 'c#', 'sql'))) = 0)) AS noise FROM f GROUP BY id""")
 def t22_noise(spark, d):
-    return _pieces(spark, d).filter(~F.col("x").contains("/")).groupBy("id").agg(F.count_if(k.is_noise(F.col("x"))).alias("noise"))
+    return _pieces(spark, d).groupBy("id").agg(F.count_if(k.is_noise(F.col("x"))).alias("noise"))
 
 
 @register(f"SELECT id, array_to_string(list_filter(coalesce(skills, []), lambda s: lower(s) NOT IN {_isin(k.TONGUES)} AND lower(s) <> 'go'), ',') AS skills FROM candidates")
@@ -358,14 +358,14 @@ def q12_clients_page(spark, d):
     return scope.page(own, [F.col("id")], page=2, limit=20)
 
 
-@register("""SELECT id, email_type, row_number() OVER (ORDER BY is_selected DESC, is_default DESC, sent_at DESC NULLS LAST, created_at DESC, id) AS place
-FROM (SELECT *, id % 3 = 0 AS is_selected, id % 5 = 0 AS is_default FROM messages WHERE email_type = 'offer_letter' AND status = 'sent' AND candidate_id < 100)""")
+@register("""SELECT id, email_type, row_number() OVER (PARTITION BY candidate_id, email_type ORDER BY is_selected DESC, is_default DESC, sent_at DESC NULLS LAST, created_at DESC, id) AS place
+FROM (SELECT *, id % 3 = 0 AS is_selected, id % 5 = 0 AS is_default FROM messages WHERE email_type IS NOT NULL AND status = 'sent')""")
 def q15_templates(spark, d):
-    """Templates of a status: selected, default, last changed first."""
+    """Templates of every owner and status: selected, default, last changed first."""
     from pyspark.sql import Window as W
 
-    own = v.messages(spark, d).filter("email_type = 'offer_letter' and status = 'sent' and candidate_id < 100")
-    by = W.orderBy((F.col("id") % 3 == 0).desc(), (F.col("id") % 5 == 0).desc(), F.col("sent_at").desc_nulls_last(), F.col("created_at").desc(), "id")  # one status of one owner
+    own = v.messages(spark, d).filter("email_type is not null and status = 'sent'")
+    by = W.partitionBy("candidate_id", "email_type").orderBy((F.col("id") % 3 == 0).desc(), (F.col("id") % 5 == 0).desc(), F.col("sent_at").desc_nulls_last(), F.col("created_at").desc(), "id")
     return own.select("id", "email_type", F.row_number().over(by).cast("long").alias("place"))
 
 

