@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import task_count, text_bytes
+from .shared import task_count, text_bytes, written
 from .texts import id_and_text
 
 BLOCK_BYTES = 8 << 20
 SMALL_BLOCK_BYTES = 1 << 20
+MOST_COPIES = 1_000
 
 Replies = dict[int, bytes]
 Send = Callable[..., list[tuple[int, bytes]]]
@@ -26,9 +27,10 @@ Answer = Callable[[list[bytes]], list[bytes | None]]
 
 
 class Blocks:
-    """(doc_id, text, block): documents dealt by a hash of id and text into blocks of about ``block_bytes`` of text.
+    """(doc_id, text, copies, block): documents dealt by a hash of id and text into blocks of about ``block_bytes`` of text.
 
-    Small corpora get smaller blocks, of a megabyte at least, up to two for each core.
+    Small corpora get smaller blocks, of a megabyte at least, up to two for each core.  Equal rows, which have one hash, would meet in a
+    block however many they are; of rows that occur more than ``MOST_COPIES`` times one is kept with their number in ``copies``.
     """
 
     def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES):
@@ -39,8 +41,20 @@ class Blocks:
         #: A range then gets about as much as two blocks send.
         self.ranges = max(1, self.count // 2)
         self.tasks = task_count(spark, self.bytes)
-        block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.count)).cast("int")
-        self.frame = read.withColumn("block", block).repartition(self.tasks, "block")
+        key = F.xxhash64("doc_id", "text")
+        block = F.pmod(key, F.lit(self.count)).cast("int")
+        self.frame = self._once(read.withColumn("_key", key)).withColumn("block", block).repartition(self.tasks, "block")
+
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``copies``: one of those that are very often there, by a sum before the exchange, and all others as they are."""
+        counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        often = written(counts.filter(F.col("n") > max(MOST_COPIES, total // 10_000)).select("_key"), "often")  # fewer than 10,000
+        one = F.lit(1).cast("long").alias("copies")
+        if not often.count():
+            return rows.select("doc_id", "text", one)
+        others = rows.join(F.broadcast(often), "_key", "left_anti").select("doc_id", "text", one)
+        return others.unionByName(rows.join(F.broadcast(often), "_key", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")))
 
     def exchange(self, send: Send, answer: Answer, earlier: DataFrame | None = None) -> DataFrame:
         """Blocks send sorted keys by ranges; each range answers all its blocks at once.

@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .exchange import Blocks, Keys, Replies, bits_or_none, by_key, by_range, seen_before
-from .shared import written
+from .shared import free_shuffles, written
 from .texts import P1, mix64, one_array, split_words, string_hashes, window_hashes, word_codes
 
 WINDOW = 13
@@ -137,6 +138,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
+                "copies": docs.column("copies"),
                 "n_words": pa.array(n, pa.int64()),
                 "n_removed": pa.array(n - np.diff(ends), pa.int64()),
                 "kept_text": pc.binary_join(lists, " "),
@@ -144,5 +146,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rows: int = SKETCH_RO
         )
 
     seen = written(blocks.exchange(sketch, lambda parts: _merge(parts, bits)), "sketch")
+    free_shuffles(docs.sparkSession)  # that of the texts is made anew
     exact = blocks.exchange(candidates, lambda parts: [bits_or_none(x) for x in seen_before(parts)], seen)
-    return blocks.finished(seen.union(exact), finish, "doc_id long, n_words long, n_removed long, kept_text string")
+    done = blocks.finished(seen.union(exact), finish, "doc_id long, copies long, n_words long, n_removed long, kept_text string")
+    return done.select("doc_id", "n_words", "n_removed", "kept_text", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")

@@ -285,3 +285,14 @@ def test_passages_in_long_texts_of_one_word(frame, spark):
     assert len(items.windows(own, hits, place)) < 500
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
+
+
+def test_passages_where_one_row_is_a_third_of_all(frame, monkeypatch):
+    """Equal rows are held once and come back as often as they were there."""
+    from crewlens.llm import exchange
+
+    monkeypatch.setattr(exchange, "MOST_COPIES", 5)
+    body = " ".join(f"w{k}" for k in range(40))
+    rows = [(5, body)] * 40 + [(6, f"x y {body} z")] * 3 + [(None, body)] * 9 + [(k, f"own {k} " + " ".join(f"u{k}{j}" for j in range(20))) for k in range(10, 60)]
+    got = substrings.substring_dedup(frame(rows))
+    assert by((r.doc_id, r.n_words, r.n_removed, plain.sha(r.kept_text)) for r in got.collect()) == by(plain.substrings(rows, 13))
