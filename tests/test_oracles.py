@@ -52,5 +52,5 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_every_query_has_sql():
     assert set(catalogue.queries()) - set(catalogue.oracles()) == {
         "t7_header_breaks", "t9_split_headers", "t10_cleaned", "t18_cleaned_match", "t19_title_bonus", "m9_balanced_total", "e3_block_entries", "e6_line_entries", "o3_total_experience",
-        "t42_ranked_names", "t43_gazetteer_places", "e14_parsed_twice", "t5_without_special_characters",
+        "t42_ranked_names", "t43_gazetteer_places", "e14_parsed_twice", "a35_parse_benchmark", "a36_second_reading_gain", "a37_parse_audit", "t5_without_special_characters",
     }  # fmt: skip  # see test_resume, test_work_history, test_people and test_special_characters

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from crewlens.operators import people
+from crewlens.operators import accuracy, people
 from crewlens.plans import people as plans
 from crewlens.sources.resumes import HEADS, SKILLS, TOWNS, applicants
 
@@ -84,3 +84,29 @@ def test_places_of_awkward_heads(spark):
     got = people.places(frame, "id", "text", spark.createDataFrame(towns, "spelling string, canonical string")).collect()
     assert {r.id: r.place for r in got if r.id} == {1: "", 2: "", 3: "Lima, Peru", 4: "New Delhi, India", 5: "Lima, Peru", 6: ""}
     assert len(got) == len(rows)
+
+
+def test_benchmark(spark):
+    """Measures against sums over rows, with empty lists, nulls and repeats."""
+    rows = [("Ann", "ann ", 3, 3, ["A", "b"], ["a", "c"]), (None, None, 1, 4, [], []), ("x", None, None, 2, ["a"], []), ("y", "z", 5, 4, [], ["q"]), ("e", "e", None, None, ["a", "A"], ["a"])]
+    frame = spark.createDataFrame(rows, "name string, true_name string, n int, true_n int, s array<string>, true_s array<string>")
+    got = {(r.field, r.measure): r.value for r in accuracy.benchmark(frame, ["name"], ["n"], ["s"]).collect()}
+    p, r = (0.5 + 1 + 0 + 0 + 1) / 5, (0.5 + 1 + 0 + 0 + 1) / 5
+    assert got == {("name", "accuracy"): 0.6, ("n", "accuracy"): 0.4, ("n", "mae"): round((0 + 3 + 1) / 3, 4), ("s", "precision"): p, ("s", "recall"): r, ("s", "f1"): round(2 * p * r / (p + r), 4)}
+    none = accuracy.benchmark(frame.limit(0), ["name"], ["n"], ["s"]).collect()
+    assert len(none) == 6 and all(x.value is None for x in none)
+
+
+def test_parse_benchmark(spark, put):
+    """The reference bounds of names and skills are reached, and the second reading adds to places."""
+    got = {(r.field, r.measure): r for r in plans.a35_parse_benchmark(spark, DATA).collect()}
+    parsed = {r.id: r for r in people.parsed(applicants(spark, DATA).select("id", "text"), "id", "text", list(SKILLS), spark.createDataFrame(list(TOWNS), "spelling string, canonical string")).collect()}
+    share = lambda good: round(sum(good) / len(put), 4)
+    assert got["name", "accuracy"].value == share([parsed[i].name == capital(r.name) for i, r in put.items()]) >= 0.8
+    assert got["location", "accuracy"].value == share([parsed[i].location.lower() == r.town.lower() for i, r in put.items()])
+    assert got["skills", "recall"].value >= 0.75 and got["skills", "recall"].ready
+    gain = {(r.field, r.measure): r for r in plans.a36_second_reading_gain(spark, DATA).collect()}
+    assert gain["location", "accuracy"].gain > 0 and gain["location", "accuracy"].after == got["location", "accuracy"].value
+    audit = {r["item"]: r for r in plans.a37_parse_audit(spark, DATA).collect()}
+    assert audit["name_confidence"].n == len(put) and 0 < audit["location_again"].mean < 1
+    assert audit["location_again"].n == sum("location" in r.retried for r in parsed.values())

@@ -104,20 +104,20 @@ def test_merged_months_like_rows(spark, sections):
     assert in_row == islands and len(in_row) > 100
 
 
-@pytest.mark.parametrize(
-    ("token", "start", "end"),
-    [
-        ("Jan 2010", "2010-01-01", "2010-01-31"), ("sept'11", "2011-09-01", "2011-09-30"), ("2/2012", "2012-02-01", "2012-02-29"), ("02.49", "2049-02-01", "2049-02-28"), ("02.50", "1950-02-01", "1950-02-28"),
-        ("2010.04", "2010-04-01", "2010-04-30"), ("2010-11", "2010-11-01", "2010-11-30"), ("2010", "2010-01-01", "2010-12-31"), ("FY 2019-20", "2019-01-01", "2020-12-31"), ("AY2019", "2019-01-01", "2019-12-31"),
-        ("1999-01", "1999-01-01", "1999-01-31"), ("2019-21", "2019-01-01", "2021-12-31"), ("5 March 2010", "2010-03-05", "2010-03-05"), ("Feb 30, 2010", None, None), ("31/12/2010", "2010-12-31", "2010-12-31"), ("13/2010", None, None),
-        ("now", AS_OF, AS_OF), ("", None, None), ("soon", None, None),
-    ],
+TOKENS = (
+    ("Jan 2010", "2010-01-01", "2010-01-31"), ("sept'11", "2011-09-01", "2011-09-30"), ("2/2012", "2012-02-01", "2012-02-29"), ("02.49", "2049-02-01", "2049-02-28"), ("02.50", "1950-02-01", "1950-02-28"),
+    ("2010.04", "2010-04-01", "2010-04-30"), ("2010-11", "2010-11-01", "2010-11-30"), ("2010", "2010-01-01", "2010-12-31"), ("FY 2019-20", "2019-01-01", "2020-12-31"), ("AY2019", "2019-01-01", "2019-12-31"),
+    ("1999-01", "1999-01-01", "1999-01-31"), ("2019-21", "2019-01-01", "2021-12-31"), ("5 March 2010", "2010-03-05", "2010-03-05"), ("Feb 30, 2010", None, None), ("31/12/2010", "2010-12-31", "2010-12-31"), ("13/2010", None, None),
+    ("now", AS_OF, AS_OF), ("", None, None), ("soon", None, None),
 )
-def test_dates(one, token, start, end):
-    day = F.lit(AS_OF).cast("date")
-    got = [one(wl.date_of(F.lit(token), is_end, day)) for is_end in (False, True)]
-    assert [str(x) if x else None for x in got] == [start, end]
-    assert got == [plain.date_of(token, is_end, TODAY) for is_end in (False, True)]
+
+
+def test_dates(spark):
+    day, token = F.lit(AS_OF).cast("date"), F.col("token")
+    frame = spark.createDataFrame([(t,) for t, *_ in TOKENS], "token string")
+    got = {r.token: (r.a, r.b) for r in frame.select("token", wl.date_of(token, False, day).alias("a"), wl.date_of(token, True, day).alias("b")).collect()}
+    assert {t: tuple(str(x) if x else None for x in v) for t, v in got.items()} == {t: (a, b) for t, a, b in TOKENS}
+    assert got == {t: tuple(plain.date_of(t, is_end, TODAY) for is_end in (False, True)) for t, *_ in TOKENS}
 
 
 def test_inline_entries_stop_at_the_next(one):
