@@ -2,7 +2,7 @@
 
 ``write_token_files`` tokenises documents and writes, for each task, flat files of little-endian 16-bit ids in which an
 end-of-document id follows each document, and flat files of the doc_ids in the same order, a byte before each saying whether
-it is null.  Files hold at most ``FILE_DOCS`` documents, so one fits a task.  A task's files, in the order of their numbers, are one
+it is null.  Files hold at most ``FILE_DOCS`` documents and, but for the last of them, ``FILE_BYTES`` of ids, so one fits a task.  A task's files, in the order of their numbers, are one
 stream: documents are numbered along it, so the two kinds need not break at the same document.  ``scan_token_files`` knows nothing
 but the end id: files are searched block by block with vectorised comparisons; the blocks' boundaries are stitched by
 prefix scans, the sum of the separators and the last separator's place in earlier blocks of the stream, so a document
@@ -30,6 +30,7 @@ from .texts import id_and_text, one_array, slices
 END = 50256  # free in the vocabulary
 BLOCK = 1 << 20
 FILE_DOCS = 20_000
+FILE_BYTES = 64 << 20
 #: Fixed value: the splitting pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -47,32 +48,37 @@ def encoding(path: str):
     return _encodings[path]
 
 
-def write_token_files(docs: DataFrame, folder: str, ranks: str) -> None:
-    """Flat files of ids under ``folder``/kind=tokens and of doc_ids under ``folder``/kind=ids."""
+def write_token_files(docs: DataFrame, folder: str, ranks: str, file_bytes: int | None = None) -> None:
+    """Flat files of ids under ``folder``/kind=tokens and of doc_ids under ``folder``/kind=ids, each in parts of bounded size."""
+    limit = file_bytes or FILE_BYTES
 
     def run(batches):
-        place = 0
+        place, size = 0, 0
         for batch in slices(batches):
             encode = encoding(ranks).encode_ordinary
             tokens = [np.array(encode(t), "<u2").tobytes() for t in one_array(batch.column("text")).to_pylist()]
             ids = [bytes([x is None]) + (x or 0).to_bytes(8, "little", signed=True) for x in batch.column("doc_id").to_pylist()]
             n = len(ids)
+            ends = size + np.cumsum([len(x) + 2 for x in tokens])
+            part = np.concatenate([[size], ends[:-1]]) // limit
+            size = int(ends[-1])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(["ids"] * n + ["tokens"] * n),
+                    pa.array(np.tile(part, 2), pa.int64()),
                     pa.array([*range(place, place + n)] * 2, pa.int64()),
                     pa.array(ids + tokens, pa.binary()),
                 ],
-                ["kind", "place", "value"],
+                ["kind", "piece", "place", "value"],
             )
             place += n
 
-    rows = id_and_text(docs).mapInArrow(run, "kind string, place long, value binary")
+    rows = id_and_text(docs).mapInArrow(run, "kind string, piece long, place long, value binary")
     end = END.to_bytes(2, "little").decode("latin-1")
     (
-        rows.sortWithinPartitions("kind", "place")
-        .select("kind", F.col("value").cast("string").alias("value"))
-        .write.partitionBy("kind")
+        rows.sortWithinPartitions("kind", "piece", "place")
+        .select("kind", "piece", F.col("value").cast("string").alias("value"))
+        .write.partitionBy("kind", "piece")
         .option("encoding", "ISO-8859-1")
         .option("lineSep", end)
         .option("maxRecordsPerFile", FILE_DOCS)
@@ -84,7 +90,8 @@ def _files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """(stream, part, content): a task's files of a kind, and their number in it."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
     task = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
-    part = F.coalesce(F.expr(r"try_cast(regexp_extract(path, '\\.c(\\d+)(\\.[a-z]+)?$', 1) as long)"), F.lit(0).cast("long"))
+    file = F.coalesce(F.expr(r"try_cast(regexp_extract(path, '\\.c(\\d+)(\\.[a-z]+)?$', 1) as long)"), F.lit(0).cast("long"))
+    part = F.regexp_extract("path", r"/piece=(\d+)/", 1).cast("long") * (1 << 20) + file
     return found.filter(F.col("path").contains(f"/kind={kind}/")).select(task.alias("stream"), part.alias("part"), "content")
 
 

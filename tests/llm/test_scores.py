@@ -229,9 +229,10 @@ def test_scan_stitches_documents_over_blocks(spark):
             assert [(r.ordinal, r.n_tokens) for r in got] == [(0, 2), (1, 0), (2, 5), (3, 1)]
 
 
-@pytest.mark.parametrize("most", ["7", "50"])
-def test_token_counts_over_many_files(spark, most):
-    """Files may break anywhere; the two kinds need not break at the same document."""
+@pytest.mark.parametrize(("most", "size"), [("7", 1 << 26), ("50", 20_000)])
+def test_token_counts_over_many_files(spark, monkeypatch, most, size):
+    """Files may break anywhere, by documents or bytes; the two kinds need not break at the same document."""
+    monkeypatch.setattr(token_files, "FILE_BYTES", size)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encode = token_files.encoding(path).encode_ordinary
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
