@@ -221,13 +221,16 @@ def _met(rule: Rule):
     return run
 
 
-def dealt_lists(index: DataFrame, names: list[str], list_limit: int) -> DataFrame:
+def dealt_lists(index: DataFrame, names: list[str], list_limit: int, stay: bool = False) -> DataFrame:
     """Postings (key, names) with whole lists in a task, sorted by key; lists beyond ``list_limit`` are split into pieces that meet in pairs.
 
-    The table of long lists is broadcast where it has at most ``MOST_LONG`` rows, so that rows of a hot list stay spread until they are split.
+    With ``stay`` the table of long lists is written first and broadcast where it has at most ``MOST_LONG`` rows, so that rows of a hot list stay
+    spread until they are split; else its join is left to the planner.
     """
-    long = written(index.groupBy("key").count().filter(F.col("count") > list_limit), "long-lists")
-    long = F.broadcast(long) if long.count() <= MOST_LONG else long
+    long = index.groupBy("key").count().filter(F.col("count") > list_limit)  # few; their rows are spread by the pieces
+    if stay:
+        long = written(long, "long-lists")
+        long = F.broadcast(long) if long.count() <= MOST_LONG else long
     pieces = F.coalesce(F.ceil(2 * F.col("count") / list_limit), F.lit(1)).cast("int")
     placed = index.join(long, "key", "left").withColumn("pieces", pieces)
     own = F.pmod(F.xxhash64(*names), F.col("pieces"))
