@@ -138,3 +138,30 @@ def test_prose_entries_look_around(one):
         got = one(h.prose_entries(F.lit(text), F.lit(AS_OF).cast("date")))
         assert [(e.company, e.role) for e in got] == [("Wayne Corp", role)], text
     assert one(h.prose_entries(F.lit(None).cast("string"), F.lit(AS_OF).cast("date"))) == []
+
+
+FORM = rf"(?i)([A-Z][A-Za-z0-9&.'-]*(?:\s+[A-Z][A-Za-z0-9&.'-]*)*\s+(?:{wl.COMPANY_FORMS}))\b"
+
+
+def test_company_form(spark):
+    """The same as one pattern with a repeated group gives, which is too deep for long lines."""
+    import itertools
+    import re
+
+    words = ["Acme", "3Com", "Labs", "labs_x", "Pvt. Ltd.", "Ltd", "o'Neil-x", ",", "(At", "Inc,", "9 Works", "-", "& Schools", "School"]
+    lines = [" ".join(x) for n in (1, 2, 3, 4) for x in itertools.product(words, repeat=n)]
+    frame = spark.createDataFrame([(x,) for x in lines], "c string").repartition(4)
+    for line, got in frame.select("c", wl.formed(F.col("c"))).collect():
+        found = re.search(FORM, line, re.ASCII)
+        assert got == (found.group(1) if found else None), line
+
+
+LONG = "Analyst 2010 - 2012 in " + "plain words " * 15_000
+
+
+@pytest.mark.parametrize("entries", [work_history.block_entries, work_history.line_entries, work_history.total_experience])
+def test_long_lines(spark, entries):
+    """A line of 30,000 words, and one that ends in a company's form, are read; the matcher overflowed its stack before."""
+    texts = [(1, LONG), (2, f"Acme {LONG} Labs\nMay 2001 - May 2003"), (3, "QA Lead\nAcme Labs\n2010 - 2012")]
+    found = entries(spark.createDataFrame(texts, "id long, content string"), "id", "content", AS_OF).collect()
+    assert [r.company for r in found if r.id == 3] == ["Acme Labs"]
