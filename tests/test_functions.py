@@ -108,3 +108,20 @@ def test_phrases_prefer_the_longest(spark):
     docs = spark.createDataFrame([(1, "Machine Learning models in SQL"), (2, None)], "k long, text string")
     words = spark.createDataFrame([("machine", "m"), ("machine learning", "ml"), ("learning models", "lm"), ("sql", "sql")], "phrase string, label string")
     assert sorted((r.k, r.position, r.label) for r in matching.phrases(docs, "k", "text", words).collect()) == [(1, 1, "ml"), (1, 5, "sql")]
+
+
+def test_words_end_at_other_letters(one):
+    """As in SQL, a word ends at a letter that is not ASCII; before, it went on there."""
+    from crewlens.functions import checks as k
+
+    none = F.array().cast("array<string>")
+    assert one(k.valid_role(F.lit("The qaé"), none)) == "The qaé"
+    assert one(k.role_confidence(F.lit("The qaé"))) == 1.0
+    assert one(k.valid_name(F.lit("Ana éey"))) == ""
+    assert one(t.artifacts(F.lit("ESCI LLAR OSÑ"))) == "ESCI LLAROSÑ"
+    assert one(t.artifacts(F.lit("an.66@mail9.example.com oution oi. Airé eau"))) == "an.66@mail9.example.comoutionoi.Airé eau"
+
+
+def test_address_before_many_words(one):
+    """An address with 60,000 words after it; a group repeated once a word overflowed the matcher's stack."""
+    assert one(F.length(t.artifacts(F.lit("a@b " + "word " * 60_000)))) == 300_004
