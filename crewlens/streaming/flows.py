@@ -57,39 +57,51 @@ def sessions(df: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 m
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+#: Two to this power is how many neighbouring ids of candidates share a group of state.
+TOGETHER = 10
+
+
+def _micros(times: pd.Series) -> list[int | None]:
+    """Microseconds since 1970, None for null."""
+    plain = times if times.dt.tz is None else times.dt.tz_convert("UTC").dt.tz_localize(None)
+    return [None if null else x for x, null in zip(plain.astype("datetime64[us]").astype("int64").tolist(), plain.isna().tolist(), strict=True)]
+
+
 def no_shows(df: DataFrame, grace_minutes: int = 30, late: str = "1 minute") -> DataFrame:
     """(candidate_id, stage) of a stream of (candidate_id, status, scheduled_at, ts): a timer for each scheduled interview.
 
     A candidate whose interview has not started ``grace_minutes`` after its time, by the watermark, is a no-show; a later
-    start or end before that cancels the timer.  State of a candidate goes when its timer fires or is cancelled.
+    start or end before that cancels the timer.  Neighbouring ids share a group (``TOGETHER``), since a call of a group costs more than
+    its rows do; the group's timer is that of its first interview, and a candidate leaves the state when it fires or is cancelled.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = {c: (due, at) for c, due, at in zip(*state.get, strict=True)} if state.exists else {}
+        if not state.hasTimedOut:
+            for part in rows:  # parts come in any order; the latest row of a candidate decides
+                cols = (part["candidate_id"].tolist(), part["status"].tolist(), _micros(part["scheduled_at"]), _micros(part["ts"]))
+                for c, status, planned, at in zip(*cols, strict=True):
+                    c = None if key[0] is None else c  # without an id they are one
+                    if at is not None and (c not in held or at >= held[c][1]):
+                        waits = status in ("scheduled", "rescheduled") and planned is not None
+                        held[c] = (planned + grace_minutes * 60_000_000 if waits else None, at)
+        now = state.getCurrentWatermarkMs() * 1000
+        gone = [c for c, (due, _) in held.items() if due is not None and due <= now]
+        left = {c: x for c, x in held.items() if x[0] is not None and x[0] > now}
+        if left:
+            state.update((list(left), [due for due, _ in left.values()], [at for _, at in left.values()]))
+            # in whole milliseconds, the next one where the time has a part of one
+            state.setTimeoutTimestamp(-(-min(due for due, _ in left.values()) // 1000))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"candidate_id": [key[0]], "stage": ["NO_SHOW"]})
-            return
-        due, at = state.get if state.exists else (None, 0)
-        for part in rows:  # parts come in any order; the latest row decides
-            last = part.loc[part["ts"].idxmax()]
-            if int(last["ts"].timestamp() * 1000) >= at:
-                at = int(last["ts"].timestamp() * 1000)
-                waits = last["status"] in ("scheduled", "rescheduled")
-                due = int(last["scheduled_at"].timestamp() * 1000) + grace_minutes * 60_000 if waits else None
-        if due is None:
-            if state.exists:
-                state.remove()
-        elif due <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"candidate_id": [key[0]], "stage": ["NO_SHOW"]})
-        else:
-            state.update((due, at))
-            state.setTimeoutTimestamp(due)
+        if gone:
+            yield pd.DataFrame({"candidate_id": pd.array(gone, dtype="Int64"), "stage": "NO_SHOW"})
 
     timed = with_event_time(df, late).withColumn("scheduled_at", F.col("scheduled_at").cast("timestamp"))
-    return timed.groupBy("candidate_id").applyInPandasWithState(step, "candidate_id long, stage string", "due long, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    held = "ids array<long>, due array<long>, at array<long>"
+    grouped = timed.withColumn("part", F.shiftright("candidate_id", TOGETHER)).groupBy("part")
+    return grouped.applyInPandasWithState(step, "candidate_id long, stage string", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # E-mails that move a candidate.

@@ -71,6 +71,17 @@ def test_no_show_timer(run):
     assert run(batches, schema, flows.no_shows) == [(1, "NO_SHOW")]
 
 
+def test_no_shows_of_many(run):
+    """Candidates that share a group of state keep timers of their own; ids far apart and below 0 too, and rows without an id or a time."""
+    schema = "candidate_id long, status string, scheduled_at timestamp, ts timestamp"
+    ids = [*range(-3, 2100), 1 << 60, (1 << 60) + 1]
+    first = [(i, "scheduled", at(10 + i % 3 * 100), at(0)) for i in ids] + [(None, "scheduled", at(10), at(0)), (5000, "scheduled", None, at(0))]
+    moved = [(i, "rescheduled", at(400), at(12)) for i in ids if i % 5 == 0] + [(i, "in progress", at(10), at(12)) for i in ids if i % 7 == 0]
+    batches = [first, moved, [(-9, "completed", at(0), at(160))], [(-9, "completed", at(0), at(161))]]
+    due = [i for i in ids if i % 5 and i % 7 and i % 3 < 2]
+    assert sorted(run(batches, schema, flows.no_shows), key=repr) == sorted([(i, "NO_SHOW") for i in [*due, None]], key=repr)
+
+
 def test_mail_stages(spark):
     rows = [(1, "interview_invite", "SENT", T0), (2, "other", "sent", T0), (3, "rejection_mail", "failed", T0), (4, None, None, T0)]
     df = spark.createDataFrame(rows, "candidate_id long, email_type string, status string, ts timestamp")
