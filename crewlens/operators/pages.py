@@ -1,7 +1,8 @@
 """Geometry of pages over rows of words: words to lines, lines to segments, pages to columns, and the text in reading order.
 
 A line begins at a word that lies more than ``tolerance`` below the first word of the line before it; a segment of a line begins after a gap of
-more than ``gap``.  Lines are found over the distinct heights of a page, in one fold a page, so words themselves are only joined to them.
+more than ``gap``.  Lines are found over the distinct heights of a page, in one fold a page.  Words are sent
+once, by their page; all later windows and groupings have the page's key first and stay where the words are.
 
 Defined cases: words without a place or with blank text are left out; a page without words has no lines; words of equal place stand in the
 order of their number.
@@ -21,7 +22,9 @@ SPLIT_FROM, SPLIT_TO = 0.18, 0.55
 def words_to_lines(words: DataFrame, page: list[str], tolerance: float = LINE_TOLERANCE, gap: float = SEGMENT_GAP) -> DataFrame:
     """(page, line, segment, text, x0, x1, top) of words (page, n, text, x0, x1, top)."""
     there = words.filter(F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("top").isNotNull() & (F.trim("text") != ""))
-    heights = there.select(*page, "top").distinct().groupBy(*page).agg(F.array_sort(F.collect_list("top")).alias("tops"))  # heights of one page
+    word = F.struct("x0", "top", "n", F.trim("text").alias("text"), "x1")
+    whole = there.groupBy(*page).agg(F.collect_list(word).alias("w"))  # words of one page
+    tops = whole.withColumn("tops", F.array_sort(F.array_distinct(F.transform("w", lambda x: x["top"]))))
     begin = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
 
     def step(s, top):
@@ -29,13 +32,13 @@ def words_to_lines(words: DataFrame, page: list[str], tolerance: float = LINE_TO
         line = F.when(new, s["line"] + 1).otherwise(s["line"])
         return F.struct(F.when(new, top).otherwise(s["first"]).alias("first"), line.alias("line"), F.concat(s["lines"], F.array(line)).alias("lines"))
 
-    numbered = heights.select(*page, F.arrays_zip("tops", F.aggregate("tops", begin, step, lambda s: s["lines"]).alias("lines")).alias("t"))
-    of_height = numbered.select(*page, F.explode("t").alias("t")).select(*page, F.col("t.tops").alias("top"), F.col("t.lines").alias("line"))
-    placed = there.join(of_height, [*page, "top"])
+    numbered = tops.withColumn("lines", F.aggregate("tops", begin, step, lambda s: s["lines"]))
+    line = F.get("lines", (F.array_position("tops", F.col("w.top")) - 1).cast("int"))
+    placed = numbered.select(*page, "tops", "lines", F.explode("w").alias("w")).select(*page, line.alias("line"), "w.*")
     order = W.partitionBy(*page, "line").orderBy("x0", "top", "n")
     fresh = F.coalesce(F.col("x0") - F.lag("x1").over(order) > gap, F.lit(False)).cast("int")
     parts = placed.withColumn("fresh", fresh).withColumn("segment", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct("x0", "top", "n", F.trim("text").alias("t"))))  # words of one segment
+    ordered = F.array_sort(F.collect_list(F.struct("x0", "top", "n", F.col("text").alias("t"))))  # words of one segment
     one = parts.groupBy(*page, "line", "segment").agg(ordered.alias("w"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"))
     return one.select(*page, "line", F.col("segment").cast("int").alias("segment"), F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("text"), "x0", "x1", "top")
 
@@ -56,8 +59,26 @@ def column_splits(lines: DataFrame, page: list[str], width: float, gap: float =
     return fits.groupBy(*page).agg(F.max(F.struct(F.col("gap"), (-F.col("x")).alias("x"), "split"))["split"].alias("split"))
 
 
-def reading_order(lines: DataFrame, splits: DataFrame, page: list[str]) -> DataFrame:
-    """Lines with ``column`` (0 or 1) and ``place``: the left column from top to bottom, then the right one."""
-    both = lines.join(splits, page, "left").withColumn("column", F.coalesce((F.col("x0") >= F.col("split")).cast("int"), F.lit(0)))
+def with_splits(lines: DataFrame, page: list[str], width: float, gap: float = COLUMN_GAP, least: int = COLUMN_LINES) -> DataFrame:
+    """Lines with the ``split`` of their page as ``column_splits`` has it; windows over the lines of a page, so that they are made and sent once."""
+    there = lines.withColumn("x", F.round("x0", 1))
+    order, whole = W.partitionBy(*page).orderBy("x"), W.partitionBy(*page)
+    left = order.rangeBetween(W.unboundedPreceding, W.currentRow)
+    wide = F.col("x1") - F.col("x0")
+    sides = {"next": F.lead("x").over(order), "n0": F.count(F.lit(1)).over(left), "w0": F.sum(wide).over(left), "n1": F.count(F.lit(1)).over(whole), "w1": F.sum(wide).over(whole)}
+    told = there.withColumns(sides).withColumns({"n1": F.col("n1") - F.col("n0"), "w1": F.col("w1") - F.col("w0"), "gap": F.col("next") - F.col("x"), "split": (F.col("x") + F.col("next")) / 2})
+    # of lines that begin at the same place the last one has the gap
+    fits = (F.col("gap") >= gap) & (F.col("n0") >= least) & (F.col("n1") >= least) & (F.col("w0") * F.col("n1") < F.col("w1") * F.col("n0"))
+    fits = fits & (F.col("split") > width * SPLIT_FROM) & (F.col("split") < width * SPLIT_TO)
+    best = F.max(F.when(fits, F.struct(F.col("gap"), (-F.col("x")).alias("x"), "split"))).over(whole)
+    return told.withColumn("best", best).select(*lines.columns, F.col("best.split").alias("split"))
+
+
+def reading_order(lines: DataFrame, splits: DataFrame | None, page: list[str]) -> DataFrame:
+    """Lines with ``column`` (0 or 1) and ``place``: the left column from top to bottom, then the right one.
+
+    Without ``splits`` the lines have them themselves.
+    """
+    both = (lines if splits is None else lines.join(splits, page, "left")).withColumn("column", F.coalesce((F.col("x0") >= F.col("split")).cast("int"), F.lit(0)))
     order = W.partitionBy(*page).orderBy("column", "line", "segment")
     return both.withColumn("place", F.row_number().over(order) - 1).drop("split")

@@ -226,6 +226,6 @@ def t30_lines_of_pages(spark, d):
     """Lines of all pages in the order in which they are read: down the left column, then down the right one."""
     page = ["doc", "page"]
     lines = pages.words_to_lines(_words(spark, d), page)
-    ordered = pages.reading_order(lines, pages.column_splits(lines, page, WIDTH), page)
+    ordered = pages.reading_order(pages.with_splits(lines, page, WIDTH), None, page)
     long = ("place", "line")
     return ordered.select(*page, *[F.col(c).cast("long").alias(c) for c in long], "column", "segment", "text", "x0", "x1", "top")

@@ -147,3 +147,16 @@ def test_summary_without_data(one):
     full = one(sc.summary(F.array(F.lit("Node.js"), F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")), F.array(F.lit("NODE.JS "), F.lit("A"), F.lit("b"), F.lit("c"), F.lit("d")), F.lit(4), sc.required_years(F.lit("2+"))))
     assert full.skills == "Matched core skills include Node.Js, A, B, C."
     assert full.text.count("\n• ") == 6 and full.fit.startswith("Overall fit appears strong")
+
+
+def test_pages_are_sent_once(spark):
+    """Lines, their splits and their order need one exchange of the words and no join; before, words met their heights and lines their splits in joins."""
+    rows = [(p, i, f"w{i}", float(i % 7 // 3 * 240 + i % 3 * 40), float(i % 7 // 3 * 240 + i % 3 * 40 + 20), float(i // 7 * 12)) for p in (1, 2) for i in range(140)]
+    words = spark.createDataFrame(rows, "page int, n int, text string, x0 double, x1 double, top double")
+    lines = pages.words_to_lines(words, ["page"])
+    ordered = pages.reading_order(pages.with_splits(lines, ["page"], 600.0), None, ["page"])
+    plan = ordered._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    two = pages.reading_order(lines, pages.column_splits(lines, ["page"], 600.0), ["page"])
+    assert sorted(map(str, ordered.select(*two.columns).collect())) == sorted(map(str, two.collect()))
