@@ -1,8 +1,8 @@
 """Names and places of résumés: candidates of lines with their source, ranked; places by a gazetteer.
 
 Every line of a résumé's head may say a name in several ways; each way is a source with a rank.  Of all that hold, the one of the best rank and
-then of the earliest line counts.  For places, the runs of one to ``MOST_PLACE_WORDS`` words of the head's lines are joined with a
-gazetteer (equality on the lower-cased spelling), so it may have any size and is broadcast only where the planner finds it small.
+then of the earliest line counts.  For places, the words of the head's lines are joined with the first words of a
+gazetteer's lower-cased spellings, of one to ``MOST_PLACE_WORDS`` words, and the rest compared, so it may have any size and is broadcast only where the planner finds it small.
 
 Defined cases: a null or empty text has no name and no place (empty strings); a spelling that the gazetteer has twice counts by its smaller
 canonical form; ties go to the earlier line, then the longer spelling.
@@ -41,12 +41,13 @@ def head_lines(text: Column, most: int = MANY) -> Column:
 
 
 def bare_name(line: Column) -> Column:
-    """A line up to a bar, a bullet, a number or an address, without a label, up to the first word that no name has."""
+    """A line up to a bar, a bullet, a number or an address, without a label, up to the first word that no name has; five words at most."""
     c = F.regexp_replace(F.regexp_replace(line, r"^[ ,.\-]+|[ ,.\-]+$", ""), r"(?i)^(?:full\s+)?name\s*[:\-]\s*", "")
     c = F.get(F.split(c, r"\s+\|\s+|\s+[·•]\s+|\s+-\s+|, (?=\+?\d|[A-Za-z0-9._%+-]+@)", 2), F.lit(0))
-    words = F.transform(F.split(F.trim(c), " "), lambda w: F.regexp_replace(w, r"^[ ,.\-:]+|[ ,.\-:]+$", ""))
+    # a name has at most four words, so a fifth tells that a line is none
+    words = F.transform(F.slice(F.split(F.trim(c), " "), 1, 5), lambda w: F.regexp_replace(w, r"^[ ,.\-:]+|[ ,.\-:]+$", ""))
     stops = lambda ws: F.array_position(F.transform(ws, lambda w: F.lower(w).isin(*LABELS) | w.rlike(r"\d|@") | (w == "")), F.lit(True)).cast("int")
-    return let(words, lambda ws: F.array_join(F.when(stops(ws) > 0, F.slice(ws, F.lit(1), stops(ws) - 1)).otherwise(ws), " "))
+    return let(words, lambda ws: let(stops(ws), lambda n: F.array_join(F.when(n > 0, F.slice(ws, F.lit(1), n - 1)).otherwise(ws), " ")))
 
 
 def is_name(c: Column) -> Column:
@@ -54,7 +55,8 @@ def is_name(c: Column) -> Column:
     n = F.size(F.split(c, " "))
     capital = F.size(F.filter(F.split(c, " "), lambda w: w.rlike(r"^[A-Z][A-Za-z'`.-]+$")))
     bad = c.rlike(TITLES) | c.rlike(k.word(k.COMPANY_WORDS)) | c.rlike(k.word(k.ROLE_WORDS)) | c.rlike(k.word(k.TECHNICAL)) | c.rlike(r"[\d@/:;|()\[\]{}<>_#*,]")
-    return (c != "") & ~bad & n.between(2, 4) & (capital >= F.greatest(F.lit(2), n - 1))
+    # words are counted before the long lists of words are searched for
+    return (c != "") & n.between(2, 4) & (capital >= F.greatest(F.lit(2), n - 1)) & ~bad
 
 
 def formatted(c: Column) -> Column:
@@ -65,19 +67,22 @@ def name_candidates(text: Column) -> Column:
     """(rank, place, name) of all readings that hold: labelled, first lines, capitals, leading words, any line of the head."""
 
     def of_line(x: Column, i: Column) -> Column:
-        bare = bare_name(x)
         leading = F.regexp_extract(x, r"^([A-Z][A-Za-z'`.-]+(?:\s+[A-Z][A-Za-z'`.-]+){1,3})\b", 1)
-        label = F.when(x.rlike(r"(?i)^(?:full\s+)?name\s*[:\-]"), bare)
+        holds = lambda c: F.when(is_name(c), c)  # noqa: E731  each reading is judged once, whatever ranks it has
+        first = let(F.when(i < FEW, leading), lambda c: F.when(~c.rlike(ROLE_NOISE), holds(c)))
+        return let(F.struct(let(bare_name(x), holds).alias("bare"), first.alias("leading")), lambda s: ranked(x, i, s["bare"], s["leading"]))
+
+    def ranked(x: Column, i: Column, bare: Column, leading: Column) -> Column:
         rank = (
-            (0, label, F.lit(True)),
-            (1, bare, i < HEAD),
-            (2, F.when(F.upper(bare) == bare, bare), i < FIRST),
-            (3, F.when(~leading.rlike(ROLE_NOISE), leading), i < FEW),
-            (4, bare, i < FEW),
-            (5, bare, F.lit(True)),
+            (0, x.rlike(r"(?i)^(?:full\s+)?name\s*[:\-]"), bare),
+            (1, i < HEAD, bare),
+            (2, (i < FIRST) & (F.upper(bare) == bare), bare),
+            (3, F.lit(True), leading),
+            (4, i < FEW, bare),
+            (5, F.lit(True), bare),
         )
-        each = [F.when(where, F.struct(F.lit(r).alias("rank"), i.cast("int").alias("place"), c.alias("name"))) for r, c, where in rank]
-        return F.filter(F.array(*each), lambda s: s["name"].isNotNull() & is_name(s["name"]))
+        each = [F.when(c.isNotNull() & where, F.struct(F.lit(r).alias("rank"), i.cast("int").alias("place"), c.alias("name"))) for r, where, c in rank]
+        return F.when(bare.isNotNull() | leading.isNotNull(), F.array_compact(F.array(*each))).otherwise(F.slice(F.array(*each[:1]), 1, 0))
 
     lines = F.filter(head_lines(text), lambda x: ~x.rlike(NO_PLACE_LINE))
     return F.flatten(F.transform(lines, of_line))
@@ -100,10 +105,13 @@ def places(rows: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFr
     after = F.when(mark == 0, F.regexp_replace("x", rf"^.*?{LABELLED}", "")).when(mark == 1, F.regexp_replace("x", rf"^.*?{TOLD}", "")).otherwise(F.col("x"))
     words = F.filter(F.split(F.lower(after), r"[^\p{L}.'-]+"), lambda w: w != "")
     told = each.select(key, "line", mark.alias("source"), words.alias("w"))
-    runs = F.flatten(F.transform("w", lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_PLACE_WORDS), F.size("w") - i)), lambda n: F.struct(i.alias("at"), (-n).alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("spelling")))))
-    spelled = told.filter(F.size("w") > 0).select(key, "line", "source", F.explode(runs).alias("r")).select(key, F.struct("source", "line", "r.at", "r.n").alias("rank"), F.col("r.spelling").alias("spelling"))
+    starts = F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("first"), F.slice("w", i + 1, F.lit(MOST_PLACE_WORDS)).alias("span")))
+    begun = told.select(key, "line", "source", F.explode(starts).alias("r")).select(key, "line", "source", "r.*")
     known = gazetteer.groupBy(F.lower(F.trim("spelling")).alias("spelling")).agg(F.min("canonical").alias("canonical"))
-    found = spelled.join(known, "spelling").groupBy(key).agg(F.min(F.struct("rank", "canonical")).alias("b"))
+    known = known.withColumns({"first": F.split_part("spelling", F.lit(" "), F.lit(1)), "n": F.size(F.split("spelling", " "))}).filter(F.col("n") <= MOST_PLACE_WORDS)
+    both = begun.join(known, "first").filter((F.size("span") >= F.col("n")) & (F.array_join(F.slice("span", F.lit(1), F.col("n")), " ") == F.col("spelling")))
+    spelled = both.select(key, F.struct("source", "line", "at", (-F.col("n")).alias("n")).alias("rank"), "canonical")
+    found = spelled.groupBy(key).agg(F.min(F.struct("rank", "canonical")).alias("b"))
     sources = F.array(*[F.lit(x) for x in ("label", "phrase", "line")])
     best = found.select(key, F.get(sources, F.col("b.rank.source")).alias("source"), F.col("b.canonical").alias("place"))
     return rows.select(key).join(best, key, "left").select(key, F.coalesce("source", F.lit("")).alias("source"), F.coalesce("place", F.lit("")).alias("place"))
