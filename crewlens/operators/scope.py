@@ -189,3 +189,16 @@ def settings(owners: DataFrame, own: DataFrame, defaults: dict[str, int]) -> Dat
     """(agency, key, value) of every owner and key: its own setting, else the default."""
     every = owners.select("agency", F.explode(F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])).alias("key", "standard"))
     return every.join(own, ["agency", "key"], "left").select("agency", "key", F.coalesce("value", "standard").alias("value"))
+
+
+def beyond(rows: DataFrame, key: Column, skip: int) -> DataFrame:
+    """All rows after the first ``skip`` by an ascending ``key`` whose ties are equal rows; no task holds them all.
+
+    Only the first rows are gathered, for the last key among them and how often they have it; equal rows are counted.
+    """
+    keyed = rows.withColumn("_key", key)
+    last = keyed.orderBy("_key").limit(skip).groupBy(F.col("_key").alias("_last")).agg(F.count(F.lit(1)).alias("_seen")).orderBy(F.col("_last").desc()).limit(1)
+    both = keyed.crossJoin(F.broadcast(last))  # one row
+    same = both.filter("_key = _last").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"), F.max("_seen").alias("_seen")).filter("_n > _seen")
+    left = same.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n") - F.col("_seen"))))
+    return both.filter("_key > _last").select(*rows.columns).union(left.select(*rows.columns))

@@ -244,7 +244,8 @@ def l1_page_clamped(spark, d):
 @register("""SELECT id, scheduled_at FROM interviews ORDER BY scheduled_at DESC NULLS FIRST, id OFFSET 40""")
 def l2_offset_without_limit(spark, d):
     i = v.interviews(spark, d).select("id", "scheduled_at")
-    return i.orderBy(F.col("scheduled_at").desc_nulls_first(), "id").offset((3 - 1) * 20)
+    key = F.struct(F.col("scheduled_at").isNotNull().alias("known"), (-F.unix_micros(F.col("scheduled_at").cast("timestamp"))).alias("at"), F.col("id"))
+    return scope.beyond(i, key, (3 - 1) * 20).orderBy(F.col("scheduled_at").desc_nulls_first(), "id")
 
 
 @register("""SELECT id, created_at FROM jobs ORDER BY created_at DESC, id""")

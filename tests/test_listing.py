@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from crewlens.plans import catalogue, listings
+from crewlens.plans import catalogue, filters, listings
 from crewlens.sources import views as v
 
 D = "/root/testdata/sf0.001"
@@ -27,3 +27,16 @@ def test_no_candidate_is_left_out(spark):
     ids = lambda rows: sorted(r.id for r in rows.select("id").collect())
     assert ids(catalogue.queries()["p18_display_override"](spark, D)) == ids(v.candidates(spark, D))
     assert ids(catalogue.queries()["q19_async_by_candidate"](spark, D)) == ids(v.interviews(spark, D).filter("is_async"))
+
+
+def test_rows_beyond_the_first_are_not_gathered(spark):
+    from pyspark.sql import functions as F
+
+    from crewlens.operators import scope
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (0, "z"), (2, "b"), (2, "b"), (3, "c")], "n int, s string")
+    ordered = sorted(tuple(r) for r in rows.collect())
+    for skip in (1, 2, 3, 4, 5, 7, 9):
+        assert sorted(tuple(r) for r in scope.beyond(rows, F.struct("n", "s"), skip).collect()) == ordered[skip:]
+    plan = filters.l2_offset_without_limit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "offset" not in plan.lower()
