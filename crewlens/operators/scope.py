@@ -202,3 +202,17 @@ def beyond(rows: DataFrame, key: Column, skip: int) -> DataFrame:
     same = both.filter("_key = _last").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"), F.max("_seen").alias("_seen")).filter("_n > _seen")
     left = same.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n") - F.col("_seen"))))
     return both.filter("_key > _last").select(*rows.columns).union(left.select(*rows.columns))
+
+
+def search_interviews(interviews: DataFrame, candidates: DataFrame, jobs: DataFrame, words: str) -> DataFrame:
+    """Interviews whose status or transcript, candidate's name or job's title has the words; ids of candidates and jobs are unique.
+
+    Each text is searched where it stands, so only keys are shuffled, and no interview that its own texts have found.
+    """
+    hit = lambda *names: F.coalesce(contains(words, *[F.col(x) for x in names]), F.lit(False))
+    titled = jobs.filter(hit("title")).select(F.col("id").alias("job_id"))
+    named = candidates.filter(hit("name")).select("id")
+    others = candidates.filter(~hit("name")).select("id", "job_id").join(titled, "job_id", "left_semi").select("id")
+    found = named.union(others).withColumnRenamed("id", "candidate_id")
+    rest = interviews.filter(~hit("status", "transcript")).select("id", "candidate_id").join(found, "candidate_id", "left_semi")
+    return interviews.filter(hit("status", "transcript")).select("id").union(rest.select("id"))

@@ -128,11 +128,7 @@ def f14_job_attributes(spark, d):
 @register("""SELECT i.id FROM interviews i LEFT JOIN candidates c ON c.id = i.candidate_id LEFT JOIN jobs j ON j.id = c.job_id
 WHERE i.status ILIKE '%no-show%' OR i.transcript ILIKE '%no-show%' OR c.name ILIKE '%no-show%' OR j.title ILIKE '%no-show%'""")
 def f15_interview_search(spark, d):
-    i = v.interviews(spark, d)
-    c = v.candidates(spark, d).select(F.col("id").alias("_c"), "name", "job_id")
-    j = v.jobs(spark, d).select(F.col("id").alias("_j"), "title")
-    both = i.join(c, i["candidate_id"] == c["_c"], "left").join(j, c["job_id"] == j["_j"], "left")
-    return both.filter(scope.contains("no-SHOW", *[F.col(x) for x in ("status", "transcript", "name", "title")])).select(i["id"])
+    return scope.search_interviews(v.interviews(spark, d), v.candidates(spark, d), v.jobs(spark, d), "no-SHOW")
 
 
 @register("""SELECT i.id FROM interviews i WHERE EXISTS (SELECT 1 FROM candidates c JOIN jobs j ON j.id = c.job_id WHERE c.id = i.candidate_id AND lower(trim(j.company_name)) = 'nation_9')""")

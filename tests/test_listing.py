@@ -40,3 +40,12 @@ def test_rows_beyond_the_first_are_not_gathered(spark):
         assert sorted(tuple(r) for r in scope.beyond(rows, F.struct("n", "s"), skip).collect()) == ordered[skip:]
     plan = filters.l2_offset_without_limit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "offset" not in plan.lower()
+
+
+def test_interviews_are_searched_before_they_are_joined(spark):
+    from crewlens.operators import scope
+
+    i = spark.createDataFrame([("a", 1, "x No-Show", None), ("b", 2, None, "NO-SHOW"), ("c", 3, "s", None), ("d", 4, "s", None), ("e", 5, None, None), ("f", None, None, None), ("g", 9, "s", "t")], "id string, candidate_id long, status string, transcript string")
+    c = spark.createDataFrame([(1, "no-show", 7), (2, "x", 8), (3, "A no-show", None), (4, None, 7), (5, "y", 8)], "id long, name string, job_id long")
+    j = spark.createDataFrame([(7, "the no-show"), (8, None)], "id long, title string")
+    assert sorted(r.id for r in scope.search_interviews(i, c, j, "no-SHOW").collect()) == ["a", "b", "c", "d"]
