@@ -79,6 +79,11 @@ def _text(c: str, clean: bool) -> Column:
     return cleaned(cut) if clean else cut
 
 
+def cleaned_text(c: str) -> Column:
+    """A text as ``match`` takes it with ``clean``: texts that many pairs share are cleaned before they are paired."""
+    return _text(c, True)
+
+
 def tfidf_similarity(pairs: DataFrame, key: str, source: str, target: str, stop: Sequence[str] = STOP_WORDS, clean: bool = False) -> DataFrame:
     """(key, tfidf): cosine, in percent, of one- and two-word terms, weighted over just the pair's two texts.
 
@@ -93,9 +98,9 @@ def bm25_similarity(pairs: DataFrame, key: str, query: str, document: str, clean
     return pairs.select(key, _bm25(_text(query, clean), _text(document, clean)).alias("bm25"))
 
 
-def match(pairs: DataFrame, key: str, resume: str, job: str, stop: Sequence[str] = STOP_WORDS, clean: bool = False) -> DataFrame:
-    """(key, tfidf, bm25, combined) for every pair."""
-    both = F.struct(_text(resume, clean).alias("a"), _text(job, clean).alias("b"))
+def match(pairs: DataFrame, key: str, resume: str, job: str, stop: Sequence[str] = STOP_WORDS, clean: bool = False, job_cleaned: bool = False) -> DataFrame:
+    """(key, tfidf, bm25, combined) for every pair; with ``job_cleaned`` the job's text is one of ``cleaned_text``."""
+    both = F.struct(_text(resume, clean).alias("a"), (F.col(job) if job_cleaned else _text(job, clean)).alias("b"))
     scores = let(both, lambda x: F.struct(_tfidf(x["a"], x["b"], stop).alias("tfidf"), _bm25(x["b"], x["a"]).alias("bm25")))
     out = pairs.select(key, scores.alias("s")).select(key, "s.tfidf", "s.bm25")
     return out.withColumn("combined", F.round(F.col("tfidf") * 0.6 + F.col("bm25") * 0.4, 2))
