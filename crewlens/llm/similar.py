@@ -11,6 +11,12 @@ Those that are not form components of the links among them, in which the first `
 on until no link is left.  So a text goes only if a text that stays is as similar to it as asked; most groups end with one
 comparison a document, and no group is ever compared pair by pair.
 
+Fingerprints can miss links, so they only thin out the groups; the texts that are left are then joined exactly.  Sets A and B of a similarity
+of 0.8 differ in at most (|A| + |B|) / 9 shingles, and their sizes lie in the same class of ratio 1.25 or in neighbouring ones.  For each of its two pairs of classes a
+text's shingles are dealt by hash into a fourth as many buckets as the largest set has shingles, which is more than can differ, so at least one bucket is the
+same in both.  A text is posted under the contents of its buckets: of those that hold anything, where these alone are more than can differ, else of
+all.  All pairs of a list are compared in full.  A text that goes only now leaves those that went because of it to a last join with all that stay.
+
 Defined cases: texts with the same words of fingerprint count as one text, of which one row stays (null and empty texts among them); a
 text with fewer than five words has one shingle of all its words; null ids come last; repeated rows are copies; an empty table gives none.
 """
@@ -25,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import spread_join, written
+from .shared import free_shuffles, spread_join, written
 from .simhash import LIST_LIMIT, Rule, chosen_rows, components, dealt_lists, fingerprints, first_rows
-from .texts import id_and_text, one_array, same_row, shingle_hashes, slices, split_words
+from .texts import P1, P2, id_and_text, mix64, one_array, same_row, shingle_hashes, slices, split_words
 
 WORDS, SHINGLE, LEAST = 8, 5, 0.8
 WORD_RADIUS, RADIUS = 12, 100
+#: Ratio of sizes of a class, shingles of the largest set in a bucket, and from which length on a list is split by a second exchange.
+RATIO, IN_BUCKET, LONG = 1.25, 4, 256
 SHORT = 8
 #: How many texts of a component others are compared with, round by round; the last number holds on.
 HEADS = (1, 16, 64)
@@ -145,8 +153,111 @@ def alike(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     return _compared(with_sets(written(with_sets(pairs, a, "shingles"), "half"), b, "other"), pairs.columns)
 
 
+def _signed(hashes: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, nodes) of the postings of sets laid end to end; sets of a similarity of ``LEAST`` have at least one key in common."""
+    keys, nodes = [], []
+    scrambled = mix64(hashes)
+    with np.errstate(over="ignore"):
+        for up in (0, 1):
+            group = np.floor(np.log(size) / np.log(RATIO) + 1e-9).astype(np.int64) + up
+            most = RATIO ** (group + 1.0)
+            buckets = np.floor(most / IN_BUCKET).astype(np.int64) + 1
+            first = np.cumsum(buckets) - buckets
+            place = np.repeat(first, size) + (hashes % np.repeat(buckets, size).astype(np.uint64)).astype(np.int64)
+            held = np.bincount(place, minlength=int(buckets.sum())) > 0
+            told = np.zeros(len(held), np.uint64)
+            np.add.at(told, place, scrambled)
+            of = np.repeat(np.arange(len(size)), buckets)
+            apart = np.floor(np.minimum(size * (1 + RATIO), size + most) * (1 - LEAST) / (1 + LEAST) + 1e-9)
+            enough = np.bincount(of, held, len(size)) > apart
+            at = np.flatnonzero(held | ~enough[of])
+            number = (group[of[at]] << 40 | (at - first[of[at]])).astype(np.uint64)
+            keys.append(mix64(told[at] * P1 + mix64(number * P2 + held[at].astype(np.uint64))))
+            nodes.append(node[of[at]])
+    return np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+
+
+def signatures(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, node): postings of the rows ``wanted`` (node, _id, _hash); texts without words have none."""
+
+    def run(batches):
+        for batch in slices(batches):
+            hashes, offsets = shingle_hashes(*split_words(one_array(batch.column("text")), lower=True), SHINGLE)
+            sets = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            size = np.array([len(x) for x in sets], np.int64)
+            some = size > 0
+            if some.any():
+                cols = _signed(np.concatenate(sets), np.asarray(batch.column("node"))[some], size[some])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "node"])
+
+    read = id_and_text(docs)
+    return read.join(wanted, same_row(read, wanted, "_id", "_hash")).select("node", "text").mapInArrow(run, "key long, node long")
+
+
+def _paired(most: int | None):
+    """Streams over (key, node), sorted by key, and yields all pairs of each list; of one beyond ``most`` its postings, for a second exchange."""
+
+    def of(key: np.ndarray, node: np.ndarray):
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        size = np.diff(edges)
+        two = edges[:-1][size == 2]
+        yield node[two], node[two + 1], False
+        for a, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if most and n > most:
+                yield key[a : a + n], node[a : a + n], True
+                continue
+            for i in range(n - 1):  # a row of pairs at a time
+                yield np.full(n - 1 - i, node[a + i]), node[a + i + 1 : a + n], False
+
+    def out(key: np.ndarray, node: np.ndarray):
+        held: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        count = 0
+        for part in of(key, node):
+            held.append(part)
+            count += len(part[0])
+            if count > 1 << 18:
+                yield batch(held)
+                held, count = [], 0
+        if count:
+            yield batch(held)
+
+    def batch(parts) -> pa.RecordBatch:
+        u, v, long = (np.concatenate(x) for x in zip(*[(a, b, np.full(len(a), c)) for a, b, c in parts], strict=True))
+        low, high = np.where(long, u, np.minimum(u, v)), np.where(long, v, np.maximum(u, v))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (low, high, long)], ["u", "v", "long"])
+
+    def run(batches):
+        key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            key, node = np.concatenate([key, np.asarray(b.column("key"))]), np.concatenate([node, np.asarray(b.column("node"))])
+            if len(key) and key[0] != key[-1]:
+                cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+                yield from out(key[:cut], node[:cut])
+                key, node = key[cut:], node[cut:]
+        if len(key):
+            yield from out(key, node)
+
+    return run
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, list_limit: int = LIST_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links (u, v) between the texts ``nodes`` (node, k, order), with what ``_settled`` asks of their ends: (node, k), k being their order, and their sets."""
+    rows = nodes.select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("order").alias("k"))
+    index = signatures(docs, rows.drop("k")).repartition("key").sortWithinPartitions("key", "node")
+    met = written(index.mapInArrow(_paired(LONG), "u long, v long, long boolean"), "met-exact")
+    del index
+    free_shuffles(docs.sparkSession)
+    dealt = dealt_lists(met.filter("long").select(F.col("u").alias("key"), F.col("v").alias("node")), ["node"], list_limit, stay=True)
+    pairs = met.filter("not long").union(dealt.mapInArrow(_paired(None), "u long, v long, long boolean"))
+    pairs = written(pairs.filter("u <> v").select("u", "v").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = written(rows.join(ends, "node"), "wanted")
+    sets = written(shingle_sets(docs, wanted.drop("k")), "shingles")
+    return written(alike(pairs, sets, "u", "v"), "links"), wanted.select("node", "k"), sets
+
+
 def _settled(linked: DataFrame, wanted: DataFrame, sets: DataFrame, heads: int) -> tuple[DataFrame, DataFrame]:
-    """(node) of texts that stay, and (node) of texts that go because of one of them, in components of the links."""
+    """(node) of texts that stay, and (node, head) of texts that go because of one of them, the head, in components of the links."""
     roots = components(linked).select(F.col("u").alias("node"), "root")
     nodes = linked.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
@@ -168,33 +279,57 @@ def _settled(linked: DataFrame, wanted: DataFrame, sets: DataFrame, heads: int)
     out = written(among.select("root", F.aggregate("p", none, step).alias("out")), "out")
     hot = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(out, "root", "left").select("root", F.coalesce("out", none).alias("out"), "n")
     judged = spread_join(found, written(hot, "judged"), ["root"], "n", found.count())
-    gone = written(judged.filter(~F.array_contains("out", F.col("i"))).select("node").distinct(), "gone")
+    gone = written(judged.filter(~F.array_contains("out", F.col("i"))).groupBy("node").agg(F.min("head").alias("head")), "gone")
     holding = F.filter("heads", lambda h: ~F.array_contains(F.coalesce(F.col("out"), none), h["i"]))
     stays = table.join(out, "root", "left").select(F.explode(F.transform(holding, lambda h: h["node"])).alias("node"))
     return stays, gone
 
 
-def gone_nodes(docs: DataFrame, prints: DataFrame, first: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """(node): fingerprints whose texts are as similar as asked to a text that stays; ``first`` has (node, k) of ``first_rows``."""
-    met = written(met_links(prints, list_limit), "met")
-    ends = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = written(first.join(ends, "node").select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), "k"), "wanted")
-    sets = written(shingle_sets(docs, wanted.drop("k")), "shingles")
-    linked = written(alike(met, sets, "u", "v"), "links")
-    gone, k = prints.select("node").limit(0), 0
+def _all_settled(linked: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, head): texts that go, and a text that stays because of which they go."""
+    gone, k = linked.select(F.col("u").alias("node"), F.col("v").alias("head")).limit(0), 0
     while linked.count():
         stays, went = _settled(linked, wanted, sets, HEADS[min(k, len(HEADS) - 1)])
         gone, k = gone.union(went), k + 1
-        done = written(stays.union(went), "settled")
+        done = written(stays.union(went.select("node")), "settled")
         rest = linked.join(done.withColumnRenamed("node", "u"), "u", "left_anti").join(done.withColumnRenamed("node", "v"), "v", "left_anti")
         linked = written(rest.select("u", "v"), "links")
     return gone
 
 
+def gone_by_prints(docs: DataFrame, prints: DataFrame, first: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """(node, head): what fingerprints find of the texts that are as similar as asked to one that stays; ``first`` has (node, k) of ``first_rows``."""
+    met = written(met_links(prints, list_limit), "met")
+    ends = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = written(first.join(ends, "node").select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), "k"), "wanted")
+    sets = written(shingle_sets(docs, wanted.drop("k")), "shingles")
+    return _all_settled(written(alike(met, sets, "u", "v"), "links"), wanted, sets)
+
+
+def gone_nodes(docs: DataFrame, prints: DataFrame, first: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """(node): all texts that are as similar as asked to a text that stays; no two that stay are."""
+    gone = written(gone_by_prints(docs, prints, first, list_limit), "gone")
+    free_shuffles(docs.sparkSession)
+    heads = gone.select(F.col("head").alias("node")).distinct().withColumn("has", F.lit(True))
+    kept = first.join(gone, "node", "left_anti").join(heads, "node", "left")
+    kept = written(kept.select("node", "k", F.struct(F.col("has").isNull().alias("alone"), "k").alias("order")), "kept")  # a text that others went for stays first
+    later = written(_all_settled(*exact_links(docs, kept, list_limit)), "gone")
+    left = gone.join(later.select(F.col("node").alias("head")), "head", "left_semi").select("node")
+    orphans = written(first.join(left, "node"), "orphans")
+    if orphans.isEmpty():
+        return gone.union(later).select("node")
+    stay = kept.join(later, "node", "left_anti")
+    pool = stay.select("node", "k", F.lit(False).alias("again")).union(orphans.select("node", "k", F.lit(True)))
+    last = _all_settled(*exact_links(docs, pool.select("node", "k", F.struct("again", "k").alias("order")), list_limit))
+    return gone.join(orphans, "node", "left_anti").select("node").union(later.select("node")).union(last.select("node"))
+
+
 def one_of_each_similar(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """The documents, all columns, without those that are near-duplicates of one that stays; one row of each text stays."""
     fps = written(fingerprints(docs, RULE), "fingerprints")
     first = written(first_rows(fps), "first-rows")
     prints = written(fps.select("node", *[f"f{k}" for k in range(WORDS)]).distinct(), "distinct")
-    kept = first.join(gone_nodes(docs, prints, first, list_limit), "node", "left_anti")
+    gone = written(gone_nodes(docs, prints, first, list_limit), "gone")
+    free_shuffles(docs.sparkSession)
+    kept = first.join(gone, "node", "left_anti")
     return chosen_rows(docs, fps, kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from crewlens.llm import decontaminate, lines, similar, simhash, substrings, texts
 
@@ -185,6 +186,43 @@ def test_similar_recall(frame):
     assert all(len(x) >= 50 and np.mean(x) >= 0.9 for x in band.values())
 
 
+def test_similar_loses_no_link(frame):
+    """Every pair of a similarity of 0.8 or more is found, also just there and of short texts; no two that stay are alike."""
+    rng = random.Random(17)
+    rows, alike = [], {}
+    for k in range(900):
+        n = (12, 40, 150, 300)[k % 4]
+        pair = edited(rng, n, 1 + k % max(2, n // 44))
+        rows += zip((2 * k, 2 * k + 1), pair, strict=True)
+        alike[2 * k + 1] = similarity(*map(sets_of, pair))
+    left = {r.doc_id for r in similar.one_of_each_similar(frame(rows)).collect()}
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) >= 50
+    assert {i for i in alike if i in left} == {i for i, x in alike.items() if x < similar.LEAST - 1e-9}
+
+
+def test_alike_sets_share_a_posting():
+    """By construction: as many shingles changed as may be, of sets of all sizes; lists beyond the limit lose no pair."""
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 60), 100, 333, 1000]:
+        for gone in range(n + 1):
+            added = int((n - gone) / similar.LEAST + 1e-9) - n
+            if added < 0:
+                break
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, added, dtype=np.uint64)]))
+            keys = [set(similar._signed(x, np.array([1]), np.array([len(x)]))[0].tolist()) for x in (a, b)]
+            assert keys[0] & keys[1], (n, gone, added)
+
+
+def test_links_of_long_lists(frame, monkeypatch):
+    monkeypatch.setattr(similar, "LONG", 4)
+    many = [f"m{j}" for j in range(150)]
+    docs = frame([(k, " ".join(many[:k] + ["x"] + many[k + 1 :])) for k in range(40)])
+    first = similar.first_rows(similar.fingerprints(docs, similar.RULE))
+    links, _, _ = similar.exact_links(docs, first.select("node", "k", F.col("k").alias("order")), list_limit=8)
+    assert links.count() == 40 * 39 // 2
+
+
 @pytest.fixture(scope="module")
 def leaks():
     rng = random.Random(9)
