@@ -13,7 +13,7 @@ from crewlens.llm.decontaminate import clean
 from crewlens.llm.labelled import fold
 from crewlens.llm.lines import without_repeated_lines
 from crewlens.llm.packing import packed
-from crewlens.llm.shared import discard, written_at
+from crewlens.llm.shared import brief_shuffles, discard, written_at
 from crewlens.llm.similar import one_of_each_similar
 
 
@@ -62,9 +62,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``, each written to the shared folder, read by the next, and deleted after it."""
     docs, before = _table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        docs, path = written_at(stage(spark, docs, sf_dir), name)
-        if before:
-            discard(spark, before)
-        before = path
+    with brief_shuffles(spark):
+        for name, stage in STAGES[:-1]:
+            docs, path = written_at(stage(spark, docs, sf_dir), name)
+            if before:
+                discard(spark, before)
+            before = path
     return STAGES[-1][1](spark, docs, sf_dir)

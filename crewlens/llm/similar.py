@@ -15,7 +15,8 @@ Fingerprints can miss links, so they only thin out the groups; the texts that ar
 of 0.8 differ in at most (|A| + |B|) / 9 shingles, and their sizes lie in the same class of ratio 1.25 or in neighbouring ones.  For each of its two pairs of classes a
 text's shingles are dealt by hash into a fourth as many buckets as the largest set has shingles, which is more than can differ, so at least one bucket is the
 same in both.  A text is posted under the contents of its buckets: of those that hold anything, where these alone are more than can differ, else of
-all.  All pairs of a list are compared in full.  A text that goes only now leaves those that went because of it to a last join with all that stay.
+all.  Every shingle that differs spoils one bucket at most, so of two alike texts all postings but so many are shared (``_enough``); pairs that share as
+many and are of fitting sizes are compared in full.  A text that goes only now leaves those that went because of it to a last join with all that stay.
 
 Defined cases: texts with the same words of fingerprint count as one text, of which one row stays (null and empty texts among them); a
 text with fewer than five words has one shingle of all its words; null ids come last; repeated rows are copies; an empty table gives none.
@@ -27,11 +28,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import free_shuffles, spread_join, written
+from .shared import brief_shuffles, scratch, spread_join, written
 from .simhash import LIST_LIMIT, Rule, chosen_rows, components, dealt_lists, fingerprints, first_rows
 from .texts import P1, P2, id_and_text, mix64, one_array, same_row, shingle_hashes, slices, split_words
 
@@ -97,18 +98,22 @@ def _met(batches):
 
 
 def met_links(prints: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """(u, v): nodes of prints (node, f0, ...) that met in a list and differ in at most ``RADIUS`` bits of all words."""
-    names = [f"f{k}" for k in range(WORDS)]
+    """(u, v), a table: nodes of prints (node, f0, ...) that met in a list and differ in at most ``RADIUS`` bits of all words."""
     posts = [F.struct(F.xxhash64(F.lit(i), F.col(f"f{w}").bitwiseAND(F.lit(m))).alias("key"), F.col(f"f{w}").alias("word")) for i, (w, m) in enumerate(RULE.masks())]
     index = prints.select("node", F.explode(F.array(*posts)).alias("p")).select("node", "p.key", "p.word")
     met = dealt_lists(index, ["node", "word"], list_limit, stay=True).mapInArrow(_met, "u long, v long")
-    pairs = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
-    n = pairs.count()
+    with scratch(prints.sparkSession) as put:
+        return _near(put(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met"), prints, put)
+
+
+def _near(pairs: DataFrame, prints: DataFrame, put) -> DataFrame:
+    """The pairs that differ in at most ``RADIUS`` bits of all words, as a table."""
+    names, n = [f"f{k}" for k in range(WORDS)], pairs.count()
     left = prints.join(pairs.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node").select(F.col("node").alias("u"), F.array(*names).alias("a"), "n")
     right = prints.join(pairs.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node").select(F.col("node").alias("v"), F.array(*names).alias("b"), "n")
-    both = spread_join(written(spread_join(pairs, written(left, "left"), ["u"], "n", n), "half"), written(right, "right"), ["v"], "n", n)
+    both = spread_join(put(spread_join(pairs, put(left, "left"), ["u"], "n", n), "half"), put(right, "right"), ["v"], "n", n)
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.filter(apart <= RADIUS).select("u", "v")
+    return written(both.filter(apart <= RADIUS).select("u", "v"), "near")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -142,43 +147,53 @@ def _compared(pairs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def alike(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs, a written table with nodes ``a`` and ``b``, whose sets of shingles are similar enough; either node may be hot."""
+    """The pairs, a written table with nodes ``a`` and ``b``, whose sets of shingles are similar enough, as a table; either node may be hot."""
     total = pairs.count()
 
-    def with_sets(rows: DataFrame, node: str, name: str) -> DataFrame:
-        asked = rows.groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    def with_sets(rows: DataFrame, node: str, name: str, put) -> DataFrame:
+        asked = pairs.groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("n"))
         table = sets.join(asked, "node").select(F.col("node").alias(node), F.col("shingles").alias(name), "n")
-        return spread_join(rows, written(table, "sets"), [node], "n", total)
+        return spread_join(rows, put(table, "sets"), [node], "n", total)
+
+    with scratch(pairs.sparkSession) as put:
+        half = put(with_sets(pairs, a, "shingles", put), "half")
+        return written(_compared(with_sets(half, b, "other", put), pairs.columns), "alike")
 
-    return _compared(with_sets(written(with_sets(pairs, a, "shingles"), "half"), b, "other"), pairs.columns)
+
+def _posted(hashes: np.ndarray, size: np.ndarray, up: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places of sets) of the postings of sets laid end to end, in the pair of classes that is ``up`` above their own."""
+    with np.errstate(over="ignore"):
+        group = _classes(size) + up
+        most = RATIO ** (group + 1.0)
+        buckets = np.floor(most / IN_BUCKET).astype(np.int64) + 1
+        first = np.cumsum(buckets) - buckets
+        place = np.repeat(first, size) + (hashes % np.repeat(buckets, size).astype(np.uint64)).astype(np.int64)
+        held = np.bincount(place, minlength=int(buckets.sum())) > 0
+        told = np.zeros(len(held), np.uint64)
+        np.add.at(told, place, mix64(hashes))
+        of = np.repeat(np.arange(len(size)), buckets)
+        apart = np.floor(np.minimum(size * (1 + RATIO), size + most) * (1 - LEAST) / (1 + LEAST) + 1e-9)
+        enough = np.bincount(of, held, len(size)) > apart
+        at = np.flatnonzero(held | ~enough[of])
+        number = (group[of[at]] << 40 | (at - first[of[at]])).astype(np.uint64)
+        return mix64(told[at] * P1 + mix64(number * P2 + held[at].astype(np.uint64))), of[at]
 
 
 def _signed(hashes: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, nodes) of the postings of sets laid end to end; sets of a similarity of ``LEAST`` have at least one key in common."""
-    keys, nodes = [], []
-    scrambled = mix64(hashes)
-    with np.errstate(over="ignore"):
-        for up in (0, 1):
-            group = np.floor(np.log(size) / np.log(RATIO) + 1e-9).astype(np.int64) + up
-            most = RATIO ** (group + 1.0)
-            buckets = np.floor(most / IN_BUCKET).astype(np.int64) + 1
-            first = np.cumsum(buckets) - buckets
-            place = np.repeat(first, size) + (hashes % np.repeat(buckets, size).astype(np.uint64)).astype(np.int64)
-            held = np.bincount(place, minlength=int(buckets.sum())) > 0
-            told = np.zeros(len(held), np.uint64)
-            np.add.at(told, place, scrambled)
-            of = np.repeat(np.arange(len(size)), buckets)
-            apart = np.floor(np.minimum(size * (1 + RATIO), size + most) * (1 - LEAST) / (1 + LEAST) + 1e-9)
-            enough = np.bincount(of, held, len(size)) > apart
-            at = np.flatnonzero(held | ~enough[of])
-            number = (group[of[at]] << 40 | (at - first[of[at]])).astype(np.uint64)
-            keys.append(mix64(told[at] * P1 + mix64(number * P2 + held[at].astype(np.uint64))))
-            nodes.append(node[of[at]])
-    return np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-
-
-def signatures(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, node): postings of the rows ``wanted`` (node, _id, _hash); texts without words have none."""
+    keys, of = zip(*[_posted(hashes, size, up) for up in (0, 1)], strict=True)
+    return np.concatenate(keys).view(np.int64), node[np.concatenate(of)]
+
+
+def _classes(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(size) / np.log(RATIO) + 1e-9).astype(np.int64)
+
+
+def signatures(docs: DataFrame, wanted: DataFrame, counted: bool = False) -> DataFrame:
+    """(key, node): postings of the rows ``wanted`` (node, _id, _hash); texts without words have none.
+
+    If ``counted``, instead of each text (node, size, class, own, next): its shingles, and its postings in its own pair of classes and in the next.
+    """
 
     def run(batches):
         for batch in slices(batches):
@@ -187,11 +202,16 @@ def signatures(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             size = np.array([len(x) for x in sets], np.int64)
             some = size > 0
             if some.any():
-                cols = _signed(np.concatenate(sets), np.asarray(batch.column("node"))[some], size[some])
+                node, size = np.asarray(batch.column("node"))[some], size[some]
+                if counted:
+                    own = [np.bincount(_posted(np.concatenate(sets), size, up)[1], minlength=len(size)) for up in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, size, _classes(size), *own)], ["node", "size", "class", "own", "next"])
+                    continue
+                cols = _signed(np.concatenate(sets), node, size)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "node"])
 
     read = id_and_text(docs)
-    return read.join(wanted, same_row(read, wanted, "_id", "_hash")).select("node", "text").mapInArrow(run, "key long, node long")
+    return read.join(wanted, same_row(read, wanted, "_id", "_hash")).select("node", "text").mapInArrow(run, "node long, size long, class long, own long, next long" if counted else "key long, node long")
 
 
 def _paired(most: int | None):
@@ -240,20 +260,46 @@ def _paired(most: int | None):
     return run
 
 
-def exact_links(docs: DataFrame, nodes: DataFrame, list_limit: int = LIST_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All links (u, v) between the texts ``nodes`` (node, k, order), with what ``_settled`` asks of their ends: (node, k), k being their order, and their sets."""
+def _enough(a: Column, b: Column, shared: Column) -> Column:
+    """Whether two texts, rows of ``signatures`` counted, share as many postings as alike ones must; a posting may be counted twice."""
+    apart = F.floor((a["size"] + b["size"]) * F.lit((1 - LEAST) / (1 + LEAST)) + F.lit(1e-9))
+    least = lambda x, y: F.greatest(F.least(a[x], b[y]) - apart, F.lit(0))
+    needed = (
+        F.when(a["class"] == b["class"], least("own", "own") + least("next", "next"))
+        .when(a["class"] + 1 == b["class"], least("next", "own"))
+        .when(b["class"] + 1 == a["class"], least("own", "next"))
+    )  # null of others, which cannot be alike
+    return (F.least(a["size"], b["size"]) >= F.lit(LEAST) * F.greatest(a["size"], b["size"]) - F.lit(1e-9)) & (shared >= needed)
+
+
+def _fitting(docs: DataFrame, rows: DataFrame, pairs: DataFrame, put) -> DataFrame:
+    """Of the pairs (u, v, shared) of rows (node, _id, _hash), those that share enough postings; either node may be hot."""
+    asked = [pairs.groupBy(F.col(x).alias("node")).agg(F.count(F.lit(1)).alias("n")) for x in ("u", "v")]
+    ends = asked[0].select("node").union(asked[1].select("node")).distinct()
+    sizes, total = put(signatures(docs, put(rows.join(ends, "node"), "ends"), counted=True), "sizes"), pairs.count()
+    told = F.struct("size", "class", "own", "next")
+    for node, name, n in (("u", "a", asked[0]), ("v", "b", asked[1])):
+        table = sizes.dropDuplicates(["node"]).join(n, "node").select(F.col("node").alias(node), told.alias(name), "n")
+        pairs = put(spread_join(pairs, put(table, "told"), [node], "n", total), "fitting")
+    return pairs.filter(_enough(F.col("a"), F.col("b"), F.col("shared"))).select("u", "v")
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, list_limit: int = LIST_LIMIT, put=written) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links (u, v) between the texts ``nodes`` (node, k, order), with what ``_settled`` asks of their ends: (node, k), k being their order, and their sets.
+
+    All three are tables that ``put`` has written.
+    """
     rows = nodes.select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("order").alias("k"))
     index = signatures(docs, rows.drop("k")).repartition("key").sortWithinPartitions("key", "node")
-    met = written(index.mapInArrow(_paired(LONG), "u long, v long, long boolean"), "met-exact")
-    del index
-    free_shuffles(docs.sparkSession)
+    met = put(index.mapInArrow(_paired(LONG), "u long, v long, long boolean"), "met-exact")
     dealt = dealt_lists(met.filter("long").select(F.col("u").alias("key"), F.col("v").alias("node")), ["node"], list_limit, stay=True)
     pairs = met.filter("not long").union(dealt.mapInArrow(_paired(None), "u long, v long, long boolean"))
-    pairs = written(pairs.filter("u <> v").select("u", "v").distinct(), "pairs")
+    pairs = put(pairs.filter("u <> v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared")), "met")
+    pairs = put(_fitting(docs, rows.drop("k"), pairs, put), "pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = written(rows.join(ends, "node"), "wanted")
-    sets = written(shingle_sets(docs, wanted.drop("k")), "shingles")
-    return written(alike(pairs, sets, "u", "v"), "links"), wanted.select("node", "k"), sets
+    wanted = put(rows.join(ends, "node"), "wanted")
+    sets = put(shingle_sets(docs, wanted.drop("k")), "shingles")
+    return alike(pairs, sets, "u", "v"), wanted.select("node", "k"), sets
 
 
 def _settled(linked: DataFrame, wanted: DataFrame, sets: DataFrame, heads: int) -> tuple[DataFrame, DataFrame]:
@@ -271,7 +317,7 @@ def _settled(linked: DataFrame, wanted: DataFrame, sets: DataFrame, heads: int)
     earlier = F.filter("heads", lambda h: (h["k"] < F.col("k")) | ((h["k"] == F.col("k")) & (h["node"] < F.col("node"))))
     own = F.get(F.filter("heads", lambda h: h["node"] == F.col("node")), F.lit(0))["i"]
     asked = each.select("root", "node", own.alias("own"), F.explode(earlier).alias("h")).select("root", "node", "own", F.col("h.i").alias("i"), F.col("h.node").alias("head"))
-    found = written(alike(written(asked, "asked"), sets, "node", "head"), "alike")
+    found = alike(written(asked, "asked"), sets, "node", "head")
     # of the heads those that are like an earlier one that stays go
     none = F.array().cast("array<int>")
     step = lambda out, p: F.when(~F.array_contains(out, p["i"]) & ~F.array_contains(out, p["own"]), F.concat(out, F.array(p["own"]))).otherwise(out)
@@ -299,37 +345,43 @@ def _all_settled(linked: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataF
 
 def gone_by_prints(docs: DataFrame, prints: DataFrame, first: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """(node, head): what fingerprints find of the texts that are as similar as asked to one that stays; ``first`` has (node, k) of ``first_rows``."""
-    met = written(met_links(prints, list_limit), "met")
+    met = met_links(prints, list_limit)
     ends = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = written(first.join(ends, "node").select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), "k"), "wanted")
-    sets = written(shingle_sets(docs, wanted.drop("k")), "shingles")
-    return _all_settled(written(alike(met, sets, "u", "v"), "links"), wanted, sets)
+    with scratch(docs.sparkSession) as put:
+        wanted = put(first.join(ends, "node").select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), "k"), "wanted")
+        sets = put(shingle_sets(docs, wanted.drop("k")), "shingles")
+        return written(_all_settled(alike(met, sets, "u", "v"), wanted, sets), "gone")
+
+
+def gone_by_all(docs: DataFrame, nodes: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """(node, head): what the exact join finds of the texts ``nodes`` (node, k, order) that are as similar as asked to one that stays."""
+    with scratch(docs.sparkSession) as put:
+        return written(_all_settled(*exact_links(docs, nodes, list_limit, put)), "gone")
 
 
 def gone_nodes(docs: DataFrame, prints: DataFrame, first: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """(node): all texts that are as similar as asked to a text that stays; no two that stay are."""
-    gone = written(gone_by_prints(docs, prints, first, list_limit), "gone")
-    free_shuffles(docs.sparkSession)
+    gone = gone_by_prints(docs, prints, first, list_limit)
     heads = gone.select(F.col("head").alias("node")).distinct().withColumn("has", F.lit(True))
     kept = first.join(gone, "node", "left_anti").join(heads, "node", "left")
     kept = written(kept.select("node", "k", F.struct(F.col("has").isNull().alias("alone"), "k").alias("order")), "kept")  # a text that others went for stays first
-    later = written(_all_settled(*exact_links(docs, kept, list_limit)), "gone")
+    later = gone_by_all(docs, kept, list_limit)
     left = gone.join(later.select(F.col("node").alias("head")), "head", "left_semi").select("node")
     orphans = written(first.join(left, "node"), "orphans")
     if orphans.isEmpty():
         return gone.union(later).select("node")
     stay = kept.join(later, "node", "left_anti")
     pool = stay.select("node", "k", F.lit(False).alias("again")).union(orphans.select("node", "k", F.lit(True)))
-    last = _all_settled(*exact_links(docs, pool.select("node", "k", F.struct("again", "k").alias("order")), list_limit))
+    last = gone_by_all(docs, pool.select("node", "k", F.struct("again", "k").alias("order")), list_limit)
     return gone.join(orphans, "node", "left_anti").select("node").union(later.select("node")).union(last.select("node"))
 
 
 def one_of_each_similar(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """The documents, all columns, without those that are near-duplicates of one that stays; one row of each text stays."""
-    fps = written(fingerprints(docs, RULE), "fingerprints")
-    first = written(first_rows(fps), "first-rows")
-    prints = written(fps.select("node", *[f"f{k}" for k in range(WORDS)]).distinct(), "distinct")
-    gone = written(gone_nodes(docs, prints, first, list_limit), "gone")
-    free_shuffles(docs.sparkSession)
-    kept = first.join(gone, "node", "left_anti")
-    return chosen_rows(docs, fps, kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))
+    with brief_shuffles(docs.sparkSession):
+        fps = written(fingerprints(docs, RULE), "fingerprints")
+        first = written(first_rows(fps), "first-rows")
+        prints = written(fps.select("node", *[f"f{k}" for k in range(WORDS)]).distinct(), "distinct")
+        gone = written(gone_nodes(docs, prints, first, list_limit), "gone")
+        kept = first.join(gone, "node", "left_anti")
+        return chosen_rows(docs, fps, kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))

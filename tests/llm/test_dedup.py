@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from crewlens.llm import decontaminate, lines, similar, simhash, substrings, texts
+from crewlens.llm import decontaminate, lines, shared, similar, simhash, substrings, texts
 
 from . import plain
 
@@ -214,6 +216,43 @@ def test_alike_sets_share_a_posting():
             assert keys[0] & keys[1], (n, gone, added)
 
 
+def test_alike_sets_share_enough_postings(spark):
+    """By construction, as above: of no pair at the limit are fewer postings shared than are asked for."""
+    rng, rows = np.random.default_rng(3), []
+    for n in [*range(1, 60), 100, 333, 1000]:
+        for gone in range(n + 1):
+            added = int((n - gone) / similar.LEAST + 1e-9) - n
+            if added < 0:
+                break
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            sets = a, np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, added, dtype=np.uint64)]))
+            told, keys = [], []
+            for x in sets:
+                size = np.array([len(x)])
+                by = [set(similar._posted(x, size, up)[0].tolist()) for up in (0, 1)]
+                told.append((len(x), int(similar._classes(size)[0]), len(by[0]), len(by[1])))
+                keys.append(by[0] | by[1])
+            rows.append((*told, len(keys[0] & keys[1])))
+    told = "struct<size:long,class:long,own:long,next:long>"
+    made = spark.createDataFrame(rows, f"a {told}, b {told}, shared long")
+    assert made.filter(similar._enough(F.col("a"), F.col("b"), F.col("shared"))).count() == len(rows)
+
+
+def test_few_shared_postings_are_not_compared(frame, monkeypatch):
+    """Unlike texts with a long passage in common are not sent to the comparison; alike ones are."""
+    rng = random.Random(8)
+    word = lambda: f"u{rng.randint(0, 50000)}"
+    passage = " ".join(word() for _ in range(60))
+    rows = [(k, " ".join([passage, *(word() for _ in range(200))])) for k in range(12)]
+    rows.append((100, rows[3][1] + " more"))
+    docs, asked = frame(rows), []
+    compared = similar.alike
+    monkeypatch.setattr(similar, "alike", lambda pairs, *x: asked.append(pairs.count()) or compared(pairs, *x))
+    first = similar.first_rows(similar.fingerprints(docs, similar.RULE))
+    links, _, _ = similar.exact_links(docs, first.select("node", "k", F.col("k").alias("order")))
+    assert links.count() == 1 and asked == [1]
+
+
 def test_links_of_long_lists(frame, monkeypatch):
     monkeypatch.setattr(similar, "LONG", 4)
     many = [f"m{j}" for j in range(150)]
@@ -223,6 +262,29 @@ def test_links_of_long_lists(frame, monkeypatch):
     assert links.count() == 40 * 39 // 2
 
 
+def test_similar_leaves_no_shuffles_and_no_large_tables(spark, frame, awkward):
+    """Shuffle files go with the action that made them, and tables of sets and pairs once they are replaced."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folder = Path(shared.shared_folder(spark).removeprefix("file:"))
+
+    def held():
+        found = disk.getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}, {p.name for p in folder.iterdir()}
+
+    setting = spark.conf.get(shared.CLEANUP)
+    before = held()
+    kept = similar.one_of_each_similar(frame(awkward + [(2000 + k, t) for k in range(20) for t in edited(random.Random(k), 60, 1)]))
+    for _ in range(50):  # files are deleted in the background
+        shuffles, tables = (b - a for a, b in zip(before, held(), strict=True))
+        if not shuffles:
+            break
+        time.sleep(0.1)
+    assert not shuffles
+    assert not {t for t in tables if t.split("-")[0] in ("half", "sets", "shingles", "met", "pairs", "left", "right")}
+    assert spark.conf.get(shared.CLEANUP) == setting
+    assert 20 <= sum(r.doc_id is not None and r.doc_id >= 2000 for r in kept.collect()) < 40
+
+
 @pytest.fixture(scope="module")
 def leaks():
     rng = random.Random(9)
