@@ -8,8 +8,10 @@ Model: the most frequent tokens, as many as the root of the number of training t
 others as one of ``tails`` groups by a hash of their last two bytes.  Leaves and tails, in order of frequency, lie in classes of about
 the root of their number.  A log-bilinear network predicts from the two tokens before (position-wise weights times
 their vectors, summed) a token's class, and the token within the class, each as products with output vectors plus a
-bias.  Both parts are trained in numpy by noise-contrastive estimation on positions drawn from all training documents by hash,
-``DRAWS`` of them and ``DRAWS_A_LEAF`` for each leaf.  Scoring normalises both parts with batched matrix products over the
+bias.  Both parts are trained by noise-contrastive estimation on all training positions.  A start is trained on the driver, on positions drawn by
+hash, ``DRAWS`` of them and ``DRAWS_A_LEAF`` for each leaf.  From there ``shards`` tasks go on side by side, each over the other positions of
+the documents that a hash deals to it, in the order of that hash; then Spark averages each row of the weights over the tasks, by how often they
+moved it.  So every position is learned from, and neither files nor cores change the model.  Scoring normalises both parts with batched matrix products over the
 distinct contexts of a batch.
 
 P(token | context) = (1 - p0) P(class | context) P(leaf | class, context), for a leaf of a tail times p(token) / sum of p over the
@@ -22,6 +24,7 @@ whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +43,9 @@ DRAWS_A_LEAF = 64
 DIM = 24
 NOISE = 64
 NOISE_IN_CLASS = 6
+#: Of tasks that go on: positions of one, at least, and how many there are, at most; positions at a time and of a step; rows of weights sent as one.
+SHARD, MOST_SHARDS = 1 << 22, 256
+HELD, STEP, BLOCK = 1 << 18, 1 << 13, 256
 TAIL_HASHES = 1 << 16
 END = "\n"  # no word holds a line break
 END_HASH = string_hashes(pa.array([END]))[0]
@@ -147,17 +153,26 @@ def summed(counts: DataFrame, common: int = COMMON) -> Corpus:
     return Corpus(total, distinct, h.view(np.uint64)[order], n[order], rank[order], leaves, tails, (held[0] + ADD * held[1]) / below)
 
 
+def _bound(rate: float) -> np.uint64:
+    return np.uint64(min(int(rate * 2.0**64), (1 << 64) - 1))
+
+
+def _position_hashes(seed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each token of texts with these seeds; positions up to a bound are drawn."""
+    size = np.diff(offsets)
+    with np.errstate(over="ignore"):
+        return mix64(np.repeat(seed, size) + np.arange(size.sum()).astype(np.uint64) - np.repeat(offsets[:-1], size).astype(np.uint64))
+
+
 def drawn(docs: DataFrame, corpus, names: int, rate: float) -> np.ndarray:
     """(two before, one before, leaf) at a share ``rate`` of the training positions, chosen by hash of text and place."""
-    bound = np.uint64(min(int(rate * 2.0**64), (1 << 64) - 1))
+    bound = _bound(rate)
 
     def run(batches):
         for batch in slices(batches):
             t = _Tokens(one_array(batch.column("text")))
             two, one, own = t.contexts(corpus.value.look_up(t)[1], names)
-            seed = string_hashes(one_array(batch.column("text")), 5)
-            with np.errstate(over="ignore"):
-                h = mix64(t.of_rows(seed) + np.arange(len(own)).astype(np.uint64) - t.of_rows(t.offsets[:-1]).astype(np.uint64))
+            h = _position_hashes(string_hashes(one_array(batch.column("text")), 5), t.offsets)
             at = np.flatnonzero((h <= bound) & ~t.of_rows(np.asarray(batch.column("held"), dtype=bool)))
             code = (two[at] * (names + 1) + one[at]) * names + own[at]
             yield pa.RecordBatch.from_arrays([pa.array(code)], ["code"])
@@ -233,8 +248,69 @@ class Network:
             g = np.stack([(dh * w["in"][two]).sum(0), (dh * w["in"][one]).sum(0)])
             step("in", np.concatenate([two, one]), np.concatenate([dh * near[0], dh * near[1]]))
             step("near", np.arange(2), g)
+        self.grown, self.seen = grown, drawn.shape[1]
         return self
 
+    def go_on(self, parts, seed: int, rate: float = 0.2) -> dict[str, np.ndarray]:
+        """Trains further on ``parts``, arrays (two before, one before, leaf) of one step each; returns how often each row moved.
+
+        Noise of classes is that of a step, noise in a class that of its tokens of a step.
+        """
+        rng, w, n = np.random.default_rng(seed), self.w, len(self.share)
+        moved = {k: np.zeros(len(v), np.float32) for k, v in w.items()}
+        ends = np.cumsum(self.share)
+        start = np.concatenate([[0.0], ends])[np.arange(self.classes) * self.width]
+        class_ends, log_class = np.cumsum(self.class_share), np.log(NOISE * self.class_share).astype(np.float32)
+        low = np.arange(self.classes)[:, None] * self.width
+        log_in = np.log(NOISE * self.share / np.repeat(self.class_share, self.width)[:n]).astype(np.float32)
+
+        def step(name: str, rows: np.ndarray, g: np.ndarray) -> None:
+            self.grown[name][rows] += g * g
+            w[name][rows] -= rate * g / np.sqrt(self.grown[name][rows])
+            moved[name][rows] += 1
+
+        def summed_by(at: np.ndarray, *grads: np.ndarray):
+            order = np.argsort(at, kind="stable")
+            rows = at[order]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            return rows[first], *(np.add.reduceat(g[order], first, axis=0) for g in grads)
+
+        for two, one, leaf in parts:
+            order = np.argsort(leaf, kind="stable")
+            two, one, leaf = two[order], one[order], leaf[order]
+            own, unit = leaf // self.width, np.float32(1 / 512)  # a row that moves once moves as far as in a batch of ``train``
+            a, b, near = w["in"][two], w["in"][one], w["near"].copy()
+            h = a * near[0] + b * near[1]
+            k = np.minimum(np.searchsorted(class_ends, rng.random(NOISE) * class_ends[-1], side="right"), self.classes - 1)
+            v = w["class"][own]
+            dt = (_sigmoid(np.einsum("bd,bd->b", h, v) + w["class_bias"][own, 0] - log_class[own]) - 1)[:, None] * unit
+            df = _sigmoid(h @ w["class"][k].T + (w["class_bias"][k, 0] - log_class[k])) * unit
+            dh = dt * v + df @ w["class"][k]
+            v = w["leaf"][leaf]
+            dl = (_sigmoid(np.einsum("bd,bd->b", h, v) + w["leaf_bias"][leaf, 0] - log_in[leaf]) - 1)[:, None] * unit
+            dh += dl * v
+            noise = np.searchsorted(ends, start[:, None] + rng.random((self.classes, NOISE)) * self.class_share[:, None], side="right")
+            noise = np.clip(noise, low, np.minimum(low + self.width, n) - 1)
+            cuts = np.searchsorted(own, np.arange(self.classes + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            false, false_bias = np.empty((len(some), NOISE, DIM), np.float32), np.empty((len(some), NOISE), np.float32)
+            for i, c in enumerate(some.tolist()):
+                s, x = slice(int(cuts[c]), int(cuts[c + 1])), noise[c]
+                e = _sigmoid(h[s] @ w["leaf"][x].T + (w["leaf_bias"][x, 0] - log_in[x])) * unit
+                dh[s] += e @ w["leaf"][x]
+                false[i], false_bias[i] = e.T @ h[s], e.sum(0)
+            at, g, g_bias = summed_by(np.concatenate([own, k]), np.concatenate([dt * h, df.T @ h]), np.concatenate([dt, df.sum(0)[:, None]]))
+            step("class", at, g)
+            step("class_bias", at, g_bias)
+            at = np.concatenate([leaf, noise[some].ravel()])
+            at, g, g_bias = summed_by(at, np.concatenate([dl * h, false.reshape(-1, DIM)]), np.concatenate([dl, false_bias.reshape(-1, 1)]))
+            step("leaf", at, g)
+            step("leaf_bias", at, g_bias)
+            step("in", *summed_by(np.concatenate([two, one]), np.concatenate([dh * near[0], dh * near[1]])))
+            step("near", np.arange(2), np.stack([np.einsum("bd,bd->d", dh, a), np.einsum("bd,bd->d", dh, b)]))
+            self.seen += len(leaf)
+        return moved
+
     def log10(self, two: np.ndarray, one: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Normalised log10 P(leaf | two before, one before) of each row."""
         n = len(self.share)
@@ -262,6 +338,92 @@ class Network:
         return out.astype(float) / np.log(10)
 
 
+def _left(corpus, names: int):
+    """(h, ids) of each training document: its hash, and its tokens' names."""
+
+    def run(batches):
+        for batch in slices(batches):
+            t = _Tokens(one_array(batch.column("text")))
+            ids = corpus.value.look_up(t)[1][t.codes].astype(np.uint16 if names < 1 << 16 else np.uint32)
+            seed = string_hashes(one_array(batch.column("text")), 5)
+            cut = [ids[a:b].tobytes() for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(cut, pa.binary())], ["h", "ids"])
+
+    return run
+
+
+def _steps(batches, names: int, rate: float):
+    """Positions that were not drawn, of documents in order, shuffled ``HELD`` at a time and cut into steps."""
+    rng, held, count = np.random.default_rng(13), [], 0
+
+    def cut(x):
+        x = x[:, rng.permutation(x.shape[1])]
+        return np.array_split(x, -(-x.shape[1] // STEP), axis=1)
+
+    for batch in batches:
+        for h, ids in zip(np.asarray(batch.column("h")).view(np.uint64), batch.column("ids"), strict=True):
+            own = np.frombuffer(ids.as_buffer(), np.uint16 if names < 1 << 16 else np.uint32).astype(np.int32)
+            before = np.concatenate([np.full(2, names, np.int32), own])
+            new = _position_hashes(np.array([h]), np.array([0, len(own)])) > _bound(rate)
+            held.append(np.stack([before[:-2], before[1:-1], own])[:, new])
+            count += held[-1].shape[1]
+            if count >= HELD:
+                x = np.concatenate(held, axis=1)
+                whole = x.shape[1] // HELD * HELD
+                for a in range(0, whole, HELD):
+                    yield from cut(x[:, a : a + HELD])
+                held, count = [x[:, whole:]], x.shape[1] - whole
+    if count:
+        yield from cut(np.concatenate(held, axis=1))
+
+
+def _shard(network, names: int, rate: float):
+    """(name, block, shard, rows, seen): a task's weights and growth, times how often each row moved, and that number."""
+
+    def run(batches):
+        shard, net = TaskContext.get().partitionId(), network.value
+        net = copy.deepcopy(net)  # the broadcast one is another task's as well
+        net.seen = 0
+        moved = net.go_on(_steps(batches, names, rate), 14 + shard)
+        if not net.seen:
+            return
+        for name, n in moved.items():
+            rows = np.concatenate([net.w[name] * n[:, None], net.grown[name] * n[:, None], n[:, None]], axis=1).astype(np.float32)
+            for a in range(0, len(rows), BLOCK):
+                if n[a : a + BLOCK].any():
+                    yield pa.RecordBatch.from_pylist([{"name": name, "block": a, "shard": shard, "rows": rows[a : a + BLOCK].tobytes(), "seen": net.seen}])
+
+    return run
+
+
+def _sum_of_shards(table: pa.Table) -> pa.Table:
+    """One block's rows, summed in the order of shards, so that sums are always the same."""
+    table = table.sort_by("shard")
+    rows = sum(np.frombuffer(x.as_buffer(), np.float32).astype(float) for x in table.column("rows"))
+    return pa.table({"name": table.column("name")[:1], "block": table.column("block")[:1], "rows": pa.array([rows.tobytes()], pa.binary()), "seen": pa.array([sum(table.column("seen").to_pylist())])})
+
+
+def trained(docs: DataFrame, corpus, rate: float) -> Network:
+    """The network of the drawn positions, trained further on all others."""
+    c = corpus.value
+    net = Network(c.share).train(drawn(docs, corpus, c.names, rate))
+    if rate >= 1:
+        return net
+    context = docs.sparkSession.sparkContext
+    shards = min(MOST_SHARDS, -(-c.total // SHARD))
+    left = docs.filter("not held").select("text").mapInArrow(_left(corpus, c.names), "h long, ids binary")
+    dealt = left.repartition(shards, "h").sortWithinPartitions("h", "ids")
+    each = dealt.mapInArrow(_shard(context.broadcast(net), c.names, rate), "name string, block long, shard long, rows binary, seen long")
+    for r in each.groupBy("name", "block").applyInArrow(_sum_of_shards, "name string, block long, rows binary, seen long").toLocalIterator():
+        w, grown = net.w[r.name][r.block : r.block + BLOCK], net.grown[r.name][r.block : r.block + BLOCK]
+        rows = np.frombuffer(r.rows).reshape(len(w), -1)
+        n, d = rows[:, -1:], w.shape[1]
+        w[:], grown[:] = (np.where(n > 0, rows[:, a : a + d] / np.maximum(n, 1), old) for a, old in ((0, w), (d, grown)))
+        if r.name == "near":
+            net.seen += r.seen
+    return net
+
+
 RARE = pa.struct([("h", pa.int64()), ("n", pa.int64()), ("more", pa.float64())])
 SCORED = "row long, doc_id long, held boolean, n_tokens long, n_known long, base double, model double, rare array<struct<h:long,n:long,more:double>>"
 
@@ -324,7 +486,9 @@ def lm_scores(docs: DataFrame, held_out: Column, common: int = COMMON) -> DataFr
     shared, network = context.broadcast(corpus), None
     if corpus.leaves:
         rate = (DRAWS + DRAWS_A_LEAF * corpus.leaves) / corpus.total
-        network = context.broadcast(Network(corpus.share).train(drawn(read, shared, corpus.names, rate)))
+        net = trained(read, shared, rate)
+        del net.grown
+        network = context.broadcast(net)
     rows = written(read.mapInArrow(_scored(shared, network), SCORED), "scored")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.*")
     log = lambda c: F.log10((c + F.lit(ADD)) / F.lit(corpus.below))

@@ -153,6 +153,29 @@ def test_network_is_normalised_and_learns():
     assert net.log10(*drawn).mean() > -0.3
 
 
+def test_network_learns_from_all_positions(frame, monkeypatch):
+    """Where the draw is only a part, the network goes on over all others, in several tasks, however the rows lie."""
+    for name, value in (("DRAWS", 300), ("DRAWS_A_LEAF", 1), ("SHARD", 4000), ("HELD", 512), ("STEP", 128)):
+        monkeypatch.setattr(language_model, name, value)
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(["one two three four", "five six seven eight", "nine ten six two"]) for _ in range(25))
+    docs = frame([(k, text()) for k in range(120)] + [(500, None), (501, ""), (502, "one")])
+    held = labelled.fold(F.col("doc_id"), 10) == 0
+    read = language_model.id_and_text(docs).withColumn("held", held)
+    corpus = language_model.summed(language_model.count_tokens(read))
+    rate = (language_model.DRAWS + language_model.DRAWS_A_LEAF * corpus.leaves) / corpus.total
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
+    part = language_model.drawn(read, shared, corpus.names, rate)
+    start = language_model.Network(corpus.share).train(part)
+    assert part.shape[1] < corpus.total / 10 and corpus.total > 2 * language_model.SHARD
+    net = language_model.trained(read, shared, rate)
+    assert net.seen == corpus.total
+    everything = language_model.drawn(read, shared, corpus.names, 1.0)
+    assert net.log10(*everything).mean() > start.log10(*everything).mean() + 0.05
+    scores = [{r.doc_id: r.score for r in language_model.lm_scores(x, held).collect()} for x in (docs, docs.repartition(7, "text"))]
+    assert max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-6
+
+
 def test_scores_against_a_plain_version(frame, awkward):
     """The model's probability of each token, one at a time and from dense softmax, with all and with few common tokens."""
     rng = random.Random(5)
