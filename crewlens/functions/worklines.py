@@ -13,6 +13,21 @@ from . import text as t
 from .arrays import let
 from .dates import full_year, months_inclusive, valid_span
 
+
+def any_word(words: str) -> str:
+    """The pattern of the same words that tries a letter once for all words that begin with it, and first of all their first letters."""
+
+    def node(rest: list[str]) -> str:
+        groups: dict[str, list[str]] = {}
+        for w in rest:
+            groups.setdefault(w[:1] if w[:1].isalpha() else w, []).append(w)
+        parts = [same[0] if len(same) == 1 else first + node([w[1:] for w in same]) for first, same in groups.items()]
+        return f"(?:{'|'.join(parts)})"
+
+    own = list(dict.fromkeys(words.split("|")))
+    return f"(?=[{''.join(sorted({w[0] for w in own}))}]){node(own)}"
+
+
 # Months, words for a job that still runs, and the forms of a date, the more exact ones first.
 MONTH = r"(?:jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|sept|september|oct|october|nov|november|dec|december)"
 PRESENT = r"(?:present|current|currently|now|today|ongoing|till date|till now|till-date|tilldate)"
@@ -28,7 +43,11 @@ DATE_FORMS = (
     r"\d{1,2}\.\d{2,4}",
     r"\d{4}",
 )
-DATE = f"(?:{'|'.join(DATE_FORMS)})"
+# a form begins with a digit or a month; those of one beginning stay in order, and most places of a text begin none
+_OF_MONTHS = [x for x in DATE_FORMS if x.startswith(MONTH)]
+_OF_DIGITS = [x for x in DATE_FORMS if not x.startswith(MONTH)]
+MONTH_BEGINS = r"(?=[jfmasond])(?=j(?:an|u[nl])|feb|ma[ry]|a(?:pr|ug)|sep|oct|nov|dec)"
+DATE = rf"(?:(?=\d)(?:{'|'.join(_OF_DIGITS)})|{MONTH_BEGINS}(?:{'|'.join(_OF_MONTHS)}))"
 FISCAL = r"(?:FY|AY)\s*\d{4}(?:[-/]\d{2,4})?"
 # Words of roles, what may stand before them in a title, companies, skills, certificates, actions and places.
 ROLE_WORDS = "engineer|developer|manager|lead|analyst|consultant|architect|specialist|administrator|designer|executive|director|officer|associate|scientist|recruiter|sales|product|qa|tester|intern|teacher|partner|coordinator"
@@ -52,17 +71,21 @@ OTHER_SECTIONS = (
 )
 INTERN_WORDS = "intern|internship|trainee|apprentice"
 
-HAS_ROLE = rf"(?i)\b(?:{ROLE_WORDS})\b"
-HAS_COMPANY = rf"(?i)\b(?:{COMPANY_WORDS})\b"
-TITLE = rf"(?i)\b((?:(?:{TITLE_HEADS})\s+){{0,4}}(?:{TITLE_WORDS}))\b"
-LEADING = rf"(?i)^((?:(?:{LEADING_HEADS})\s+){{0,5}}(?:{LEADING_WORDS}))\b"
-TOLD_ROLE = rf"(?i)\b(?:{TOLD_BEFORE})\s+(?:an?\s+)?([A-Za-z][A-Za-z/&\-\s]{{1,80}}?(?:{TITLE_WORDS}))\b"
+HAS_ROLE = rf"(?i)\b{any_word(ROLE_WORDS)}\b"
+HAS_COMPANY = rf"(?i)\b{any_word(COMPANY_WORDS)}\b"
+HAS_ACTION = rf"(?i)\b{any_word(ACTION_WORDS)}\b"
+HAS_NO_COMPANY = rf"(?i)\b{any_word(NO_COMPANY_WORDS)}\b"
+HAS_TITLE = rf"(?i)\b{any_word(TITLE_WORDS)}\b"
+TITLE = rf"(?i)\b((?:{any_word(TITLE_HEADS)}\s+){{0,4}}{any_word(TITLE_WORDS)})\b"
+LEADING = rf"(?i)^((?:{any_word(LEADING_HEADS)}\s+){{0,5}}{any_word(LEADING_WORDS)})\b"
+TOLD_ROLE = rf"(?i)\b(?=[iwjsrp])(?:{TOLD_BEFORE})\s+(?:an?\s+)?([A-Za-z][A-Za-z/&\-\s]{{1,80}}?(?:{TITLE_WORDS}))\b"
 PLACE_TAIL = r"\s+-\s+[A-Z][A-Za-z.\s]+(?:,\s*[A-Z][A-Za-z.\s]+)?(?:\s*/\s*Remote)?$"
 NAME = r"^[A-Z][A-Za-z0-9&.'-]{2,}$"
 BULLET = r"^\s*[\x{2022}\x{25AA}\x{25E6}\x{25CF}\x{B7}\-*]+\s*"
 RANGE = rf"(?i)({DATE})\s*(?:-|–|—|to|until|through)\s*({PRESENT}|{DATE})"
 WIDER = rf"(?i)({DATE}|{FISCAL})\s*(?:-|–|—|to|till|until|through|~)\s*({STILL}|{DATE}|{FISCAL})"
 SENTENCE = rf"(?i)\b(?:worked\s+from|from|joined|starting|started)\s+({DATE})\b(?:.*?\b(?:to|till|until|through)\b\s+({STILL}|{DATE}))?"
+TOLD_FROM = r"(?i)\b(?=[wfjs])(?:worked\s+from|from|joined|starting|started)\s+"
 DATE_LIKE = rf"(?i)\b(?:{DATE}|{FISCAL}|{STILL})\b"
 #: Wordings of ranges, and what they become; in this order.
 REWRITES = (
@@ -77,19 +100,26 @@ REWRITES = (
     (rf"(?i)({DATE}|{PRESENT})\s+\?\s+({DATE}|{PRESENT})", "$1 - $2"),
     (r"\s+\?\s+", " | "),
 )
+#: Those that may fit a line without a digit; the last two only one with a question mark.
+UNDATED = (REWRITES[1], REWRITES[2], REWRITES[8], REWRITES[9])
 
 
 def work_line(c: Column) -> Column:
     """A line with plain dashes and single blanks, ranges in one wording, and no number, bar or hyphen at its ends."""
-    c = F.translate(c, "‐‑‒–—―·", "------|")
-    # most lines have neither a digit nor a wording of a date
-    c = F.when(c.rlike(r"(?i)\d| \? |\b(?:date|now|continuing|from)\b|till"), _rewritten(c)).otherwise(c)
-    c = F.regexp_replace(F.regexp_replace(c, rf"[{t.BLANK}]+", " "), r"^[ |\-]+|[ |\-]+\z", "")
+
+    def reworded(x: Column) -> Column:
+        # most lines have neither a digit nor a wording of a date
+        some = x.rlike(r"(?i)(?=[\d dncft])(?:\d| \? |\b(?:date|now|continuing|from)\b|till)")
+        return F.when(~some, x).when(x.rlike(r"\d"), _rewritten(x, REWRITES)).when(x.contains("?"), _rewritten(x, UNDATED)).otherwise(_rewritten(x, UNDATED[:2]))
+
+    c = let(F.when(~c.rlike("[‐‑‒–—―·]"), c).otherwise(F.translate(c, "‐‑‒–—―·", "------|")), reworded)
+    # a blank between two words stays as it is
+    c = F.btrim(F.regexp_replace(c, rf"[{t.BLANK}&&[^ ]][{t.BLANK}]*| [{t.BLANK}]+", " "), F.lit(" |-"))
     return F.trim(F.regexp_replace(c, r"^(?:\d{1,2}\)|\d{1,2}\.\s+)", ""))
 
 
-def _rewritten(c: Column) -> Column:
-    for pattern, to in REWRITES:
+def _rewritten(c: Column, wordings: tuple) -> Column:
+    for pattern, to in wordings:
         c = F.regexp_replace(c, pattern, to)
     return c
 
@@ -159,6 +189,7 @@ def _found(c: Column, pattern: str, k: int) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(k))
 
 
+NO_PAIRS = "array<struct<a:string,b:string>>"
 NO_SPANS = "array<struct<start:date,end:date,current:boolean>>"
 
 
@@ -172,22 +203,34 @@ def wider_spans(line: Column, today: Column) -> Column:
     """The same with fiscal years, sentences (``joined 2010 ... until 2012``, else still running) and a span of years alone; each once."""
 
     def all_of(c: Column) -> Column:
-        told_end = F.transform(_found(c, SENTENCE, 2), lambda y: F.when(y == "", "Present").otherwise(y))
+        ends = F.transform(_found(c, SENTENCE, 2), lambda y: F.when(y == "", "Present").otherwise(y))
+        ranges = let(_found(c, WIDER, 1), lambda a: F.when(F.size(a) > 0, _pairs(a, _found(c, WIDER, 2))).otherwise(F.array().cast(NO_PAIRS)))
+        told = F.when(c.rlike(TOLD_FROM), _pairs(_found(c, SENTENCE, 1), ends)).otherwise(F.array().cast(NO_PAIRS))
         alone = c.rlike(r"(?i)^(?:(?:FY|AY)\s*[- ]?\d{4}(?:\s*[-/]\s*\d{2,4})?|\d{4}\s*[-/]\s*\d{2,4})$")
         own = F.filter(F.array(F.when(alone, c)), lambda x: x.isNotNull())
-        pairs = F.concat(_pairs(_found(c, WIDER, 1), _found(c, WIDER, 2)), _pairs(_found(c, SENTENCE, 1), told_end), _pairs(own, own))
+        pairs = F.concat(ranges, told, _pairs(own, own))
         return F.array_distinct(_spans(pairs, today))
 
     return F.when(line.rlike(r"\d"), let(line, all_of)).otherwise(F.array().cast(NO_SPANS))
 
 
 def without_dates(line: Column) -> Column:
-    return trimmed(F.regexp_replace(line, RANGE, ""))
+    # a range has a digit
+    return trimmed(F.when(line.rlike(r"\d"), F.regexp_replace(line, RANGE, "")).otherwise(line))
+
+
+def has_range(line: Column) -> Column:
+    return line.rlike(r"\d") & line.rlike(RANGE)
+
+
+def title_of(c: Column) -> Column:
+    """The first title in a text; empty without one."""
+    return F.when(~c.rlike(HAS_TITLE), "").otherwise(F.regexp_extract(c, TITLE, 1))
 
 
 def trimmed(c: Column) -> Column:
     """Without blanks, bars, hyphens, commas and colons at the ends."""
-    return F.regexp_replace(c, r"^[ |\-,:]+|[ |\-,:]+\z", "")
+    return F.btrim(c, F.lit(" |-,:"))
 
 
 def first_of(*readings: Column) -> Column:
@@ -197,19 +240,19 @@ def first_of(*readings: Column) -> Column:
 
 def is_company(c: Column) -> Column:
     """Whether a text may be a company's name: a company word, or two capitalised words and more."""
-    out = c.rlike(rf"(?i)\b(?:{ACTION_WORDS})\b") | c.rlike(HAS_ROLE) | c.contains(",") | c.rlike(rf"(?i)\b(?:{NO_COMPANY_WORDS})\b")
-    capital = (F.size(F.split(c, " ")) >= 2) & ~c.rlike(r"(?:^| )\p{Ll}")
-    return (F.coalesce(c, F.lit("")) != "") & ~out & (c.rlike(HAS_COMPANY) | capital)
+    # what costs least is asked first
+    capital = c.contains(" ") & ~c.rlike(r"(?:^| )\p{Ll}")
+    return (F.coalesce(c, F.lit("")) != "") & ~c.contains(",") & (capital | c.rlike(HAS_COMPANY)) & ~c.rlike(HAS_ROLE) & ~c.rlike(HAS_ACTION) & ~c.rlike(HAS_NO_COMPANY)
 
 
 def clean_company(c: Column) -> Column:
     """A company's name without connecting words, the first title in it, years in brackets and places; null if nothing stays."""
     c = F.regexp_replace(c, r"(?i)^(?:worked|working|joined|serving)\s+", "")
     c = F.regexp_replace(c, r"(?i)\b(?:at|with|for)\b\s+", "")
-    c = let(c, lambda x: F.when(x.rlike(TITLE), F.replace(x, F.regexp_extract(x, TITLE, 1), F.lit(" "))).otherwise(x))
+    c = let(c, lambda x: F.when(x.rlike(HAS_TITLE), F.replace(x, F.regexp_extract(x, TITLE, 1), F.lit(" "))).otherwise(x))
     c = F.regexp_replace(c, r"(?i)\(\s*(?:\d{4}\s*(?:-|to)\s*(?:\d{4}|now|present)|digital agency)?\s*\)", "")
     c = F.regexp_replace(c, r"\s*-\s*[A-Z][A-Za-z.\s]+,\s*[A-Z][A-Za-z.\s]+$", "")
-    c = F.regexp_replace(c, rf"(?i)\b(?:{'|'.join(PLACES)})\b", "")
+    c = F.regexp_replace(c, rf"(?i)\b{any_word('|'.join(PLACES))}\b", "")
     return F.nullif(trimmed(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
 
 
@@ -231,11 +274,11 @@ def _first(xs: Column) -> Column:
 def right_of(line: Column, word: str) -> Column:
     """What follows the first ``word``; null without it."""
     pattern = rf"(?i)^.*?\b{word}\b(.*)$"
-    return F.when(F.lower(line).contains(f" {word} "), F.trim(F.regexp_extract(line, pattern, 1)))
+    return F.when(line.rlike(f"(?i) {word} "), F.trim(F.regexp_extract(line, pattern, 1)))
 
 
 def left_of(line: Column, word: str) -> Column:
-    return F.when(F.lower(line).contains(f" {word} "), F.trim(F.regexp_extract(line, rf"(?i)^(.*?)\b{word}\b.*$", 1)))
+    return F.when(line.rlike(f"(?i) {word} "), F.trim(F.regexp_extract(line, rf"(?i)^(.*?)\b{word}\b.*$", 1)))
 
 
 def formed(c: Column) -> Column:
@@ -298,7 +341,7 @@ def near_company(line: Column, title: Column) -> Column:
 def is_skill(c: Column) -> Column:
     """Whether a text names a skill rather than a role; a single word does."""
     low = F.coalesce(c, F.lit(""))
-    return (F.size(F.split(low, " ")) < 2) | (low.rlike(rf"(?i)\b(?:{SKILL_WORDS})\b") & ~low.rlike(HAS_ROLE))
+    return (F.size(F.split(low, " ")) < 2) | (low.rlike(rf"(?i)\b{any_word(SKILL_WORDS)}\b") & ~low.rlike(HAS_ROLE))
 
 
 def near_role(line: Column, company: Column) -> Column:
@@ -309,7 +352,7 @@ def near_role(line: Column, company: Column) -> Column:
 
     def of_part(part: Column) -> Column:
         whole = F.when(part.rlike(HAS_ROLE) & ~is_skill(part) & ~part.rlike(HAS_COMPANY), part)
-        return F.when(~part.eqNullSafe(company), F.coalesce(good(F.regexp_extract(part, TITLE, 1)), whole))
+        return F.when(~part.eqNullSafe(company), F.coalesce(good(title_of(part)), whole))
 
     reading = F.coalesce(
         good(F.regexp_extract(line, LEADING, 1)),
@@ -317,7 +360,7 @@ def near_role(line: Column, company: Column) -> Column:
         before("in"),
         F.when(line.contains("|"), _first(F.transform(parts_of(line), of_part))),
         good(F.regexp_extract(line, TOLD_ROLE, 1)),
-        good(F.regexp_extract(line, TITLE, 1)),
+        good(title_of(line)),
         F.when(line.rlike(HAS_ROLE) & ~is_skill(line) & ~line.rlike(HAS_COMPANY) & few(6), line),
     )
     return F.when((line != "") & ~line.rlike(BULLET) & ~line.eqNullSafe(company), reading)

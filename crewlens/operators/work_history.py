@@ -1,8 +1,8 @@
 """Work history from free text: entries of blocks, entries of single lines, and the total that is drawn from both.
 
-Lines are rows, numbered within their résumé.  Lines that belong together (a block, or the lines around a date) form a group; readings of a
-line are columns, and the first that holds of a group is taken by windows over the group.  All windows and groupings of a layer have
-the résumé's key first, so a layer costs one exchange by that key, and a group is as long as a section at most.
+Lines are rows, numbered within their résumé.  Lines that belong together (a block, or the lines around a date) form a group, a list in one
+row; the first reading that holds is taken by a fold over the lines in order of trust, and those after it are not tried.  All windows
+and groupings of a layer have the résumé's key first, so a layer costs one exchange by that key, and a group is as long as a section at most.
 
 Defined cases: sections that are null or empty, and groups without a valid range of dates, give no entries; a résumé without entries has no
 row in the lists of entries and a row with zeros in the total; equal entries are one; ties go to the earlier line.
@@ -10,6 +10,8 @@ row in the lists of entries and a row with zeros in the total; equal entries are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,12 +19,13 @@ from pyspark.sql import functions as F
 from ..functions import history as h
 from ..functions import text as t
 from ..functions import worklines as wl
+from ..functions.arrays import let
 from ..functions.dates import duration_text, months_inclusive
 from ..functions.scoring import use_second_layer
 from .experience import block_numbers, distinct_entries
 
 MOST_MONTHS = 45 * 12
-HEADLINES, NEAR = 3, 2
+HEADLINES, NEAR, LABELS = 3, 2, 4
 
 
 def section_lines(sections: DataFrame, key: str, content: str) -> DataFrame:
@@ -32,19 +35,19 @@ def section_lines(sections: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def blocks(sections: DataFrame, key: str, content: str, today: Column) -> DataFrame:
-    """(key, part, place, line, spans): the lines of blocks that hold a range of dates."""
+    """(key, part, lines): the lines (line, spans) of blocks that hold a range of dates."""
     lines = section_lines(sections, key, content).withColumn("spans", wl.spans(F.col("line"), today))
     heading = (F.size(F.split("line", " ")) <= 12) & ~F.col("line").endswith(".") & F.col("line").rlike(wl.HAS_ROLE)
     org = F.col("line").rlike(r"(?i)^organization\s*:\s*.+\z")
     seen = lines.select("*", (F.size("spans") > 0).alias("dated"), org.alias("org"), ((F.col("line") != "") & heading).alias("heading"))
     numbered = block_numbers(seen, key).filter("line <> ''")
-    dated = numbered.withColumn("_any", F.max("dated").over(W.partitionBy(key, "block"))).filter("_any")
-    place = F.row_number().over(W.partitionBy(key, "block").orderBy("n"))
-    return dated.select(key, F.col("block").alias("part"), place.alias("place"), "line", "spans")
+    lines = F.array_sort(F.collect_list(F.struct("n", "line", "spans")))
+    dated = numbered.groupBy(key, F.col("block").alias("part")).agg(lines.alias("lines"), F.max("dated").alias("_any")).filter("_any")
+    return dated.select(key, "part", F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["spans"].alias("spans"))).alias("lines"))
 
 
 def surroundings(sections: DataFrame, key: str, content: str, today: Column) -> DataFrame:
-    """(key, part, place, line, spans): lines around each line that has a date, by itself or with the next line.
+    """(key, part, lines): lines (line, spans) around each line that has a date, by itself or with the next line.
 
     They are the line before, the line and the two after, but for headings of other sections.  Only lines that speak of a role or a
     company are tried with the next.
@@ -56,54 +59,51 @@ def surroundings(sections: DataFrame, key: str, content: str, today: Column) ->
     at = lambda k: F.lead("line", k).over(order)
     own = full.select(key, "n", "line", "alone", F.lag("line").over(order).alias("before"), at(1).alias("after"), at(2).alias("later"))
     speaks = line.rlike(wl.HAS_ROLE) | line.rlike(wl.HAS_COMPANY) | line.rlike(r"(?i) \| | at | in |^(?:organization|designation)\s*:\s*.")
-    paired = F.when((F.size("alone") == 0) & speaks & F.col("after").isNotNull(), wl.wider_spans(F.concat_ws(" ", "line", "after"), today))
+    digits = line.rlike(r"\d") | F.col("after").rlike(r"\d")
+    paired = F.when((F.size("alone") == 0) & digits & speaks, wl.wider_spans(F.concat_ws(" ", "line", "after"), today))
     # a generator, unlike a filter, does not work the spans out twice
     some = F.explode(F.filter(F.array(F.coalesce(paired, "alone")), lambda s: F.size(s) > 0)).alias("spans")
     own = own.select("*", some)
     around = F.filter(F.array("before", "line", "after", "later"), lambda x: x.isNotNull() & ~x.rlike(rf"(?i)^(?:{wl.OTHER_SECTIONS})\z"))
-    return own.select(key, F.col("n").alias("part"), "spans", F.posexplode(around).alias("place", "line")).select(key, "part", (F.col("place") + 1).alias("place"), "line", "spans")
+    of_group = F.transform(around, lambda x: F.struct(x.alias("line"), F.col("spans").alias("spans")))
+    return own.select(key, F.col("n").alias("part"), of_group.alias("lines")).filter(F.size("lines") > 0)
+
+
+def _first_told(xs: Column, reading: Callable[[Column], Column]) -> Column:
+    """The first reading of a list that says something; those after it are not worked out."""
+    return F.aggregate(xs, F.lit(None).cast("string"), lambda found, x: F.coalesce(found, reading(x)))
 
 
 def read_groups(groups: DataFrame, key: str) -> DataFrame:
-    """(key, part, company, role, lines, bare_lines, bullets): what each group of lines says."""
-    part = W.partitionBy(key, "part")
-    order = part.orderBy("place")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    line, place = F.col("line"), F.col("place")
-    bare = groups.withColumn("bare", wl.without_dates(line))
-    title = F.nullif(F.regexp_extract("bare", wl.TITLE, 1), F.lit(""))
-    told = bare.select(
-        "*",
-        F.first(F.when(place <= HEADLINES, title), ignorenulls=True).over(whole).alias("title"),
-        F.coalesce(F.min(F.when(line.rlike(wl.RANGE), place)).over(part), F.lit(1)).alias("date_place"),
-    )
-    off = place - F.col("date_place")
-    beside = off.between(-NEAR, NEAR) & (off != 0) & ~line.rlike(rf"(?i)^(?:{wl.SECTION_NAMES})\z")
-    near = F.replace(F.when(off == 0, F.col("bare")).when(beside, line), F.lit("?"), F.lit("|"))
+    """(key, part, company, role, lines, bullets): what each group of lines says; ``lines`` are (place, line, spans, bare)."""
+    first = lambda n: F.slice("lines", F.lit(1), F.lit(n))
+    with_bare = groups.withColumn("bares", F.transform(first(HEADLINES), lambda x: wl.without_dates(x["line"])))
+    dated = F.array_position(F.transform("lines", lambda x: wl.has_range(x["line"])), F.lit(True)).cast("int")
+    told = with_bare.select("*", _first_told(F.col("bares"), lambda x: F.nullif(wl.title_of(x), F.lit(""))).alias("title"), F.coalesce(F.nullif(dated, F.lit(0)), F.lit(1)).alias("date_place"))
+    line_at = lambda off: F.get("lines", F.col("date_place") - 1 + off)["line"]
+    beside = lambda off: let(line_at(off), lambda x: F.when(~x.rlike(rf"(?i)^(?:{wl.SECTION_NAMES})\z"), x))
     # the line of the date first, then those before it, then those after it
-    rank = F.when(off == 0, 0).otherwise(off + NEAR + 1)
-    label = lambda name: F.when(place <= 4, F.nullif(F.trim(F.regexp_extract("line", rf"(?i)^{name}\s*:\s*(.+)$", 1)), F.lit("")))
-    read = told.select("*", F.nullif(near, F.lit("")).alias("near"), rank.alias("rank"), label("organization").alias("org"), label("designation").alias("des"))
-    head = F.when((place <= HEADLINES) & (F.col("bare") != ""), wl.heading_company(F.col("bare"), F.col("title")))
-    read = read.withColumn("head", head).withColumn("beside", wl.near_company(F.col("near"), F.col("title")))
-    choice = lambda order_, value: F.min(F.when(value.isNotNull(), F.struct(order_.alias("o"), value.alias("v")))).over(part)["v"]
-    company = F.coalesce(choice(place, wl.clean_company(F.col("org"))), choice(place, F.when(wl.is_company(F.col("head")), F.col("head"))), choice(F.col("rank"), F.col("beside")))
-    with_company = read.withColumn("company", company)
-    role = F.coalesce(
-        choice(place, F.when(~wl.is_skill(F.col("des")), F.col("des"))),
-        choice(F.col("rank"), wl.near_role(F.col("near"), F.col("company"))),
+    offs = F.array(*[F.lit(off) for off in (0, *range(-NEAR, 0), *range(1, NEAR + 1))])
+    near = F.transform(offs, lambda off: F.when(off == 0, wl.without_dates(line_at(0))).otherwise(beside(off)))
+    near = F.filter(F.transform(near, lambda x: F.nullif(F.replace(x, F.lit("?"), F.lit("|")), F.lit(""))), lambda x: x.isNotNull())
+    label = lambda x, name: F.nullif(F.trim(F.regexp_extract(x["line"], rf"(?i)^{name}\s*:\s*(.+)$", 1)), F.lit(""))
+    title = F.col("title")
+    company = F.coalesce(
+        _first_told(first(LABELS), lambda x: wl.clean_company(label(x, "organization"))),
+        _first_told(F.col("bares"), lambda x: let(F.when(x != "", wl.heading_company(x, title)), lambda c: F.when(wl.is_company(c), c))),
+        _first_told(F.col("near"), lambda x: wl.near_company(x, title)),
     )
-    bare_line = F.when((place <= HEADLINES) & (F.col("bare") != ""), F.col("bare"))
-    return (
-        with_company.withColumn("role", role)
-        .groupBy(key, "part")
-        .agg(
-            F.first("company").alias("company"),
-            F.first("role").alias("role"),
-            F.array_sort(F.collect_list(F.struct("place", "line", "spans", bare_line.alias("bare")))).alias("lines"),
-            F.max(F.when(place <= 2, line.rlike(wl.BULLET))).alias("bullets"),
-        )
+    with_company = told.withColumn("near", near).withColumn("company", company)
+    role = F.coalesce(
+        _first_told(first(LABELS), lambda x: let(label(x, "designation"), lambda c: F.when(~wl.is_skill(c), c))),
+        _first_told(F.col("near"), lambda x: wl.near_role(x, F.col("company"))),
     )
+    bare_line = lambda i: F.nullif(F.get("bares", i), F.lit(""))
+    lines = F.transform("lines", lambda x, i: F.struct((i + 1).alias("place"), x["line"].alias("line"), x["spans"].alias("spans"), bare_line(i).alias("bare")))
+    bullets = F.exists(first(2), lambda x: x["line"].rlike(wl.BULLET))
+    # through a generator no filter of the callers moves below, where it would work out company and role once more
+    read = F.struct("company", role.alias("role"), lines.alias("lines"), bullets.alias("bullets"))
+    return with_company.select(key, "part", F.explode(F.array(read)).alias("read")).select(key, "part", "read.*")
 
 
 def _entry(read: DataFrame, key: str, part: str) -> DataFrame:

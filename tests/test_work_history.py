@@ -165,3 +165,23 @@ def test_long_lines(spark, entries):
     texts = [(1, LONG), (2, f"Acme {LONG} Labs\nMay 2001 - May 2003"), (3, "QA Lead\nAcme Labs\n2010 - 2012")]
     found = entries(spark.createDataFrame(texts, "id long, content string"), "id", "content", AS_OF).collect()
     assert [r.company for r in found if r.id == 3] == ["Acme Labs"]
+
+
+def test_words_are_found_as_by_trying_each(spark):
+    """The patterns that look at first letters first find what plain alternatives find."""
+    lists = (wl.ROLE_WORDS, wl.COMPANY_WORDS, wl.TITLE_WORDS, wl.TITLE_HEADS, wl.ACTION_WORDS, wl.NO_COMPANY_WORDS, wl.SKILL_WORDS, "|".join(wl.PLACES))
+    texts = [f"{a}{w.upper() if n % 2 else w}{b}" for words in lists for n, w in enumerate(words.split("|")) for a, b in (("", ""), ("x", ""), ("to ", "s"), ("É", "é"), ("(", ") 1"))]
+    texts += ["May 2001 - 3.2004", "1 Jan 2001", "marching 2001", "decem 12", "Sept, 5th 2010 to now", "2010/11", "Ju 2001", "JUNE'07"]
+    frame = spark.createDataFrame([(x,) for x in texts], "x string")
+    date = f"(?:{'|'.join(wl.DATE_FORMS)})"
+    pairs = [(rf"(?i)\b{wl.any_word(w)}\b", rf"(?i)\b(?:{w})\b") for w in lists] + [(f"(?i){wl.DATE}", f"(?i){date}")]
+    found = lambda p: F.regexp_extract_all("x", F.lit(p), F.lit(0))
+    differ = [p for quick, p in pairs if frame.filter(~found(quick).eqNullSafe(found(p))).count()]
+    assert not differ
+
+
+def test_readings_of_a_group_are_folds(spark, sections):
+    """Lines of a group are read in one row, up to the first that holds: no window over a group, which would read them all."""
+    groups = work_history.surroundings(sections, "id", "content", F.lit(TODAY))
+    plan = work_history.read_groups(groups, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" +-:").startswith("Window [") for line in plan.split("\n")) == 1  # lines before and after
