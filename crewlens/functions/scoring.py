@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import let
+from .worklines import any_word
 
 # Ranking features and their weights.
 WEIGHTS = {"skill_score": 0.4, "experience_score": 0.2, "tfidf_score": 0.2, "bm25_score": 0.1, "education_score": 0.1}
@@ -36,6 +37,16 @@ SOME_DEGREES = ("engineering", "b.tech", "b.e", "bca", "electronics", "electrica
 BASE_ACTIONS_CAP = 15
 
 
+def _lower(text: Column, body) -> Column:
+    """``body`` of a text in lower case, which is made once a row."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), body)
+
+
+def _some(patterns) -> str:
+    """The pattern of any of these, each of which begins with a letter; most places of a text hold none of their first letters."""
+    return f"(?=[{''.join(sorted({p.removeprefix(chr(92) + 'b')[0] for p in patterns}))}])(?:{'|'.join(patterns)})"
+
+
 def to_ten(c: Column) -> Column:
     """A score of 0 to 10 with one decimal, whether given out of 10 or of 100; null stays null."""
     x = c.cast("double")
@@ -76,7 +87,7 @@ def contains_count(text: Column, words) -> Column:
 
 def word_count(text: Column, words) -> Column:
     """How often any of the words occurs as a word of a lower-case text."""
-    return F.regexp_count(text, F.lit(r"\b(?:" + "|".join(words) + r")\b"))
+    return F.regexp_count(text, F.lit(rf"\b{any_word('|'.join(words))}\b"))
 
 
 def points(text: Column, keywords: dict[str, int], most: int) -> Column:
@@ -88,43 +99,54 @@ def points(text: Column, keywords: dict[str, int], most: int) -> Column:
 
 def education_score(text: Column) -> Column:
     """10 for a close degree, 6 for a related one, four fifths of it while it is being pursued."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    base = F.when(t.rlike("|".join(HIGH_DEGREES)), 10.0).when(t.rlike("|".join(SOME_DEGREES)), 6.0).otherwise(0.0)
-    return F.round(base * F.when(t.rlike("pursuing|expected|current|in progress"), 0.8).otherwise(1.0), 2)
+
+    def of(t: Column) -> Column:
+        base = F.when(t.rlike(_some(HIGH_DEGREES)), 10.0).when(t.rlike(_some(SOME_DEGREES)), 6.0).otherwise(0.0)
+        return F.round(base * F.when(t.rlike(_some(("pursuing", "expected", "current", "in progress"))), 0.8).otherwise(1.0), 2)
+
+    return _lower(text, of)
 
 
 def soft_skills_score(text: Column) -> Column:
     """Up to 2 points for leading, 2 for working together, 1 for measured effects."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    step = lambda n, two: F.when(n >= two, 2).when(n >= 1, 1).otherwise(0)
-    total = step(word_count(t, LEADING), 3) + step(word_count(t, TOGETHER), 2) + F.when(F.regexp_count(t, F.lit(EFFECT)) >= 2, 1).otherwise(0)
-    return total.cast("double")
+    step = lambda c, two: let(c, lambda n: F.when(n >= two, 2).when(n >= 1, 1).otherwise(0))
+    return _lower(text, lambda t: (step(word_count(t, LEADING), 3) + step(word_count(t, TOGETHER), 2) + F.when(F.regexp_count(t, F.lit(EFFECT)) >= 2, 1).otherwise(0)).cast("double"))
 
 
 def experience_score(text: Column, years: Column, least: Column, most: Column, skills: Column, bonus: Column | None = None) -> Column:
     """Up to 35 points: years against the wanted span, actions and wanted skills in the text, seniority, a title's bonus."""
-    t, y = F.lower(F.coalesce(text, F.lit(""))), F.coalesce(years.cast("double"), F.lit(0.0))
+    y = F.coalesce(years.cast("double"), F.lit(0.0))
     base = F.when(y >= most, 12.0).when(y >= least, 10 + F.try_divide((y - least) * 2, most - least)).otherwise(F.coalesce(F.try_divide(y, least) * 10, F.lit(0.0)))
-    named = F.size(F.filter(F.coalesce(skills, F.array().cast("array<string>")), lambda s: t.contains(F.lower(s))))
-    actions = F.least(word_count(t, ACTIONS) * 0.5 + named * 1.5, F.lit(float(BASE_ACTIONS_CAP)))
-    leading = word_count(t, LEADING)
-    senior = F.when((y >= 5) & (leading >= 2), 8).when((y >= 3) & (leading >= 1), 5).when(y >= 2, 3).otherwise(0)
     more = F.coalesce(bonus, F.lit(0.0)) if bonus is not None else F.lit(0.0)
-    return F.round(F.least(base + F.when(t == "", 0.0).otherwise(actions + senior + more), F.lit(35.0)), 2)
+
+    def of(t: Column) -> Column:
+        named = F.size(F.filter(F.coalesce(skills, F.array().cast("array<string>")), lambda s: t.contains(F.lower(s))))
+        actions = F.least(word_count(t, ACTIONS) * 0.5 + named * 1.5, F.lit(float(BASE_ACTIONS_CAP)))
+        senior = let(word_count(t, LEADING), lambda leading: F.when((y >= 5) & (leading >= 2), 8).when((y >= 3) & (leading >= 1), 5).when(y >= 2, 3).otherwise(0))
+        return F.round(F.least(base + F.when(t == "", 0.0).otherwise(actions + senior + more), F.lit(35.0)), 2)
+
+    return _lower(text, of)
 
 
 def projects_score(text: Column, years: Column, title: Column) -> Column:
     """Up to 20 points: relevance of the work and, by seniority, complexity of the projects."""
-    t, role = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
-    actions, together = word_count(t, ACTIONS), word_count(t, TOGETHER)
-    density = F.try_divide(actions * 100.0, F.size(F.split(F.trim(t), r"\s+")))
-    relevance = F.least(F.lit(3.0), actions * 0.3) + F.when(density > 3, 2).when(density > 2, 1).otherwise(0)
-    relevance = relevance + F.when(together >= 2, 2).when(together >= 1, 1).otherwise(0)
-    relevance = relevance + F.when(t.rlike("college|academic|university project|course project"), 0).otherwise(3)
-    backend = role.rlike("backend|software engineer|api|server|full stack")
-    relevance = relevance + F.when(backend, F.least(contains_count(t, BACKEND), F.lit(3))).otherwise(0)
-    complexity = F.when(years <= 3, points(t, JUNIOR, 10)).otherwise(points(t, SENIOR, 10))
-    return F.when(t == "", 0.0).otherwise(F.round(F.least(relevance + complexity, F.lit(20.0)), 2))
+    backend = F.lower(F.coalesce(title, F.lit(""))).rlike("backend|software engineer|api|server|full stack")
+
+    def of(t: Column) -> Column:
+        words = F.size(F.split(F.trim(t), r"\s+"))
+        counted = F.struct(word_count(t, ACTIONS).alias("actions"), word_count(t, TOGETHER).alias("together"), words.alias("words"))
+        return F.when(t == "", 0.0).otherwise(let(counted, lambda n: judged(t, n)))
+
+    def judged(t: Column, n: Column) -> Column:
+        density = F.try_divide(n["actions"] * 100.0, n["words"])
+        relevance = F.least(F.lit(3.0), n["actions"] * 0.3) + F.when(density > 3, 2).when(density > 2, 1).otherwise(0)
+        relevance = relevance + F.when(n["together"] >= 2, 2).when(n["together"] >= 1, 1).otherwise(0)
+        relevance = relevance + F.when(t.rlike(_some(("college", "academic", "university project", "course project"))), 0).otherwise(3)
+        relevance = relevance + F.when(backend, F.least(contains_count(t, BACKEND), F.lit(3))).otherwise(0)
+        complexity = F.when(years <= 3, points(t, JUNIOR, 10)).otherwise(points(t, SENIOR, 10))
+        return F.round(F.least(relevance + complexity, F.lit(20.0)), 2)
+
+    return _lower(text, of)
 
 
 def declared_skills(text: Column) -> Column:
@@ -134,42 +156,53 @@ def declared_skills(text: Column) -> Column:
     return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _doing(t: Column) -> Column:
+    """The sentences of a text in lower case that hold a word of tasks done."""
+    return F.filter(F.split(t, r"[.!?\n]"), lambda s: s.rlike(_some(ACTIONS)))
+
+
 def in_action(text: Column, skill: Column) -> Column:
     """Whether a sentence holds the skill and a word of tasks done."""
-    return F.exists(F.split(F.lower(text), r"[.!?\n]"), lambda s: s.contains(skill) & s.rlike("|".join(ACTIONS)))
+    return F.exists(_doing(F.lower(text)), lambda s: s.contains(skill))
 
 
 def skills_score(text: Column, required: Column, projects: Column) -> Column:
     """Up to 30 points: 1 for a declared and 2.5 for a proven skill, 5 more for strong projects; 0 without experience."""
     from ..operators.matching import skill_name
 
-    t = F.lower(F.coalesce(text, F.lit("")))
     wanted = F.coalesce(required, F.array().cast("array<string>"))
     known = lambda declared, s: F.exists(declared, lambda d: (skill_name(d) == skill_name(s)) | d.contains(F.lower(s)) | F.lower(s).contains(d))
     told = let(F.transform(declared_skills(text), lambda x: F.lower(x)), lambda own: F.size(F.filter(wanted, lambda s: known(own, s))))
-    proven = lambda s: in_action(t, F.lower(s)) | in_action(t, skill_name(s))
-    total = told * 1.0 + F.size(F.filter(wanted, proven)) * 2.5 + F.when(projects > 12, 5).otherwise(0)
-    fresh = t.rlike(r"\b(?:fresher|fresh graduate|recent graduate|entry level|no experience|0\s*\+?\s*years?)\b")
-    return F.when(fresh | (t == "") | (F.size(wanted) == 0), 0.0).otherwise(F.round(F.least(total, F.lit(30.0)), 2))
+
+    def of(t: Column) -> Column:
+        holds = lambda done, s: F.exists(done, lambda x: x.contains(F.lower(s))) | F.exists(done, lambda x: x.contains(skill_name(s)))
+        proven = let(_doing(t), lambda done: F.size(F.filter(wanted, lambda s: holds(done, s))))
+        total = told * 1.0 + proven * 2.5 + F.when(projects > 12, 5).otherwise(0)
+        fresh = t.rlike(r"\b(?=[fren0])(?:fresher|fresh graduate|recent graduate|entry level|no experience|0\s*\+?\s*years?)\b")
+        return F.when(fresh | (t == "") | (F.size(wanted) == 0), 0.0).otherwise(F.round(F.least(total, F.lit(30.0)), 2))
+
+    return _lower(text, of)
 
 
 def balanced_total(text: Column, years: Column, least: Column, most: Column, skills: Column, title: Column, bonus: Column | None = None) -> Column:
     """(experience, skills, projects, education, soft_skills, total, label, status): the parts and what they say together."""
-    projects = projects_score(text, years, title)
-    parts = {
-        "experience": experience_score(text, years, least, most, skills, bonus),
-        "skills": skills_score(text, skills, projects),
-        "projects": projects,
-        "education": education_score(text),
-        "soft_skills": soft_skills_score(text),
-    }
+
+    def parts_of(projects: Column) -> Column:
+        parts = {
+            "experience": experience_score(text, years, least, most, skills, bonus),
+            "skills": skills_score(text, skills, projects),
+            "projects": projects,
+            "education": education_score(text),
+            "soft_skills": soft_skills_score(text),
+        }
+        return F.struct(*[c.alias(k) for k, c in parts.items()])
 
     def judged(p: Column) -> Column:
         total = F.round(p["experience"] + p["skills"] + p["projects"] + p["education"] + p["soft_skills"], 2)
         status = F.when(total >= 55, "shortlisted").when(total >= 45, "review").otherwise("rejected")
-        return F.struct(*[p[k].alias(k) for k in parts], total.alias("total"), fit_label(total).alias("label"), status.alias("status"))
+        return F.struct(*[p[k].alias(k) for k in ("experience", "skills", "projects", "education", "soft_skills")], total.alias("total"), fit_label(total).alias("label"), status.alias("status"))
 
-    return let(F.struct(*[c.alias(k) for k, c in parts.items()]), judged)
+    return let(let(projects_score(text, years, title), parts_of), judged)
 
 
 # The sentences of a summary; {0}, {1}, ... are what is put in.
