@@ -153,8 +153,17 @@ def parsed(rows: DataFrame, key: str, text: str, dictionary: list[str], gazettee
     the skills section that the dictionary has join the skills.  The first reading is a checkpoint that holds no whole text; only
     its unsure rows go through the gazetteer's join, whose result comes back by one join on the key.  ``retried`` names the fields.
     """
+    return read_again(first_reading(rows, key, text, dictionary), key, dictionary, gazetteer)
+
+
+def first_reading(rows: DataFrame, key: str, text: str, dictionary: list[str]) -> DataFrame:
+    """The first pass, worked out once and kept as a checkpoint for all that comes of it."""
     shared_folder(rows.sparkSession)  # where the checkpoint goes
-    first = first_pass(rows, key, text, dictionary).checkpoint()
+    return first_pass(rows, key, text, dictionary).checkpoint()
+
+
+def read_again(first: DataFrame, key: str, dictionary: list[str], gazetteer: DataFrame) -> DataFrame:
+    """The second reading of ``parsed`` over the kept first one."""
     low = lambda name: F.col(f"{name}_confidence") < RETRY
     again = places(first.filter(low("location")), key, "head", gazetteer).filter("place <> ''").select(key, "place")
     pattern = "|".join(rf"\Q{x}\E" for x in sorted(dictionary, key=len, reverse=True))

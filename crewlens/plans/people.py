@@ -47,21 +47,23 @@ def _read(spark, d, twice: bool):
     return people.parsed(rows, "id", "text", list(made.SKILLS), _gazetteer(spark))
 
 
-def _benchmark(spark, d, twice: bool):
-    both = _read(spark, d, twice).withColumn("n_skills", F.size("skills")).join(_truth(spark, d), "id")
+def _benchmark(spark, d, read):
+    both = read.withColumn("n_skills", F.size("skills")).join(_truth(spark, d), "id")
     return accuracy.benchmark(both, ["name", "location"], ["n_skills"], ["skills"])
 
 
 @register()
 def a35_parse_benchmark(spark, d):
     """Names, places, skills and their numbers of all applicants, as parsed, against what was put there."""
-    return accuracy.readiness(_benchmark(spark, d, True))
+    return accuracy.readiness(_benchmark(spark, d, _read(spark, d, True)))
 
 
 @register()
 def a36_second_reading_gain(spark, d):
-    """What the second reading adds to each measure."""
-    return accuracy.compared(_benchmark(spark, d, False), _benchmark(spark, d, True))
+    """What the second reading adds to each measure; the first one, which both benchmarks start from, is done once."""
+    first = people.first_reading(made.applicants(spark, d).select("id", "text"), "id", "text", list(made.SKILLS))
+    again = people.read_again(first, "id", list(made.SKILLS), _gazetteer(spark))
+    return accuracy.compared(_benchmark(spark, d, first), _benchmark(spark, d, again))
 
 
 @register()

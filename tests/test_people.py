@@ -110,3 +110,13 @@ def test_parse_benchmark(spark, put):
     audit = {r["item"]: r for r in plans.a37_parse_audit(spark, DATA).collect()}
     assert audit["name_confidence"].n == len(put) and 0 < audit["location_again"].mean < 1
     assert audit["location_again"].n == sum("location" in r.retried for r in parsed.values())
+
+
+def test_gain_of_second_reading_reads_once(spark, monkeypatch):
+    """Both benchmarks start from one first reading; before, it was worked out for each."""
+    from crewlens.operators import people as operator
+
+    calls, own = [], operator.first_pass
+    monkeypatch.setattr(operator, "first_pass", lambda *a: calls.append(1) or own(*a))
+    plans.a36_second_reading_gain(spark, DATA)
+    assert len(calls) == 1
